@@ -27,7 +27,7 @@ from lixora.llm.common import WORDS_KEPT, fold_of
 from lixora.llm.labelled import MOST_TRAINING, features, sampled, split_text_scores
 
 FACTORS, EPOCHS, BATCH, PREFIXES = 4, 8, 128, (4, 5)
-RATE, PULL_W, PULL_V, LEAST_DOCS = 0.15, 3e-3, 4e-3, 4
+RATE, PULL_W, PULL_V, LEAST_DOCS, WEIGHT = 0.5, 1e-3, 3e-4, 4, 4.0
 THRESHOLD, FOLDS, HELD = 0.7, 3, 1
 WORDS = re.compile(r"\w+")
 
@@ -81,7 +81,7 @@ def fit(labels: np.ndarray, docs: list[np.ndarray], seed: int = 7) -> dict[str,
             fv = v[flat]
             s = np.add.reduceat(fv, starts)
             y = bias + np.add.reduceat(w[flat], starts) + 0.5 * ((s**2).sum(1) - np.add.reduceat((fv**2).sum(1), starts)) / lens
-            g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[rows]) / len(rows)
+            g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[rows]) * np.where(labels[rows] > 0, WEIGHT, 1.0) / len(rows)
             bias -= RATE * g.sum() / np.sqrt(gb := gb + g.sum() ** 2)
             each = np.repeat(g, lens)
             seen, back = np.unique(flat, return_inverse=True)
