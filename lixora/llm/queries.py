@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lixora.llm import fingerprints, ngram_join, packing, quality, toxicity
+from lixora.llm import fingerprints, licenses, ngram_join, packing, quality, secrets, toxicity
 from lixora.llm.common import table
 
 
@@ -29,12 +29,22 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_license_scans": op8_license_scans,
+    "op9_secret_scans": op9_secret_scans,
 }
 
 ORACLES: dict[str, str] = {}
