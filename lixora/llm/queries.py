@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lixora.llm import fingerprints, licenses, ngram_join, packing, quality, secrets, toxicity
+from lixora.llm import fingerprints, licenses, ngram_join, packing, quality, secrets, toxicity, warc
 from lixora.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -45,6 +49,7 @@ QUERIES = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_license_scans": op8_license_scans,
     "op9_secret_scans": op9_secret_scans,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
