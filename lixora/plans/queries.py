@@ -1,4 +1,6 @@
-"""Registered queries of the library and their DuckDB twins."""
+"""All registered queries of the library."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lixora.plans import judging  # noqa: F401
+from lixora.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
