@@ -89,7 +89,7 @@ def cd_coordinate(ecosystem: Column, name: Column, version: Column) -> Column:
 def clean_version(version: Column, ecosystem: Column) -> Column:
     """The version a constraint names: npm, gem and conan prefixes dropped; for pypi the == or >= bound, else the first."""
     v = F.trim(version)
-    bounds = F.transform(F.split(v, ","), F.trim)
+    bounds = F.transform(F.split(v, ","), lambda b: F.trim(b))
     exact = F.get(F.filter(bounds, lambda b: b.rlike("^(?:==|>=)")), F.lit(0))
     pypi = F.trim(F.regexp_replace(F.coalesce(exact, F.get(bounds, F.lit(0))), "^[=<>!~]+", ""))
     npm = F.trim(F.regexp_replace(v, r"^(?:\^|~|>=)\s*", ""))
