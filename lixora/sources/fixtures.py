@@ -39,10 +39,17 @@ EDGES = """SELECT DISTINCT src, dst FROM (
 FILES = """SELECT source AS root, CASE doc_id % 6 WHEN 0 THEN 'vendor/lib' WHEN 1 THEN 'third_party/kit' WHEN 2 THEN 'node_modules/dep' ELSE 'src/mod' END
   || (doc_id % 10) || '/' || CASE WHEN doc_id % 7 = 0 THEN 'LICENSE' ELSE 'f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.c' ELSE '.txt' END END AS path,
   doc_id, text AS content FROM {documents}"""
+SOURCES = """SELECT root, path, doc_id, CASE doc_id % 9 WHEN 1 THEN '/* SPDX-License-Identifier: GPL-3.0-only */' || chr(10) || content
+  WHEN 3 THEN '# SPDX-License-Identifier: some prose here' || chr(10) || '# SPDX-License-Identifier: (MIT OR Apache-2.0)' || chr(10) || content
+  WHEN 5 THEN '# This file is under the terms of the GNU' || chr(10) || '# Lesser General Public License, either version 3, or' || chr(10) || '# (at your option) any later version.' || chr(10) || content
+  ELSE content END AS content FROM (""" + FILES + """) f"""
+#: One row per manifest-like path: (root, path).
+PATHS = """SELECT 'r' || (p_partkey % 4) AS root, CASE p_partkey % 8 WHEN 0 THEN 'node_modules/a/' WHEN 1 THEN '' WHEN 2 THEN 'app/' WHEN 3 THEN 'lib/core/' WHEN 4 THEN 'vendor/z/' WHEN 5 THEN 'Third_Party/k' || (p_partkey % 3) || '/' WHEN 6 THEN 'a/.venv/' ELSE 'deep/er/down/' END
+  || CASE p_partkey % 11 WHEN 0 THEN 'Cargo.toml' WHEN 1 THEN 'package.json' WHEN 2 THEN 'go.mod' WHEN 3 THEN 'Cargo.lock' WHEN 4 THEN 'main.rs' WHEN 5 THEN 'x.csproj' WHEN 6 THEN 'requirements.txt' WHEN 7 THEN 'README.md' WHEN 8 THEN '.hidden.py' WHEN 9 THEN 'yarn.lock' ELSE 'LICENSE' END AS path FROM {part}"""
 CHANGES = """SELECT event_id, ts, user_id AS root_id, CASE event_type WHEN 'click' THEN 'package.json' WHEN 'view' THEN 'src/main.rs'
   WHEN 'error' THEN 'node_modules/x/package.json' ELSE 'Cargo.lock' END AS path FROM {events}"""
 
-SQL = {"fx_packages": PACKAGES, "fx_projects": PROJECTS_SQL, "fx_deps": DEPS, "fx_edges": EDGES, "fx_files": FILES, "fx_changes": CHANGES}
+SQL = {"fx_packages": PACKAGES, "fx_projects": PROJECTS_SQL, "fx_deps": DEPS, "fx_edges": EDGES, "fx_files": FILES, "fx_changes": CHANGES, "fx_src": SOURCES, "fx_paths": PATHS}
 TABLES = ["part", "orders", "lineitem", "documents", "events"]
 
 
