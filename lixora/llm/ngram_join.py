@@ -325,7 +325,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id. Rows that repeat id and text count as one."""
-    kept = jaccard_components(docs.select("doc_id", "text"), n, num, den).where("doc_id <=> component_id").select("doc_id").distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return left.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """docs with one row of each component: that of the smallest doc_id. Rows that repeat id and text count as one.
+
+    Texts are only shuffled if the kept ids are too many to broadcast; rows that share an id are dealt with apart.
+    """
+    found = saved(jaccard_components(docs.select("doc_id", "text"), n, num, den), "components")
+    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+
+    def having(rows: DataFrame) -> DataFrame:
+        rows = rows.select("doc_id")
+        few = rows.count() <= MOST_BROADCAST
+        return docs.join(F.broadcast(rows) if few else rows, docs["doc_id"].eqNullSafe(rows["doc_id"]), "left_semi")
+
+    once, more = kept.where("times = 1"), kept.where("times > 1")
+    if more.isEmpty():
+        return having(once)
+    again = having(more).withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return having(once).unionByName(again)
