@@ -7,7 +7,8 @@ cells; a signature is the part of a set that falls into one enumerated subset of
 reach every subset, so linked sets share a signature. Steps, each a Spark stage:
 
 1. every document: set size and a 64-bit digest of its set (equal sets are one node from here on);
-2. signatures of every set, combined within each chunk of input first (a chunk sends one row of a signature,
+2. shingles that many documents share are found in a sample, so that signatures can do without them;
+   signatures of every set, combined within each chunk of input first (a chunk sends one row of a signature,
    however many copies it holds), dealt by signature, and joined to links "may be near";
 3. connected components of those candidate links: classes that hold every true link;
 4. inside each class an exact join (rarest-first prefixes with position bounds, links inside a known
@@ -21,6 +22,8 @@ when the smallest id is taken. Extra columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import math
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +37,10 @@ from lixora.llm.common import GOLD, WordHashes, connected_components, find, mixe
 
 #: Signatures that a map task combines before it sends them on.
 CHUNK = 400_000
+#: Ways to cut the domain that a set tries before it keeps thin signatures.
+WAYS = 6
+#: Documents whose shingles tell which are common.
+SAMPLE = 3_000
 #: Sets, and shingles in all, that one exact join may hold; larger classes are joined block by block.
 MOST_SETS, MOST_SHINGLES = 6_000, 3_000_000
 #: Of at most so many documents the ids are broadcast (8 bytes each) when their sets are read again.
@@ -81,47 +88,90 @@ class Bands:
         return (high + high * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
 
-def part_enum(h: np.ndarray, scheme: int, k: int) -> np.ndarray:
-    """Signatures such that sets within Hamming distance k (same scheme) share one.
+def _thin(mean: float, least: int) -> float:
+    """Probability of fewer than ``least`` (1 or 2) elements where ``mean`` are expected."""
+    return math.exp(-mean) * (1 + (least - 1) * mean)
+
+
+@cache
+def plan(k: int, low: int, least: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) for sets of at least ``low`` shingles within Hamming distance k.
 
-    n1 partitions; more than ``spare`` of them differ in at most k2 elements each. Signatures of under two
-    elements say little and are dropped by sets that have them in at most ``spare`` partitions.
+    Sets that close differ by more than k2 in at most n1 - 1 - spare of the n1 partitions, so 1 + spare of these
+    agree in some subset of n2 - k2 of their n2 cells.
     """
-    if k <= 3:
-        n1, n2, k2, spare = 1, k + 2, k, 0
-    elif k <= 24:
-        n2, k2 = 3, 1
+    if k <= 6:
+        return 1, k + 2, k, 0
+    if k <= 30:
         spare = 1 + k // 16
-        n1 = k // 2 + 1 + spare
-    else:
-        n2, k2 = 1, 0
-        spare = 2 + k // 12
-        n1 = k + 1 + spare
-    place = mixed(h + np.uint64((scheme + 1) * int(GOLD) % 2**64))
-    cell = (place % np.uint64(n1 * n2)).astype(np.int64)
-    worth = mixed(place)
-    order = np.argsort(cell, kind="stable")
-    ends = np.searchsorted(cell[order], np.arange(n1 * n2 + 1))
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(worth[order], dtype=np.uint64)])
-    sums = (running[ends[1:]] - running[ends[:-1]]).reshape(n1, n2)
-    counts = np.diff(ends).reshape(n1, n2)
-    out, sizes = [], []
-    for s, subset in enumerate(combinations(range(n2), n2 - k2)):
-        cells = list(subset)
-        part = np.arange(n1, dtype=np.uint64) * np.uint64(97) + np.uint64(s)
-        value = sums[:, cells].sum(axis=1, dtype=np.uint64)
-        out.append(mixed(value + mixed(part + np.uint64(scheme) * np.uint64(1_000_003))))
-        sizes.append(counts[:, cells].sum(axis=1))
-    sig, size = np.stack(out), np.stack(sizes)
-    thin = size < 2
-    if thin.any(axis=0).sum() <= spare:
-        return sig[~thin]
-    return sig.ravel()
-
-
-def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
+        return k // 4 + 1 + spare, 5, 3, spare
+    spare = 2
+    while spare < 1.1 * _thin(low / (k + 1 + spare), least) * (k + 1 + spare) + 2 and spare < k:
+        spare += 1
+    return k + 1 + spare, 1, 0, spare
+
+
+def without(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The elements of h that aren't in common; both are sorted."""
+    if not len(common):
+        return h
+    return h[common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h]
+
+
+def part_enum(h: np.ndarray, common: np.ndarray, scheme: int, k: int, low: int) -> np.ndarray:
+    """Signatures such that sets within Hamming distance k (same scheme) share one.
+
+    First way: of the shingles that aren't ``common`` (sets differ there by at most k, too), leaving out empty
+    signatures. A set that has such in at most ``spare`` partitions can do so: another partition still agrees.
+    One that has more goes on to further ways, which cut the domain of all shingles and leave out signatures of
+    under two. The first way that suits either set of a pair holds a signature of both; a set that no way suits
+    keeps all signatures of the last. Which shingles are common matters for speed alone, never for the result.
+    """
+    out = []
+    for way in range(WAYS):
+        held, least = (without(h, common), 1) if way == 0 else (h, 2)
+        n1, n2, k2, spare = plan(k, low, least)
+        subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
+        seed = scheme * WAYS + way + 1
+        place = mixed(held + np.uint64(seed * int(GOLD) % 2**64))
+        cell = (place % np.uint64(n1 * n2)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        ends = np.searchsorted(cell[order], np.arange(n1 * n2 + 1))
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(place)[order], dtype=np.uint64)])
+        sums = (running[ends[1:]] - running[ends[:-1]]).reshape(n1, n2)
+        counts = np.diff(ends).reshape(n1, n2)
+        names = mixed(np.arange(n1 * len(subsets), dtype=np.uint64) + np.uint64(seed * 1_000_003)).reshape(len(subsets), n1)
+        sig = mixed(np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) for c in subsets]) + names)
+        thin = np.stack([counts[:, c].sum(axis=1) for c in subsets]) < least
+        if thin.any(axis=0).sum() <= spare:
+            out.append(sig[~thin])
+            break
+        out.append(sig.ravel() if way == WAYS - 1 else sig[~thin])
+    return np.concatenate(out)
+
+
+def signatures(h: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
     j = bands.band(len(h))
-    return np.concatenate([part_enum(h, i, k) for i in (j - 1, j) if i >= 0 and (k := bands.reach(i)) > 0] or [np.empty(0, np.uint64)])
+    return np.concatenate([part_enum(h, common, i, k, bands.low[i]) for i in (j - 1, j) if i >= 0 and (k := bands.reach(i)) > 0] or [np.empty(0, np.uint64)])
+
+
+def common_shingles(docs: DataFrame, n: int, most: int = SAMPLE, least: int = 3) -> np.ndarray:
+    """Shingles that at least ``least`` different sets of a sample of ``most`` documents hold: passages that many
+    documents share. The sample (lowest id hashes) only steers the signatures."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
+    chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+
+    def fn(batches):
+        words_of = WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingle_hashes(t.as_py(), n, words_of).tobytes() for t in b.column("text")], pa.binary())], ["hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text")
+    sets = {x.as_py() for x in texts.mapInArrow(fn, "hashes binary").toArrow().column("hashes")}
+    if not sets:
+        return np.empty(0, np.uint64)
+    found, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]), return_counts=True)
+    return found[counts >= least]
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
@@ -149,7 +199,7 @@ def runs_to_edges(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, pairs[:, 0], pairs[:, 1]
 
 
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int, common: np.ndarray) -> DataFrame:
     """(a, b) nodes that share a signature, as stars."""
     bits = max(1, (buckets - 1).bit_length())
     width = 1 << bits
@@ -173,7 +223,7 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int) -
                 h = shingle_hashes(t, n, words_of)
                 if not len(h):
                     continue
-                s = signatures(h, bands)
+                s = signatures(h, bands, common)
                 d = digest(h)
                 sigs.append(s)
                 nodes.append(np.full(len(s), d, np.int64))
@@ -314,9 +364,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     sizes = saved(set_sizes(docs, n), "sizes")
     shingles = sizes.agg(F.sum("n_shingles")).first()[0] or 0
-    per_shingle = 0.6 * (den - num) / 15 * (185 / (den + num))
+    per_shingle = 3.4 * (den - num) / (den + num)  # signatures, as measured
     buckets = max(partitions_for(spark), int(shingles * per_shingle / 1_500_000) + 1)
-    classes = connected_components(candidate_edges(docs, n, num, den, buckets))
+    classes = connected_components(candidate_edges(docs, n, num, den, buckets, common_shingles(docs, n)))
     links = connected_components(verified_edges(docs, classes, sizes, n, num, den))
     joined = sizes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
