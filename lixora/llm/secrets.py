@@ -107,5 +107,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))),
     )
     text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(done)
-    columns = [text.alias("text") if c == "text" else F.when(F.col("_cuts").isNull(), F.col(c)).otherwise(F.char_length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    shorter = F.aggregate("_cuts", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] - len(mark))
+    columns = [text.alias("text") if c == "text" else F.when(F.col("_cuts").isNull(), F.col(c)).otherwise(F.char_length("text") - shorter).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns)
