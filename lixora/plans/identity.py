@@ -164,18 +164,19 @@ def snapshots(spark, sf_dir):
     return pool(spark, sf_dir).select((F.col("pkg_id") % 50).alias("k"), "license", at.alias("fetched_at"), (1 + F.col("pkg_id") % 2).alias("format_version"))
 
 
-NOW = F.lit("2024-03-01").cast("timestamp")
+def now():
+    return F.lit("2024-03-01").cast("timestamp")
 
 
 @query("agg_09_fresh_snapshot", PACKS + f", s AS ({SNAPS}), y AS (SELECT * FROM s WHERE format_version = 1 AND fetched_at > TIMESTAMP '2024-03-01' - INTERVAL 30 DAY), m AS (SELECT k, max(fetched_at) AS fetched_at FROM y GROUP BY 1) SELECT k, strftime(m.fetched_at, '%Y-%m-%d') AS fetched_on, max(license) AS license FROM y JOIN m USING (k, fetched_at) GROUP BY 1, 2")
 def agg_09(spark, sf_dir):
-    fresh = resolve.fresh_snapshot(snapshots(spark, sf_dir), ["k"], NOW, resolve.REGISTRY_DAYS, version=1)
+    fresh = resolve.fresh_snapshot(snapshots(spark, sf_dir), ["k"], now(), resolve.REGISTRY_DAYS, version=1)
     return fresh.select("k", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "license")
 
 
 @query("agg_10_snapshot_status", PACKS + f", s AS ({SNAPS}) SELECT count(*) AS entries, sum(length(license))::BIGINT AS chars, date_diff('day', max(fetched_at), TIMESTAMP '2024-03-01') AS age_days, date_diff('day', max(fetched_at), TIMESTAMP '2024-03-01') < 7 AS fresh FROM s")
 def agg_10(spark, sf_dir):
-    return resolve.snapshot_status(snapshots(spark, sf_dir), NOW, resolve.DEFINITION_DAYS)
+    return resolve.snapshot_status(snapshots(spark, sf_dir), now(), resolve.DEFINITION_DAYS)
 
 
 @query("agg_12_joined_licenses", PACKS + ", d AS (SELECT ecosystem, CASE WHEN contains(license, ' OR ') THEN '(' || license || ')' ELSE license END AS l, min(pkg_id) AS pos FROM fx_packages WHERE license IS NOT NULL GROUP BY 1, 2) SELECT ecosystem, string_agg(l, ' AND ' ORDER BY pos) AS license FROM d GROUP BY 1")
