@@ -1,13 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Seeds are the word n-grams of the test items. One scan of all documents counts in how many each seed occurs.
-2. Each item keeps the rarer half of its seeds (at least LEAST_SEEDS), however common these are in the corpus.
-3. A second scan joins passages to items where a kept seed occurs, and aligns the item with the passage around
-   (match +2, mismatch -1, gap -1). An alignment that reaches ``least`` of the item's full score is a leak, so
-   edited, shortened and reordered-by-a-few-words copies are found as well as exact ones.
+1. Seeds are all word n-grams of the test items, common ones too: a copy may have kept only those.
+2. One scan of all documents takes the places where an item's seeds occur, and aligns the item with the passage
+   around (match +2, mismatch -1, gap -1). An alignment that reaches ``least`` of the item's full score is a leak,
+   so edited, shortened and reordered-by-a-few-words copies are found as well as exact ones.
+
+Two bounds keep alignments few and leave out none that could reach ``least``: errors cost at least 1 each, so
+an alignment leaves its seed's diagonal by no more than what the full score has above the least one; and as many
+of the item's words as half of the least score must occur in the passage. A copy without any ``n`` words of the
+item in a row isn't found, whatever it would score.
 
 Seeds and items travel to the tasks, at most MOST_BYTES of item text at a time; a larger benchmark is taken in
-slices of that size, each with its own two scans. Documents are never shuffled.
+slices of that size, each with its own scan. Documents are never shuffled.
 
 Words are lower-case runs of letters, digits and underscores. Null text: empty. Items that are null or have
 fewer than ``n`` words match nothing. Repeated rows and items each count for themselves; null ids stay; extra
@@ -17,7 +21,7 @@ columns are ignored; empty tables give no leaks.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NGRAM, LEAST, LEAST_SEEDS, MOST_BYTES = 3, 0.5, 8, 8_000_000
+NGRAM, LEAST, MOST_BYTES = 3, 0.5, 8_000_000
 WORDS = re.compile(r"\w+")
 LEAK = "doc_id long, item_id long, score double, start_word int, end_word int"
 
@@ -99,26 +103,20 @@ class Items:
         same = self.codes[seed] == code[at]
         return ids, at[same], seed[same]
 
-    def rare(self, counts: dict[int, int]) -> np.ndarray:
-        """Of which seeds each item's rarer half consists: a list of (item, place in it) per seed."""
-        kept = [[] for _ in self.codes]
-        number = {int(c): s for s, c in enumerate(self.codes)}
-        for i, item in enumerate(self.items):
-            seeds = {k: number[self.code(item[k : k + self.n])] for k in range(len(item) - self.n + 1)}
-            order = sorted(seeds, key=lambda k: (counts.get(seeds[k], 0), k))
-            for k in order[: max(LEAST_SEEDS, -(-len(order) // 2))]:
-                kept[seeds[k]].append((i, k))
-        return kept
-
-    def leaks(self, words: list[str], kept: list[list], least: float) -> Iterator[tuple]:
+    def leaks(self, words: list[str], least: float) -> Iterator[tuple]:
         """(item_id, score, start, end) of each item with an alignment of at least ``least``: the best one."""
         ids, at, seed = self.hits(words)
         starts = defaultdict(set)
         for p, s in zip(at.tolist(), seed.tolist()):
-            for i, k in kept[s]:
+            for i, k in self.places[s]:
                 starts[i].add(p - k)
+        seen = set(ids) if starts else ()
         for i, begins in starts.items():
             item, best, size = self.items[i], (0, 0, 0), len(self.items[i])
+            least_score = least * 2 * size
+            if 2 * sum(w in seen for w in item) < least_score:
+                continue
+            far = max(0, int(2 * size - least_score))
             begins, runs = sorted(begins), []
             for b in begins:
                 if runs and b - runs[-1][1] <= size // 2:
@@ -126,44 +124,37 @@ class Items:
                 else:
                     runs.append([b, b])
             for lo, hi in runs:
-                lo = max(0, lo - size // 2)
-                s, b, e = align(item, ids[lo : hi + size + size // 2])
+                lo = max(0, lo - far)
+                passage = ids[lo : hi + size + far]
+                near = set(passage)
+                if 2 * sum(w in near for w in item) < least_score:
+                    continue
+                s, b, e = align(item, passage)
                 if s > best[0]:
                     best = (s, lo + b, lo + e)
-            if best[0] >= least * 2 * size:
+            if best[0] >= least_score:
                 yield self.names[i], best[0] / (2 * size), best[1], best[2]
 
 
-def _slices(docs: DataFrame, benchmark: DataFrame, n: int, most: int) -> Iterator[tuple[Items, list[list]]]:
-    """Each slice of the benchmark, with the seeds that its items keep."""
+def _slices(benchmark: DataFrame, n: int, most: int) -> Iterator[Items]:
+    """Each slice of the benchmark."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-size // most)
     for k in range(count):
         part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        items = Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], n)
-
-        def fn(batches, items=items):
-            counts: Counter[int] = Counter()
-            for b in batches:
-                for t in b.column("text"):
-                    counts.update(np.unique(items.hits(words_of(t.as_py() or ""))[2]).tolist())
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["seed", "docs"])
-
-        found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(fn, "seed int, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
-        yield items, items.rare({r["seed"]: r["docs"] for r in found.collect()})  # at most one row a seed
+        yield Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], n)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST, most: int = MOST_BYTES) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each document with each item it leaks."""
     out = docs.sparkSession.createDataFrame([], LEAK)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for items, kept in _slices(docs, benchmark, n, most):
+    for items in _slices(benchmark, n, most):
 
-        def fn(batches, items=items, kept=kept):
+        def fn(batches, items=items):
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for x in items.leaks(words_of(t.as_py() or ""), kept, least)]
+                rows = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for x in items.leaks(words_of(t.as_py() or ""), least)]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "score", "start_word", "end_word"])
@@ -175,11 +166,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST, most: int = MOST_BYTES) -> DataFrame:
     """docs without those that leak an item; columns and types stay."""
     kept_docs = docs
-    for items, kept in _slices(docs, benchmark, n, most):
+    for items in _slices(benchmark, n, most):
 
-        def fn(batches, items=items, kept=kept):
+        def fn(batches, items=items):
             for b in batches:
-                yield b.filter(pa.array([next(items.leaks(words_of(t.as_py() or ""), kept, least), None) is None for t in b.column("text")], pa.bool_()))
+                yield b.filter(pa.array([next(items.leaks(words_of(t.as_py() or ""), least), None) is None for t in b.column("text")], pa.bool_()))
 
         kept_docs = kept_docs.mapInArrow(fn, docs.schema)
     return kept_docs

@@ -135,6 +135,50 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert decontamination.leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_lone_copies_whatever_their_seeds(spark):
+    rnd = random.Random(12)
+    words = [f"v{i}" for i in range(3000)]
+    items = {size: rnd.choices(words, k=size) for size in (30, 38, 59)}
+    halves = rnd.choices(words, k=40)
+    rows = [(size, [*rnd.choices(words, k=80), *("changed" if k % 5 == 4 else w for k, w in enumerate(item)), *rnd.choices(words, k=80)]) for size, item in items.items()]
+    rows += [(1000 + k, [*rnd.choices(words, k=50), *halves[:21], *rnd.choices(words, k=50)]) for k in range(20)]  # the commoner half of the item
+    rows += [(2000, [*rnd.choices(words, k=50), *halves[19:]])]
+    rows += [(3000, [x for k, w in enumerate(items[30]) for x in ((w, "put", "in") if k % 3 == 2 and k < 24 else (w,))])]  # 16 words put in
+    bench = spark.createDataFrame([*((i, " ".join(w)) for i, w in items.items()), (7, " ".join(halves))], "item_id long, text string")
+    docs = docs_of(spark, [(i, " ".join(w)) for i, w in rows])
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == {(30, 30), (38, 38), (59, 59), (2000, 7), (3000, 30), *((1000 + k, 7) for k in range(20))}
+    assert got[30, 30] == pytest.approx((2 * 24 - 5) / 60) and got[3000, 30] == pytest.approx((2 * 30 - 16) / 60)
+    assert decontamination.decontaminate(docs, bench).count() == 0
+
+
+def test_bounds_leave_out_no_alignment_through_a_seed():
+    def onwards(a, b):  # the best alignment of beginnings
+        h = [[-i - j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i][j] = max(h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        return max(map(max, h))
+
+    rnd = random.Random(13)
+    found = 0
+    for _ in range(300):
+        words = [f"v{i}" for i in range(rnd.choice([3, 8, 40]))]
+        item = rnd.choices(words, k=rnd.randint(3, 14))
+        text = rnd.choices(words, k=rnd.randint(0, 40))
+        copy = [x for w in item for x in rnd.choice([[w], [w], [w], [w, "in"], ["other"], []])]
+        text[len(text) // 2 : len(text) // 2] = copy
+        seeds = [(k, p) for k in range(len(item) - 2) for p in range(len(text) - 2) if item[k : k + 3] == text[p : p + 3]]
+        through = max((6 + onwards(item[:k][::-1], text[:p][::-1]) + onwards(item[k + 3 :], text[p + 3 :]) for k, p in seeds), default=0)
+        ids = {w: i for i, w in enumerate(words, 1)}
+        most = decontamination.align([ids[w] for w in item], [ids.get(w, 0) for w in text])[0]
+        got = [x[1] for x in decontamination.Items([(1, " ".join(item))], 3).leaks(text, 0.5)]
+        assert len(got) == 1 if through >= len(item) else not got or most >= len(item)
+        assert all(max(through, len(item)) <= round(2 * len(item) * x) <= most for x in got)
+        found += len(got)
+    assert found > 50
+
+
 def test_alignment_is_smith_waterman():
     def brute(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
