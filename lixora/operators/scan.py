@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lixora.functions.ids import coordinates
 from lixora.functions.licenses import detect_license, gnu_banner, spdx_header
 from lixora.operators.report import drop_ignored_licenses
-from lixora.sources.files import OWN_SKIPPED, VENDOR_SKIPPED, dir_of, in_any, in_vendor_dir, is_hidden, is_source_path, name_of
+from lixora.sources.files import OWN_SKIPPED, VENDOR_DIRS, VENDOR_SKIPPED, dir_of, in_any, in_vendor_dir, is_hidden, is_source_path, name_of
 
 #: Licence file names by priority; the last two say OFL-1.1 by themselves.
 LICENSE_FILES = ["LICENSE", "LICENSE.txt", "LICENSE.md", "license", "COPYING", "COPYING.md", "copyright", "OFL.txt", "OFL-1.1.txt"]
@@ -28,12 +28,19 @@ def dir_license(files: DataFrame) -> DataFrame:
 
 
 def dir_header_license(files: DataFrame, tag: Column | None = None) -> DataFrame:
-    """(root, dir, license): the first valid header among the first 50 source files of a directory."""
-    rows = files.where(is_source_path(F.col("path"))).withColumn("dir", dir_of(F.col("path")))
-    first = F.row_number().over(Window.partitionBy("root", "dir").orderBy("path"))
+    """(root, dir, license): the first valid header among the first 50 source files up to three levels down.
+
+    Every directory above a source file has a row, whether it holds files itself or not. Paths are ordered name by name;
+    hidden names below a directory don't count.
+    """
     header = spdx_header(F.col("content")) if tag is None else tag
-    rows = rows.withColumn("n", first).where(F.col("n") <= MOST_FILES).select("root", "dir", "path", header.alias("license")).where("license is not null")
-    return rows.groupBy("root", "dir").agg(F.min_by("license", "path").alias("license"))
+    rows = files.where(is_source_path(F.col("path"))).select("root", F.split("path", "/").alias("names"), header.alias("license"))
+    rows = rows.withColumn("depth", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_DEPTH), F.size("names")))))
+    rows = rows.where(~F.exists(F.slice("names", -F.col("depth"), F.col("depth")), lambda s: s.startswith(".")))
+    rows = rows.select("root", F.array_join(F.slice("names", F.lit(1), F.size("names") - F.col("depth")), "/").alias("dir"), "names", "license")
+    first = F.row_number().over(Window.partitionBy("root", "dir").orderBy("names"))
+    rows = rows.withColumn("n", first).where(F.col("n") <= MOST_FILES).where("license is not null")
+    return rows.groupBy("root", "dir").agg(F.min_by("license", "names").alias("license"))
 
 
 def dir_license_text(files: DataFrame) -> DataFrame:
@@ -79,12 +86,18 @@ def drop_known_vendored(candidates: DataFrame, deps: DataFrame) -> DataFrame:
 
 def dir_evidence(licensed: DataFrame, files: DataFrame, projects: DataFrame, manifest_dirs: DataFrame) -> DataFrame:
     """(root, dir, license, vendored): outside vendor directories only licensed ones without a manifest and with another
-    licence than the project's (root, project_license); inside, directories that have a licence or files of their own."""
+    licence than the project's (root, project_license); inside, directories that have a licence or files of their own.
+    A vendor directory itself only contains packages."""
     dirs = files.where(~is_hidden(F.col("path")) & ~in_any(F.col("path"), VENDOR_SKIPPED)).select("root", dir_of(F.col("path")).alias("dir")).distinct()
-    rows = dirs.join(licensed, ["root", "dir"], "left").withColumn("vendored", in_vendor_dir(F.concat("dir", F.lit("/x"))))
-    outside = rows.where("not vendored and license is not null and dir <> ''").join(manifest_dirs.select("root", "dir"), ["root", "dir"], "left_anti")
-    outside = outside.join(projects, "root", "left").where("project_license is null or lower(license) <> lower(project_license)").drop("project_license")
-    return rows.where("vendored").unionByName(outside)
+    below = F.concat("dir", F.lit("/x"))
+    rows = dirs.withColumn("own", F.lit(True)).join(licensed, ["root", "dir"], "full").withColumn("vendored", in_vendor_dir(below))
+    way = F.col("vendored") & ~is_hidden(F.col("dir")) & ~in_any(below, VENDOR_SKIPPED)
+    rows = rows.where((F.col("own") | way) & ~F.lower(name_of(F.col("dir"))).isin(VENDOR_DIRS)).drop("own")
+    managed = manifest_dirs.select("root", "dir").distinct().withColumn("managed", F.lit(True))
+    asked = projects.select(F.col("root").alias("project"), "project_license")
+    rows = rows.join(managed, ["root", "dir"], "left").join(asked, (F.col("root") == F.col("project")) & ~F.col("vendored"), "left")
+    outside = "license is not null and dir <> '' and managed is null and (project_license is null or lower(license) <> lower(project_license))"
+    return rows.where(f"vendored or ({outside})").select("root", "dir", "license", "vendored")
 
 
 def scan_own_source(files: DataFrame, projects: DataFrame, ignore: list[str]) -> DataFrame:

@@ -76,7 +76,9 @@ def win_01(spark, sf_dir):
 
 @query("win_02_dir_header", SRC + f", r AS (SELECT root, {DIR} AS dir, path, {TAG} AS license, row_number() OVER (PARTITION BY root, {DIR} ORDER BY path) AS n FROM fx_src WHERE {IS_SOURCE}) SELECT root, dir, arg_min(license, path) AS license FROM r WHERE n <= 50 AND license IS NOT NULL GROUP BY 1, 2")
 def win_02(spark, sf_dir):
-    return scan.dir_header_license(src(spark, sf_dir))
+    f = src(spark, sf_dir)
+    own = f.select("root", S.dir_of(F.col("path")).alias("dir")).distinct()
+    return scan.dir_header_license(f).join(own, ["root", "dir"], "left_semi")
 
 
 @query("win_03_dir_text", PATHS + f"SELECT DISTINCT root, {DIR} AS dir, path FROM fx_paths WHERE {NAME} = 'LICENSE'")

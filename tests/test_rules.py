@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions import ids, licenses, register
 from lixora.functions.expressions import fold, postfix
-from lixora.operators import graph, judge, sbom
+from lixora.operators import graph, judge, sbom, scan
 from lixora.operators.config import ComplianceConfig
 from lixora.streaming import changes
 
@@ -150,3 +150,25 @@ def test_sql_functions_are_registered(spark):
     register.register(spark)
     row = spark.sql("SELECT normalize_license_id('Apache 2') a, detect_license('MIT License') b, is_unresolved('unknown (x)') c, size(parse_expr('A OR B')) d").first()
     assert tuple(row) == ("Apache-2.0", "MIT", True, 3)
+
+
+def test_headers_count_up_to_three_levels_down(spark):
+    said = {
+        "vendor/foo/Cargo.toml": None, "vendor/foo/src/lib.rs": "MIT",
+        "vendor/three/x.txt": None, "vendor/three/a/b/c.rs": "ISC", "vendor/four/x.txt": None, "vendor/four/a/b/c/d.rs": "ISC",
+        "vendor/hidden/x.txt": None, "vendor/hidden/.gen/y.rs": "ISC", "vendor/hidden/.y.rs": "ISC",
+        "vendor/order/x.txt": None, "vendor/order/a.rs": "ISC", "vendor/order/a-b/y.rs": "Zlib", "vendor/order/a/z.rs": "MIT",
+        "vendor/many/x.txt": None, **{f"vendor/many/a/f{i:02}.rs": None for i in range(50)}, "vendor/many/b.rs": "MIT",
+        "vendor/way/inner/x.c": "Zlib", "vendor/modules.txt": None, "vendor/node_modules/p/x.js": "MIT",
+        "app/x.txt": None, "app/y/z.rs": "GPL-3.0-only", "own/x.txt": None, "own/y/z.rs": "Apache-2.0",
+    }
+    files = spark.createDataFrame([("r", p, f"// SPDX-License-Identifier: {x}\n" if x else "text") for p, x in said.items()], "root string, path string, content string").repartition(3)
+    headers = {r["dir"]: r["license"] for r in scan.dir_header_license(files).collect()}
+    assert (headers["vendor/foo"], headers["vendor/foo/src"], headers["vendor/three"], headers["vendor/order"]) == ("MIT", "MIT", "ISC", "MIT")
+    assert not {"vendor/four", "vendor/hidden", "vendor/many"} & set(headers) and headers[""] == "GPL-3.0-only"
+    none = files.limit(0).select("root", F.col("path").alias("dir"))
+    deps = files.limit(0).select("root", F.col("path").alias("ecosystem"), F.col("path").alias("name"))
+    projects = spark.createDataFrame([("r", "Apache-2.0")], "root string, project_license string")
+    found = {r["dir"]: (r["license"], r["marker"], r["unlicensed"]) for r in scan.scan_vendored(files, deps, projects, none).collect()}
+    licensed = {"vendor/foo": "MIT", "vendor/three": "ISC", "vendor/order": "MIT", "vendor/way": "Zlib"}
+    assert found == {**{d: (x, "vendored", False) for d, x in licensed.items()}, **{d: (None, "vendored", True) for d in ("vendor/four", "vendor/hidden", "vendor/many")}, "app": ("GPL-3.0-only", "unmanaged", False)}
