@@ -2,10 +2,11 @@
 
 1. Seeds are all word n-grams of the test items, common ones too: a copy may have kept only those.
 2. One scan of all documents takes the places where an item's seeds occur, and aligns the item with the passage
-   around (match +2, mismatch -1, gap -1). An alignment that reaches ``least`` of the item's full score is a leak,
-   so edited, shortened and reordered-by-a-few-words copies are found as well as exact ones.
+   around (match +2, mismatch -1, gap -1). An alignment that reaches ``least`` of the item's full score, or the score
+   of ENOUGH words in a row, is a leak, so edited, shortened and reordered-by-a-few-words copies are found as well as
+   exact ones, and excerpts of long items.
 
-Two bounds keep alignments few and leave out none that could reach ``least``: errors cost at least 1 each, so
+Two bounds keep alignments few and leave out none that could be a leak: errors cost at least 1 each, so
 an alignment leaves its seed's diagonal by no more than what the full score has above the least one; and as many
 of the item's words as half of the least score must occur in the passage. A copy without any ``n`` words of the
 item in a row isn't found, whatever it would score.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NGRAM, LEAST, MOST_BYTES = 3, 0.5, 8_000_000
+NGRAM, LEAST, ENOUGH, MOST_BYTES = 3, 0.5, 50, 8_000_000
 WORDS = re.compile(r"\w+")
 LEAK = "doc_id long, item_id long, score double, start_word int, end_word int"
 
@@ -104,7 +105,7 @@ class Items:
         return ids, at[same], seed[same]
 
     def leaks(self, words: list[str], least: float) -> Iterator[tuple]:
-        """(item_id, score, start, end) of each item with an alignment of at least ``least``: the best one."""
+        """(item_id, score, start, end) of each item with an alignment of at least ``least``, or of ENOUGH words: the best one."""
         ids, at, seed = self.hits(words)
         starts = defaultdict(set)
         for p, s in zip(at.tolist(), seed.tolist()):
@@ -113,7 +114,7 @@ class Items:
         seen = set(ids) if starts else ()
         for i, begins in starts.items():
             item, best, size = self.items[i], (0, 0, 0), len(self.items[i])
-            least_score = least * 2 * size
+            least_score = min(least * 2 * size, 2 * ENOUGH)
             if 2 * sum(w in seen for w in item) < least_score:
                 continue
             far = max(0, int(2 * size - least_score))

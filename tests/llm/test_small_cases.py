@@ -152,6 +152,19 @@ def test_decontamination_finds_lone_copies_whatever_their_seeds(spark):
     assert decontamination.decontaminate(docs, bench).count() == 0
 
 
+def test_decontamination_finds_excerpts_of_long_items(spark):
+    rnd = random.Random(14)
+    words = [f"v{i}" for i in range(3000)]
+    item = rnd.choices(words, k=500)
+    around = lambda part: " ".join([*rnd.choices(words, k=40), *part, *rnd.choices(words, k=40)])
+    edited = ["changed" if k % 10 == 5 else w for k, w in enumerate(item[300:370])]
+    docs = docs_of(spark, [(1, around(item[100:300])), (2, around(item[:50])), (3, around(edited)), (4, around(item[200:245])), (5, around([]))])
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == pytest.approx(0.4, abs=0.01)
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {4, 5}
+
+
 def test_bounds_leave_out_no_alignment_through_a_seed():
     def onwards(a, b):  # the best alignment of beginnings
         h = [[-i - j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
