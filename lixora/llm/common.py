@@ -43,6 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, times: str) -> DataFrame:
+    """rows joined with per_key, which has one row of each key and says how often it occurs in rows (``times``).
+
+    Keys that hold more than a thousandth of all rows, so at most 1,000 keys, are broadcast: no task gets a hot key.
+    Both sides are read twice; give tables.
+    """
+    total = per_key.agg(F.sum(times)).first()[0] or 0
+    hot = F.broadcast(per_key.where(F.col(times) * 1000 > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(per_key.where(F.col(times) * 1000 <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def partitions_for(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -12,12 +12,16 @@ reach every subset, so linked sets share a signature. Steps, each a Spark stage:
    however many copies it holds), dealt by signature, and joined to links "may be near";
 3. connected components of those candidate links: classes that hold every true link;
 4. inside each class an exact join (rarest-first prefixes with position bounds, links inside a known
-   component skipped); classes over a bound go block by block;
-5. components of the exact links, and the smallest doc_id of each.
-
-Exact up to collisions of 64-bit hashes. Null or blank text: empty set, linked with nothing. Repeated rows
-with one doc_id give as many rows. A null doc_id links like any other and counts as larger than every id
-when the smallest id is taken. Extra columns are ignored; an empty table gives an empty result.
+   component skipped). A class over a bound is cut into blocks, and each block is joined together with a few
+   sets of the class that every block gets; the blocks of near copies of one text are tied by these, and what
+   is not tied to the largest component of its class is then joined with all blocks;
+5. components of the exact links, and the first row (smallest doc_id, then text hash) of each.
+
+Exact up to collisions of 64-bit hashes. Rows are told apart by doc_id and text hash, so rows that share an id,
+or have none, link by their own texts. Null or blank text: empty set, linked with nothing. Repeated rows give as
+many rows. A null doc_id links like any other and counts as larger than every id when the smallest id is taken.
+Extra columns, whatever their names, are ignored (``one_of_each`` returns them); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,21 +34,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lixora.llm.common import GOLD, WordHashes, connected_components, find, mixed, partitions_for, saved
+from lixora.llm.common import GOLD, WordHashes, connected_components, find, join_hot, mixed, partitions_for, saved
 
 #: Signatures that a map task combines before it sends them on.
 CHUNK = 400_000
 #: Ways to cut the domain that a set tries before it keeps thin signatures.
 WAYS = 6
-#: Documents whose shingles tell which are common.
-SAMPLE = 3_000
-#: Sets, and shingles in all, that one exact join may hold; larger classes are joined block by block.
-MOST_SETS, MOST_SHINGLES = 6_000, 3_000_000
-#: Of at most so many documents the ids are broadcast (8 bytes each) when their sets are read again.
-MOST_BROADCAST = 250_000
+#: Documents whose shingles tell which are common, and how many shingles one of them may have.
+SAMPLE, SAMPLE_SHINGLES = 3_000, 10_000
+#: Sets, and shingles in all, of one block of a class; the exact join of a small class or a block holds no more.
+MOST_SETS, MOST_SHINGLES = 1_500, 1_000_000
+#: Sets that every block of a large class gets.
+PIVOTS = 4
+#: Row keys (about 40 bytes each) are broadcast up to so many; beyond that texts are shuffled by their key.
+MOST_BROADCAST = 500_000
 
 
 def shingle_hashes(text: str | None, n: int, words_of: WordHashes) -> np.ndarray:
@@ -155,19 +161,29 @@ def signatures(h: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
     return np.concatenate([part_enum(h, common, i, k, bands.low[i]) for i in (j - 1, j) if i >= 0 and (k := bands.reach(i)) > 0] or [np.empty(0, np.uint64)])
 
 
-def common_shingles(docs: DataFrame, n: int, most: int = SAMPLE, least: int = 3) -> np.ndarray:
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text) of every row; the first two tell rows with different texts apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+
+
+def common_shingles(docs: DataFrame, sizes: DataFrame, n: int, most: int = SAMPLE, least: int = 3) -> np.ndarray:
     """Shingles that at least ``least`` different sets of a sample of ``most`` documents hold: passages that many
-    documents share. The sample (lowest id hashes) only steers the signatures."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    documents share. The sample (lowest id hashes, one row of each) only steers the signatures."""
+    held = sizes.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull() & (F.col("n_shingles") <= SAMPLE_SHINGLES))
+    chosen = held.groupBy("doc_id").agg(F.min("text_key").alias("text_key")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def fn(batches):
         words_of = WordHashes()
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([shingle_hashes(t.as_py(), n, words_of).tobytes() for t in b.column("text")], pa.binary())], ["hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text")
-    sets = {x.as_py() for x in texts.mapInArrow(fn, "hashes binary").toArrow().column("hashes")}
+    texts = keyed(docs).join(F.broadcast(chosen), ["doc_id", "text_key"]).select("text")
+    sets = [x.as_py() for x in texts.mapInArrow(fn, "hashes binary").distinct().toArrow().column("hashes")]
     if not sets:
         return np.empty(0, np.uint64)
     found, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]), return_counts=True)
@@ -175,7 +191,7 @@ def common_shingles(docs: DataFrame, n: int, most: int = SAMPLE, least: int = 3)
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row; node: digest of the set, null if it is empty."""
+    """(doc_id, text_key, n_shingles, node) of every row; node: digest of the set, null if it is empty."""
 
     def fn(batches):
         words_of = WordHashes()
@@ -185,9 +201,9 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
                 h = shingle_hashes(t, n, words_of)
                 sizes.append(len(h))
                 nodes.append(digest(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "text_key", "n_shingles", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(fn, "doc_id long, n_shingles long, node long")
+    return keyed(docs).mapInArrow(fn, "doc_id long, text_key long, n_shingles long, node long")
 
 
 def runs_to_edges(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,8 +272,9 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int, c
     return dealt.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
-def exact_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets (sorted distinct uint64 arrays), by position."""
+def exact_links(sets: list[np.ndarray], num: int, den: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links among the sets (sorted distinct uint64 arrays), by position: a spanning forest of their components,
+    less what is within one label, as sets of one label are known to be in one component."""
     count = len(sets)
     tokens, where, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.int64)
@@ -270,7 +287,8 @@ def exact_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
         r = rank[x]
         o = np.argsort(r)
         ranked.append((r[o], single[x][o]))
-    parent = list(range(count))
+    lead: dict[int, int] = {}
+    parent = [lead.setdefault(label, i) for i, label in enumerate(labels)] if labels else list(range(count))
 
     def root(i):
         while parent[i] != i:
@@ -306,89 +324,139 @@ def exact_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     return out
 
 
-def verified_edges(docs: DataFrame, classes: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b) nodes that truly link, a spanning forest of each class (or pair of blocks of a large one)."""
-    first = sizes.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"), F.max("n_shingles").alias("n"))
-    members = saved(classes.join(first, "node").select("node", F.col("component").alias("class"), "doc_id", "n"), "members")
-    weight = members.groupBy("class").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    most, total, shingles = weight.agg(F.max("sets"), F.sum("sets"), F.sum("shingles")).first()
-    if not total:
-        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    blocks = F.greatest(F.ceil(F.col("sets") / (MOST_SETS / 2)), F.ceil(F.col("shingles") / (MOST_SHINGLES / 2)))
-    weight = weight.select("class", F.when((F.col("sets") > MOST_SETS) | (F.col("shingles") > MOST_SHINGLES), blocks).otherwise(1).cast("int").alias("blocks"))
-    groups = max(1, shingles // (MOST_SHINGLES // 4))
-    members = members.join(weight, "class")
-    wanted = members.select(F.col("doc_id").alias("wanted_id"), "node", "class", "blocks")
-    wanted = F.broadcast(wanted) if total <= MOST_BROADCAST else wanted
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("wanted_id"), F.col("text").cast("string")).join(wanted, "wanted_id")
-
-    schema = pa.schema([("part", pa.int64()), ("class", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("node", pa.int64()), ("hashes", pa.binary())])
+def links_within(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b) of the links inside each group of ``wanted(doc_id, text_key, node, label, part, groups)``: a row joins
+    the sets of each of its groups; the groups of one part share a task's data frame."""
+    copies = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
+    wanted = F.broadcast(wanted) if copies <= MOST_BROADCAST else wanted
+    texts = keyed(docs)
+    rows = texts.join(wanted, same_row(texts, wanted)).select("text", "node", "label", "part", "groups")
+    schema = pa.schema([("part", pa.int64()), ("group", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("hashes", pa.binary())])
 
     def fn(batches):
-        words_of = WordHashes()
+        words_of, seen = WordHashes(), set()
         for b in batches:
-            rows = []
-            for t, node, c, nb in zip(*(b.column(k).to_pylist() for k in ("text", "node", "class", "blocks"))):
-                h = shingle_hashes(t, n, words_of)
-                if not len(h) or digest(h) != node:
-                    continue  # another text under the same doc_id
-                data = h.tobytes()
-                if nb == 1:
-                    rows.append((c % groups, c, 0, 0, node, data))
-                else:
-                    mine = node % nb
-                    for o in range(nb):
-                        lo, hi = min(mine, o), max(mine, o)
-                        if lo != hi or nb == 1:
-                            rows.append((xxhash.xxh3_64_intdigest(f"{c}:{lo}:{hi}") >> 2, c, lo, hi, node, data))
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows))), schema=schema)
+            out = []
+            for t, node, label, part, groups in zip(b.column("text"), *(b.column(k).to_pylist() for k in ("node", "label", "part", "groups"))):
+                if node in seen:
+                    continue  # the row again
+                seen.add(node)
+                h = shingle_hashes(t.as_py(), n, words_of)
+                if len(h) and digest(h) == node:
+                    data = h.tobytes()
+                    out += [(g if part is None else part, g, node, label, data) for g in groups]
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*out))), schema=schema)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.drop_duplicates(["class", "bi", "bj", "node"]).groupby(["class", "bi", "bj"], sort=False):
+        for _, g in pdf.drop_duplicates(["group", "node"]).groupby("group", sort=False):
             if len(g) > 1:
                 nodes = g["node"].to_numpy()
-                out += [(nodes[x], nodes[y]) for x, y in exact_links([np.frombuffer(s, np.uint64) for s in g["hashes"]], num, den)]
+                out += [(nodes[x], nodes[y]) for x, y in exact_links([np.frombuffer(s, np.uint64) for s in g["hashes"]], num, den, g["label"].tolist())]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    made = texts.select("text", "node", "class", "blocks").mapInArrow(fn, "part long, class long, bi int, bj int, node long, hashes binary")
+    made = rows.mapInArrow(fn, "part long, group long, node long, label long, hashes binary")
     return made.groupBy("part").applyInPandas(join, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_same) of every row: the smallest doc_id it reaches by links.
+def blocks_of(sets: Column, shingles: Column, share: float = 1) -> Column:
+    return F.greatest(F.ceil(sets / (MOST_SETS * share)), F.ceil(shingles / (MOST_SHINGLES * share)), F.lit(1))
 
-    n: words of a shingle; num/den: the least Jaccard similarity of a link. n_same: rows of the component.
-    """
+
+def block(count: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), count)
+
+
+def verified_edges(docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b) nodes that truly link: enough of the links in each class to tell its components."""
+    members = saved(classes.join(nodes, "node").select("node", F.col("component").alias("class"), "doc_id", "text_key", "n"), "members")
+    pivots = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(PIVOTS)]
+    weight = members.groupBy("class").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.array(*pivots).alias("pivots"))
+    weight = saved(weight.withColumn("blocks", blocks_of(F.col("sets"), F.col("shingles"))), "weights")
+    shingles, most = weight.agg(F.sum("shingles"), F.max("blocks")).first()
+    if not shingles:
+        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    parts = max(1, shingles // (MOST_SHINGLES // 4))
+    small = F.col("blocks") == 1
+    own = F.when(F.array_contains("pivots", F.col("node")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block(F.col("blocks"))))
+    groups = F.when(small, F.array("class")).otherwise(F.transform(own, lambda b: F.xxhash64("class", b)))
+    placed = join_hot(members, weight, "class", "sets")
+    wanted = placed.select("doc_id", "text_key", "node", F.col("node").alias("label"), F.when(small, F.pmod("class", F.lit(parts))).alias("part"), groups.alias("groups"))
+    links = links_within(docs, wanted, n, num, den)
+    if most == 1:
+        return links
+    links = saved(links, "links")
+    large = placed.where("blocks > 1").select("doc_id", "text_key", "node", "class", "n")
+    tied = saved(large.join(connected_components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "tied")
+    each = tied.groupBy("class", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    each = each.groupBy("class").agg(F.max(F.struct("sets", "label", "shingles")).alias("main"), F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles")).where("sets > main.sets")
+    out_blocks = blocks_of(F.col("sets") - F.col("main.sets"), F.col("shingles") - F.col("main.shingles"), 0.5)
+    each = saved(each.select("class", "sets", F.col("main.label").alias("main"), out_blocks.alias("outer"), blocks_of(F.col("main.sets"), F.col("main.shingles"), 0.5).alias("inner")), "outer")
+    if each.isEmpty():
+        return links
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    group = lambda kind, i, j: F.xxhash64("class", F.lit(kind), i, j)
+    mine = block(F.col("outer"))
+    of_outer = F.concat(F.transform(upto("outer"), lambda o: group(1, F.least(o, mine), F.greatest(o, mine))), F.transform(upto("inner"), lambda i: group(2, mine, i)))
+    groups = F.when(F.col("label") == F.col("main"), F.transform(upto("outer"), lambda o: group(2, o, block(F.col("inner"))))).otherwise(of_outer)
+    wanted = join_hot(tied, each, "class", "sets").select("doc_id", "text_key", "node", "label", F.lit(None).cast("long").alias("part"), groups.alias("groups"))
+    return links.unionByName(links_within(docs, wanted, n, num, den))
+
+
+def linked_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, first_id, first_key, n_same) of every row: the first row of its component."""
     spark = docs.sparkSession
     sizes = saved(set_sizes(docs, n), "sizes")
+    first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    nodes = sizes.where("node is not null").groupBy("node").agg(first(), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    nodes = saved(nodes.select("node", "first.doc_id", "first.text_key", "n", "rows"), "nodes")
     shingles = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     per_shingle = 3.4 * (den - num) / (den + num)  # signatures, as measured
     buckets = max(partitions_for(spark), int(shingles * per_shingle / 1_500_000) + 1)
-    classes = connected_components(candidate_edges(docs, n, num, den, buckets, common_shingles(docs, n)))
-    links = connected_components(verified_edges(docs, classes, sizes, n, num, den))
-    joined = sizes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
-    out = joined.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"), F.coalesce("rows", F.lit(1)).alias("n_same"))
+    classes = connected_components(candidate_edges(docs, n, num, den, buckets, common_shingles(docs, sizes, n)))
+    links = connected_components(verified_edges(docs, classes, nodes, n, num, den))
+    tied = saved(nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")), "tied")
+    least = tied.groupBy("component").agg(first(), F.sum("rows").alias("n_same"), F.count("*").alias("sets"))
+    least = saved(least.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), "n_same", "sets"), "least")
+    nodes = join_hot(tied.select("node", "rows", "component"), least, "component", "sets")
+    nodes = saved(nodes.select("node", "rows", "first_id", "first_key", "n_same"), "firsts")
+    out = ["doc_id", "text_key", "n_shingles", "first_id", "first_key", "n_same"]
+    linked = join_hot(sizes.where("node is not null"), nodes, "node", "rows").select(*out)
+    lone = sizes.where("node is null").withColumns({"first_id": F.col("doc_id"), "first_key": F.col("text_key"), "n_same": F.lit(1).cast("long")})
+    return linked.unionByName(lone.select(*out))
 
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id. Rows that repeat id and text count as one.
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_same) of every row: the smallest doc_id it reaches by links.
 
-    Texts are only shuffled if the kept ids are too many to broadcast; rows that share an id are dealt with apart.
+    n: words of a shingle; num/den: the least Jaccard similarity of a link. n_same: rows of the component.
     """
-    found = saved(jaccard_components(docs.select("doc_id", "text"), n, num, den), "components")
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    return linked_rows(docs, n, num, den).select("doc_id", "n_shingles", F.col("first_id").alias("component_id"), "n_same")
 
-    def having(rows: DataFrame) -> DataFrame:
-        rows = rows.select("doc_id")
-        few = rows.count() <= MOST_BROADCAST
-        return docs.join(F.broadcast(rows) if few else rows, docs["doc_id"].eqNullSafe(rows["doc_id"]), "left_semi")
 
-    once, more = kept.where("times = 1"), kept.where("times > 1")
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, then of the smallest text hash. Rows that
+    repeat id and text count as one, empty ones too; null ids equal each other.
+
+    The keys of the rows that go, or of those that stay, are broadcast if one side is few; else texts are shuffled.
+    """
+    found = saved(linked_rows(docs.select("doc_id", "text"), n, num, den), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    kept = saved(found.where(stays).groupBy("doc_id", "text_key").agg(F.count("*").alias("times")), "kept")
+    gone = saved(found.where(~stays).select("doc_id", "text_key").distinct(), "gone")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    few = lambda rows: F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+    def apart(rows: DataFrame, how: str) -> DataFrame:
+        rows = few(rows.select("doc_id", "text_key"))
+        return whole.join(rows, same_row(whole, rows), how)
+
+    more = kept.where("times > 1")
+    if gone.count() <= MOST_BROADCAST:
+        once = apart(gone.unionByName(more.select("doc_id", "text_key")), "left_anti")
+    else:
+        once = apart(kept.where("times = 1"), "left_semi")
     if more.isEmpty():
-        return having(once)
-    again = having(more).withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return having(once).unionByName(again)
+        return once.select("doc.*")
+    return once.unionByName(apart(more, "left_semi").dropDuplicates(["doc_id", "text_key"])).select("doc.*")

@@ -50,26 +50,33 @@ def test_best_two_fit_is_close_to_the_bound():
     assert np.bincount(bins, lengths).max() <= 2048
 
 
-def jaccard_brute(rows, n, num, den):
-    sets = {}
-    for i, t in rows:
+def jaccard_rows(rows, n, num, den):
+    """(set size, first row of the component) of each row, by position; rows are ordered by id, null last, then text."""
+    sets = []
+    for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
-    up = {i: i for i in sets}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
+    for a in range(len(rows)):
+        for b in range(a):
             both = len(sets[a] & sets[b])
-            if a < b and both and den * both >= num * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
-    return {(i, len(sets[i]), root(i)) for i in ids}
+            if both and den * both >= num * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    return [(len(sets[i]), root(i)) for i in range(len(rows))]
+
+
+def jaccard_brute(rows, n, num, den):
+    got = jaccard_rows(rows, n, num, den)
+    least = {}
+    for (i, _), (_, r) in zip(rows, got):
+        least[r] = min((x for x in (i, least.get(r)) if x is not None), default=None)
+    return {(i, size, least[r]) for (i, _), (size, r) in zip(rows, got)}
 
 
 @pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
@@ -105,6 +112,46 @@ def test_signatures_meet_for_all_close_sets():
                 assert np.intersect1d(ngram_join.signatures(h, bands, common), ngram_join.signatures(other, bands, common)).size
 
 
+CLASHES = "doc_id long, text string, _text_hash string, _cuts string, node long, class string, first_id long, text_key long, doc string, groups string"
+
+
+@pytest.mark.parametrize("most,cast", [(10_000, 500_000), (20, 500_000), (10_000, 0)])
+def test_jaccard_join_of_repeated_and_null_ids(spark, monkeypatch, most, cast):
+    monkeypatch.setattr(ngram_join, "MOST_SETS", most)
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", cast)
+    rnd = random.Random(most + cast)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(None, None), (None, ""), (None, None), (9, ""), (9, ""), (9, "lone"), (None, "lone"), (9, "Lone")]
+    for g in range(8):
+        base = rnd.choices(words, k=rnd.choice([4, 40, 150]))
+        for _ in range(30):
+            text = list(base)
+            for _ in range(rnd.randint(0, max(1, len(text) // 20))):
+                text[rnd.randrange(len(text))] = rnd.choice(words)
+            rows += [(rnd.choice([None, rnd.randint(0, 40), g]), " ".join(text))] * rnd.choice([1, 1, 1, 3])
+    docs = spark.createDataFrame([(i, t, "h", "c", 1, "k", 2, 3, "d", "g") for i, t in rows], CLASHES).repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, 5, 80, 100).collect()), key=repr)
+    classes = jaccard_rows(rows, 5, 80, 100)
+    least = {}
+    for (i, _), (_, r) in zip(rows, classes):
+        least[r] = min((x for x in (i, least.get(r)) if x is not None), default=None)
+    assert got == sorted(((i, size, least[r]) for (i, _), (size, r) in zip(rows, classes)), key=repr)
+    left = ngram_join.one_of_each(docs, 5, 80, 100)
+    assert left.schema == docs.schema
+    kept = [(r["doc_id"], r["text"]) for r in left.collect()]
+    # one row of each class, that of its smallest id; empty rows each once by id and text
+    ids = {}
+    for (i, t), (size, r) in zip(rows, classes):
+        ids.setdefault(("empty", i, t) if not size else r, set()).add((i is None, i or 0))
+    assert len(kept) == len(ids) and len(set(kept)) == len(kept) and set(kept) <= set(rows)
+    assert sorted((i is None, i or 0) for i, _ in kept) == sorted(min(x) for x in ids.values())
+
+
+def test_null_ids_cost_no_products(spark):
+    rows = [(None, f"a{k % 700} b{k % 700} c{k % 700} d{k % 700} e{k % 700} f{k % 700}" + " x" * (k // 700)) for k in range(1400)]
+    assert ngram_join.jaccard_components(docs_of(spark, rows), 5, 80, 100).count() == 1400
+
+
 def test_jaccard_join_of_odd_rows(spark):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs_of(spark, ODD), 4, 85, 100).collect())
     assert len(got) == len(ODD) and (2, 0, 2) in got and (8, 1, 7) in got
