@@ -5,15 +5,17 @@ and digits, in 5-word shingles. Templates of m shingles belong to the window cla
 2m up to under 4m; windows of w shingles start every w / 2, so each run of m shingles lies within one of them
 whole. Such a window that holds 0.8 of a template has a Jaccard similarity of more than 0.19 with it, and one
 of ``BANDS`` single-row MinHash bands agrees with probability above 0.9999. Windows that agree are verified:
-the share of the template's shingles they hold must reach ``CONTAINED``. Of templates that begin at the same word
-of a text, those with the highest share stay.
+the share of the template's shingles they hold must reach ``CONTAINED``. Templates that begin at the same word of a
+text are ranked by their share, all of them are returned.
 
-A band can agree only if the window holds one of the template's shingles, so only windows around such shingles
-are hashed; that loses nothing. Templates are a bounded table (their shingles, at most MOST_SHINGLES, become a
-set in the plan).
+A band can agree only in a shingle of the template. So a window is hashed over those of its shingles that templates
+of its class hold: bands that agree over all shingles agree over these, too. Texts are turned into shingles in
+their place and joined with the templates' shingles; what is shuffled are the few that match, and windows of
+bounded size. Templates may be a list or a table of any size; up to MOST_BROADCAST of their shingles are broadcast.
 
 Null or empty text, and texts of under five words: no licence, no row. Repeated rows each give their rows; null
-ids stay; extra columns are ignored; an empty table gives no rows.
+ids stay; extra columns are ignored; an empty table gives no rows. Templates that are null or of under five words
+are an error.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORDS, BANDS, CONTAINED, MOST_SHINGLES = 5, 48, 0.8, 20_000
+from lixora.llm.common import saved
+
+WORDS, BANDS, CONTAINED = 5, 48, 0.8
+#: Template shingles that are broadcast (about 30 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 #: Notice texts as the licences' authors publish them, and common one-line forms.
 TEMPLATES = [
@@ -68,44 +74,43 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, b))))
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, list[int]]:
-    """(template_id, license, shingles, width) of each template; the shingles of all."""
-    if short := [t for _, t in templates if len(re.findall("[a-z0-9]+", t.lower())) < WORDS]:
-        raise ValueError(f"templates of under {WORDS} words: {short}")
-    rows = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate(templates)], "template_id int, license string, text string")
+def template_table(spark: SparkSession, templates: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(template_id, license, shingles, width) of each template; templates: a list or a table of (license, text)."""
+    if not isinstance(templates, DataFrame):
+        if bad := [t for _, t in templates if len(re.findall("[a-z0-9]+", t.lower())) < WORDS]:
+            raise ValueError(f"templates of under {WORDS} words: {bad}")
+        rows = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate(templates)], "template_id long, license string, text string")
+    else:
+        rows = templates.select(F.xxhash64("license", "text").alias("template_id"), "license", "text").distinct()
     rows = rows.withColumn("words", words_of(F.col("text")))
-    rows = rows.withColumn("shingles", F.array_distinct(F.transform(_places(F.col("words")), lambda i: _shingle(F.col("words"), i))))
-    rows = rows.withColumn("width", F.pow(2, F.ceil(F.log2(F.size("words") - WORDS + 1)) + 1).cast("int"))
-    found = rows.select("template_id", "shingles", "width").collect()
-    every = sorted({s for r in found for s in r["shingles"]})
-    if len(every) > MOST_SHINGLES:
-        raise ValueError(f"{len(every)} template shingles; this plan takes {MOST_SHINGLES}")
-    return rows.select("template_id", "license", "shingles", "width"), every
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per row of docs and template found in it: the best containment, and the first word of the match."""
-    known, every = template_table(docs.sparkSession, templates or TEMPLATES)
-    widths = sorted(r["width"] for r in known.select("width").distinct().collect())
+    short = F.raise_error(F.concat(F.lit(f"a template of under {WORDS} words: "), F.coalesce("text", F.lit("null"))))
+    shingles = F.array_distinct(F.transform(_places(F.col("words")), lambda i: _shingle(F.col("words"), i)))
+    rows = rows.withColumn("shingles", F.when(F.size("words") < WORDS, short.cast("array<long>")).otherwise(shingles))
+    width = F.pow(2, F.ceil(F.log2(F.size("words") - WORDS + 1)) + 1).cast("int")
+    return rows.select("template_id", "license", "shingles", width.alias("width"))
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame | None = None, most: int = MOST_BROADCAST) -> DataFrame:
+    """One row per row of docs and template found in it: the best containment, the first word of the match, and the
+    rank among the templates that begin there (1: the highest containment)."""
+    known = saved(template_table(docs.sparkSession, templates or TEMPLATES), "templates")
+    sought = saved(known.select(F.explode("shingles").alias("shingle"), "width").distinct().groupBy("shingle").agg(F.collect_set("width").alias("widths")), "shingles")
+    small = sought.count() <= most
+    few = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
-    rows = rows.withColumn("hits", F.filter(_places(F.col("words")), lambda i: _shingle(F.col("words"), i).isin(every)))
-    rows = rows.where(F.size("hits") > 0).withColumn("hashes", F.transform(_places(F.col("words")), lambda i: _shingle(F.col("words"), i))).drop("words")
-
-    def around(w: int) -> Column:
-        own = F.transform("hits", lambda i: F.floor(i / (w // 2)).cast("int"))
-        near = F.array_distinct(F.concat(own, F.filter(F.transform(own, lambda j: j - 1), lambda j: j >= 0)))
-        return F.transform(near, lambda j: F.struct(F.lit(w).alias("width"), (j * (w // 2)).alias("from")))
-
-    windows = rows.select("doc_id", "row", "hashes", F.explode(F.concat(*map(around, widths))).alias("at"))
-    windows = windows.select("doc_id", "row", F.col("at.width").alias("width"), F.col("at.from").alias("from"), F.slice("hashes", F.col("at.from") + 1, F.col("at.width")).alias("held"))
-    windows = windows.where(F.size("held") > 0)
-    banded = windows.select("*", F.posexplode(_bands(F.col("held"))).alias("band", "least"))
-    sought = known.select("template_id", "license", "shingles", "width", F.posexplode(_bands(F.col("shingles"))).alias("band", "least"))
-    pairs = banded.join(F.broadcast(sought), ["width", "band", "least"])
-    share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
-    place = F.filter(F.transform("held", lambda x, i: F.when(F.array_contains("shingles", x), F.col("from") + i)), lambda p: p.isNotNull())
-    verified = pairs.select("doc_id", "row", "license", "template_id", share.alias("containment"), F.array_min(place).alias("first_word")).where(F.col("containment") >= CONTAINED)
-    best = F.max("containment").over(Window.partitionBy("row", "first_word"))
-    verified = verified.withColumn("best", best).where("containment = best")
+    hashes = F.transform(_places(F.col("words")), lambda i: _shingle(F.col("words"), i))
+    hits = rows.select("doc_id", "row", F.posexplode(hashes).alias("at", "shingle")).join(few(sought), "shingle")
+    hits = hits.select("doc_id", "row", "at", "shingle", F.explode("widths").alias("width"))
+    own = F.floor(F.col("at") / (F.col("width") / 2)).cast("long")
+    hits = hits.select("doc_id", "row", "width", F.explode(F.when(own > 0, F.array(own - 1, own)).otherwise(F.array(own))).alias("window"), F.struct("at", "shingle").alias("hit"))
+    windows = hits.groupBy("doc_id", "row", "width", "window").agg(F.sort_array(F.collect_list("hit")).alias("held"))  # at most width hits
+    banded = windows.select("*", F.posexplode(_bands(F.transform("held", lambda h: h["shingle"]))).alias("band", "least"))
+    bands = known.select("template_id", "width", F.posexplode(_bands(F.col("shingles"))).alias("band", "least"))
+    pairs = banded.join(few(bands), ["width", "band", "least"]).groupBy("doc_id", "row", "width", "window", "template_id").agg(F.first("held").alias("held"))
+    pairs = pairs.join(few(known.select("template_id", "license", "shingles")), "template_id")
+    matched = F.filter("held", lambda h: F.array_contains("shingles", h["shingle"]))
+    share = F.size(F.array_distinct(F.transform("matched", lambda h: h["shingle"]))) / F.size("shingles")
+    verified = pairs.withColumn("matched", matched).select("doc_id", "row", "license", "template_id", share.alias("containment"), F.element_at("matched", 1)["at"].alias("first_word")).where(F.col("containment") >= CONTAINED)
     found = verified.groupBy("row", "doc_id", "license", "template_id").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
-    return found.select("doc_id", "license", "template_id", "containment", "first_word")
+    rank = F.rank().over(Window.partitionBy("row", "first_word").orderBy(F.desc("containment")))
+    return found.select("doc_id", "license", "template_id", "containment", "first_word", rank.alias("rank"))
