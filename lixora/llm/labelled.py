@@ -22,18 +22,21 @@ def features(docs: DataFrame, chosen: DataFrame, of_text: Callable[[str], np.nda
     """Columns of ``chosen`` and a feature array of each chosen document's whole text, in order of doc_id.
 
     chosen is a bounded sample (see MOST_TRAINING; 16 bytes a row), so it is broadcast; the texts stay put, and
-    what reaches the driver are the features of the sample. A doc_id with several rows gives one each.
+    what reaches the driver are the features of the sample. Of a doc_id with several texts, that of the smallest hash
+    is read; the sample so bounds rows, whatever ids repeat.
     """
     dtype = of_text("").dtype
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    one = docs.select("doc_id", "text_key").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *columns).agg(F.min("text_key").alias("text_key"))
 
     def fn(batches):
         for b in batches:
             got = [of_text(t.as_py() or "").tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ["doc_id", *columns]), pa.array(got, pa.binary())], names=["doc_id", *columns, "features"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", *columns, "text")
+    texts = docs.join(F.broadcast(one), ["doc_id", "text_key"]).select("doc_id", *columns, "text")
     schema = ", ".join(["doc_id long", *(f"{c} int" for c in columns), "features binary"])
-    rows = texts.mapInArrow(fn, schema).toArrow().sort_by([("doc_id", "ascending")])
+    rows = texts.mapInArrow(fn, schema).dropDuplicates(["doc_id"]).toArrow().sort_by([("doc_id", "ascending")])
     return {c: rows.column(c).to_numpy() for c in columns}, [np.frombuffer(x.as_py(), dtype) for x in rows.column("features")]
 
 

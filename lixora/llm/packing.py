@@ -2,7 +2,8 @@
 
 Every document's ids plus the end id make one or more pieces of at most ``size`` tokens; only longer
 documents are cut, the first piece taking the odd rest. Full pieces are sequences by themselves. The others
-are dealt by hash into groups of bounded size; in each group a bin is filled greedily (always the longest
+are dealt by hash (of their place in the written table, too, so that repeated rows don't meet in one group) into
+groups of bounded size; in each group a bin is filled greedily (always the longest
 piece that still fits), then its smallest piece is replaced by the two unpacked pieces that fit the gap left
 by it most tightly, if they fill it better. A group wastes about one bin, so the loss does not grow.
 
@@ -47,7 +48,7 @@ def encoder(path: str):
     def encode(text: str) -> np.ndarray:
         try:
             return coder.encode_to_numpy(text, allowed_special="all")
-        except Exception:  # its pattern engine gives up on huge runs of white space
+        except ValueError:  # its pattern engine gives up on huge runs of white space
             return np.asarray(slow_encoder(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
@@ -154,5 +155,5 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = 0, ranks: str | None =
         return pdf.drop(columns="group")
 
     full = pieces.where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    dealt = pieces.where(F.col("length") < size).select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("group"), "*")
+    dealt = pieces.where(F.col("length") < size).select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias("group"), "*")
     return dealt.groupBy("group").applyInPandas(fill, f"{PIECES}, sequence_id long, offset long").unionByName(full)

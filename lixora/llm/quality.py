@@ -1,14 +1,14 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives are labelled rows of high quality; the unlabelled set is a sample of all documents of the
-training folds, good and bad alike. With the class prior p (the share of good documents, estimated from the
-training labels) the bad documents' risk is R_u(-) - p R_p(-); where that estimate falls below zero the fit
-has begun to memorise positives, and the step goes the other way (non-negative risk). The classifier is linear
-over the shares of hashed word shapes and of a few measures of a text, each cut into steps at fixed points.
-
-Labels are learnt from training rows only, at most MOST_TRAINING of them (lowest id hashes). Null or empty
-text: the score of no words. Null labels are ignored; several label rows of a doc_id: the largest counts.
-Without a usable positive every score is 0.5. Repeated rows are scored one by one; extra columns are ignored.
+Trusted positives are rows of the training folds labelled as of high quality. The unlabelled set are rows of the
+same folds, drawn without a look at their labels, so good and bad alike; both sets are bounded samples of at most
+MOST_TRAINING / 2 rows (lowest id hashes). The class prior p, the share of good documents, is estimated from all
+training labels. The bad documents' risk is R_u(-) - p R_p(-); where that estimate falls below zero the fit has begun
+to memorise positives, and the step goes the other way (non-negative risk). The classifier is linear over the shares
+of hashed word shapes and of a few measures of a text, each cut into steps at fixed points.
+
+Null or empty text: the score of no words. Null labels are ignored; several label rows of a doc_id: the largest
+counts. Without a usable positive every score is 0.5. Repeated rows are scored one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,19 +75,30 @@ def vector(text: str, shapes: Shapes) -> np.ndarray:
     return out
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, b: float, good: np.ndarray, any_: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The good documents' risk, that of the bad ones (estimated, it can fall below zero), and the gradient to follow:
+    of their sum, or away from the second while that is negative."""
+    zp, zu = good @ w + b, any_ @ w + b
+    of_good = prior * np.logaddexp(0, -zp).mean()
+    of_bad = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    dp_bad, du_bad = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if of_bad >= 0:
+        dp, du = prior * (sigmoid(zp) - 1) / len(zp) + dp_bad, du_bad
+    else:
+        dp, du = -dp_bad, -du_bad
+    return of_good, of_bad, np.append(good.T @ dp + any_.T @ du, dp.sum() + du.sum())
+
+
 def fit(good: np.ndarray, any_: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk of log loss, by Adam on all rows at once."""
     w, b, m, v = np.zeros(WIDTH), 0.0, np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, ROUNDS + 1):
-        zp, zu = good @ w + b, any_ @ w + b
-        bad = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        dp_bad, du_bad = -prior * sig(zp) / len(zp), sig(zu) / len(zu)
-        if bad >= 0:
-            dp, du = prior * (sig(zp) - 1) / len(zp) + dp_bad, du_bad
-        else:
-            dp, du = -dp_bad, -du_bad
-        g = np.append(good.T @ dp + any_.T @ du + DECAY * w, dp.sum() + du.sum())
+        g = risk(w, b, good, any_, prior)[2]
+        g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -101,15 +112,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> tupl
     prior = known.agg(F.avg("label")).first()[0]
     if not prior:
         return None
-    trusted = sampled(known.where("label = 1").select("doc_id", F.lit(1).alias("trusted")), most // 2)
-    others = sampled(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(training("doc_id")).distinct().select("doc_id", F.lit(0).alias("trusted")), most // 2)
+    trusted = sampled(known.where("label = 1").select("doc_id"), most // 2).withColumn("trusted", F.lit(1))
+    others = sampled(known.select("doc_id"), most // 2).withColumn("hidden", F.lit(1))
+    chosen = trusted.join(others, "doc_id", "full").select("doc_id", F.coalesce("trusted", F.lit(0)).alias("trusted"), F.coalesce("hidden", F.lit(0)).alias("hidden"))
     shapes = Shapes()
     of_text = lambda t: vector(t, shapes)
-    got, rows = features(docs, trusted.unionByName(others), of_text, ["trusted"])
-    if not rows or not got["trusted"].any():
+    got, rows = features(docs, chosen, of_text, ["trusted", "hidden"])
+    if not rows or not got["trusted"].any() or not got["hidden"].any():
         return None
     x = np.stack(rows)
-    return fit(x[got["trusted"] == 1], x[got["trusted"] == 0], min(prior, 0.98))
+    return fit(x[got["trusted"] == 1], x[got["hidden"] == 1], min(prior, 0.98))
 
 
 def scorer(model: tuple[np.ndarray, float] | None):
@@ -118,7 +130,7 @@ def scorer(model: tuple[np.ndarray, float] | None):
 
     def scores(texts: list[str]) -> np.ndarray:
         z = np.array([vector(t, shapes) @ w + b for t in texts])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid(z)
 
     return scores
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lixora.llm import chat, decontamination, fingerprints, licenses, ngram_join, packing, quality, secrets, toxicity, warc
 from lixora.llm.common import table
+from lixora.llm.oracles import ORACLES as ORACLES
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +65,3 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans,
     "op10_warc": op10_warc,
 }
-
-ORACLES: dict[str, str] = {}

@@ -338,6 +338,14 @@ def test_slots_estimate_jaccard():
     assert abs(fingerprints.likeness(fingerprints.slots(a), fingerprints.slots(a + np.uint64(500))) - 1 / 3) < 0.15
 
 
+def tokens(text):
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def grams(words):
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
 def test_license_scan_by_brute_force(spark):
     rnd = random.Random(9)
     rows = []
@@ -346,20 +354,49 @@ def test_license_scan_by_brute_force(spark):
         if k % 3 == 0:
             words.insert(rnd.randint(0, len(words)), licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1])
         rows.append((k, " ".join(words)))
-    tokens = lambda t: re.findall("[a-z0-9]+", t.lower())
-    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     want = {(k, licenses.TEMPLATES[k % len(licenses.TEMPLATES)][0]) for k, t in rows if k % 3 == 0}
     got = licenses.scan(docs_of(spark, rows + ODD)).collect()
     assert {(r["doc_id"], r["license"]) for r in got if r["containment"] == 1.0} == want
     for r in got:
         text = set(grams(tokens(rows[r["doc_id"]][1])))
         sought = set(grams(tokens(licenses.TEMPLATES[r["template_id"]][1])))
-        assert len(text & sought) / len(sought) >= r["containment"] >= 0.8
+        assert len(text & sought) / len(sought) >= r["containment"] >= 0.8 and r["rank"] >= 1
     assert licenses.scan(docs_of(spark, ODD).limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(docs_of(spark, ODD), [("X", "too short")])
 
 
+def test_license_scan_recall_of_edited_notices(spark):
+    """Every (row, template) whose best run of words, twice the template long at most, contains 0.8 of its shingles."""
+    rnd = random.Random(19)
+    words = [f"t{i}" for i in range(400)]
+    templates = [(f"L{k}", " ".join(rnd.choices(words, k=rnd.choice([9, 20, 45, 130, 600])))) for k in range(60)]
+    templates.append(("L0", templates[0][1] + " and more of the same notice"))  # begins at the same word
+    rows = []
+    for k in range(240):
+        text = templates[k % len(templates)][1].split()
+        for _ in range(rnd.randint(0, max(1, len(text) // 18))):
+            text[rnd.randrange(len(text))] = "edited"
+        rows.append((k, " ".join([*rnd.choices(words, k=rnd.randint(0, 90)), *text, *rnd.choices(words, k=rnd.randint(0, 90))])))
+    want = set()
+    for i, text in rows:
+        have = grams(tokens(text))
+        for j, (_, t) in enumerate(templates):
+            sought = set(grams(tokens(t)))
+            if len(sought & set(have)) >= 0.8 * len(sought):
+                m = len(grams(tokens(t)))
+                if max(len(set(have[a : a + m]) & sought) for a in range(max(1, len(have) - m + 1))) >= 0.8 * len(sought):
+                    want.add((i, j))
+    table = spark.createDataFrame([(a, t, 1) for a, t in templates], "license string, text string, shingle int")
+    for most in (licenses.MOST_BROADCAST, 0):  # 0: template shingles are shuffled
+        got = licenses.scan(docs_of(spark, rows), table, most=most).join(table.select("license", F.xxhash64("license", "text").alias("template_id"), F.col("text").alias("template")), ["template_id", "license"]).collect()
+        found = {(r["doc_id"], [t for _, t in templates].index(r["template"])) for r in got}
+        assert len(found & want) >= 0.99 * len(want) > 100
+        for i, j in found:
+            sought = set(grams(tokens(templates[j][1])))
+            assert len(sought & set(grams(tokens(rows[i][1])))) >= 0.8 * len(sought)
+
+
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
@@ -387,15 +424,45 @@ def test_weak_candidates_need_their_complement(spark):
     assert spans[2] == "weak_secret:0:15,endpoint:19:38" and spans[4] == "weak_access:0:12,weak_secret:13:28"
 
 
-def test_redaction_takes_effect(spark):
-    rows = [(1, "x token=abcdefghijklmnop y"), (1, "x token=abcdefghijklmnop y"), (2, "clean"), (3, None), (None, "0123456789abcdef")]
-    docs = docs_of(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
-    got = sorted(((r["doc_id"] or -1, r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()), key=repr)
-    assert got == sorted([(-1, "[SECRET]", 8), (1, "x [SECRET] y", 12), (1, "x [SECRET] y", 12), (2, "clean", 5), (3, None, None)], key=repr)
+@pytest.mark.parametrize("few", [secrets.FEW, 0])
+def test_redaction_takes_effect(spark, few):
+    rows = [(1, "x token=abcdefghijklmnop y"), (1, "x token=abcdefghijklmnop y"), (2, "clean"), (3, None), (None, "0123456789abcdef"), (4, "")]
+    docs = docs_of(spark, rows).withColumns({"n_chars": F.length("text").cast("long"), "_cuts": F.lit(1), "_secret_id": F.lit(2), "doc": F.lit("d"), "found": F.lit(3), "spans": F.lit("s")})
+    left = secrets.redact(docs, few=few)
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"] or -1, r["text"], r["n_chars"]) for r in left.collect()), key=repr)
+    assert got == sorted([(-1, "[SECRET]", 8), (1, "x [SECRET] y", 12), (1, "x [SECRET] y", 12), (2, "clean", 5), (3, None, None), (4, "", 0)], key=repr)
+    assert secrets.redact(docs.limit(0), few=few).count() == 0
+
+
+@pytest.mark.parametrize("piece", [4_096, 7])
+def test_redaction_by_pieces_cuts_the_spans_of_the_scan(spark, monkeypatch, piece):
+    monkeypatch.setattr(secrets, "PIECE", piece)
+    rnd = random.Random(17)
+    bits = ["password: ", "TOKEN='", "api_key=", "secret", " = ", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "é", " ", "\n", "hunter2hunter2", "user=bob1", "https://db.example/x", "𝒳", "10.0.0.1:5432", "pwd:", "="]
+    rows = [(i, "".join(rnd.choices(bits, k=rnd.randint(0, 60)))) for i in range(150)]
+    docs = docs_of(spark, rows)
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    want = {}
+    for i, t in rows:
+        cuts = []
+        for s in filter(None, spans[i].split(",")):
+            start, end = map(int, s.split(":")[1:])
+            if cuts and cuts[-1][1] > start:
+                cuts[-1][1] = max(cuts[-1][1], end)
+            else:
+                cuts.append([start, end])
+        out, at = "", 0
+        for start, end in cuts:
+            out, at = out + t[at:start] + "[SECRET]", end
+        want[i] = out + t[at:]
+    for few in (secrets.FEW, 3):
+        assert {r["doc_id"]: r["text"] for r in secrets.redact(docs, few=few).collect()} == want
+    assert all(n >= len(t.split(",")) for n, t in zip([r[0] for r in docs.orderBy("doc_id").select(secrets._most_matches(F.col("text"))).collect()], [spans[i] for i, _ in rows]) if t)
 
 
 def test_native_operators_run_no_python(spark):
-    for df in (licenses.scan(docs_of(spark, ODD)), secrets.scan(docs_of(spark, ODD))):
+    for df in (licenses.scan(docs_of(spark, ODD)), secrets.scan(docs_of(spark, ODD)), secrets.redact(docs_of(spark, ODD))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan.split("Scan ExistingRDD")[0])
 
@@ -419,16 +486,33 @@ def test_warc_round_trip(spark, tmp_path):
             assert r["payload_bytes"] == len(html.encode()) and (r["record_type"] == "response") == (first[html] == r["page_id"])
             assert r["refers_to"] == (None if first[html] == r["page_id"] else first[html])
     path = str(tmp_path / "w")
-    warc.write_archives(pages, path, least_bytes=10**6, per_file=20)
-    index = warc.build_index(warc.captures(spark, path), block=10)
-    keys = spark.createDataFrame([(warc.surt("http://h3.example.com/p3"),), ("none",)], "key string")
-    for most in (10**6, 0):  # by the directory, and by a join
-        hit = warc.lookup(index, keys, most_blocks=most).collect()
-        assert [h["page_id"] for h in hit] == [103]
-    assert warc.fetch(spark, hit[0]["file"], hit[0]["offset"], hit[0]["length"])["payload"] == b"page 3 " * 50
+    warc.write_archives(pages, path, least_bytes=10**6, file_bytes=3_000)
+    files = [p.name for p in (tmp_path / "w").iterdir() if not p.name.startswith(".")]
+    assert len(files) > 8 and all(f.endswith(".warc.gz") for f in files)
+    found = warc.captures(spark, path)
+    assert found.count() == len(rows)
+    keys = spark.createDataFrame([(warc.surt(u),) for _, u, _ in rows] + [("none",), ("zz",), (None,)], "key string")
+    want = sorted((warc.surt(u), i or -1) for i, u, _ in rows)
+    for block, top in ((1000, 50), (10, 50), (3, 2), (1, 1)):  # one directory, and up to seven levels
+        index = warc.build_index(found, block=block if block > 1 else 2, most_top=top)
+        hit = warc.lookup(index, keys).collect()
+        assert sorted((h["key"], h["page_id"] or -1) for h in hit) == want
+    one = next(h for h in hit if h["page_id"] == 103)
+    assert warc.fetch(path, one["file"], one["offset"], one["length"])["payload"] == b"page 3 " * 50
     assert warc.surt("https://www.Example.com/a?b#c") == "com,example,www)/a?b"
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_failed_attempts_go(tmp_path):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["http://a/", None], "html": ["x" * 10, ""], "digest": ["A", "B"], "refers_to": pa.array([None, None], pa.int64())})
+    writer = warc.ArchiveWriter(str(tmp_path / "w"), 10)
+    lost, kept = writer.write([rows]), writer.write([rows])
+    assert len(kept.files) == 2
+    writer.commit([kept, None])
+    assert sorted(p.name for p in (tmp_path / "w").iterdir()) == sorted(kept.files) and lost.files
+
+
 def test_sample_is_bounded(spark):
     assert labelled.sampled(spark.range(100).withColumnRenamed("id", "doc_id"), 7).count() == 7
