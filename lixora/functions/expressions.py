@@ -71,8 +71,7 @@ def parse_expr(licenses: DataFrame, column: str = "license", strict: bool = Fals
     distinct = licenses.select(column).where(F.col(column).isNotNull()).distinct()
     if strict:
         return distinct.withColumn("rpn", _parse_strict(column))
-    plain = distinct.where(~is_compound(F.col(column))).withColumn("rpn", F.array(column))
-    return plain.unionByName(distinct.where(is_compound(F.col(column))).withColumn("rpn", _parse(column)))
+    return distinct.withColumn("parsed", _parse(column)).select(column, F.when(is_compound(F.col(column)), F.col("parsed")).otherwise(F.array(column)).alias("rpn"))
 
 
 def is_operator(word: Column) -> Column:
@@ -84,24 +83,29 @@ def expr_leaves(parsed: DataFrame, column: str = "license") -> DataFrame:
     return parsed.select(column, F.explode(F.array_distinct(F.filter("rpn", lambda w: ~is_operator(w)))).alias("leaf"))
 
 
-def fold(steps: Column) -> Column:
-    """Value of a postfix array of struct(op, value): three-valued OR and AND over a stack, null for unknown."""
-    empty = F.array().cast("array<boolean>")
+def fold(steps: Column, of: str = "boolean") -> Column:
+    """Value of a postfix array of struct(op, value) over a stack. Booleans: three-valued OR and AND, null for
+    unknown. Arrays: union and intersection."""
+    sets = of.startswith("array")
+    both, either = (F.array_intersect, F.array_union) if sets else (lambda a, b: a & b, lambda a, b: a | b)
 
     def step(stack: Column, s: Column) -> Column:
         n = F.size(stack)
         a, b = F.get(stack, n - 2), F.get(stack, n - 1)
-        two = F.when(s["op"] == "AND", a & b).otherwise(a | b)
+        two = F.when(s["op"] == "AND", both(a, b)).otherwise(either(a, b))
         return F.when(s["op"].isNull(), F.concat(stack, F.array(s["value"]))).otherwise(F.concat(F.slice(stack, 1, F.greatest(n - 2, F.lit(0))), F.array(two)))
 
-    return F.get(F.aggregate(steps, empty, step), F.lit(0))
+    return F.get(F.aggregate(steps, F.array().cast(f"array<{of}>"), step), F.lit(0))
 
 
 def fold_expr(parsed: DataFrame, verdicts: DataFrame, columns: list[str], column: str = "license", keys: list[str] | None = None) -> DataFrame:
-    """Fold leaf verdicts (leaf, *keys, *columns as booleans) over parsed (column, rpn, *keys): one row per expression."""
+    """Fold leaf verdicts (leaf, *keys, *columns as booleans or arrays) over parsed (column, rpn, *keys): one row per
+    expression."""
     keys = keys or []
     words = parsed.select(column, *keys, F.posexplode("rpn").alias("pos", "leaf"))
     words = words.join(verdicts, ["leaf", *keys], "left")
     op = F.when(is_operator(F.col("leaf")), F.col("leaf")).alias("op")
-    steps = [F.transform(F.sort_array(F.collect_list(F.struct("pos", op, F.col(c).alias("value")))), lambda s: F.struct(s["op"].alias("op"), s["value"].alias("value"))).alias(c) for c in columns]
-    return words.groupBy(column, *keys).agg(*steps).select(column, *keys, *[fold(F.col(c)).alias(c) for c in columns])
+    whole = F.sort_array(F.collect_list(F.struct("pos", op, *columns))).alias("steps")
+    value = lambda c: F.transform("steps", lambda s: F.struct(s["op"].alias("op"), s[c].alias("value")))
+    folded = [fold(value(c), verdicts.schema[c].dataType.simpleString()).alias(c) for c in columns]
+    return words.groupBy(column, *keys).agg(whole).select(column, *keys, *folded)

@@ -89,8 +89,12 @@ def is_stated(col: Column) -> Column:
     return F.coalesce(~F.upper(F.trim(col)).isin("", "NOASSERTION", "NONE"), F.lit(False))
 
 
+#: What a compound expression holds one of.
+COMPOUND = [" OR ", " AND ", " WITH ", "("]
+
+
 def is_compound(col: Column) -> Column:
-    return any_in(col, [" OR ", " AND ", " WITH ", "("])
+    return any_in(col, COMPOUND)
 
 
 def is_license_id(col: Column) -> Column:

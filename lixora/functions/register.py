@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lixora.functions import ids, licenses
 from lixora.functions.expressions import postfix
+from lixora.functions.licenses import COMPOUND
 
 #: Name -> (parameters, Column function of them).
 FUNCTIONS = {
@@ -30,10 +31,11 @@ def with_function(df: DataFrame, name: str, out: str, *columns: str) -> DataFram
 
 @F.udtf(returnType="leaf string")
 class ExprLeaves:
-    """expr_leaves('MIT OR X') -> a row per distinct id, in order."""
+    """expr_leaves('MIT OR X') -> a row per distinct id, in order; a text that is no compound is one."""
 
     def eval(self, license: str):
-        for leaf in dict.fromkeys(postfix(license or "") or []):
+        compound = license and any(x in license for x in COMPOUND)
+        for leaf in dict.fromkeys(postfix(license) if compound else [license] if license else []):
             if leaf not in ("AND", "OR"):
                 yield (leaf,)
 

@@ -5,45 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds after which a closure is written out, so that its lineage stays short.
-CHECKPOINT_EVERY = 3
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the session has a folder for it; a local session gets one of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="lixora-")
-        context.setCheckpointDir(at)
-    return df.checkpoint()
+from lixora.operators.shared import cut
 
 
 def transitive_closure(direct: DataFrame, edges: DataFrame, last_depth: int = 10) -> DataFrame:
     """(project_id, pkg_id, depth): packages within last_depth edges of the direct ones (depth 0), at least depth.
 
-    edges(src, dst). Every round joins the newest packages with edges and drops those seen before, so cycles end.
+    edges(src, dst). The closure of each direct package is found once, whichever projects ask for it; a project's is
+    the least depth over its direct packages. Every round joins the newest packages with edges and drops those seen
+    before, so cycles end; each round is written out, so none is computed twice.
     """
     if not 0 <= last_depth <= 100:
         raise ValueError("last_depth is from 0 to 100")
-    seen = direct.select("project_id", "pkg_id").distinct().withColumn("depth", F.lit(0))
+    direct = direct.select("project_id", "pkg_id").distinct()
     step = edges.select(F.col("src").alias("pkg_id"), "dst").distinct()
-    newest = seen
+    newest = direct.select(F.col("pkg_id").alias("source"), "pkg_id").distinct().withColumn("depth", F.lit(0))
+    seen = newest
     for depth in range(1, last_depth + 1):
-        reached = newest.join(step, "pkg_id").select("project_id", F.col("dst").alias("pkg_id")).distinct()
-        newest = reached.join(seen, ["project_id", "pkg_id"], "left_anti").withColumn("depth", F.lit(depth))
+        reached = newest.join(step, "pkg_id").select("source", F.col("dst").alias("pkg_id")).distinct()
+        newest = cut(reached.join(seen, ["source", "pkg_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if newest.isEmpty():
+            break
         seen = seen.unionByName(newest)
-        if depth % CHECKPOINT_EVERY == 0 and depth < last_depth:
-            seen = _cut(seen)
-            newest = seen.where(F.col("depth") == depth)
-            if newest.isEmpty():
-                break
-    return seen
+    asked = direct.withColumnRenamed("pkg_id", "source")
+    return asked.join(seen, "source").groupBy("project_id", "pkg_id").agg(F.min("depth").alias("depth"))
 
 
 def depth_histogram(closure: DataFrame) -> DataFrame:

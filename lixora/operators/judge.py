@@ -1,8 +1,10 @@
 """Judging licences: restrictive or not, OSI status, compatible with the project's licence or not.
 
-Verdicts are found once per distinct licence string (and project licence), then joined back: the licence
-column of a fleet is large and skewed, its distinct values are few. The joins leave the broadcast to Spark,
-which sees the size of the verdict table.
+Verdicts are found once per distinct licence string and written out: whether it is restrictive, its OSI status, and
+the set of project licences of the matrix that allow it (OR unites such sets, AND intersects them). That small table
+is counted and broadcast to the findings, which are read once and not shuffled; the licence column of a fleet is
+large and skewed, its distinct values are few. Give the table of packages as ``licenses``, so that the distinct
+values aren't looked for in the findings.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from lixora.functions.expressions import expr_leaves, fold_expr, parse_expr
 from lixora.functions.licenses import any_in, normalize_license_id
 from lixora.operators.config import OSI, ComplianceConfig
+from lixora.operators.shared import cut, small
 
 COMPATIBILITY = {True: "Compatible", False: "Incompatible", None: "Unknown"}
 
@@ -59,15 +62,51 @@ def osi_status(leaves: DataFrame, osi: DataFrame) -> DataFrame:
     return found.withColumn("approved", F.coalesce("by_norm", "by_raw", static)).drop("norm", "by_norm", "by_raw")
 
 
-def classify(df: DataFrame, cfg: ComplianceConfig, strict: bool = False) -> DataFrame:
-    """df with is_restrictive and osi_status."""
-    parsed = parse_expr(df)
+def license_verdicts(licenses: DataFrame, cfg: ComplianceConfig, strict: bool = False) -> DataFrame:
+    """(license, free, approved, allowed) of each distinct licence; allowed: project licences of the matrix."""
+    parsed = cut(parse_expr(licenses))
     leaves = osi_status(leaf_restrictive(expr_leaves(parsed).select("leaf").distinct(), cfg, strict), cfg.osi)
+    allowing = cfg.matrix.groupBy(F.col("dep_license").alias("dep")).agg(F.collect_set("project_license").alias("allowed"))
+    leaves = leaves.withColumn("dep", normalize_license_id(F.col("leaf"))).join(allowing, "dep", "left")
     # OR is restrictive only if all branches are, AND if any is: fold the opposite
-    verdicts = leaves.select("leaf", (~F.col("restrictive")).alias("free"), "approved")
-    folded = fold_expr(parsed, verdicts, ["free", "approved"])
+    verdicts = leaves.select("leaf", (~F.col("restrictive")).alias("free"), "approved", F.coalesce("allowed", F.array().cast("array<string>")).alias("allowed"))
+    return cut(fold_expr(parsed, verdicts, ["free", "approved", "allowed"]))
+
+
+def _classified(df: DataFrame, strict: bool) -> DataFrame:
     free = F.when(F.col("license") == "No License", False).otherwise(F.coalesce("free", F.lit(not strict)))
-    return df.join(folded, "license", "left").withColumns({"is_restrictive": ~free, "osi_status": as_osi(F.col("approved"))}).drop("free", "approved")
+    return df.withColumns({"is_restrictive": ~free, "osi_status": as_osi(F.col("approved"))})
+
+
+def _annotated(df: DataFrame, cfg: ComplianceConfig, strict: bool) -> DataFrame:
+    known = small(cut(cfg.matrix.select(F.col("project_license").alias("project")).distinct()).withColumn("known", F.lit(True)))
+    found = df.withColumn("project", normalize_license_id(F.col("project_license"))).join(known, "project", "left")
+    stated = F.col("project_license").isNotNull() & F.col("license").isNotNull()
+    # an unknown project under strict leaves its leaves incompatible; a null licence too
+    unknown = F.when(F.col("project_license").isNotNull() & F.lit(strict), F.lit(False))
+    compatible = F.when(stated & F.col("known"), F.array_contains("allowed", F.col("project"))).otherwise(unknown)
+    return found.withColumn("compatibility", as_compatibility(compatible)).drop("project", "known")
+
+
+VERDICTS = ["free", "approved", "allowed"]
+
+
+def classify(df: DataFrame, cfg: ComplianceConfig, strict: bool = False, licenses: DataFrame | None = None) -> DataFrame:
+    """df with is_restrictive and osi_status."""
+    table = small(license_verdicts(df if licenses is None else licenses, cfg, strict))
+    return _classified(df.join(table, "license", "left"), strict).drop(*VERDICTS)
+
+
+def annotate(df: DataFrame, cfg: ComplianceConfig, strict: bool = False, licenses: DataFrame | None = None) -> DataFrame:
+    """df (license, project_license) with compatibility. No project licence: Unknown, always."""
+    table = small(license_verdicts(df if licenses is None else licenses, cfg, strict))
+    return _annotated(df.join(table, "license", "left"), cfg, strict).drop(*VERDICTS)
+
+
+def judge(df: DataFrame, cfg: ComplianceConfig, strict: bool = False, licenses: DataFrame | None = None) -> DataFrame:
+    """df with is_restrictive, osi_status and compatibility, by one join."""
+    table = small(license_verdicts(df if licenses is None else licenses, cfg, strict))
+    return _annotated(_classified(df.join(table, "license", "left"), strict), cfg, strict).drop(*VERDICTS)
 
 
 def judge_compat(leaves: DataFrame, matrix: DataFrame, strict: bool = False) -> DataFrame:
@@ -78,15 +117,3 @@ def judge_compat(leaves: DataFrame, matrix: DataFrame, strict: bool = False) ->
     found = keyed.join(pairs, ["project", "dep"], "left").join(known, "project", "left")
     unknown = F.lit(False) if strict else F.lit(None).cast("boolean")
     return found.withColumn("compatible", F.when(F.col("known"), F.coalesce("allowed", F.lit(False))).otherwise(unknown)).drop("dep", "project", "allowed", "known")
-
-
-def annotate(df: DataFrame, cfg: ComplianceConfig, strict: bool = False) -> DataFrame:
-    """df (license, project_license) with compatibility. No project licence: Unknown, always."""
-    pairs = df.select("license", "project_license").where("license is not null and project_license is not null").distinct()
-    parsed = parse_expr(pairs)
-    by_project = pairs.join(parsed, "license")
-    leaves = expr_leaves(parsed).join(pairs, "license").select("leaf", "project_license").distinct()
-    folded = fold_expr(by_project, judge_compat(leaves, cfg.matrix, strict), ["compatible"], keys=["project_license"])
-    # an unknown project under strict leaves its leaves incompatible; a null licence too
-    null = F.when(F.col("project_license").isNotNull() & F.col("license").isNull() & F.lit(strict), F.lit(False))
-    return df.join(folded, ["license", "project_license"], "left").withColumn("compatibility", as_compatibility(F.coalesce("compatible", null))).drop("compatible")

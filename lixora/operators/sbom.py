@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from lixora.functions.ids import parse_purl, purl
 from lixora.functions.licenses import is_stated, is_unresolved, license_ref, to_spdx_expression
-
-SPDX = """struct<packages: array<struct<name: string, SPDXID: string, versionInfo: string, licenseConcluded: string, licenseDeclared: string,
-  externalRefs: array<struct<referenceType: string, referenceLocator: string>>>>, hasExtractedLicensingInfos: array<struct<licenseId: string, name: string, extractedText: string>>>"""
-CYCLONE = "struct<components: array<struct<type: string, group: string, name: string, version: string, purl: string, licenses: array<struct<license: struct<id: string, name: string>, expression: string>>>>>"
+from lixora.operators.config import ComplianceConfig
+from lixora.operators.judge import judge
+from lixora.operators.resolve import resolve_from_definitions, resolve_from_registry
+
+SPDX = """packages: array<struct<name: string, SPDXID: string, versionInfo: string, licenseConcluded: string, licenseDeclared: string,
+  externalRefs: array<struct<referenceType: string, referenceLocator: string>>>>, hasExtractedLicensingInfos: array<struct<licenseId: string, name: string, extractedText: string>>"""
+CYCLONE = "components: array<struct<type: string, group: string, name: string, version: string, purl: string, licenses: array<struct<license: struct<id: string, name: string>, expression: string>>>>"
+MARKS = "spdxVersion: string, SPDXID: string, bomFormat: string, specVersion: string"
 COMPONENT = ["doc_id", "pos", "ecosystem", "name", "version", "license"]
 
 
@@ -24,11 +28,11 @@ def read_sboms(docs: DataFrame) -> DataFrame:
     return docs.withColumn("format", F.when(has("spdxVersion") | has("SPDXID"), "spdx").when(has("bomFormat") | has("specVersion"), "cyclonedx"))
 
 
-def _identified(rows: DataFrame) -> DataFrame:
+def _identified(rows: DataFrame, *more: str) -> DataFrame:
     """Identity by package URL, else the stated name and version as generic."""
     p = parse_purl(F.col("purl"))
     rows = rows.withColumn("p", p)
-    return rows.select("doc_id", "pos", F.coalesce("p.ecosystem", F.lit("generic")).alias("ecosystem"), F.coalesce("p.name", "name").alias("name"), F.coalesce(F.nullif("p.version", F.lit("")), "version", F.lit("")).alias("version"), "license")
+    return rows.select("doc_id", "pos", F.coalesce("p.ecosystem", F.lit("generic")).alias("ecosystem"), F.coalesce("p.name", "name").alias("name"), F.coalesce(F.nullif("p.version", F.lit("")), "version", F.lit("")).alias("version"), "license", *more)
 
 
 def expand_license_refs(license: Column, refs: Column) -> Column:
@@ -37,30 +41,60 @@ def expand_license_refs(license: Column, refs: Column) -> Column:
     return F.when(F.contains(license, F.lit("LicenseRef-")), F.aggregate(F.array_sort(F.coalesce(said, F.array().cast("array<struct<n:int,id:string,to:string>>"))), license, lambda acc, r: F.replace(acc, r["id"], r["to"]))).otherwise(license)
 
 
-def spdx_components(docs: DataFrame) -> DataFrame:
-    """COMPONENT rows of SPDX documents: the concluded licence if it is stated, else the declared one."""
-    d = docs.withColumn("d", F.from_json("json", SPDX)).select("doc_id", "d.hasExtractedLicensingInfos", F.posexplode("d.packages").alias("pos", "p"))
-    said = F.coalesce(*[F.when(is_stated(F.col(f"p.{k}")), F.trim(F.col(f"p.{k}"))) for k in ("licenseConcluded", "licenseDeclared")])
-    url = F.get(F.filter("p.externalRefs", lambda r: r["referenceType"] == "purl"), F.lit(0))["referenceLocator"]
-    rows = d.where(F.trim("p.name") != "").select("doc_id", "pos", "p.name", F.col("p.versionInfo").alias("version"), url.alias("purl"), expand_license_refs(said, F.col("hasExtractedLicensingInfos")).alias("license"))
-    return _identified(rows)
+def _spdx_part(p: Column, refs: Column) -> Column:
+    """(name, version, purl, license) of a package: the concluded licence if it is stated, else the declared one."""
+    said = F.coalesce(*[F.when(is_stated(p[k]), F.trim(p[k])) for k in ("licenseConcluded", "licenseDeclared")])
+    url = F.get(F.filter(p["externalRefs"], lambda r: r["referenceType"] == "purl"), F.lit(0))["referenceLocator"]
+    return F.struct(p["name"].alias("name"), p["versionInfo"].alias("version"), url.alias("purl"), expand_license_refs(said, refs).alias("license"))
 
 
-def cyclonedx_components(docs: DataFrame) -> DataFrame:
-    """COMPONENT rows of CycloneDX documents (top level); several licences are joined by AND."""
-    d = docs.withColumn("d", F.from_json("json", CYCLONE)).select("doc_id", F.posexplode("d.components").alias("pos", "c"))
-    each = F.transform("c.licenses", lambda x: F.coalesce(x["expression"], x["license"]["id"], x["license"]["name"]))
+def _cyclonedx_part(c: Column) -> Column:
+    """The same of a component; several licences are joined by AND."""
+    each = F.transform(c["licenses"], lambda x: F.coalesce(x["expression"], x["license"]["id"], x["license"]["name"]))
     each = F.array_distinct(F.filter(each, lambda x: is_stated(x)))
     joined = F.array_join(F.transform(each, lambda x: F.when(F.contains(x, F.lit(" OR ")) & (F.size(each) > 1), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x)), " AND ")
-    name = F.when(is_stated(F.col("c.group")), F.concat("c.group", F.lit("/"), "c.name")).otherwise(F.col("c.name"))
-    return _identified(d.select("doc_id", "pos", name.alias("name"), "c.version", "c.purl", F.nullif(joined, F.lit("")).alias("license")))
+    name = F.when(is_stated(c["group"]), F.concat(c["group"], F.lit("/"), c["name"])).otherwise(c["name"])
+    return F.struct(name.alias("name"), c["version"].alias("version"), c["purl"].alias("purl"), F.nullif(joined, F.lit("")).alias("license"))
+
+
+def _exploded(rows: DataFrame, parts: Column, *more: str) -> DataFrame:
+    rows = rows.select("doc_id", *more, F.posexplode(parts).alias("pos", "x")).select("doc_id", *more, "pos", "x.*")
+    return rows
+
+
+def spdx_components(docs: DataFrame) -> DataFrame:
+    """COMPONENT rows of SPDX documents; packages without a name go."""
+    d = docs.select("doc_id", F.from_json("json", f"struct<{SPDX}>").alias("d"))
+    rows = _exploded(d, F.transform("d.packages", lambda p: _spdx_part(p, F.col("d.hasExtractedLicensingInfos"))))
+    return _identified(rows.where(F.trim("name") != ""))
+
+
+def cyclonedx_components(docs: DataFrame) -> DataFrame:
+    """COMPONENT rows of CycloneDX documents (top level)."""
+    d = docs.select("doc_id", F.from_json("json", f"struct<{CYCLONE}>").alias("d"))
+    return _identified(_exploded(d, F.transform("d.components", _cyclonedx_part)))
 
 
 def ingest_sboms(docs: DataFrame) -> DataFrame:
-    """COMPONENT rows with format of all readable documents."""
-    known = read_sboms(docs)
-    spdx = spdx_components(known.where("format = 'spdx'")).withColumn("format", F.lit("spdx"))
-    return spdx.unionByName(cyclonedx_components(known.where("format = 'cyclonedx'")).withColumn("format", F.lit("cyclonedx")))
+    """COMPONENT rows with format of all readable documents; each is parsed once."""
+    d = docs.select("doc_id", F.from_json("json", f"struct<{MARKS}, {SPDX}, {CYCLONE}>").alias("d"))
+    has = lambda a, b: F.coalesce(f"d.{a}", f"d.{b}").isNotNull()
+    d = d.withColumn("format", F.when(has("spdxVersion", "SPDXID"), "spdx").when(has("bomFormat", "specVersion"), "cyclonedx"))
+    spdx = F.transform("d.packages", lambda p: _spdx_part(p, F.col("d.hasExtractedLicensingInfos")))
+    parts = F.when(F.col("format") == "spdx", spdx).when(F.col("format") == "cyclonedx", F.transform("d.components", _cyclonedx_part))
+    rows = _exploded(d, parts, "format").where((F.col("format") == "cyclonedx") | (F.trim("name") != ""))
+    return _identified(rows, "format")
+
+
+def judge_sboms(docs: DataFrame, cfg: ComplianceConfig, snapshot: DataFrame | None = None, definitions: DataFrame | None = None, project_license: str | None = None) -> DataFrame:
+    """Components of all readable documents with verdicts. Licences that a document doesn't state are resolved from
+    the registry snapshot, then from definitions; rows keep their document, position and format."""
+    rows = ingest_sboms(docs).withColumn("project_license", F.lit(project_license).cast("string"))
+    if snapshot is not None:
+        rows = resolve_from_registry(rows, snapshot)
+    if definitions is not None:
+        rows = resolve_from_definitions(rows, definitions)
+    return judge(rows, cfg)
 
 
 def sanitize_spdx(df: DataFrame) -> DataFrame:

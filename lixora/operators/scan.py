@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lixora.functions.ids import coordinates
 from lixora.functions.licenses import detect_license, gnu_banner, spdx_header
 from lixora.operators.report import drop_ignored_licenses
+from lixora.operators.shared import cut
 from lixora.sources.files import OWN_SKIPPED, VENDOR_DIRS, VENDOR_SKIPPED, dir_of, in_any, in_vendor_dir, is_hidden, is_source_path, name_of
 
 #: Licence file names by priority; the last two say OFL-1.1 by themselves.
@@ -20,9 +21,19 @@ def file_rank(path: Column) -> Column:
     return F.element_at(table, name_of(path))
 
 
+def file_facts(files: DataFrame) -> DataFrame:
+    """(root, path, said, tag, banner) of every file: what a licence file says, the SPDX header and the GNU banner of a
+    source file. The texts are read once for it, and what is written out is narrow."""
+    path, source = F.col("path"), is_source_path(F.col("path"))
+    said = F.when(name_of(path).isin(LICENSE_FILES[-2:]), "OFL-1.1").otherwise(detect_license(F.col("content")))
+    head = F.array_join(F.slice(F.split("content", r"\r?\n"), 1, 30), "\n")
+    facts = [F.when(file_rank(path).isNotNull(), said).alias("said"), F.when(source, spdx_header(F.col("content"))).alias("tag"), F.when(source, gnu_banner(head)).alias("banner")]
+    return cut(files.select("root", "path", *facts))
+
+
 def dir_license(files: DataFrame) -> DataFrame:
-    """(root, dir, license): what the first licence file that says something says."""
-    said = F.when(name_of(F.col("path")).isin(LICENSE_FILES[-2:]), "OFL-1.1").otherwise(detect_license(F.col("content")))
+    """(root, dir, license): what the first licence file that says something says. files may be ``file_facts``."""
+    said = F.when(name_of(F.col("path")).isin(LICENSE_FILES[-2:]), "OFL-1.1").otherwise(detect_license(F.col("content"))) if "content" in files.columns else F.col("said")
     rows = files.select("root", dir_of(F.col("path")).alias("dir"), file_rank(F.col("path")).alias("rank"), "path", said.alias("license")).where("rank is not null and license is not null")
     return rows.groupBy("root", "dir").agg(F.min_by("license", F.struct("rank", "path", "license")).alias("license"))
 
@@ -101,20 +112,24 @@ def dir_evidence(licensed: DataFrame, files: DataFrame, projects: DataFrame, man
 
 
 def scan_own_source(files: DataFrame, projects: DataFrame, ignore: list[str]) -> DataFrame:
-    """(root, path, license): licences that own source files state, other than the project's, not ignored."""
+    """(root, path, license): licences that own source files state, other than the project's, not ignored. files may
+    be ``file_facts``."""
     path = F.col("path")
     rows = files.where(is_source_path(path) & ~in_any(path, OWN_SKIPPED) & ~is_hidden(path))
-    head = F.array_join(F.slice(F.split("content", r"\r?\n"), 1, 30), "\n")
-    rows = rows.select("root", "path", F.coalesce(spdx_header(F.col("content")), gnu_banner(head)).alias("license")).where("license is not null")
+    head = F.array_join(F.slice(F.split("content", r"\r?\n"), 1, 30), "\n") if "content" in files.columns else None
+    stated = F.coalesce("tag", "banner") if head is None else F.coalesce(spdx_header(F.col("content")), gnu_banner(head))
+    rows = rows.select("root", "path", stated.alias("license")).where("license is not null")
     rows = rows.join(projects, "root", "left").where("project_license is null or lower(license) <> lower(project_license)").drop("project_license")
     return drop_ignored_licenses(rows, ignore)
 
 
 def scan_vendored(files: DataFrame, deps: DataFrame, projects: DataFrame, manifest_dirs: DataFrame) -> DataFrame:
-    """(root, dir, license, marker): topmost vendored or unmanaged directories that no dependency explains. No licence: restrictive."""
+    """(root, dir, license, marker): topmost vendored or unmanaged directories that no dependency explains. No licence:
+    restrictive. files may be ``file_facts``."""
     from lixora.operators.resolve import coalesce_sources
 
-    licensed = coalesce_sources(["root", "dir"], dir_license(files), dir_header_license(files))
+    files = file_facts(files) if "content" in files.columns else files
+    licensed = coalesce_sources(["root", "dir"], dir_license(files), dir_header_license(files, F.col("tag")))
     found = dir_evidence(licensed, files, projects, manifest_dirs)
     named = found.withColumn("name", name_of(F.col("dir")))
     left = topmost(drop_known_vendored(named, deps))

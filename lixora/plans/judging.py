@@ -63,8 +63,7 @@ PACKS = duck("fx_packages")
 
 
 def judged(spark, sf_dir):
-    cfg = ComplianceConfig.default(spark)
-    return judge.annotate(judge.classify(findings(spark, sf_dir), cfg), cfg)
+    return judge.judge(findings(spark, sf_dir), ComplianceConfig.default(spark), licenses=pool(spark, sf_dir))
 
 
 def pool(spark, sf_dir):
@@ -197,7 +196,7 @@ def exp_05(spark, sf_dir):
 
 @query("exp_06_classify", JUDGED + "SELECT DISTINCT license, is_restrictive, osi_status FROM judged")
 def exp_06(spark, sf_dir):
-    return judge.classify(findings(spark, sf_dir), ComplianceConfig.default(spark)).select("license", "is_restrictive", "osi_status").distinct()
+    return judge.classify(findings(spark, sf_dir), ComplianceConfig.default(spark), licenses=pool(spark, sf_dir)).select("license", "is_restrictive", "osi_status").distinct()
 
 
 @query("exp_07_annotate", JUDGED + f"SELECT {ROW} FROM judged")

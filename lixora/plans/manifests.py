@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lixora.functions import licenses as L
-from lixora.operators import osdb
+from lixora.operators import graph, osdb
 from lixora.plans.judging import PACKS, pool
 from lixora.plans.registry import query
 from lixora.sources import lines, manifests
@@ -36,18 +36,21 @@ JSON_FILES = {
     "Pipfile.lock": ["""'{"_meta": {}, "default": {"lib' || pkg_id || '": {"version": "==' || version || '"}}, "develop": {"other": {"version": "==1.0.0"}}}'"""],
     "renv.lock": ["""'{"Packages": {"x": {"Package": "lib' || pkg_id || '", "Version": "' || version || '"}, "other": {"Version": "1.0.0"}}}'"""],
     "packages.lock.json": ["""'{"dependencies": {"net8.0": {"lib' || pkg_id || '": {"resolved": "' || version || '"}}, "net7.0": {"other": {"resolved": "1.0.0"}}}}'"""],
+    "project.assets.json": ["""'{"libraries": {"lib' || pkg_id || '/' || version || '": {"type": "package"}, "other/1.0.0": {"type": "package"}, "own/1.0.0": {"type": "project"}}}'"""],
     "vcpkg.json": ["""'{"dependencies": [{"name": "lib' || pkg_id || '", "version>=": "' || version || '"}, {"name": "other", "version>=": "1.0.0"}]}'"""],
     "ls.json": ["""'{"dependencies": {"a": {"version": "0", "dependencies": {"lib' || pkg_id || '": {"version": "' || version || '", "dependencies": {"other": {"version": "1.0.0"}}}}}}}'"""],
 }
 JSON_SQL = " UNION ALL ".join(two(k) for k in JSON_FILES) + " UNION ALL SELECT pkg_id, 'a', '0', 'ls.json' FROM fx_packages"
 
 
+def files_of(spark, sf_dir, table):
+    """Every package writes one file of each kind: the packages are read once."""
+    each = [F.struct(F.lit(path).alias("path"), F.expr(f" || {NL} || ".join(content)).alias("content")) for path, content in table.items()]
+    return pool(spark, sf_dir).select(F.col("pkg_id").alias("root"), F.explode(F.array(*each)).alias("f")).select("root", "f.*")
+
+
 def all_of(spark, sf_dir, table, make):
-    out = None
-    for path, content in table.items():
-        f = files(spark, sf_dir, f"app/{path}", *content)
-        out = f if out is None else out.unionByName(f)
-    return make(out).drop("path")
+    return make(files_of(spark, sf_dir, {f"app/{path}": content for path, content in table.items()})).drop("path")
 
 
 @query("src_04_json_manifests", f"{PACKS} {JSON_SQL}")
@@ -56,7 +59,8 @@ def src_04(spark, sf_dir):
 
 
 POM = [
-    q("<project><parent><groupId>org.p</groupId><artifactId>p</artifactId><version>1</version></parent><licenses><license><name>Apache-2.0</name></license></licenses>"),
+    "'<project>' || CASE WHEN pkg_id % 3 = 0 THEN '' ELSE '<parent><groupId>org.p</groupId><artifactId>p' || pkg_id || '</artifactId><version>' || version || '</version></parent>' END",
+    "CASE WHEN license IS NULL THEN '' ELSE '<licenses><license><name>' || license || '</name></license><license><name>second</name></license></licenses>' END",
     q("<dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>managed</artifactId></dependency></dependencies></dependencyManagement>"),
     "'<dependency><groupId>g</groupId> <artifactId>lib' || pkg_id || '</artifactId><version>' || version || '</version></dependency>'",
     q("<dependency><groupId>g</groupId><artifactId>t</artifactId><scope>test</scope></dependency><dependency><groupId>g</groupId><artifactId>other</artifactId></dependency></project>"),
@@ -75,7 +79,15 @@ def src_05(spark, sf_dir):
     return all_of(spark, sf_dir, table, manifests.deps_from_xml)
 
 
-@query("src_05_pom_facts", PACKS + " SELECT pkg_id AS root, 'Apache-2.0' AS license, 'org.p:p:1' AS parent FROM fx_packages")
+REFERENCES = ["'<ProjectReference Include=\"..' || chr(92) || 'lib' || (pkg_id % 50) || chr(92) || 'x.csproj\" />'", "'<ProjectReference Include=\"./sub/../y' || pkg_id || '.csproj\" /><ProjectReference Include=\"../../../out.csproj\" />'"]
+
+
+@query("src_05_project_references", PACKS + " SELECT pkg_id AS root, 'src/app/a.csproj' AS src, 'src/lib' || (pkg_id % 50) || '/x.csproj' AS dst FROM fx_packages UNION ALL SELECT pkg_id, 'src/app/a.csproj', 'src/app/y' || pkg_id || '.csproj' FROM fx_packages")
+def src_05c(spark, sf_dir):
+    return manifests.project_references(files(spark, sf_dir, "src/app/a.csproj", *REFERENCES))
+
+
+@query("src_05_pom_facts", PACKS + " SELECT pkg_id AS root, license, CASE WHEN pkg_id % 3 <> 0 THEN 'org.p:p' || pkg_id || ':' || version END AS parent FROM fx_packages")
 def src_05b(spark, sf_dir):
     return manifests.pom_facts(files(spark, sf_dir, "pom.xml", *POM)).drop("path")
 
@@ -85,9 +97,13 @@ LINE_FILES = {
     "go.mod": [q("module x"), q("go 1.21"), q("require ("), "'  example.com/lib' || pkg_id || ' v' || version || ' // indirect'", q(")"), q("require example.com/other v1.0.0"), q("replace ("), q("  a.b/c v0.0.1"), q(")")],
     "Gemfile.lock": [q("GEM"), q("  specs:"), "'    lib' || pkg_id || ' (' || version || '-x86_64-linux)'", q("      dep (~> 2)"), q("    other (1.0.0)"), q(""), q("PLATFORMS"), q("    not (3)")],
     "Gemfile": ["'gem ''lib' || pkg_id || ''', ''~> ' || version || ''''", q('gem "other", "1.0.0"')],
-    "build.gradle": ["'  implementation ''g:lib' || pkg_id || ':' || version || ''''", q('  api("g:other:1.0.0")'), q("  testImplementation 'g:t:1'")],
+    "go.work": [q("go 1.21"), q("use ("), "'  ./mod' || pkg_id || ' // a member'", q(")"), q("use ./tools"), q("replace a => ./b")],
+    "build.gradle": ["'def kitVersion = \"' || version || '\"'", "'  implementation ''g:lib' || pkg_id || ':' || version || ''''", q('  api("g:other:1.0.0")'), q("  testImplementation 'g:t:1'"), q('  api "g:kit:$kitVersion"'), "'  api \"g:far:$' || '{farVersion}\"'", q('  api "g:lost:$lost"')],
+    "gradle.properties": [q("# a comment"), "'farVersion = ' || version || '-far'"],
     "CMakeLists.txt": ["'find_package(lib' || pkg_id || ' ' || version || ' REQUIRED)'", q("FIND_PACKAGE( other 1.0.0 )")],
     "conanfile.txt": [q("[requires]"), "'lib' || pkg_id || '/' || version || '@user/stable'", q("other/1.0.0"), q("[generators]"), q("cmake/x")],
+    "conanfile.py": [q("from conan import ConanFile"), q("class X(ConanFile):"), "'    requires = \"lib' || pkg_id || '/' || version || '@user/stable\", \"other/1.0.0\"'", q("    def requirements(self):"), q('        self.requires("third/2.0")')],
+    "WORKSPACE": [q("http_archive("), "'    name = \"lib' || pkg_id || '\",'", "'    strip_prefix = \"lib-' || version || '\",'", q(")"), q("git_repository("), q('    name = "other",'), q('    tag = "v1.0.0",'), q(")")],
     "DESCRIPTION": [q("Package: x"), "'Imports: lib' || pkg_id || ' (>= ' || version || '),'", q("    other (>= 1.0.0)"), q("Depends: R (>= 4.0)"), q("Suggests: not")],
     "yarn.lock": [q("# yarn lockfile v1"), "'lib' || pkg_id || '@^1.0.0, lib' || pkg_id || '@^2:'", "'  version \"' || version || '\"'", q('"other@npm:^1":'), q("  version: 1.0.0")],
     "pnpm-lock.yaml": [q("lockfileVersion: 6"), q("packages:"), "'  /lib' || pkg_id || '@' || version || ':'", q("    resolution: {}"), q("  other@1.0.0(peer@2):")],
@@ -100,6 +116,8 @@ LINE_FILES = {
 LINE_SQL = " UNION ALL ".join([
     two("requirements"), two("go.mod", a="'example.com/lib' || pkg_id", av="'v' || version", b="'example.com/other'", bv="'v1.0.0'"), two("Gemfile.lock"), two("Gemfile"), two("gradle", a="'g:lib' || pkg_id", b="'g:other'"),
     two("cmake"), two("conanfile"), two("DESCRIPTION"), two("yarn.lock"), two("pnpm-lock"), two("Makefile", av="''", bv="''"), two("configure"), two("pkg-config"), two("bazel"), two("control"),
+    two("go.work", a="'./mod' || pkg_id", av="''", b="'./tools'", bv="''"), two("gradle", a="'g:kit'", b="'g:far'", bv="version || '-far'"), "SELECT pkg_id, 'g:lost', '$lost', 'gradle' FROM fx_packages",
+    two("conanfile.py"), "SELECT pkg_id, 'third', '2.0', 'conanfile.py' FROM fx_packages", two("WORKSPACE"),
 ])
 
 
@@ -114,14 +132,54 @@ TOML_FILES = {
 }
 
 
-@query("src_07_toml_manifests", f"{PACKS} {two('uv.lock')} UNION ALL {two('pyproject')}")
+TOML_FILES |= {
+    "Cargo.lock": [q("version = 3"), q("[[package]]"), q('name = "own"'), q('version = "0.1.0"'), q("dependencies = ["), "' \"lib' || pkg_id || ' ' || version || '\",'", q(' "other",'), q("]"), q("[[package]]"), "'name = \"lib' || pkg_id || '\"'", "'version = \"' || version || '\"'", q('source = "registry"'), q("dependencies = ["), q(' "other 1.0.0 (registry)",'), q("]"), q("[[package]]"), q('name = "other"'), q('version = "1.0.0"'), q('source = "registry"')],
+    "Cargo.toml": ["'[package]'", q('name = "own"'), "CASE WHEN license IS NULL THEN '' ELSE 'license = \"' || license || '\"' END", q("[dependencies]"), "'lib' || pkg_id || ' = \"^' || version || '\"'", q('short = { package = "other", version = "1.0.0", features = ["a"] }'), q('near = { path = "../near" }'), q("[dev-dependencies.tool]"), q('version = "2"'), q("[target.'cfg(unix)'.dependencies]"), q('libc = "0.2"'), q("[features]"), q('default = "x"')],
+}
+CARGO = "SELECT pkg_id, 'near', '', 'Cargo.toml' FROM fx_packages UNION ALL SELECT pkg_id, 'tool', '2', 'Cargo.toml' FROM fx_packages UNION ALL SELECT pkg_id, 'libc', '0.2', 'Cargo.toml' FROM fx_packages"
+
+
+@query("src_07_toml_manifests", f"{PACKS} {two('uv.lock')} UNION ALL {two('pyproject')} UNION ALL {two('Cargo.lock')} UNION ALL {two('Cargo.toml')} UNION ALL {CARGO}")
 def src_07(spark, sf_dir):
     return all_of(spark, sf_dir, TOML_FILES, manifests.deps_from_toml)
 
 
-@query("src_07_toml_licenses", PACKS + " SELECT pkg_id AS root, 'MIT' AS license FROM fx_packages")
+@query("src_07_toml_licenses", PACKS + " SELECT pkg_id AS root, 'pyproject.toml' AS file, 'MIT' AS license FROM fx_packages UNION ALL SELECT pkg_id, 'Cargo.toml', license FROM fx_packages")
 def src_07b(spark, sf_dir):
-    return manifests.toml_license(files(spark, sf_dir, "pyproject.toml", *TOML_FILES["pyproject.toml"])).drop("path")
+    table = {n: TOML_FILES[n] for n in ("pyproject.toml", "Cargo.toml", "uv.lock")}
+    return all_of(spark, sf_dir, table, lambda f: manifests.toml_license(f).withColumn("file", F.substring_index("path", "/", -1)))
+
+
+OWN = "SELECT pkg_id AS root, 'own@0.1.0' AS src, 'lib' || pkg_id || '@' || version AS dst FROM fx_packages UNION ALL SELECT pkg_id, 'own@0.1.0', 'other@1.0.0' FROM fx_packages UNION ALL SELECT pkg_id, 'lib' || pkg_id || '@' || version, 'other@1.0.0' FROM fx_packages"
+
+
+@query("src_07_cargo_graph", f"{PACKS} {OWN}")
+def src_07c(spark, sf_dir):
+    return all_of(spark, sf_dir, {"Cargo.lock": TOML_FILES["Cargo.lock"]}, manifests.cargo_graph)
+
+
+@query("jon_14_cargo_members", PACKS + " SELECT pkg_id AS root, 'other@1.0.0' AS pkg_id, 'own@0.1.0' AS members FROM fx_packages UNION ALL SELECT pkg_id, 'lib' || pkg_id || '@' || version, 'own@0.1.0' FROM fx_packages")
+def jon_14b(spark, sf_dir):
+    """Cargo workspaces end to end: members and edges of every lock file, closures, attribution."""
+    locks = files(spark, sf_dir, "Cargo.lock", *TOML_FILES["Cargo.lock"])
+    node = lambda c: F.concat_ws("|", "root", c)
+    members = manifests.cargo_members(locks).select(node("member").alias("member"), node("member").alias("pkg_id"))
+    edges = manifests.cargo_graph(locks).select(node("src").alias("src"), node("dst").alias("dst"))
+    made = graph.attribute_workspaces(members, edges, 3)
+    bare = lambda c: F.regexp_replace(c, r"(^|,)[^|,]*\|", "$1")
+    return made.select(F.substring_index("pkg_id", "|", 1).cast("long").alias("root"), bare("pkg_id").alias("pkg_id"), bare("members").alias("members"))
+
+
+GO_GRAPH = [q("example.com/own go@1.21"), "'example.com/own example.com/lib' || pkg_id || '@v' || version", "'example.com/lib' || pkg_id || '@v' || version || ' example.com/other@v1.0.0'", q("example.com/other@v1.0.0 example.com/last@v0.1.0")]
+
+
+@query("gra_01_go_depths", PACKS + " SELECT pkg_id AS root, 'example.com/lib' || pkg_id || '@v' || version AS module, 1 AS depth FROM fx_packages UNION ALL SELECT pkg_id, 'example.com/other@v1.0.0', 2 FROM fx_packages UNION ALL SELECT pkg_id, 'example.com/last@v0.1.0', 3 FROM fx_packages")
+def gra_01b(spark, sf_dir):
+    """Modules of a printed module graph with their least depth below the main module."""
+    edges = manifests.go_graph(files(spark, sf_dir, "go.graph", *GO_GRAPH)).select("root", F.concat_ws("|", "root", "src").alias("src"), F.concat_ws("|", "root", "dst").alias("dst"))
+    main = graph.graph_roots(edges).select(F.substring_index("node", "|", 1).cast("long").alias("project_id"), F.col("node").alias("pkg_id"))
+    made = graph.transitive_closure(main, edges, 5).where("depth > 0")
+    return made.select(F.col("project_id").alias("root"), F.substring_index("pkg_id", "|", -1).alias("module"), "depth")
 
 
 NUSPEC = "CASE pkg_id % 5 WHEN 0 THEN '<license type=\"expression\">MIT</license>' WHEN 1 THEN '<license type=\"file\">LICENSE.md</license>' WHEN 2 THEN '<licenseUrl>https://x/Apache</licenseUrl>' WHEN 3 THEN '<licenseUrl>https://x/own</licenseUrl>' ELSE '<id>x</id>' END"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions import licenses as L
 from lixora.operators import sbom
+from lixora.plans.identity import COORD
 from lixora.plans.judging import PACKS, pool
 from lixora.plans.registry import query
 from lixora.sources.fixtures import duck, findings, fixture
@@ -19,16 +20,19 @@ ROWS = "r AS (SELECT d.project_id AS doc_id, p.*, row_number() OVER (PARTITION B
 
 
 def spdx_docs(spark, sf_dir):
-    return sbom.to_spdx(findings(spark, sf_dir).where("project_id % 2 = 0"), CREATED)
+    return sbom.to_spdx(findings(spark, sf_dir), CREATED)
 
 
 def cyclonedx_docs(spark, sf_dir):
-    return sbom.to_cyclonedx(findings(spark, sf_dir).where("project_id % 2 = 1"), CREATED)
+    return sbom.to_cyclonedx(findings(spark, sf_dir), CREATED)
 
 
 def mixed(spark, sf_dir):
+    """A document of each project, in one format or the other by its number, and texts that are no such documents."""
+    rows = findings(spark, sf_dir)
+    spdx, cyclonedx = sbom.to_spdx(rows.where("project_id % 2 = 0"), CREATED), sbom.to_cyclonedx(rows.where("project_id % 2 = 1"), CREATED)
     other = fixture(spark, sf_dir, "fx_packages").select((-F.col("pkg_id") - 1).alias("doc_id"), F.when(F.col("pkg_id") % 2 == 0, '{"a": 1}').otherwise("not json").alias("json"))
-    return spdx_docs(spark, sf_dir).unionByName(cyclonedx_docs(spark, sf_dir)).unionByName(other)
+    return spdx.unionByName(cyclonedx).unionByName(other)
 
 
 @query("src_08_sbom_formats", REL + " SELECT DISTINCT project_id AS doc_id, CASE WHEN project_id % 2 = 0 THEN 'spdx' ELSE 'cyclonedx' END AS format FROM fx_deps UNION ALL SELECT -pkg_id - 1, NULL FROM fx_packages")
@@ -36,12 +40,12 @@ def src_08(spark, sf_dir):
     return sbom.read_sboms(mixed(spark, sf_dir)).select("doc_id", "format")
 
 
-@query("jsn_01_spdx_components", f"{REL}, {ROWS} SELECT doc_id, pos, ecosystem, {LOWER} AS name, version, {SPDXED} AS license FROM r WHERE doc_id % 2 = 0")
+@query("jsn_01_spdx_components", f"{REL}, {ROWS} SELECT doc_id, pos, ecosystem, {LOWER} AS name, version, {SPDXED} AS license FROM r")
 def jsn_01(spark, sf_dir):
     return sbom.spdx_components(spdx_docs(spark, sf_dir))
 
 
-@query("jsn_02_cyclonedx_components", f"{REL}, {ROWS} SELECT doc_id, pos, ecosystem, {LOWER} AS name, version, {STATED} AS license FROM r WHERE doc_id % 2 = 1")
+@query("jsn_02_cyclonedx_components", f"{REL}, {ROWS} SELECT doc_id, pos, ecosystem, {LOWER} AS name, version, {STATED} AS license FROM r")
 def jsn_02(spark, sf_dir):
     return sbom.cyclonedx_components(cyclonedx_docs(spark, sf_dir))
 
@@ -51,19 +55,32 @@ def jsn_03(spark, sf_dir):
     return sbom.ingest_sboms(mixed(spark, sf_dir))
 
 
-@query("snk_05_spdx", REL + " SELECT project_id AS doc_id, count(*) AS packages, count(*) AS relations, 'SPDX-2.3' AS version FROM fx_deps WHERE project_id % 2 = 0 GROUP BY 1")
+@query("snk_05_spdx", f"{REL}, {ROWS} SELECT doc_id, 'SPDX-2.3' AS version, 'https://spdx.example/project-' || doc_id AS namespace, '{CREATED}' AS created, pos, name, version AS package_version, coalesce({SPDXED}, 'NOASSERTION') AS declared, 'NOASSERTION' AS concluded, {COORD} || '@' || version AS purl, true AS described FROM r")
 def snk_05(spark, sf_dir):
-    size = lambda k: F.size(F.from_json(F.get_json_object("json", f"$.{k}"), "array<string>")).cast("long")
-    return spdx_docs(spark, sf_dir).select("doc_id", size("packages").alias("packages"), size("relationships").alias("relations"), F.get_json_object("json", "$.spdxVersion").alias("version"))
+    """The documents, taken apart again: a row for every package in its place."""
+    kind = "struct<spdxVersion:string,documentNamespace:string,creationInfo:struct<created:string>,packages:array<struct<SPDXID:string,name:string,versionInfo:string,licenseDeclared:string,licenseConcluded:string,externalRefs:array<struct<referenceType:string,referenceLocator:string>>>>,relationships:array<struct<relationshipType:string,relatedSpdxElement:string>>>"
+    d = spdx_docs(spark, sf_dir).select("doc_id", F.from_json("json", kind).alias("d"))
+    rows = d.select("doc_id", "d.spdxVersion", "d.documentNamespace", "d.creationInfo.created", F.posexplode(F.arrays_zip("d.packages", "d.relationships")).alias("pos", "x"))
+    p = F.col("x.packages")
+    described = (F.col("x.relationships.relationshipType") == "DESCRIBES") & (F.col("x.relationships.relatedSpdxElement") == p["SPDXID"]) & p["SPDXID"].startswith("SPDXRef-Package-")
+    url = F.get(p["externalRefs"], F.lit(0))["referenceLocator"]
+    return rows.select("doc_id", F.col("spdxVersion").alias("version"), F.col("documentNamespace").alias("namespace"), "created", F.col("pos").cast("long").alias("pos"), p["name"].alias("name"), p["versionInfo"].alias("package_version"), p["licenseDeclared"].alias("declared"), p["licenseConcluded"].alias("concluded"), url.alias("purl"), described.alias("described"))
 
 
-@query("snk_06_cyclonedx", REL + " SELECT project_id AS doc_id, count(*) AS components, '1.5' AS version FROM fx_deps WHERE project_id % 2 = 1 GROUP BY 1")
+FREE = "license = 'The Apache Software License, Version 2.0'"
+
+
+@query("snk_06_cyclonedx", f"{REL}, {ROWS} SELECT doc_id, 'CycloneDX 1.5' AS format, '{CREATED}' AS created, pos, 'library' AS type, name, version, {COORD} || '@' || version AS purl, CASE WHEN NOT {FREE} AND NOT contains(license, ' ') THEN {STATED} END AS id, CASE WHEN {FREE} THEN license END AS free_name, CASE WHEN NOT {FREE} AND contains(license, ' ') THEN {STATED} END AS expression FROM r")
 def snk_06(spark, sf_dir):
-    size = F.size(F.from_json(F.get_json_object("json", "$.components"), "array<string>")).cast("long")
-    return cyclonedx_docs(spark, sf_dir).select("doc_id", size.alias("components"), F.get_json_object("json", "$.specVersion").alias("version"))
+    """The documents, taken apart again: a row for every component in its place."""
+    kind = "struct<bomFormat:string,specVersion:string,metadata:struct<timestamp:string>,components:array<struct<type:string,name:string,version:string,purl:string,licenses:array<struct<license:struct<id:string,name:string>,expression:string>>>>>"
+    d = cyclonedx_docs(spark, sf_dir).select("doc_id", F.from_json("json", kind).alias("d"))
+    rows = d.select("doc_id", F.concat_ws(" ", "d.bomFormat", "d.specVersion").alias("format"), F.col("d.metadata.timestamp").alias("created"), F.posexplode("d.components").alias("pos", "c"))
+    said = F.get("c.licenses", F.lit(0))
+    return rows.select("doc_id", "format", "created", F.col("pos").cast("long").alias("pos"), "c.type", "c.name", "c.version", "c.purl", said["license"]["id"].alias("id"), said["license"]["name"].alias("free_name"), said["expression"].alias("expression"))
 
 
-@query("snk_07_enriched", f"{REL}, {ROWS} SELECT doc_id, pos, coalesce({SPDXED}, CASE WHEN pos % 2 = 0 THEN 'ISC' ELSE 'Some Licence' END) AS license FROM r WHERE doc_id % 2 = 0")
+@query("snk_07_enriched", f"{REL}, {ROWS} SELECT doc_id, pos, coalesce({SPDXED}, CASE WHEN pos % 2 = 0 THEN 'ISC' ELSE 'Some Licence' END) AS license FROM r")
 def snk_07(spark, sf_dir):
     docs = spdx_docs(spark, sf_dir)
     answers = sbom.spdx_components(docs).select("doc_id", "pos", F.when(F.col("pos") % 2 == 0, "ISC").otherwise("Some Licence").alias("license"))

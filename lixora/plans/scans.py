@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lixora.functions import licenses as L
-from lixora.operators import scan
+from lixora.operators import judge, scan
 from lixora.operators.config import ComplianceConfig
-from lixora.plans.judging import MATRIX, TEXT_SQL
+from lixora.plans.judging import CODE, JUDGED, TEXT_SQL, pool
 from lixora.plans.registry import query
 from lixora.sources import files as S
-from lixora.sources.fixtures import duck, fixture
+from lixora.sources.fixtures import duck, fixture, pick
 
 SRC, PATHS, FILES = duck("fx_src"), duck("fx_paths"), duck("fx_files")
 DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END"
@@ -45,16 +45,22 @@ def src_03(spark, sf_dir):
     return S.project_roots(paths(spark, sf_dir))
 
 
-@query("src_15_reference_tables", f"SELECT * FROM (VALUES {MATRIX}) m(project_license, dep_license)")
-def src_15(spark, sf_dir):
-    from lixora.operators.config import COMPATIBLE
-    from lixora.sources.fixtures import PROJECTS
+#: A run with tables of its own, made from the packages: each wins over the default one.
+OWN_TABLES = f"""bad AS (SELECT DISTINCT license AS pattern FROM fx_packages WHERE ecosystem = 'cargo' AND license IS NOT NULL), allowed AS (SELECT DISTINCT license AS dep FROM fx_packages WHERE ecosystem = 'golang' AND license IS NOT NULL),
+open AS (SELECT DISTINCT license AS id FROM fx_packages WHERE ecosystem = 'pypi' AND license IS NOT NULL), leaf3 AS (SELECT leaf, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE contains(leaf, pattern)) THEN 0 ELSE 2 END AS free,
+  CASE WHEN norm IN (SELECT id FROM open) OR leaf IN (SELECT id FROM open) THEN 2 ELSE osi END AS osi, CASE WHEN norm IN (SELECT dep FROM allowed) THEN 2 ELSE 0 END AS mit FROM leaf2),
+own3 AS (SELECT license, max(free) AS free, max(osi) AS osi, max(mit) AS mit FROM (SELECT license, clause, min(free) AS free, min(osi) AS osi, min(mit) AS mit FROM dnf JOIN leaf3 USING (leaf) GROUP BY 1, 2) c GROUP BY 1)"""
+
 
-    cfg = ComplianceConfig.default(spark)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    used = fixture(spark, sf_dir, "fx_projects").select("project_license").distinct() if orders.columns else None
-    assert set(COMPATIBLE) == {p for p in PROJECTS if p}
-    return cfg.matrix.join(used, "project_license", "left_semi")
+@query("src_15_reference_tables", f"{JUDGED}, {OWN_TABLES}, p AS (SELECT DISTINCT license, CASE WHEN pkg_id % 2 = 0 THEN 'MIT License' ELSE 'ISC' END AS project_license FROM fx_packages) SELECT p.license, p.project_license, CASE WHEN p.license = 'No License' THEN true WHEN p.license IS NULL THEN false ELSE free = 0 END AS is_restrictive, {CODE['osi'].format(x='osi')} AS osi_status, CASE WHEN p.license IS NULL OR p.project_license = 'ISC' THEN 'Unknown' WHEN mit = 2 THEN 'Compatible' ELSE 'Incompatible' END AS compatibility FROM p LEFT JOIN own3 USING (license)")
+def src_15(spark, sf_dir):
+    """Verdicts by explicit tables: restrictive patterns, a matrix that knows one project licence, OSI ids."""
+    p = pool(spark, sf_dir)
+    of = lambda eco, name: p.where((F.col("ecosystem") == eco) & F.col("license").isNotNull()).select(F.col("license").alias(name)).distinct()
+    matrix = of("golang", "dep_license").select(F.lit("MIT").alias("project_license"), "dep_license")
+    cfg = ComplianceConfig.from_tables(spark, restrictive=of("cargo", "pattern"), matrix=matrix, osi=of("pypi", "spdx_id"))
+    rows = p.select("license", F.when(F.col("pkg_id") % 2 == 0, "MIT License").otherwise("ISC").alias("project_license")).distinct()
+    return judge.judge(rows, cfg).select("license", "project_license", "is_restrictive", "osi_status", "compatibility")
 
 
 @query("fil_08_paths", PATHS + "SELECT path, regexp_matches(lower(path), '\\.(rs|py|json)$') AND NOT path LIKE '%json' AS source, regexp_matches(path, '(^|/)node_modules/') AS skipped, regexp_matches(lower(path), '(^|/)(vendor|third_party)/') AS vendored, regexp_matches(path, '(^|/)\\.') AS hidden FROM fx_paths")
@@ -69,9 +75,22 @@ def srt_03(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_files").select("doc_id", F.size(head).cast("long").alias("lines"), F.element_at(head, -1).alias("last_line"))
 
 
-@query("win_01_dir_license", FILES + f"SELECT root, {DIR} AS dir, min({DETECT}) AS license FROM fx_files WHERE {NAME} = 'LICENSE' GROUP BY 1, 2 HAVING min({DETECT}) IS NOT NULL")
+#: Licence files of all names in twenty directories a source, most of which say nothing.
+RANKED = ["LICENSE", "LICENSE.txt", "LICENSE.md", "license", "COPYING", "COPYING.md", "copyright", "OFL.txt", "OFL-1.1.txt"]
+OTHERS = ["LICENSE-MIT", "Licence.txt", "copying.lesser", "LICENSE.py", "README"]
+LICENSED = ["MIT License", "Apache License, Version 2.0", "ISC License", "Mozilla Public License Version 2.0"]
+EVIDENCE = f"""SELECT source AS root, 'd' || (doc_id % 20) || '/' || {pick(RANKED + OTHERS, "(doc_id // 20)").replace("//", "{div}")} AS path, CASE WHEN doc_id % 3 = 0 THEN {pick(LICENSED, "(doc_id // 60)").replace("//", "{div}")} ELSE 'says nothing' END AS content"""
+RANK = "CASE " + NAME + " " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(RANKED)) + " END"
+EV = f"WITH e AS ({EVIDENCE.format(div='//')} FROM documents), r AS (SELECT root, regexp_replace(path, '/[^/]*$', '') AS dir, path, {RANK} AS rank, content FROM e)"
+
+
+def evidence(spark, sf_dir):
+    return spark.sql(EVIDENCE.format(div="div") + " FROM {documents}", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("win_01_dir_license", EV + f", s AS (SELECT root, dir, rank, path, CASE WHEN path LIKE '%OFL%' THEN 'OFL-1.1' ELSE {DETECT} END AS said FROM r WHERE rank IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY root, dir ORDER BY rank, path, said) AS n FROM s WHERE said IS NOT NULL) SELECT root, dir, said AS license FROM n WHERE n = 1")
 def win_01(spark, sf_dir):
-    return scan.dir_license(fixture(spark, sf_dir, "fx_files"))
+    return scan.dir_license(evidence(spark, sf_dir))
 
 
 @query("win_02_dir_header", SRC + f", r AS (SELECT root, {DIR} AS dir, path, {TAG} AS license, row_number() OVER (PARTITION BY root, {DIR} ORDER BY path) AS n FROM fx_src WHERE {IS_SOURCE}) SELECT root, dir, arg_min(license, path) AS license FROM r WHERE n <= 50 AND license IS NOT NULL GROUP BY 1, 2")
@@ -81,9 +100,9 @@ def win_02(spark, sf_dir):
     return scan.dir_header_license(f).join(own, ["root", "dir"], "left_semi")
 
 
-@query("win_03_dir_text", PATHS + f"SELECT DISTINCT root, {DIR} AS dir, path FROM fx_paths WHERE {NAME} = 'LICENSE'")
+@query("win_03_dir_text", EV + f", t AS (SELECT root, dir, path, coalesce(rank, 9) AS rank FROM r WHERE rank IS NOT NULL OR (regexp_matches(upper({NAME}), '^(LICENSE|LICENCE|COPYING)') AND NOT path LIKE '%.py')), n AS (SELECT *, row_number() OVER (PARTITION BY root, dir ORDER BY rank, path) AS n FROM t) SELECT root, dir, path FROM n WHERE n = 1")
 def win_03(spark, sf_dir):
-    return scan.dir_license_text(paths(spark, sf_dir))
+    return scan.dir_license_text(evidence(spark, sf_dir))
 
 
 @query("win_04_carry_forward", FILES + "SELECT root, count(*) AS lines, count(DISTINCT path) AS files FROM (SELECT root, path, unnest(string_split(content, chr(10))) AS line FROM fx_files) x GROUP BY 1")

@@ -1,83 +1,103 @@
-"""Dependencies in manifests and lock files: (root, path, name, version, kind). Files are (root, path, content)."""
+"""Dependencies in manifests and lock files: (root, path, name, version, kind). Files are (root, path, content).
 
-from __future__ import annotations
+Every format is a column expression over one file's text that gives an array of (name, version). A file is sent
+to its format by its name, so a corpus is read once, whatever it holds, and nothing is shuffled but the rows that
+repeat within a file's result (they are dropped inside the row).
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lixora.functions.ids import clean_version
-from lixora.sources.files import name_of
-from lixora.sources.lines import carry_forward, numbered_lines
+from lixora.sources.files import dir_of, name_of
 
-OUT = ["root", "path", "name", "version", "kind"]
 NODE_SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+NONE = "array<struct<name:string,version:string>>"
+
+
+def dep(name: Column, version: Column | None = None) -> Column:
+    return F.struct(F.trim(name).alias("name"), F.coalesce(F.trim(version) if version is not None else F.lit(""), F.lit("")).alias("version"))
+
+
+def each(text: Column, pattern: str, make) -> Column:
+    """make(match) of every match of a pattern."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), make)
+
 
+def found(text: Column, pattern: str, name: int = 1, version: int = 2, clean: str | None = None) -> Column:
+    """Names and versions by two groups of a pattern; group 0 stands for no version."""
 
-def _named(files: DataFrame, *names: str) -> DataFrame:
-    return files.where(name_of(F.col("path")).isin(*names))
+    def make(m: Column) -> Column:
+        v = F.regexp_extract(m, pattern, version) if version else F.lit("")
+        return dep(F.regexp_extract(m, pattern, name), clean_version(v, F.lit(clean)) if clean else v)
 
+    return each(text, pattern, make)
 
-def _out(df: DataFrame, name: Column, version: Column, kind: str) -> DataFrame:
-    rows = df.select("root", "path", F.trim(name).alias("name"), F.coalesce(F.trim(version), F.lit("")).alias("version"), F.lit(kind).alias("kind"))
-    return rows.where("name <> ''").distinct()
 
+def lines(text: Column) -> Column:
+    return F.split(text, r"\r?\n")
 
-def _map(df: DataFrame, path: str, value: str) -> DataFrame:
-    """One row per entry of a JSON object at a path: key, value."""
-    return df.select("root", "path", F.explode(F.from_json(F.get_json_object("content", path), f"map<string, {value}>")).alias("key", "value"))
 
+def entries(text: Column, path: str, value: str) -> Column:
+    """Entries (key, value) of a JSON object at a path; none if it isn't there."""
+    return F.coalesce(F.map_entries(F.from_json(F.get_json_object(text, path), f"map<string, {value}>")), F.array().cast(f"array<struct<key:string,value:{_type(value)}>>"))
 
-def package_json(files: DataFrame) -> DataFrame:
-    f = _named(files, "package.json")
-    parts = [_map(f, f"$.{s}", "string") for s in NODE_SECTIONS]
-    rows = reduce(DataFrame.unionByName, parts)
-    return _out(rows, F.col("key"), clean_version(F.col("value"), F.lit("npm")), "package.json")
 
+def _type(value: str) -> str:
+    return value.replace(": ", ":").replace(", ", ",")
 
-def package_lock(files: DataFrame) -> DataFrame:
+
+def package_json(text: Column) -> Column:
+    return F.concat(*[F.transform(entries(text, f"$.{s}", "string"), lambda e: dep(e["key"], clean_version(e["value"], F.lit("npm")))) for s in NODE_SECTIONS])
+
+
+def package_lock(text: Column) -> Column:
     """Names come from the node_modules/ key."""
-    rows = _map(_named(files, "package-lock.json"), "$.packages", "struct<version: string>").where("key <> ''")
-    return _out(rows, F.regexp_replace("key", "^.*node_modules/", ""), F.col("value.version"), "package-lock.json")
+    packages = F.filter(entries(text, "$.packages", "struct<version: string>"), lambda e: e["key"] != "")
+    return F.transform(packages, lambda e: dep(F.regexp_replace(e["key"], "^.*node_modules/", ""), e["value"]["version"]))
+
 
+def pipfile_lock(text: Column) -> Column:
+    both = F.concat(entries(text, "$.default", "struct<version: string>"), entries(text, "$.develop", "struct<version: string>"))
+    return F.transform(both, lambda e: dep(e["key"], F.regexp_replace(e["value"]["version"], "^=+", "")))
 
-def pipfile_lock(files: DataFrame) -> DataFrame:
-    f = _named(files, "Pipfile.lock")
-    rows = _map(f, "$.default", "struct<version: string>").unionByName(_map(f, "$.develop", "struct<version: string>"))
-    return _out(rows, F.col("key"), F.regexp_replace("value.version", "^=+", ""), "Pipfile.lock")
 
+def renv_lock(text: Column) -> Column:
+    packages = entries(text, "$.Packages", "struct<Package: string, Version: string>")
+    return F.transform(packages, lambda e: dep(F.coalesce(e["value"]["Package"], e["key"]), e["value"]["Version"]))
 
-def renv_lock(files: DataFrame) -> DataFrame:
-    rows = _map(_named(files, "renv.lock"), "$.Packages", "struct<Package: string, Version: string>")
-    return _out(rows, F.coalesce("value.Package", "key"), F.col("value.Version"), "renv.lock")
 
+def packages_lock_json(text: Column) -> Column:
+    per_framework = entries(text, "$.dependencies", "map<string, struct<resolved: string>>")
+    return F.flatten(F.transform(per_framework, lambda f: F.transform(F.map_entries(f["value"]), lambda e: dep(e["key"], e["value"]["resolved"]))))
 
-def packages_lock_json(files: DataFrame) -> DataFrame:
-    per_framework = _map(_named(files, "packages.lock.json"), "$.dependencies", "map<string, struct<resolved: string>>")
-    rows = per_framework.select("root", "path", F.explode("value").alias("key", "value"))
-    return _out(rows, F.col("key"), F.col("value.resolved"), "packages.lock.json")
 
+def vcpkg_json(text: Column) -> Column:
+    def make(d: Column) -> Column:
+        is_object = F.startswith(d, F.lit("{"))
+        return dep(F.when(is_object, F.get_json_object(d, "$.name")).otherwise(d), F.when(is_object, F.get_json_object(d, "$['version>=']")))
 
-def vcpkg_json(files: DataFrame) -> DataFrame:
-    items = _named(files, "vcpkg.json").select("root", "path", F.explode(F.from_json(F.get_json_object("content", "$.dependencies"), "array<string>")).alias("d"))
-    is_object = F.startswith("d", F.lit("{"))
-    return _out(items, F.when(is_object, F.get_json_object("d", "$.name")).otherwise(F.col("d")), F.when(is_object, F.get_json_object("d", "$['version>=']")), "vcpkg.json")
+    return F.transform(F.from_json(F.get_json_object(text, "$.dependencies"), "array<string>"), make)
 
 
-def ls_json(files: DataFrame, depth: int = 15) -> DataFrame:
+def ls_json(text: Column, depth: int = 15) -> Column:
     """Nested trees that package managers list: dependencies within dependencies, at most ``depth`` levels."""
-    level = _map(_named(files, "ls.json"), "$.dependencies", "struct<version: string, dependencies: string>")
-    found = [level]
+    shape = "struct<version: string, dependencies: string>"
+    level = entries(text, "$.dependencies", shape)
+    out = level
     for _ in range(depth - 1):
-        level = level.select("root", "path", F.explode(F.from_json("value.dependencies", "map<string, struct<version: string, dependencies: string>>")).alias("key", "value"))
-        found.append(level)
-    return _out(reduce(DataFrame.unionByName, found), F.col("key"), F.col("value.version"), "ls.json")
+        below = F.transform(level, lambda e: F.coalesce(F.map_entries(F.from_json(e["value"]["dependencies"], f"map<string, {shape}>")), F.array().cast(f"array<struct<key:string,value:{_type(shape)}>>")))
+        level = F.flatten(below)
+        out = F.concat(out, level)
+    return F.transform(out, lambda e: dep(e["key"], e["value"]["version"]))
 
 
-def deps_from_json(files: DataFrame, depth: int = 15) -> DataFrame:
-    parts = [package_json, package_lock, pipfile_lock, renv_lock, packages_lock_json, vcpkg_json]
-    return reduce(DataFrame.unionByName, [p(files) for p in parts] + [ls_json(files, depth)])
+def assets_json(text: Column) -> Column:
+    """Packages of project.assets.json, transitive ones too; projects aren't packages."""
+    packages = F.filter(entries(text, "$.libraries", "struct<type: string>"), lambda e: e["value"]["type"] == "package")
+    return F.transform(packages, lambda e: dep(F.substring_index(e["key"], "/", 1), F.substring_index(e["key"], "/", -1)))
 
 
 def tag(block: Column, name: str) -> Column:
@@ -105,14 +125,31 @@ def pom_facts(files: DataFrame) -> DataFrame:
     return files.where(name_of(F.col("path")).endswith("pom.xml")).select("root", "path", license_.alias("license"), parent.alias("parent"))
 
 
-def csproj(files: DataFrame) -> DataFrame:
-    rows = files.where(F.col("path").rlike(r"\.(?:cs|fs|vb)proj$")).select("root", "path", F.explode(F.regexp_extract_all("content", F.lit(r"<PackageReference\s+([^>]*)"), F.lit(1))).alias("a"))
-    return _out(rows, F.regexp_extract("a", 'Include="([^"]+)"', 1), F.regexp_extract("a", 'Version="([^"]+)"', 1), "csproj")
+def pom(text: Column) -> Column:
+    bare = F.regexp_replace(text, "(?s)<dependencyManagement>.*?</dependencyManagement>", "")
+    blocks = F.filter(F.regexp_extract_all(bare, F.lit("(?s)<dependency>(.*?)</dependency>"), F.lit(1)), lambda b: F.lower(F.coalesce(tag(b, "scope"), F.lit("compile"))) != "test")
+    return F.transform(blocks, lambda b: dep(F.concat(tag(b, "groupId"), F.lit(":"), tag(b, "artifactId")), F.coalesce(tag(b, "version"), F.lit("RELEASE"))))
+
+
+def csproj(text: Column) -> Column:
+    return each(text, r"<PackageReference\s+([^>]*)", lambda m: dep(F.regexp_extract(m, 'Include="([^"]+)"', 1), F.regexp_extract(m, 'Version="([^"]+)"', 1)))
 
 
-def slnx_projects(files: DataFrame) -> DataFrame:
-    rows = files.where(F.col("path").endswith(".slnx")).select("root", "path", F.explode(F.regexp_extract_all("content", F.lit(r'<Project\s+Path="([^"]+)"'), F.lit(1))).alias("p"))
-    return _out(rows, F.replace(F.col("p"), F.lit("\\"), F.lit("/")), F.lit(""), "slnx")
+def slnx(text: Column) -> Column:
+    """The projects of a solution."""
+    shape = r'<Project\s+Path="([^"]+)"'
+    return each(text, shape, lambda m: dep(F.replace(F.regexp_extract(m, shape, 1), F.lit("\\"), F.lit("/"))))
+
+
+def project_references(files: DataFrame) -> DataFrame:
+    """(root, src, dst): paths of projects that refer to others, relative paths resolved. Files outside the root go."""
+    shape = r'<ProjectReference\s[^>]*?Include="([^"]+)"'
+    rows = files.where(F.col("path").rlike(r"\.(?:cs|fs|vb)proj$")).select("root", F.col("path").alias("src"), F.explode(F.regexp_extract_all("content", F.lit(shape), F.lit(1))).alias("to"))
+    whole = F.concat_ws("/", F.nullif(dir_of(F.col("src")), F.lit("")), F.replace(F.col("to"), F.lit("\\"), F.lit("/")))
+    parts = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    up = lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when((F.size(a) > 0) & (F.element_at(a, -1) != ".."), F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(p)))
+    dst = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+    return rows.select("root", "src", dst.alias("dst")).where("not startswith(dst, '..')").distinct()
 
 
 def nuspec_license(content: Column) -> Column:
@@ -125,146 +162,266 @@ def nuspec_license(content: Column) -> Column:
     return F.when((value != "") & F.contains(attrs, F.lit('type="file"')), as_("file", value)).when(value != "", as_("expression", value)).when(url != "", as_("expression", guess))
 
 
-def deps_from_xml(files: DataFrame) -> DataFrame:
-    poms = pom_dependencies(files).withColumn("version", F.coalesce("version", F.lit("RELEASE")))
-    return poms.unionByName(csproj(files)).unionByName(slnx_projects(files))
+REQUIREMENT = r"^([^\s>=<!~()\[;]+)(?:\[[^\]]*\])?\s*(.*)$"
+
+
+def requirement(t: Column) -> Column:
+    version = F.regexp_replace(F.regexp_extract(F.substring_index(t, ";", 1), REQUIREMENT, 2), r"[()\s]", "")
+    return dep(F.regexp_extract(F.substring_index(t, ";", 1), REQUIREMENT, 1), clean_version(version, F.lit("pypi")))
+
+
+def requirements(text: Column) -> Column:
+    bare = F.transform(lines(text), lambda x: F.trim(F.regexp_replace(F.substring_index(x, ";", 1), r"(?:^|\s)#.*$", "")))
+    return F.transform(F.filter(bare, lambda t: (t != "") & ~F.startswith(t, F.lit("-"))), requirement)
+
+
+def go_mod(text: Column) -> Column:
+    """Of require lines and require blocks; other blocks (replace, exclude) aren't dependencies."""
+    bare = F.regexp_replace(text, r"(?m)//.*$", "")
+    inside = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?ms)^require\s*\(\s*$(.*?)^\s*\)"), F.lit(1)), "\n")
+    lone = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?m)^\s*require\s+(\S+[ \t]+v\S+)"), F.lit(1)), "\n")
+    shape = r"(?m)^[ \t]*([\w./~-]+)[ \t]+(v\d\S*)[ \t]*$"
+    return F.filter(found(F.concat_ws("\n", inside, lone), shape), lambda d: ~d["name"].isin("go", "toolchain"))
+
+
+def go_work(text: Column) -> Column:
+    """The member directories that a workspace uses."""
+    bare = F.regexp_replace(text, r"(?m)//.*$", "")
+    inside = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?ms)^use\s*\(\s*$(.*?)^\s*\)"), F.lit(1)), "\n")
+    lone = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?m)^\s*use[ \t]+([^\s(]+)"), F.lit(1)), "\n")
+    return found(F.concat_ws("\n", inside, lone), r"(?m)^[ \t]*(\S+)[ \t]*$", 1, 0)
+
+
+def gemfile_lock(text: Column) -> Column:
+    inside = F.array_join(F.regexp_extract_all(text, F.lit(r"(?m)^ *specs:[ \t]*\r?\n((?:    .*(?:\n|\z))*)"), F.lit(1)), "\n")
+    return found(inside, r"(?m)^    ([A-Za-z0-9._-]+) \(([^)]+)\)\r?$", clean="gem")
 
 
-def _matches(files: DataFrame, pattern: str, content: Column | None = None) -> DataFrame:
-    """One row per match of a pattern in a file: m, the whole match."""
-    text = F.col("content") if content is None else content
-    return files.select("root", "path", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("m"))
+def gemfile(text: Column) -> Column:
+    return found(text, r"""(?m)^\s*gem\s+['"]([^'"]+)['"](?:\s*,\s*['"]([^'"]+)['"])?""", clean="gem")
 
 
-def requirements(files: DataFrame) -> DataFrame:
-    lines = numbered_lines(_named(files, "requirements.txt", "pip_freeze.txt"), ["root", "path"])
-    text = F.trim(F.regexp_replace(F.substring_index("line", ";", 1), r"(?:^|\s)#.*$", ""))
-    rows = lines.select("root", "path", text.alias("t")).where("t <> '' and not startswith(t, '-')")
-    name = F.regexp_extract("t", r"^([^\s>=<!~()\[;]+)", 1)
-    version = F.regexp_replace(F.regexp_extract("t", r"^[^\s>=<!~()\[;]+(?:\[[^\]]*\])?\s*(.*)$", 1), r"[()\s]", "")
-    return _out(rows, name, clean_version(version, F.lit("pypi")), "requirements")
+#: The configurations whose entries are dependencies of a Gradle build.
+GRADLE = "implementation|api|compile|compileOnly|runtimeOnly"
 
 
-def go_mod(files: DataFrame) -> DataFrame:
-    lines = numbered_lines(_named(files, "go.mod"), ["root", "path"])
-    text = F.trim(F.regexp_replace("line", "//.*$", ""))
-    section = F.when(text.rlike(r"^\w+\s*\($"), F.regexp_extract(text, r"^(\w+)", 1)).when(text == ")", "")
-    rows = carry_forward(lines, ["root", "path"], "pos", section, "section").withColumn("t", text)
-    asked = F.when(F.col("t").startswith("require "), F.regexp_replace("t", r"^require\s+", "")).when((F.col("section") == "require") & ~F.col("t").endswith("("), F.col("t"))
-    shape = r"^([\w./-]+)\s+(v\d\S*)$"
-    rows = rows.withColumn("d", asked).where(F.col("d").rlike(shape) & ~F.regexp_extract("d", shape, 1).isin("go", "toolchain"))
-    return _out(rows, F.regexp_extract("d", shape, 1), F.regexp_extract("d", shape, 2), "go.mod")
+def gradle(text: Column) -> Column:
+    """Versions may be $x or ${x}: x is looked for in assignments of the file (``gradle_properties`` joins those of
+    gradle.properties)."""
+    shape = rf"""(?m)^\s*(?:{GRADLE})\s*\(?\s*['"]([^'":]+:[^'":]+):([^'"]+)['"]"""
+    assigned = r"""(?m)^\s*(?:def\s+|val\s+|ext\.)?(\w+)\s*=\s*['"]([^'"]+)['"]"""
+    values = F.transform(F.regexp_extract_all(text, F.lit(assigned), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, assigned, 1).alias("k"), F.regexp_extract(m, assigned, 2).alias("v")))
 
+    def resolved(d: Column) -> Column:
+        name = F.regexp_extract(d["version"], r"^\$\{?(\w+)\}?$", 1)
+        known = F.filter(values, lambda x: x["k"] == name)
+        return dep(d["name"], F.when((name != "") & (F.size(known) > 0), F.get(known, F.size(known) - 1)["v"]).otherwise(d["version"]))
 
-def gemfile_lock(files: DataFrame) -> DataFrame:
-    lines = numbered_lines(_named(files, "Gemfile.lock"), ["root", "path"])
-    outside = (F.trim("line") == "") | ~F.startswith("line", F.lit("    "))
-    inside = F.when(F.trim("line") == "specs:", F.lit(True)).when(outside, F.lit(False))
-    rows = carry_forward(lines, ["root", "path"], "pos", inside, "specs").where("specs")
-    shape = r"^    ([A-Za-z0-9._-]+) \(([^)]+)\)$"
-    rows = rows.where(F.col("line").rlike(shape))
-    return _out(rows, F.regexp_extract("line", shape, 1), clean_version(F.regexp_extract("line", shape, 2), F.lit("gem")), "Gemfile.lock")
+    return F.transform(found(text, shape), resolved)
 
 
-def gemfile(files: DataFrame) -> DataFrame:
-    shape = r"""(?m)^\s*gem\s+['"]([^'"]+)['"](?:\s*,\s*['"]([^'"]+)['"])?"""
-    rows = _matches(_named(files, "Gemfile"), shape)
-    return _out(rows, F.regexp_extract("m", shape, 1), clean_version(F.regexp_extract("m", shape, 2), F.lit("gem")), "Gemfile")
+def gradle_properties(files: DataFrame, deps: DataFrame) -> DataFrame:
+    """deps with versions $x or ${x} of Gradle builds replaced from the gradle.properties of the same directory."""
+    pairs = each(F.col("content"), r"(?m)^\s*([\w.]+)\s*[=:]\s*(\S.*)$", lambda m: F.struct(F.regexp_extract(m, r"^\s*([\w.]+)", 1).alias("k"), F.trim(F.regexp_extract(m, r"^\s*[\w.]+\s*[=:]\s*(\S.*)$", 1)).alias("v")))
+    known = files.where(name_of(F.col("path")) == "gradle.properties").select("root", dir_of(F.col("path")).alias("dir"), F.explode(pairs).alias("p")).select("root", "dir", F.col("p.k").alias("asked"), F.col("p.v").alias("value"))
+    known = known.groupBy("root", "dir", "asked").agg(F.max("value").alias("value"))
+    asked = F.when(F.col("kind") == "gradle", F.nullif(F.regexp_extract("version", r"^\$\{?([\w.]+)\}?$", 1), F.lit("")))
+    joined = deps.withColumns({"asked": asked, "dir": dir_of(F.col("path"))}).join(known, ["root", "dir", "asked"], "left")
+    return joined.select("root", "path", "name", F.coalesce("value", "version").alias("version"), "kind")
 
 
-def gradle(files: DataFrame) -> DataFrame:
-    shape = r"""(?m)^\s*(?:implementation|api|compile|compileOnly|runtimeOnly)\s*\(?\s*['"]([^'":]+:[^'":]+):([^'"]+)['"]"""
-    rows = _matches(_named(files, "build.gradle", "build.gradle.kts"), shape)
-    return _out(rows, F.regexp_extract("m", shape, 1), F.regexp_extract("m", shape, 2), "gradle")
+def cmake(text: Column) -> Column:
+    return found(text, r"(?i)find_package\s*\(\s*([A-Za-z0-9_+-]+)(?:\s+(\d[\w.]*))?")
 
 
-def cmake(files: DataFrame) -> DataFrame:
-    shape = r"(?i)find_package\s*\(\s*([A-Za-z0-9_+-]+)(?:\s+(\d[\w.]*))?"
-    rows = _matches(_named(files, "CMakeLists.txt"), shape)
-    return _out(rows, F.regexp_extract("m", shape, 1), F.regexp_extract("m", shape, 2), "cmake")
+def conanfile(text: Column) -> Column:
+    inside = F.array_join(F.regexp_extract_all(text, F.lit(r"(?ms)^[ \t]*\[requires\][ \t]*$(.*?)(?=^[ \t]*\[\w+\][ \t]*$|\z)"), F.lit(1)), "\n")
+    return found(inside, r"(?m)^[ \t]*([^\s/#]+)/(\S+)", clean="conan")
 
 
-def conanfile(files: DataFrame) -> DataFrame:
-    lines = numbered_lines(_named(files, "conanfile.txt"), ["root", "path"])
-    section = F.when(F.trim("line").rlike(r"^\[\w+\]$"), F.translate(F.trim("line"), "[]", ""))
-    rows = carry_forward(lines, ["root", "path"], "pos", section, "section").where("section = 'requires' and line like '%/%'")
-    return _out(rows, F.substring_index(F.trim("line"), "/", 1), clean_version(F.regexp_replace(F.trim("line"), "^[^/]*/", ""), F.lit("conan")), "conanfile")
+def conanfile_py(text: Column) -> Column:
+    """References in requires = ... and self.requires(...)."""
+    shape = r"""['"]([A-Za-z0-9_+.-]+)/([^'"@#]+)[^'"]*['"]"""
+    calls = F.regexp_extract_all(text, F.lit(rf"(?:self\.requires|self\.tool_requires)\(\s*{shape}"), F.lit(0))
+    fields = F.regexp_extract_all(text, F.lit(r"(?ms)^\s*requires\s*=\s*(\(.*?\)|\[.*?\]|[^\n]*(?:,\s*\n[^\n]*)*)"), F.lit(1))
+    return found(F.array_join(F.concat(calls, fields), "\n"), shape, clean="conan")
 
 
-def description(files: DataFrame) -> DataFrame:
+def description(text: Column) -> Column:
     """Depends, Imports and LinkingTo of R packages; R itself isn't one."""
-    block = r"(?ms)^(?:Depends|Imports|LinkingTo):(.*?)(?=^\S|\z)"
-    parts = _matches(_named(files, "DESCRIPTION"), block).select("root", "path", F.explode(F.split(F.regexp_replace("m", r"^\w+:", ""), ",")).alias("m"))
-    rows = parts.where(~F.col("m").rlike(r"^\s*R\s*(?:\(|$)"))
-    return _out(rows, F.regexp_extract("m", r"([A-Za-z][A-Za-z0-9.]*)", 1), F.regexp_replace(F.regexp_extract("m", r"\(([^)]*)\)", 1), r"^[><=\s]+", ""), "DESCRIPTION")
+    blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^(?:Depends|Imports|LinkingTo):(.*?)(?=^\S|\z)"), F.lit(1))
+    parts = F.filter(F.split(F.array_join(blocks, ","), ","), lambda p: ~p.rlike(r"^\s*R\s*(?:\(|$)"))
+    return F.transform(parts, lambda p: dep(F.regexp_extract(p, r"([A-Za-z][A-Za-z0-9.]*)", 1), F.regexp_replace(F.regexp_extract(p, r"\(([^)]*)\)", 1), r"^[><=\s]+", "")))
 
 
-def yarn_lock(files: DataFrame) -> DataFrame:
+def yarn_lock(text: Column) -> Column:
     """The name ends at the last @ that isn't the first character."""
-    lines = numbered_lines(_named(files, "yarn.lock"), ["root", "path"])
-    head = F.when(F.col("line").rlike(r"^\S.*:$") & ~F.startswith("line", F.lit("#")), F.regexp_extract("line", r'^"?(@?[^@",]+)@', 1))
-    rows = carry_forward(lines, ["root", "path"], "pos", head, "head").where(F.col("line").rlike(r"^  version:? "))
-    return _out(rows, F.col("head"), F.translate(F.regexp_extract("line", r"^  version:? (.*)$", 1), '"', ""), "yarn.lock")
+    shape = r"(?m)^\"?(@?[^@#\s\",][^@\",\n]*)@[^\n]*:\r?\n(?:  (?!version:? )[^\n]*\n)*  version:? \"?([^\"\s]*)\"?"
+    return found(text, shape)
 
 
-def pnpm_lock(files: DataFrame) -> DataFrame:
-    shape = r"(?m)^  '?/?(@?[^@'\s()]+)@([^:'()\s]+)"
-    rows = _matches(_named(files, "pnpm-lock.yaml"), shape, F.regexp_extract("content", r"(?s)\npackages:(.*)$", 1))
-    return _out(rows, F.regexp_extract("m", shape, 1), F.regexp_extract("m", shape, 2), "pnpm-lock")
+def pnpm_lock(text: Column) -> Column:
+    return found(F.regexp_extract(text, r"(?s)\npackages:(.*)$", 1), r"(?m)^  '?/?(@?[^@'\s()]+)@([^:'()\s]+)")
 
 
-def makefile(files: DataFrame) -> DataFrame:
-    rows = _matches(_named(files, "Makefile"), r"(?<=\s)-l([A-Za-z0-9_+.-]+)")
-    return _out(rows, F.substring("m", 3, 1000), F.lit(""), "Makefile")
+def makefile(text: Column) -> Column:
+    return found(text, r"(?<=\s)-l([A-Za-z0-9_+.-]+)".replace(r"(?<=\s)", r"\s"), 1, 0)
 
 
-def configure_ac(files: DataFrame) -> DataFrame:
-    shape = r"PKG_CHECK_MODULES\(\s*\[?\w+\]?\s*,\s*\[?\s*([A-Za-z0-9_.+-]+)(?:\s*>=\s*([\w.]+))?"
-    rows = _matches(_named(files, "configure.ac", "configure.in"), shape)
-    return _out(rows, F.regexp_extract("m", shape, 1), F.regexp_extract("m", shape, 2), "configure")
+def configure_ac(text: Column) -> Column:
+    return found(text, r"PKG_CHECK_MODULES\(\s*\[?\w+\]?\s*,\s*\[?\s*([A-Za-z0-9_.+-]+)(?:\s*>=\s*([\w.]+))?")
 
 
-def pkg_config(files: DataFrame) -> DataFrame:
-    block = r"(?m)^Requires(?:\.private)?:(.*)$"
-    rows = _matches(files.where(F.col("path").endswith(".pc")), block).select("root", "path", F.explode(F.split(F.trim(F.regexp_replace("m", r"^[\w.]+:", "")), r"\s*,\s*|(?<=[\w.])\s+(?=[A-Za-z])")).alias("m"))
-    return _out(rows, F.regexp_extract("m", r"^([A-Za-z0-9_.+-]+)", 1), F.regexp_extract("m", r"[><=]+\s*(\S+)", 1), "pkg-config")
+def pkg_config(text: Column) -> Column:
+    blocks = F.regexp_extract_all(text, F.lit(r"(?m)^Requires(?:\.private)?:(.*)$"), F.lit(1))
+    parts = F.flatten(F.transform(blocks, lambda b: F.split(F.trim(b), r"\s*,\s*|(?<=[\w.])\s+(?=[A-Za-z])")))
+    return F.transform(parts, lambda p: dep(F.regexp_extract(p, r"^([A-Za-z0-9_.+-]+)", 1), F.regexp_extract(p, r"[><=]+\s*(\S+)", 1)))
 
 
-def bazel(files: DataFrame) -> DataFrame:
-    shape = r"""bazel_dep\(\s*name\s*=\s*"([^"]+)"\s*,\s*version\s*=\s*"([^"]+)\""""
-    rows = _matches(_named(files, "MODULE.bazel"), shape)
-    return _out(rows, F.regexp_extract("m", shape, 1), F.regexp_extract("m", shape, 2), "bazel")
+def bazel(text: Column) -> Column:
+    return found(text, r"""bazel_dep\(\s*name\s*=\s*"([^"]+)"\s*,\s*version\s*=\s*"([^"]+)\"""")
 
 
-def debian_depends(files: DataFrame) -> DataFrame:
+def bazel_workspace(text: Column) -> Column:
+    """Names of http_archive and git_repository rules; the version is the tag, else what a number in the prefix says."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^(?:http_archive|git_repository)\((.*?)^\)"), F.lit(1))
+    said = lambda b, k: F.regexp_extract(b, rf'(?m)^\s*{k}\s*=\s*"([^"]+)"', 1)
+    version = lambda b: F.coalesce(F.nullif(F.regexp_replace(said(b, "tag"), "^v", ""), F.lit("")), F.regexp_extract(said(b, "strip_prefix"), r"-v?(\d[\w.]*)$", 1))
+    return F.transform(blocks, lambda b: dep(said(b, "name"), version(b)))
+
+
+def debian_depends(text: Column) -> Column:
     """First alternative of each dependency of a control file."""
-    block = r"(?m)^Depends:(.*(?:\n[ \t].*)*)"
-    rows = _matches(_named(files, "control"), block).select("root", "path", F.explode(F.split(F.regexp_replace("m", "^Depends:", ""), ",")).alias("m"))
-    one = F.regexp_replace(F.substring_index("m", "|", 1), r"^\s+|\s+$", "")
-    return _out(rows, F.regexp_replace(F.regexp_extract(one, r"^(\S+)", 1), ":.*$", ""), F.regexp_extract(one, r"\([><=]+\s*([^)]+)\)", 1), "control")
+    blocks = F.regexp_extract_all(text, F.lit(r"(?m)^Depends:(.*(?:\n[ \t].*)*)"), F.lit(1))
+    parts = F.transform(F.split(F.array_join(blocks, ","), ","), lambda p: F.regexp_replace(F.substring_index(p, "|", 1), r"^\s+|\s+$", ""))
+    return F.transform(parts, lambda p: dep(F.regexp_replace(F.regexp_extract(p, r"^(\S+)", 1), ":.*$", ""), F.regexp_extract(p, r"\([><=]+\s*([^)]+)\)", 1)))
 
 
-LINE_SOURCES = [requirements, go_mod, gemfile, gemfile_lock, gradle, cmake, conanfile, description, yarn_lock, pnpm_lock, makefile, configure_ac, pkg_config, bazel, debian_depends]
+def toml_blocks(text: Column) -> Column:
+    """The bodies of [[package]] tables."""
+    return F.regexp_extract_all(text, F.lit(r"(?ms)^\[\[package\]\]\s*\n(.*?)(?=^\[|\z)"), F.lit(1))
 
 
-def deps_from_lines(files: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [s(files) for s in LINE_SOURCES])
+def toml_value(block: Column, key: str) -> Column:
+    return F.regexp_extract(block, rf'(?m)^{key}\s*=\s*"([^"]*)"', 1)
 
 
-def deps_from_toml(files: DataFrame) -> DataFrame:
-    """[[package]] blocks of uv.lock and the [project] dependencies of pyproject.toml."""
-    block = r"(?ms)^\[\[package\]\]\s*\n(.*?)(?=^\[|\z)"
-    blocks = _matches(_named(files, "uv.lock"), block)
-    value = lambda k: F.regexp_extract("m", rf'(?m)^{k}\s*=\s*"([^"]*)"', 1)
-    locked = _out(blocks, value("name"), value("version"), "uv.lock")
-    listed = F.regexp_extract("content", r"(?ms)^\[project\].*?^dependencies\s*=\s*\[(.*?)^?\]", 1)
-    reqs = _matches(_named(files, "pyproject.toml"), r'"([^"]+)"', listed).select("root", "path", F.translate("m", '"', "").alias("t"))
-    name = F.regexp_extract("t", r"^([^\s>=<!~()\[;]+)", 1)
-    version = F.regexp_extract("t", r"^[^\s>=<!~()\[;]+(?:\[[^\]]*\])?\s*([^;]*)", 1)
-    return locked.unionByName(_out(reqs, name, clean_version(version, F.lit("pypi")), "pyproject"))
+def uv_lock(text: Column) -> Column:
+    return F.transform(toml_blocks(text), lambda b: dep(toml_value(b, "name"), toml_value(b, "version")))
+
+
+def cargo_lock(text: Column) -> Column:
+    """Packages with a source; those without are members of the workspace."""
+    return F.transform(F.filter(toml_blocks(text), lambda b: toml_value(b, "source") != ""), lambda b: dep(toml_value(b, "name"), toml_value(b, "version")))
+
+
+#: A dependency table of Cargo.toml, of one target or of the workspace too.
+CARGO_TABLE = r"(?ms)^\[(?:workspace\.|target\.[^\]\n]+\.)?(?:dev-|build-)?dependencies\]\s*\n(.*?)(?=^\[|\z)"
+CARGO_ENTRY = r"""(?m)^([A-Za-z0-9_-]+|"[^"]+")(?:\.\w+)?\s*=\s*(?:"([^"]*)"|\{([^}]*)\}|true)"""
+
+
+def cargo_toml(text: Column) -> Column:
+    """Dependencies of all kinds; a renamed one has the name of its package. No version (a path, a git address, the
+    workspace's): empty."""
+
+    def make(m: Column) -> Column:
+        inner = F.regexp_extract(m, CARGO_ENTRY, 3)
+        said = lambda k: F.nullif(F.regexp_extract(inner, rf'\b{k}\s*=\s*"([^"]*)"', 1), F.lit(""))
+        name = F.coalesce(said("package"), F.translate(F.regexp_extract(m, CARGO_ENTRY, 1), '"', ""))
+        return dep(name, clean_version(F.coalesce(F.nullif(F.regexp_extract(m, CARGO_ENTRY, 2), F.lit("")), said("version"), F.lit("")), F.lit("npm")))
+
+    inside = F.array_join(F.regexp_extract_all(text, F.lit(CARGO_TABLE), F.lit(1)), "\n")
+    own = r"(?ms)^\[(?:workspace\.|target\.[^\]\n]+\.)?(?:dev-|build-)?dependencies\.([A-Za-z0-9_-]+)\]\s*\n(.*?)(?=^\[|\z)"
+    tables = each(text, own, lambda m: dep(F.coalesce(F.nullif(toml_value(F.regexp_extract(m, own, 2), "package"), F.lit("")), F.regexp_extract(m, own, 1)), clean_version(toml_value(F.regexp_extract(m, own, 2), "version"), F.lit("npm"))))
+    return F.concat(each(inside, CARGO_ENTRY, make), tables)
+
+
+def pyproject(text: Column) -> Column:
+    listed = F.regexp_extract(text, r"(?ms)^\[project\].*?^dependencies\s*=\s*\[(.*?)^?\]", 1)
+    return each(listed, r'"([^"]+)"', lambda m: requirement(F.translate(m, '"', "")))
 
 
 def toml_license(files: DataFrame) -> DataFrame:
     """(root, path, license) that Cargo.toml and pyproject.toml state."""
     said = F.regexp_extract("content", r'(?m)^license\s*=\s*(?:\{[^}]*text\s*=\s*)?"([^"]+)"', 1)
-    return _named(files, "Cargo.toml", "pyproject.toml").select("root", "path", F.nullif(said, F.lit("")).alias("license"))
+    return files.where(name_of(F.col("path")).isin("Cargo.toml", "pyproject.toml")).select("root", "path", F.nullif(said, F.lit("")).alias("license"))
+
+
+def cargo_graph(files: DataFrame) -> DataFrame:
+    """(root, path, src, dst): edges of Cargo.lock as name@version; an entry without a version means the only one of
+    its name. Members of the workspace are those without a source."""
+    locks = files.where(name_of(F.col("path")) == "Cargo.lock").select("root", "path", toml_blocks(F.col("content")).alias("blocks"))
+    node = lambda b: F.struct(toml_value(b, "name").alias("name"), toml_value(b, "version").alias("version"), F.regexp_extract(b, r"(?ms)^dependencies\s*=\s*\[(.*?)\]", 1).alias("asks"))
+    rows = locks.withColumn("nodes", F.transform("blocks", node)).select("root", "path", "nodes", F.explode("nodes").alias("n"))
+    asks = r'"([^"\s]+)(?:\s+([^"\s]+))?[^"]*"'
+    rows = rows.select("root", "path", "nodes", F.concat_ws("@", "n.name", "n.version").alias("src"), F.explode(F.regexp_extract_all("n.asks", F.lit(asks), F.lit(0))).alias("ask"))
+    name, version = F.regexp_extract("ask", asks, 1), F.nullif(F.regexp_extract("ask", asks, 2), F.lit(""))
+    only = F.get(F.filter("nodes", lambda x: x["name"] == name), F.lit(0))["version"]
+    return rows.select("root", "path", "src", F.concat_ws("@", name, F.coalesce(version, only)).alias("dst")).distinct()
+
+
+def cargo_members(files: DataFrame) -> DataFrame:
+    """(root, path, member): the packages of Cargo.lock without a source, as name@version."""
+    rows = files.where(name_of(F.col("path")) == "Cargo.lock").select("root", "path", F.explode(toml_blocks(F.col("content"))).alias("b"))
+    return rows.where(toml_value(F.col("b"), "source") == "").select("root", "path", F.concat_ws("@", toml_value(F.col("b"), "name"), toml_value(F.col("b"), "version")).alias("member"))
+
+
+def go_graph(files: DataFrame) -> DataFrame:
+    """(root, path, src, dst): edges of a printed module graph (go.graph: two modules a line), go and toolchain left out."""
+    shape = r"(?m)^(\S+) (\S+)$"
+    rows = files.where(name_of(F.col("path")) == "go.graph").select("root", "path", F.explode(F.regexp_extract_all("content", F.lit(shape), F.lit(0))).alias("m"))
+    rows = rows.select("root", "path", F.regexp_extract("m", shape, 1).alias("src"), F.regexp_extract("m", shape, 2).alias("dst"))
+    return rows.where("not (src rlike '^(go|toolchain)@' or dst rlike '^(go|toolchain)@')").distinct()
+
+
+#: Kind -> names of its files, and the expression. A name that begins with a dot is an ending.
+JSON_SOURCES = {
+    "package.json": (["package.json"], package_json), "package-lock.json": (["package-lock.json"], package_lock), "Pipfile.lock": (["Pipfile.lock"], pipfile_lock), "renv.lock": (["renv.lock"], renv_lock),
+    "packages.lock.json": (["packages.lock.json"], packages_lock_json), "project.assets.json": (["project.assets.json"], assets_json), "vcpkg.json": (["vcpkg.json"], vcpkg_json), "ls.json": (["ls.json"], ls_json),
+}
+XML_SOURCES = {"pom.xml": (["pom.xml", ".pom.xml"], pom), "csproj": ([".csproj", ".fsproj", ".vbproj"], csproj), "slnx": ([".slnx"], slnx)}
+LINE_SOURCES = {
+    "requirements": (["requirements.txt", "pip_freeze.txt"], requirements), "go.mod": (["go.mod"], go_mod), "go.work": (["go.work"], go_work), "Gemfile": (["Gemfile"], gemfile), "Gemfile.lock": (["Gemfile.lock"], gemfile_lock),
+    "gradle": (["build.gradle", "build.gradle.kts"], gradle), "cmake": (["CMakeLists.txt"], cmake), "conanfile": (["conanfile.txt"], conanfile), "conanfile.py": (["conanfile.py"], conanfile_py), "DESCRIPTION": (["DESCRIPTION"], description),
+    "yarn.lock": (["yarn.lock"], yarn_lock), "pnpm-lock": (["pnpm-lock.yaml"], pnpm_lock), "Makefile": (["Makefile"], makefile), "configure": (["configure.ac", "configure.in"], configure_ac), "pkg-config": ([".pc"], pkg_config),
+    "bazel": (["MODULE.bazel"], bazel), "WORKSPACE": (["WORKSPACE", "WORKSPACE.bazel"], bazel_workspace), "control": (["control"], debian_depends),
+}
+TOML_SOURCES = {"uv.lock": (["uv.lock"], uv_lock), "pyproject": (["pyproject.toml"], pyproject), "Cargo.lock": (["Cargo.lock"], cargo_lock), "Cargo.toml": (["Cargo.toml"], cargo_toml)}
+SOURCES = JSON_SOURCES | XML_SOURCES | LINE_SOURCES | TOML_SOURCES
+
+
+def kind_of(path: Column, sources: dict = SOURCES) -> Column:
+    """The kind of a file by its name, else null."""
+    named = {n: k for k, (names, _) in sources.items() for n in names if not n.startswith(".")}
+    out = F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), name_of(path)) if named else F.lit(None).cast("string")
+    for kind, (names, _) in sources.items():
+        for n in names:
+            if n.startswith("."):
+                out = F.coalesce(out, F.when(F.endswith(path, F.lit(n)), kind))
+    return out
+
+
+def deps_of(files: DataFrame, sources: dict = SOURCES) -> DataFrame:
+    """(root, path, name, version, kind): the dependencies of every file of a known kind, each once a file."""
+    rows = files.select("root", "path", "content", kind_of(F.col("path"), sources).alias("kind")).where("kind is not null")
+    parsed = F.lit(None).cast(NONE)
+    for kind, (_, of_text) in reversed(sources.items()):
+        parsed = F.when(F.col("kind") == kind, F.array_distinct(of_text(F.col("content"))).cast(NONE)).otherwise(parsed)
+    rows = rows.select("root", "path", "kind", F.explode(parsed).alias("d"))
+    return rows.select("root", "path", F.col("d.name").alias("name"), F.col("d.version").alias("version"), "kind").where("name <> ''")
+
+
+def deps_from_json(files: DataFrame, depth: int = 15) -> DataFrame:
+    return deps_of(files, JSON_SOURCES | {"ls.json": (["ls.json"], lambda text: ls_json(text, depth))})
+
+
+def deps_from_xml(files: DataFrame) -> DataFrame:
+    return deps_of(files, XML_SOURCES)
+
+
+def deps_from_lines(files: DataFrame) -> DataFrame:
+    return gradle_properties(files, deps_of(files, LINE_SOURCES))
+
+
+def deps_from_toml(files: DataFrame) -> DataFrame:
+    return deps_of(files, TOML_SOURCES)

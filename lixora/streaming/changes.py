@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lixora.operators import sbom
+from lixora.operators.shared import shared_path
 from lixora.sources.files import LOCKS, PRUNED, in_any, language_of, name_of
 
+#: Runs of events without a gap that one fold takes.
+RUNS = 1_000
 TRIGGER = "root_id long, opened_at timestamp, event_id long"
 
 
@@ -35,7 +38,8 @@ def debounce(events: DataFrame, ms: int = 500, watermark: str = "10 seconds") ->
     """(root_id, opened_at, event_id): one trigger per fixed window of ms, opened by the first event of a root.
 
     Streams keep the end of the open window per root as state, which goes when event time has passed it by the
-    watermark; events later than the watermark are dropped. A batch is folded per root in order of time.
+    watermark; events later than the watermark are dropped. A batch is folded in order of time, per root and stretch of
+    runs without a gap of ms: a fold holds as many events as a root has without such a gap.
     """
     schema = TRIGGER
 
@@ -44,7 +48,12 @@ def debounce(events: DataFrame, ms: int = 500, watermark: str = "10 seconds") ->
             opened, _ = windows_of(pdf, ms)
             return pd.DataFrame({"root_id": pdf["root_id"].iloc[0], "opened_at": [o for o, _ in opened], "event_id": [i for _, i in opened]})
 
-        return events.select("root_id", "ts", "event_id").groupBy("root_id").applyInPandas(fold, schema)
+        events = events.select("root_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+        in_order = Window.partitionBy("root_id").orderBy("ts", "event_id")
+        # an event at least ms after the one before opens a window for sure, so runs between such gaps fold apart
+        gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(in_order) >= ms * 1000
+        runs = events.withColumn("run", F.sum(F.coalesce(gap, F.lit(False)).cast("long")).over(in_order))
+        return runs.groupBy("root_id", F.floor(F.col("run") / RUNS)).applyInPandas(fold, schema)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,6 +83,15 @@ def continuous_scan(triggers: DataFrame, scan: Callable[[DataFrame], None], chec
     return triggers.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what its source holds now and give what it has written, as a table in the shared folder."""
+    spark = stream.sparkSession
+    at = shared_path(spark, name)
+    query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, gap: str | None = None, watermark: str = "10 minutes") -> DataFrame:
     """Events per kind in tumbling windows, sliding ones (slide), or sessions per kind (gap)."""
     if events.isStreaming:
