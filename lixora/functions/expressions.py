@@ -57,7 +57,7 @@ def postfix(text: str, strict: bool = False) -> list[str] | None:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _parse(texts: pd.Series) -> pd.Series:
+def parse(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else postfix(t))
 
 
@@ -71,7 +71,7 @@ def parse_expr(licenses: DataFrame, column: str = "license", strict: bool = Fals
     distinct = licenses.select(column).where(F.col(column).isNotNull()).distinct()
     if strict:
         return distinct.withColumn("rpn", _parse_strict(column))
-    return distinct.withColumn("parsed", _parse(column)).select(column, F.when(is_compound(F.col(column)), F.col("parsed")).otherwise(F.array(column)).alias("rpn"))
+    return distinct.withColumn("parsed", parse(column)).select(column, F.when(is_compound(F.col(column)), F.col("parsed")).otherwise(F.array(column)).alias("rpn"))
 
 
 def is_operator(word: Column) -> Column:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lixora.functions import ids, licenses
-from lixora.functions.expressions import postfix
+from lixora.functions.expressions import parse, postfix
 from lixora.functions.licenses import COMPOUND
 
 #: Name -> (parameters, Column function of them).
@@ -40,12 +39,12 @@ class ExprLeaves:
                 yield (leaf,)
 
 
-_parse = F.udf(lambda t: None if t is None else postfix(t), T.ArrayType(T.StringType()), useArrow=True)
-
-
 def register(spark: SparkSession) -> None:
-    """parse_expr and expr_leaves for SQL text; licence predicates as SQL functions that Catalyst inlines."""
-    spark.udf.register("parse_expr", _parse)
+    """parse_expr and expr_leaves for SQL text; licence predicates as SQL functions that Catalyst inlines.
+
+    parse_expr is a pandas UDF that parses value by value: call it on distinct licences, as ``parse_expr(df)`` does.
+    """
+    spark.udf.register("parse_expr", parse)
     spark.udtf.register("expr_leaves", ExprLeaves)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION is_unresolved(license STRING) RETURNS BOOLEAN RETURN license IS NULL OR lower(trim(license)) IN ('', 'unknown', 'no license') OR startswith(lower(trim(license)), 'unknown (')")
     arms = []

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import tomllib
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +68,33 @@ class ComplianceConfig:
         return cls.default(spark, **changes)
 
 
+#: Options with their defaults, and the range of the depth.
+DEFAULTS: dict[str, Any] = {"licenses.restrictive": RESTRICTIVE, "licenses.ignore": [], "dependencies.max_depth": 10, "strict": False}
+DEPTHS = range(1, 101)
+
+
+def settings(file: str | None = None, environment: Mapping[str, str] | None = None, prefix: str = "LIXORA") -> dict[str, Any]:
+    """Every option: what the environment says, else the configuration file (TOML text), else the default.
+
+    LIXORA_LICENSES_RESTRICTIVE is licenses.restrictive, and so on. Lists there are JSON, or names between commas.
+    """
+    said = tomllib.loads(file or "")
+    out: dict[str, Any] = {}
+    for option, default in DEFAULTS.items():
+        value: Any = said
+        for part in option.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        out[option] = default if value is None else value
+        text = (environment or {}).get(f"{prefix}_{option.upper().replace('.', '_')}")
+        if text is not None and isinstance(default, list):
+            out[option] = json.loads(text) if text.lstrip().startswith("[") else [x.strip() for x in text.split(",") if x.strip()]
+        elif text is not None:
+            out[option] = text.lower() in ("1", "true") if isinstance(default, bool) else int(text)
+    if out["dependencies.max_depth"] not in DEPTHS:
+        raise ValueError(f"dependencies.max_depth is from {DEPTHS[0]} to {DEPTHS[-1]}")
+    return out
+
+
 def overlap(restrictive: DataFrame, ignore: DataFrame) -> DataFrame:
     """Patterns that are both restrictive and ignored."""
     return restrictive.select("pattern").intersect(ignore.select("pattern"))

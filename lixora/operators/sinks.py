@@ -1,6 +1,8 @@
 """Reports as documents: JSON, SARIF, JUnit, CI annotations, NOTICE and third-party licence files.
 
 Each gives one row (or one line) per project; a project's document is assembled in one group, ordered explicitly.
+It is one string, so a document of 2 GB or more fails; ``findings_json`` and ``to_annotations`` give rows and have no
+such bound.
 """
 
 from __future__ import annotations
@@ -9,6 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOOL = "lixora"
+#: The wording of reports.
+WHO, HAS = "Dependency '", "' has "
+RESTRICTIVE, RESTRICTIVE_RULE = "restrictive license: ", "Dependency has a restrictive license"
+CLASH, CLASH_RULE = " which is incompatible with project license ", "Dependency license is incompatible with the project license"
+WARNING, ERROR, NOTICE = "::warning title=Restrictive License::", "::error title=Incompatible License::", "::notice title=License Check Summary::Found "
+MAY_CLASH, RESTRICTIVE_COUNT, CLASH_COUNT = " which may be incompatible with project license ", " dependencies with restrictive licenses", " dependencies with incompatible licenses"
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
 
@@ -32,14 +40,14 @@ def write_findings_json(df: DataFrame, path: str) -> None:
 
 def to_sarif(df: DataFrame, projects: DataFrame) -> DataFrame:
     """(project_id, sarif): a run per project of projects(project_id, project_license), also without results."""
-    who = F.concat(F.lit("Dependency '"), "name", F.lit("@"), "version", F.lit("' has "))
+    who = F.concat(F.lit(WHO), "name", F.lit("@"), "version", F.lit(HAS))
     hit = lambda rule, level, text: F.struct(F.lit(rule).alias("ruleId"), F.lit(level).alias("level"), F.struct(text.alias("text")).alias("message"), F.array().cast("array<string>").alias("locations"))
-    bad = F.when(F.col("is_restrictive"), hit("restrictive-license", "warning", F.concat(who, F.lit("restrictive license: "), _license())))
-    clash = F.when(F.col("project_license").isNotNull() & (F.col("compatibility") == "Incompatible"), hit("incompatible-license", "error", F.concat(who, F.lit("license "), _license(), F.lit(" which is incompatible with project license "), "project_license")))
+    bad = F.when(F.col("is_restrictive"), hit("restrictive-license", "warning", F.concat(who, F.lit(RESTRICTIVE), _license())))
+    clash = F.when(F.col("project_license").isNotNull() & (F.col("compatibility") == "Incompatible"), hit("incompatible-license", "error", F.concat(who, F.lit("license "), _license(), F.lit(CLASH), "project_license")))
     rows = df.select("project_id", "name", "version", F.posexplode(F.array(bad, clash)).alias("kind", "r")).where("r is not null")
     results = rows.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("name", "version", "kind", "r"))), lambda x: x["r"]).alias("results"))
     rule = lambda i, text, level: F.struct(F.lit(i).alias("id"), F.struct(F.lit(text).alias("text")).alias("shortDescription"), F.struct(F.lit(level).alias("level")).alias("defaultConfiguration"))
-    first, second = rule("restrictive-license", "Dependency has a restrictive license", "warning"), rule("incompatible-license", "Dependency license is incompatible with the project license", "error")
+    first, second = rule("restrictive-license", RESTRICTIVE_RULE, "warning"), rule("incompatible-license", CLASH_RULE, "error")
     rules = F.when(F.col("project_license").isNull(), F.array(first)).otherwise(F.array(first, second))
     kind = "array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<string>>>"
     run = F.struct(F.struct(F.struct(F.lit(TOOL).alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), F.coalesce("results", F.array().cast(kind)).alias("results"))
@@ -68,14 +76,14 @@ def to_junit(df: DataFrame) -> DataFrame:
 
 def to_annotations(df: DataFrame) -> DataFrame:
     """(project_id, line): a line per risk, and a summary line."""
-    who = F.concat(F.lit("::Dependency '"), "name", F.lit("@"), "version", F.lit("' has "))
-    bad = F.when(F.col("is_restrictive"), F.concat(F.lit("::warning title=Restrictive License"), who, F.lit("restrictive license: "), _license()))
-    clash = F.when(F.col("project_license").isNotNull() & (F.col("compatibility") == "Incompatible"), F.concat(F.lit("::error title=Incompatible License"), who, F.lit("license "), _license(), F.lit(" which may be incompatible with project license "), "project_license"))
+    who = F.concat(F.lit(WHO), "name", F.lit("@"), "version", F.lit(HAS))
+    bad = F.when(F.col("is_restrictive"), F.concat(F.lit(WARNING), who, F.lit(RESTRICTIVE), _license()))
+    clash = F.when(F.col("project_license").isNotNull() & (F.col("compatibility") == "Incompatible"), F.concat(F.lit(ERROR), who, F.lit("license "), _license(), F.lit(MAY_CLASH), "project_license"))
     lines = df.select("project_id", F.explode(F.array_compact(F.array(bad, clash))).alias("line"))
     n = df.groupBy("project_id", "project_license").agg(F.count("*").alias("total"), F.count_if("is_restrictive").alias("r"), F.count_if(F.col("compatibility") == "Incompatible").alias("i"))
     text = lambda c: F.col(c).cast("string")
-    both = F.when(F.col("project_license").isNotNull(), F.concat(F.lit(" and "), text("i"), F.lit(" dependencies with incompatible licenses"))).otherwise("")
-    summary = n.select("project_id", F.concat(F.lit("::notice title=License Check Summary::Found "), text("r"), F.lit(" dependencies with restrictive licenses"), both, F.lit(" out of "), text("total"), F.lit(" total")).alias("line"))
+    both = F.when(F.col("project_license").isNotNull(), F.concat(F.lit(" and "), text("i"), F.lit(CLASH_COUNT))).otherwise("")
+    summary = n.select("project_id", F.concat(F.lit(NOTICE), text("r"), F.lit(RESTRICTIVE_COUNT), both, F.lit(" out of "), text("total"), F.lit(" total")).alias("line"))
     return lines.unionByName(summary)
 
 

@@ -210,11 +210,12 @@ def jon_01(spark, sf_dir):
     return judge.join_registry(leaves, seed_registry(spark)).select("leaf", F.col("conditions").isNotNull().alias("found"))
 
 
-@query("jon_02_compatibility", JUDGED + ", l AS (SELECT DISTINCT leaf, norm, project_license FROM leaf2 CROSS JOIN pl) SELECT leaf, l.project_license, m.dep IS NOT NULL AS compatible FROM l LEFT JOIN matrix m ON m.project_license = l.project_license AND m.dep = l.norm WHERE leaf IN (SELECT d.leaf FROM dnf d JOIN fx_packages p ON p.license = d.license)")
+@query("jon_02_compatibility", JUDGED + ", l AS (SELECT DISTINCT leaf, norm, j.project_license FROM judged j JOIN dnf USING (license) JOIN leaf2 USING (leaf) WHERE j.project_license IS NOT NULL) SELECT leaf, l.project_license, m.dep IS NOT NULL AS compatible FROM l LEFT JOIN matrix m ON m.project_license = l.project_license AND m.dep = l.norm")
 def jon_02(spark, sf_dir):
-    leaves = expr_leaves(parse_expr(pool(spark, sf_dir))).select("leaf").distinct()
-    projects = fixture(spark, sf_dir, "fx_projects").select("project_license").dropna().distinct()
-    return judge.judge_compat(leaves.join(projects), ComplianceConfig.default(spark).matrix)
+    """Every id that occurs with a project licence, by the matrix."""
+    pairs = findings(spark, sf_dir).select("license", "project_license").where("license is not null and project_license is not null").distinct()
+    leaves = expr_leaves(parse_expr(pool(spark, sf_dir))).join(pairs, "license").select("leaf", "project_license").distinct()
+    return judge.judge_compat(leaves, ComplianceConfig.default(spark).matrix)
 
 
 @query("jon_03_osi", JUDGED + "SELECT leaf, osi = 2 AS approved FROM leaf2 WHERE osi <> 1 AND leaf IN (SELECT d.leaf FROM dnf d JOIN fx_packages p ON p.license = d.license)")

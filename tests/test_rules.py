@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lixora.functions import ids, licenses, register
 from lixora.functions.expressions import fold, postfix
-from lixora.operators import graph, judge, sbom, scan
+from lixora.operators import config, graph, judge, report, sbom, scan
 from lixora.operators.config import ComplianceConfig
+from lixora.sources import files, manifests
 from lixora.streaming import changes
 
 
@@ -172,3 +173,87 @@ def test_headers_count_up_to_three_levels_down(spark):
     found = {r["dir"]: (r["license"], r["marker"], r["unlicensed"]) for r in scan.scan_vendored(files, deps, projects, none).collect()}
     licensed = {"vendor/foo": "MIT", "vendor/three": "ISC", "vendor/order": "MIT", "vendor/way": "Zlib"}
     assert found == {**{d: (x, "vendored", False) for d, x in licensed.items()}, **{d: (None, "vendored", True) for d in ("vendor/four", "vendor/hidden", "vendor/many")}, "app": ("GPL-3.0-only", "unmanaged", False)}
+
+
+def test_settings_by_precedence():
+    file = '[licenses]\nrestrictive = ["A"]\nignore = ["B"]\n[dependencies]\nmax_depth = 3\n'
+    got = config.settings(file, {"LIXORA_LICENSES_RESTRICTIVE": '["X", "Y"]', "LIXORA_STRICT": "TRUE", "OTHER_STRICT": "0"})
+    assert got == {"licenses.restrictive": ["X", "Y"], "licenses.ignore": ["B"], "dependencies.max_depth": 3, "strict": True}
+    assert config.settings()["licenses.restrictive"] == config.RESTRICTIVE and config.settings()["dependencies.max_depth"] == 10
+    assert config.settings("", {"LIXORA_LICENSES_IGNORE": " a , b,"})["licenses.ignore"] == ["a", "b"]
+    for bad in ("0", "101"):
+        with pytest.raises(ValueError):
+            config.settings("", {"LIXORA_DEPENDENCIES_MAX_DEPTH": bad})
+
+
+def test_depth_limits(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 0)], "src int, dst int")
+    direct = spark.createDataFrame([(1, 0), (2, 5), (2, 6), (1, 0)], "project_id int, pkg_id int")
+    got = {(r["project_id"], r["pkg_id"]): r["depth"] for r in graph.transitive_closure(direct, edges, 100).collect()}
+    assert got == {(1, i): i for i in range(13)} | {(2, i): min((i - d) % 13 for d in (5, 6)) for i in range(13)}
+    assert graph.transitive_closure(direct, edges, 0).count() == 3
+    for bad in (-1, 101):
+        with pytest.raises(ValueError):
+            graph.transitive_closure(direct, edges, bad)
+
+
+def test_gate_options(spark):
+    rows = spark.createDataFrame([(1, True, "Compatible"), (2, False, "Incompatible"), (3, False, "Unknown")], "project_id int, is_restrictive boolean, compatibility string")
+    passed = lambda **o: {r["project_id"] for r in report.gate(rows, **o).where("passed").collect()}
+    assert passed() == {3} and passed(on_restrictive=False) == {1, 3} and passed(on_incompatible=False) == {2, 3} and passed(on_restrictive=False, on_incompatible=False) == {1, 2, 3}
+
+
+def test_language_aliases(spark):
+    rows = spark.createDataFrame([("r", "a/Cargo.toml"), ("r", "go.mod"), ("r", "go.work"), ("r", "x.csproj")], "root string, path string")
+    of = lambda name: [r["dir"] for r in files.project_roots(rows, name).collect()]
+    assert of("RS") == of("rust") == ["a"] and of("golang") == [""] and of("C#") == [""] and of("python") == []
+
+
+def deps(spark, path, content):
+    rows = spark.createDataFrame([("r", path, content)], "root string, path string, content string")
+    return {(r["name"], r["version"]) for r in manifests.deps_of(rows).collect()}
+
+
+@pytest.mark.parametrize(
+    "path,content,want",
+    [
+        ("Cargo.toml", '[dependencies]\nserde = { version = "1.0", features = ["derive"] }\nown = { workspace = true }\n"odd-name" = "^2"\n[build-dependencies]\ncc = "1"\n[workspace.dependencies]\nrand = "0.8"\n[profile.release]\nlto = "x"\n', {("serde", "1.0"), ("own", ""), ("odd-name", "2"), ("cc", "1"), ("rand", "0.8")}),
+        ("a/Cargo.lock", '[[package]]\nname = "own"\nversion = "0.1.0"\n\n[[package]]\nname = "libc"\nversion = "0.2.1"\nsource = "registry+x"\n', {("libc", "0.2.1")}),
+        ("go.mod", "module x\n\nrequire a.b/c v1.2.3 // indirect\nrequire (\n\td.e/f/v2 v2.0.0-2020\n)\nexclude (\n\tg.h/i v1.0.0\n)\n", {("a.b/c", "v1.2.3"), ("d.e/f/v2", "v2.0.0-2020")}),
+        ("go.work", "go 1.22\nuse ./one\nuse (\n\t./two // here\n)\n", {("./one", ""), ("./two", "")}),
+        ("conanfile.py", 'class A:\n    requires = [\n        "zlib/1.3",\n        "fmt/10.0@x/y",\n    ]\n    def requirements(self):\n        self.requires("boost/1.80#rev")\n', {("zlib", "1.3"), ("fmt", "10.0"), ("boost", "1.80")}),
+        ("WORKSPACE", 'http_archive(\n    name = "abseil",\n    strip_prefix = "abseil-cpp-20230802.0",\n)\nlocal_repository(\n    name = "no",\n)\n', {("abseil", "20230802.0")}),
+        ("Gemfile.lock", "GEM\n  specs:\n    a (1.0)\n      b (~> 2)\n    b (2.1)\n\nPLATFORMS\n  ruby\n", {("a", "1.0"), ("b", "2.1")}),
+        ("yarn.lock", '"@s/a@^1", "@s/a@^2":\n  version "2.0.0"\n  resolved "x"\n\nb@^1:\n  resolution: "y"\n  version: 1.1.0\n', {("@s/a", "2.0.0"), ("b", "1.1.0")}),
+        ("build.gradle", "ext.v = '3.1'\nimplementation \"g:a:${v}\"\napi 'g:b:$w'\n", {("g:a", "3.1"), ("g:b", "$w")}),
+        ("package.json", '{"dependencies": {"a": "~1.0.0"}, "peerDependencies": {"a": "1.0.0", "b": ">=2"}}', {("a", "1.0.0"), ("b", "2")}),
+        ("package.json", "not json", set()),
+        ("Makefile", None, set()),
+    ],
+)
+def test_manifest_shapes(spark, path, content, want):
+    assert deps(spark, path, content) == want
+
+
+def test_project_references_resolve(spark):
+    text = '<ProjectReference Include="..\\core\\core.csproj" /><ProjectReference Include="..\\..\\..\\out.csproj" />'
+    rows = spark.createDataFrame([("r", "src/app/app.csproj", text), ("r", "app.csproj", '<ProjectReference Include="./lib/x.fsproj"/>')], "root string, path string, content string")
+    assert {(r["src"], r["dst"]) for r in manifests.project_references(rows).collect()} == {("src/app/app.csproj", "src/core/core.csproj"), ("app.csproj", "lib/x.fsproj")}
+
+
+def test_debounce_in_one_fold_or_many(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    events = [(i, rnd.choice([1, 2]), rnd.randint(0, 400) / 10) for i in range(300)]
+    df = spark.createDataFrame(events, "event_id long, root_id long, at double").select("event_id", "root_id", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"))
+    want = set()
+    for root in (1, 2):
+        end = -1.0
+        for at, i in sorted((at, i) for i, r, at in events if r == root):
+            if at >= end:
+                want.add((root, i))
+                end = at + 0.5
+    for runs in (1_000, 1):
+        monkeypatch.setattr(changes, "RUNS", runs)
+        assert {(r["root_id"], r["event_id"]) for r in changes.debounce(df, 500).collect()} == want
