@@ -1,15 +1,16 @@
 """WARC archives and a two-level capture index.
 
-``write_archives`` makes one WARC/1.1 record per page and writes files of records that are compressed one by
-one. Of pages with equal payloads of at least ``least_bytes`` bytes the one with the smallest page_id is a
-response, the others are revisits that name it; smaller payloads are always responses.
-
-``build_index`` reads the archives back and sorts the captures by reversed-host key (com,example)/path). Runs of
-``BLOCK`` lines become compressed blocks; the directory holds each block's first key alone. ``lookup`` finds a
-key's block by binary search in the directory, then searches that block's lines, and gives the places of its
-captures; ``read_captures`` reads these byte ranges and parses the records, ``fetch`` does so for one capture
-with a seek. The directory is sent to tasks up to MOST_BLOCKS blocks; beyond that, keys and captures are joined
-by key.
+``write_archives`` makes one WARC/1.1 record per page and writes .warc.gz files of records that are compressed one
+by one; a file ends at FILE_BYTES. Of pages with equal payloads of at least ``least_bytes`` bytes the one with the
+smallest page_id is a response, the others are revisits that name it; smaller payloads are always responses.
+
+``build_index`` reads the archives front to back, a piece at a time, and sorts the captures by reversed-host key
+(com,example)/path). Runs of ``BLOCK`` lines become compressed blocks; the directory holds each block's first key
+alone. A directory of more than MOST_TOP blocks is cut into sorted, compressed blocks itself, with a directory of
+their first keys above it, and so on. ``lookup`` finds a key's block by binary search in the topmost directory, then
+searches the lines of that block, down to the places of the key's captures; ``read_captures`` reads these byte
+ranges with a seek each (ranges close to each other in one read) and parses the records; no archive is read whole.
+Archives must lie where pyarrow's file systems reach them (local or mounted folders, hdfs, s3, gs, abfs).
 
 Null html: an empty payload. Null url: no target, the key is empty. A null page_id is never a revisit and names no
 other page. Repeated rows give a record each; rows that share the smallest page_id of a payload are all
@@ -22,24 +23,29 @@ import base64
 import gzip
 import hashlib
 import re
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from lixora.llm.common import new_path, saved
+from lixora.llm.common import join_hot, new_path, partitions_for, saved
 
-#: Records of one archive file, lines of one index block, blocks whose first keys are sent to every task.
-PER_FILE, BLOCK, MOST_BLOCKS = 2_000, 1_000, 50_000
+#: Bytes of one archive file, lines of one index block, blocks whose first keys are sent to every task.
+FILE_BYTES, BLOCK, MOST_TOP = 64 << 20, 1_000, 50_000
 #: Up to so many revisits are broadcast (about 50 bytes each).
 MOST_BROADCAST = 100_000
-#: An empty gzip member; the text writer's separator supplies its last byte.
-EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+#: Bytes that one step of a scan reads; captures of one stretch of a file are read by one task; captures not
+#: further apart than GAP share a read of at most MOST_READ bytes (unless one capture alone is larger).
+STEP, STRETCH, GAP, MOST_READ = 64 << 10, 16 << 20, 64 << 10, 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -92,86 +98,143 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "record_type": kind, "refers_to": number("WARC-Refers-To"), "payload_digest": fields["WARC-Payload-Digest"][5:], "payload_bytes": size, "payload": payload if kind == "response" else None}
 
 
-def members(data: bytes):
-    """(offset, length, content) of each gzip member that isn't empty."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        opened, out, pos = zlib.decompressobj(31), [], at
+def members(stream):
+    """(offset, length, head) of each gzip member of a stream that is read front to back; head: up to the first
+    empty line at least."""
+    at, data = 0, b""
+    while data or (data := stream.read(STEP)):
+        opened, head, length = zlib.decompressobj(31), b"", 0
         while not opened.eof:
-            chunk = view[pos : pos + 32_768]
-            if not len(chunk):
-                raise ValueError(f"a record is cut off at byte {at}")
-            out.append(opened.decompress(chunk))
-            pos += len(chunk)
-        end = pos - len(opened.unused_data)
-        if content := b"".join(out):
-            yield at, end - at, content
-        at = end
-
-
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = PER_FILE) -> None:
-    """Write one record per page to .warc.gz files (named .txt by Spark's text writer) under path."""
+            if not data and not (data := stream.read(STEP)):
+                raise ValueError(f"the record at byte {at} is cut off")
+            got = opened.decompress(data)
+            length += len(data) - len(opened.unused_data)
+            data = opened.unused_data
+            if b"\r\n\r\n" not in head:
+                head += got
+        yield at, length, head
+        at += length
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    """Writes rows (page_id, url, html, digest, refers_to) as records. Files have names of their own; a commit
+    removes those of attempts that failed."""
+
+    def __init__(self, path: str, file_bytes: int):
+        self.path, self.file_bytes = path, file_bytes
+
+    def write(self, iterator) -> Written:
+        store, root = FileSystem.from_uri(self.path)
+        store.create_dir(root, recursive=True)
+        files, out, held = [], None, 0
+        for b in iterator:
+            for page_id, url, html, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
+                data = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to), 5, mtime=0)
+                if out is None or held + len(data) > self.file_bytes:
+                    if out is not None:
+                        out.close()
+                    files.append(f"{uuid.uuid4().hex}.warc.gz")
+                    out, held = store.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
+                out.write(data)
+                held += len(data)
+        if out is not None:
+            out.close()
+        return Written(files)
+
+    def commit(self, messages) -> None:
+        store, root = FileSystem.from_uri(self.path)
+        store.create_dir(root, recursive=True)
+        whole = {f for m in messages if m for f in m.files}
+        for info in store.get_file_info(FileSelector(root)):
+            if info.base_name not in whole:
+                store.delete_file(info.path)
+
+    def abort(self, messages) -> None:
+        self.commit([])
+
+
+class Archives(DataSource):
+    """The sink of ``write_archives``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_archives"
+
+    def schema(self) -> str:
+        return "page_id long, url string, html string, digest string, refers_to long"
+
+    def writer(self, schema, overwrite) -> ArchiveWriter:
+        return ArchiveWriter(self.options["path"], int(self.options["bytes"]))
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Write one record per page to .warc.gz files under path, a folder that isn't there yet."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", base32_sha1(F.col("html")))
     keys = saved(pages.select("page_id", "digest", F.octet_length("html").alias("size")), "digests")
-    firsts = keys.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = saved(keys.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
+    firsts = saved(keys.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    revisits = saved(join_hot(keys, firsts, "digest", "n").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
     revisits = F.broadcast(revisits) if revisits.count() <= MOST_BROADCAST else revisits
-
-    def fn(batches):
-        for b in batches:
-            out = []
-            for page_id, url, html, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
-                out.append(gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to), 5, mtime=0) + EMPTY_MEMBER[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
     rows = pages.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
-    rows.mapInArrow(fn, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
-
-
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    pages.sparkSession.dataSource.register(Archives)
+    rows.write.format("warc_archives").option("path", path).option("bytes", file_bytes).mode("append").save()
 
 
 CAPTURE = "key string, page_id long, file string, offset long, length long"
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """(key, page_id, file, offset, length) of each record in the archives."""
+    """(key, page_id, file, offset, length) of each record in the archives under path; file: its name there."""
 
     def fn(batches):
+        store, root = FileSystem.from_uri(path)
         for b in batches:
-            for file, content in zip(b.column("file").to_pylist(), b.column("content")):
+            for file in b.column("file").to_pylist():
                 rows = []
-                for offset, length, data in members(content.as_py()):
-                    head = data[: data.index(b"\r\n\r\n")].decode("utf-8", "surrogatepass")
-                    url = re.search(r"^WARC-Target-URI: (.*?)\r?$", head, re.M)
-                    number = re.search(r"^WARC-Record-ID: <urn:page:(-?\d*)>", head, re.M)[1]
-                    rows.append((surt(url[1] if url else None), int(number) if number else None, file, offset, length))
+                with store.open_input_file(f"{root}/{file}") as stream:
+                    for offset, length, head in members(stream):
+                        text = head[: head.index(b"\r\n\r\n")].decode("utf-8", "surrogatepass")
+                        url = re.search(r"^WARC-Target-URI: (.*?)\r?$", text, re.M)
+                        number = re.search(r"^WARC-Record-ID: <urn:page:(-?\d*)>", text, re.M)[1]
+                        rows.append((surt(url[1] if url else None), int(number) if number else None, file, offset, length))
+                        if len(rows) == 10_000:
+                            yield batch_of(rows)
+                            rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.string()) for k, c in enumerate(zip(*rows))], ["key", "page_id", "file", "offset", "length"]).cast(SCHEMA)
+                    yield batch_of(rows)
 
-    return archives(spark, path).mapInArrow(fn, CAPTURE)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.substring_index("path", "/", -1).alias("file"))
+    return files.mapInArrow(fn, CAPTURE)
 
 
 SCHEMA = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def build_index(found: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of sorted captures: (block, first_key, lines, data); data is compressed tab-separated lines."""
-    schema = pa.schema([("block", pa.int64()), ("first_key", pa.string()), ("lines", pa.int32()), ("data", pa.binary())])
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SCHEMA.types)], SCHEMA.names)
+
+
+def blocks(rows: DataFrame, level: int, block: int) -> DataFrame:
+    """Blocks of rows sorted by all columns, ``key`` first: (level, block, first_key, lines, data)."""
+    schema = pa.schema([("level", pa.int32()), ("block", pa.int64()), ("first_key", pa.string()), ("lines", pa.int32()), ("data", pa.binary())])
+    names = rows.columns
 
     def fn(batches):
         number, held = TaskContext.get().partitionId() << 33, []
 
-        def made(rows):
+        def made(lines):
             nonlocal number
             number += 1
-            text = "\n".join("\t".join("" if x is None else str(x) for x in r) for r in rows)
-            return number, rows[0][0], len(rows), zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
+            text = "\n".join("\t".join("" if x is None else str(x) for x in r) for r in lines)
+            return level, number, lines[0][0], len(lines), zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
 
         for b in batches:
-            held += zip(*(b.column(c).to_pylist() for c in SCHEMA.names))
+            held += zip(*(b.column(c).to_pylist() for c in names))
             full = [made(held[i : i + block]) for i in range(0, len(held) - block, block)]
             held = held[len(full) * block :]
             if full:
@@ -179,50 +242,70 @@ def build_index(found: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(made(held)))), schema=schema)
 
-    parts = max(1, found.count() // (4 * block))
-    ordered = found.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
-    return saved(ordered.mapInArrow(fn, "block long, first_key string, lines int, data binary"), "index")
+    parts = max(1, rows.count() // (4 * block))
+    ordered = rows.repartitionByRange(parts, *names[:2]).sortWithinPartitions(*names)
+    return saved(ordered.mapInArrow(fn, "level int, block long, first_key string, lines int, data binary"), "index")
 
 
-def lines_of(data: bytes) -> list[tuple]:
-    rows = (line.split("\t") for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n"))
-    return [(k, int(p) if p else None, f, int(o), int(n)) for k, p, f, o, n in rows]
+def build_index(found: DataFrame, block: int = BLOCK, most_top: int = MOST_TOP) -> DataFrame:
+    """Blocks of sorted captures (level 0), and of the directory as long as that has more than most_top entries."""
+    levels = [blocks(found.select(*SCHEMA.names), 0, block)]
+    while levels[-1].count() > most_top:
+        levels.append(blocks(levels[-1].select(F.col("first_key").alias("key"), "block"), len(levels), block))
+    whole = levels[0]
+    for x in levels[1:]:
+        whole = whole.unionByName(x)
+    return whole
 
 
-def lookup(index: DataFrame, keys: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """The captures of every distinct key of ``keys(key)``: a search of the directory, then of a block."""
-    keys = keys.select("key").dropna().distinct()
-    names = ["key", "page_id", "file", "offset", "length"]
-    if index.count() > most_blocks:
-        def lines(batches):
-            for b in batches:
-                for data in b.column("data"):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*lines_of(data.as_py()))], names).cast(SCHEMA)
+def lines_of(data: bytes) -> list[list[str]]:
+    return [line.split("\t") for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")]
 
-        return index.select("data").mapInArrow(lines, CAPTURE).join(keys, "key", "left_semi")
-    directory = sorted((r["first_key"], r["block"]) for r in index.select("first_key", "block").collect())
-    firsts, blocks = [d[0] for d in directory], [d[1] for d in directory]
+
+def around(firsts: list[str], key: str) -> range:
+    """Which of the sorted runs with these first keys can hold a key: the one before the first that starts at it can
+    end with it."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
+
+
+def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The captures of every distinct key of ``keys(key)``: a search of the topmost directory, then of a block of
+    each level."""
+    keys = keys.select("key").dropna().distinct()
+    names = SCHEMA.names
+    top = index.agg(F.max("level")).first()[0] or 0
+    directory = sorted((r["first_key"], r["block"]) for r in index.where(F.col("level") == top).select("first_key", "block").collect())
+    firsts, numbers = [d[0] for d in directory], [d[1] for d in directory]
 
     def place(batches):
         for b in batches:
-            out = []
-            for key in b.column("key").to_pylist():
-                # the block before the first one that starts at the key can end with it
-                out += [(key, blocks[i]) for i in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))]
+            out = [(key, numbers[i]) for key in b.column("key").to_pylist() for i in around(firsts, key)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], ["key", "block"])
 
-    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def down(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         for data in held["data"]:
             rows = lines_of(data)
             order = [r[0] for r in rows]
+            out += [(key, int(rows[i][1])) for key in asked["key"] for i in around(order, key)]
+        return pd.DataFrame(out, columns=["key", "block"]).astype({"block": "int64"})
+
+    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for data in held["data"]:
+            rows = [(k, int(p) if p else None, f, int(o), int(n)) for k, p, f, o, n in lines_of(data)]
+            order = [r[0] for r in rows]
             for key in asked["key"]:
                 out += rows[bisect_left(order, key) : bisect_right(order, key)]
         return pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "offset": "int64", "length": "int64"})
 
     placed = keys.mapInArrow(place, "key string, block long")
-    return placed.groupBy("block").cogroup(index.select("block", "data").groupBy("block")).applyInPandas(search, CAPTURE)
+    for level in range(top, -1, -1):
+        held = index.where(F.col("level") == level).select("block", "data").groupBy("block")
+        step, schema = (down, "key string, block long") if level else (search, CAPTURE)
+        placed = placed.groupBy("block").cogroup(held).applyInPandas(step, schema)
+    return placed
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -231,35 +314,48 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 def read_captures(spark: SparkSession, found: DataFrame, path: str) -> DataFrame:
     """Read the byte ranges of captures back; a response whose payload doesn't have its digest is an error."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    ranges = found.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))  # of one bounded file
+
+    def checked(data: bytes) -> dict:
+        got = parse_record(gzip.decompress(data))
+        payload = got.pop("payload")
+        if payload is not None and (len(payload) != got["payload_bytes"] or base64.b32encode(hashlib.sha1(payload).digest()).decode() != got["payload_digest"]):
+            raise ValueError(f"page {got['page_id']}: the payload read back differs")
+        return got
 
     def fn(batches):
+        store, root = FileSystem.from_uri(path)
+        name = stream = None
         for b in batches:
-            for content, ranges in zip(b.column("content"), b.column("ranges").to_pylist()):
-                view, rows = memoryview(content.as_py()), []
-                for r in ranges:
-                    got = parse_record(gzip.decompress(view[r["offset"] : r["offset"] + r["length"]]))
-                    payload = got.pop("payload")
-                    if payload is not None:
-                        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if digest != got["payload_digest"] or len(payload) != got["payload_bytes"]:
-                            raise ValueError(f"page {got['page_id']}: the payload read back differs")
-                    rows.append(got)
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return archives(spark, path).join(ranges, "file").select("content", "ranges").mapInArrow(fn, RECORD)
-
-
-def fetch(spark: SparkSession, file: str, offset: int, length: int) -> dict:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length"))))
+            at = 0
+            while at < len(rows):
+                file, begin, length = rows[at]
+                end, to = begin + length, at + 1
+                while to < len(rows) and rows[to][0] == file and 0 <= rows[to][1] - end <= GAP and rows[to][1] + rows[to][2] - begin <= MOST_READ:
+                    end, to = rows[to][1] + rows[to][2], to + 1
+                if file != name:
+                    if stream:
+                        stream.close()
+                    name, stream = file, store.open_input_file(f"{root}/{file}")
+                stream.seek(begin)
+                data = memoryview(stream.read(end - begin))
+                yield pa.RecordBatch.from_pylist([checked(data[o - begin : o - begin + n]) for _, o, n in rows[at:to]], schema=schema)
+                at = to
+        if stream:
+            stream.close()
+
+    count = found.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / STRETCH)
+    dealt = found.select("file", "offset", "length").repartition(max(partitions_for(spark), count // STRETCH), "file", stretch)
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(fn, RECORD)
+
+
+def fetch(path: str, file: str, offset: int, length: int) -> dict:
     """One record, by a seek in its archive."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(file)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-    try:
+    store, root = FileSystem.from_uri(path)
+    with store.open_input_file(f"{root}/{file}") as stream:
         stream.seek(offset)
-        data = bytes(stream.readNBytes(length))
-    finally:
-        stream.close()
-    return parse_record(gzip.decompress(data))
+        return parse_record(gzip.decompress(stream.read(length)))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -273,5 +369,5 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in b.column("url").to_pylist()], pa.string())], ["key"])
 
-    found = lookup(index, pages.select(F.col("url").cast("string").alias("url")).mapInArrow(keyed, "key string"))
+    found = saved(lookup(index, pages.select(F.col("url").cast("string").alias("url")).mapInArrow(keyed, "key string")), "found")
     return read_captures(spark, found, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
