@@ -5,7 +5,9 @@ met in their inflected forms), each hashed to 32 bits. The model is
 score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j> / n) over the n terms present that it knows: the linear part weighs words by
 themselves, the factors pairs that occur together (an insult with the mention of a group). Fitted by
 proximal AdaGrad on log loss; the L1 pull takes words that say nothing to exactly nothing, so a long clean
-text gathers no score.
+text gathers no score. The pull also shrinks what it keeps, most where labels are few. So a second model, fitted
+without every fifth training row, scores these rows, and the line through its scores that fits their labels best
+(toxic rows weigh more here, as in the fit) stretches and shifts the scores of the first.
 
 Labels are learnt from training rows only, at most MOST_TRAINING of them (lowest id hashes). Null or empty
 text: the score of no words. Label rows that are null or lack a document are ignored; several label rows of
@@ -28,6 +30,8 @@ from lixora.llm.labelled import MOST_TRAINING, features, sampled, split_text_sco
 
 FACTORS, EPOCHS, BATCH, PREFIXES = 4, 8, 128, (4, 5)
 RATE, PULL_W, PULL_V, LEAST_DOCS, WEIGHT = 0.5, 1e-3, 3e-4, 4, 4.0
+#: One row in so many calibrates, and so many such rows are needed; the line is held to the identity by RIDGE.
+APART, LEAST_APART, RIDGE = 5, 20, 1.0
 THRESHOLD, FOLDS, HELD = 0.7, 3, 1
 WORDS = re.compile(r"\w+")
 
@@ -98,11 +102,12 @@ def fit(labels: np.ndarray, docs: list[np.ndarray], seed: int = 7) -> dict[str,
     return {"bias": np.float64(bias), "terms": keep[used], "w": w[used], "v": v[used]}
 
 
-def scorer(model: dict[str, np.ndarray]):
-    """texts -> scores."""
+def logits(model: dict[str, np.ndarray]):
+    """texts -> scores before the sigmoid."""
     place = {int(t): i for i, t in enumerate(model["terms"])}
     terms = Terms(lambda hashes: tuple(i for h in hashes if (i := place.get(h)) is not None))
     bias, w, v = float(model["bias"]), model["w"], model["v"]
+    scale, shift = model.get("line", (1.0, 0.0))
 
     def scores(texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), bias)
@@ -114,18 +119,57 @@ def scorer(model: dict[str, np.ndarray]):
             if x:
                 x = sorted(x)
                 out[i] += w[x].sum() + 0.5 * ((v[x].sum(0) ** 2).sum() - (v[x] ** 2).sum()) / len(x)
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        return scale * out + shift
 
     return scores
 
 
+def scorer(model: dict[str, np.ndarray]):
+    """texts -> scores."""
+    of = logits(model)
+    return lambda texts: 1 / (1 + np.exp(-np.clip(of(texts), -30, 30)))
+
+
+def line(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of scores z that fit the labels best, by Newton's method."""
+    x, b, held = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    weight = np.where(labels > 0, WEIGHT, 1.0)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        slope = x.T @ (weight * (p - labels)) + RIDGE * (b - held)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
+        b = b - np.linalg.solve(bend, slope)
+    return (float(b[0]), float(b[1])) if b[0] > 0 else (1.0, 0.0)
+
+
+def known_score(model: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
+    """Scores before the sigmoid of documents given by their terms."""
+    out = np.full(len(docs), float(model["bias"]))
+    for i, d in enumerate(docs):
+        x = _places(model["terms"], d)
+        if len(x):
+            v = model["v"][x]
+            out[i] += model["w"][x].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()) / len(x)
+    return out
+
+
+def calibrated(labels: np.ndarray, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """The model of all rows, and the line that rows apart from those of a second model give."""
+    model = fit(labels, docs)
+    apart = np.arange(len(docs)) % APART == 0
+    if min(labels[apart].sum(), (1 - labels[apart]).sum()) < LEAST_APART:
+        return model
+    second = fit(labels[~apart], [d for d, a in zip(docs, apart) if not a])
+    return model | {"line": line(known_score(second, [d for d, a in zip(docs, apart) if a]), labels[apart])}
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> dict[str, np.ndarray]:
     """The model of the labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).dropna()
     known = known.where(fold_of(F.col("doc_id"), FOLDS) != HELD).groupBy("doc_id").agg(F.max("label").alias("label"))
     terms = Terms()
     got, rows = features(docs, sampled(known, most), lambda t: terms_of(t, terms), ["label"])
-    return fit(got["label"].astype(float), rows) if rows else {"bias": np.float64(0), "terms": np.empty(0, np.uint32), "w": np.empty(0), "v": np.empty((0, FACTORS))}
+    return calibrated(got["label"].astype(float), rows) if rows else {"bias": np.float64(0), "terms": np.empty(0, np.uint32), "w": np.empty(0), "v": np.empty((0, FACTORS))}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, threshold: float = THRESHOLD) -> DataFrame:

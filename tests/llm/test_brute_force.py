@@ -157,3 +157,24 @@ def test_decontamination_recall_against_full_alignment(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs_of(spark, [(k, " ".join(t)) for k, t in rows]), bench).collect()}
     assert got <= want and len(want) > 80 and len(got) >= 0.9 * len(want)
+
+
+def test_toxicity_line_fits_scores():
+    rnd = np.random.default_rng(6)
+    z = rnd.normal(0, 2, 4000)
+    labels = (rnd.random(4000) < 1 / (1 + np.exp(-(1.7 * z - 2.0)))).astype(float)
+    a, c = toxicity.line(z, labels)
+    assert 1.4 < a < 2.1 and -2.0 < c < 0  # toxic rows weigh more
+    step = lambda a, c: (np.where(labels > 0, toxicity.WEIGHT, 1.0) * np.logaddexp(0, np.where(labels > 0, -1, 1) * (a * z + c))).sum() + 0.5 * toxicity.RIDGE * ((a - 1) ** 2 + c**2)
+    assert all(step(a, c) <= step(a + x, c + y) for x in (-0.01, 0, 0.01) for y in (-0.01, 0, 0.01))
+
+
+def test_toxicity_calibration_needs_rows_of_both_kinds():
+    terms = toxicity.Terms()
+    rnd = random.Random(36)
+    texts = [" ".join(rnd.choices(["some", "plain", "words", "here"], k=6) + ["nasty"] * (k % 4 == 0)) for k in range(600)]
+    docs, labels = [toxicity.terms_of(t, terms) for t in texts], np.array([float(k % 4 == 0) for k in range(600)])
+    assert "line" not in toxicity.calibrated(labels[:90], docs[:90]) and "line" in toxicity.calibrated(labels, docs)
+    model = toxicity.calibrated(labels, docs)
+    scale, shift = model["line"]
+    assert toxicity.logits(model)(texts) == pytest.approx(scale * toxicity.known_score(model, docs) + shift)
