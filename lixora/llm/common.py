@@ -29,7 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lixora/{name}-{uuid.uuid4().hex}"
+    """A new path in the session's part of the shared folder."""
+    return f"{shared_folder(spark)}/lixora/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -139,7 +139,7 @@ class Items:
 
 def _slices(benchmark: DataFrame, n: int, most: int) -> Iterator[Items]:
     """Each slice of the benchmark."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= 2 * n - 1)  # shorter ones don't have n words
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-size // most)
     for k in range(count):
