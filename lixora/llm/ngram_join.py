@@ -117,6 +117,17 @@ def plan(k: int, low: int, least: int) -> tuple[int, int, int, int]:
     return k + 1 + spare, 1, 0, spare
 
 
+@cache
+def cells_of(n1: int, n2: int, k2: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the n2 cells each subset of n2 - k2 takes, as a 0/1 matrix, and a name for each subset of each partition."""
+    subsets = list(combinations(range(n2), n2 - k2))
+    taken = np.zeros((n2, len(subsets)), np.uint64)
+    for i, c in enumerate(subsets):
+        taken[list(c), i] = 1
+    names = mixed(np.arange(n1 * len(subsets), dtype=np.uint64) + np.uint64(seed * 1_000_003)).reshape(len(subsets), n1)
+    return taken, names
+
+
 def without(h: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The elements of h that aren't in common; both are sorted."""
     if not len(common):
@@ -137,18 +148,18 @@ def part_enum(h: np.ndarray, common: np.ndarray, scheme: int, k: int, low: int)
     for way in range(WAYS):
         held, least = (without(h, common), 1) if way == 0 else (h, 2)
         n1, n2, k2, spare = plan(k, low, least)
-        subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
         seed = scheme * WAYS + way + 1
         place = mixed(held + np.uint64(seed * int(GOLD) % 2**64))
-        cell = (place % np.uint64(n1 * n2)).astype(np.int64)
+        cell = (place % np.uint64(n1 * n2)).astype(np.uint16 if n1 * n2 < 2**16 else np.int64)  # narrow ones sort fast
         order = np.argsort(cell, kind="stable")
-        ends = np.searchsorted(cell[order], np.arange(n1 * n2 + 1))
+        counts = np.bincount(cell, minlength=n1 * n2)
+        ends = np.concatenate([[0], np.cumsum(counts)])
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(place)[order], dtype=np.uint64)])
         sums = (running[ends[1:]] - running[ends[:-1]]).reshape(n1, n2)
-        counts = np.diff(ends).reshape(n1, n2)
-        names = mixed(np.arange(n1 * len(subsets), dtype=np.uint64) + np.uint64(seed * 1_000_003)).reshape(len(subsets), n1)
-        sig = mixed(np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) for c in subsets]) + names)
-        thin = np.stack([counts[:, c].sum(axis=1) for c in subsets]) < least
+        counts = counts.astype(np.uint64).reshape(n1, n2)
+        taken, names = cells_of(n1, n2, k2, seed)
+        sig = mixed((sums @ taken).T + names)
+        thin = (counts @ taken).T < least
         if thin.any(axis=0).sum() <= spare:
             out.append(sig[~thin])
             break
@@ -233,10 +244,13 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int, c
         return pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows))), schema=schema) if rows else None
 
     def fn(batches):
-        words_of, bands, sigs, nodes, held, salt = WordHashes(), Bands(num, den), [], [], 0, 0
+        words_of, bands, sigs, nodes, held, salt, seen = WordHashes(), Bands(num, den), [], [], 0, 0, set()
         for b in batches:
-            for t in b.column("text").to_pylist():
-                h = shingle_hashes(t, n, words_of)
+            for t, key in zip(b.column("text"), b.column("text_key").to_pylist()):
+                if key in seen:
+                    continue  # the text again
+                seen.add(key)
+                h = shingle_hashes(t.as_py(), n, words_of)
                 if not len(h):
                     continue
                 s = signatures(h, bands, common)
@@ -268,7 +282,7 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int, buckets: int, c
                 out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    dealt = docs.select(F.col("text").cast("string")).mapInArrow(fn, "bucket long, sigs binary, nodes binary")
+    dealt = keyed(docs).select("text", "text_key").mapInArrow(fn, "bucket long, sigs binary, nodes binary")
     return dealt.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
