@@ -81,4 +81,52 @@ d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hexed, min(pa
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, translate({_BASE32}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
 
-ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op5_chat_formatting": CHAT, "op8_license_scans": LICENSES, "op9_secret_scans": SECRETS, "op10_warc": WARC}
+
+def _round(i: int) -> str:
+    """Vectors by their nearest centroid of round i, and the centroids after it."""
+    return f"""near{i} AS (SELECT r, vec_id, v, arg_min({{'c': c, 'd': d}}, (d, c)) AS best FROM (SELECT r, vec_id, v, c, list_sum([(v[j] - m[j]) * (v[j] - m[j]) FOR j IN range(1, 65)])::BIGINT AS d FROM kept CROSS JOIN c{i}) x GROUP BY ALL),
+sums{i} AS (SELECT best.c AS c, j, sum(v[j]) AS s, count(*)::HUGEINT AS n FROM near{i}, range(1, 65) x(j) GROUP BY ALL),
+means{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m FROM sums{i} GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(means{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN means{i} USING (c))"""
+
+
+#: Every vector with every centroid.
+CENTROIDS = f"""WITH kept AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding])),
+first AS (SELECT v, sha256('1:' || vec_id) AS name FROM kept ORDER BY name NULLS LAST, v LIMIT 16),
+c0 AS (SELECT row_number() OVER (ORDER BY name NULLS LAST, v) - 1 AS c, v AS m FROM first),
+{", ".join(map(_round, range(4)))},
+placed AS (SELECT vec_id, best.c AS c, best.d AS d FROM near3)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM placed JOIN c3 USING (c)"""
+
+#: What the article elements of the given pages hold; these pages use few character references.
+HTML = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+#: Filter by filter, for every order, from the documents themselves.
+FILTERS = r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM docs),
+fails AS (SELECT r, doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f FROM words),
+says AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+known AS (SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM fails LEFT JOIN says USING (doc_id) GROUP BY ALL),
+orders AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, 15 - a.i - b.i - c.i - d.i AS e FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i) WHERE len(list_distinct([a.i, b.i, c.i, d.i])) = 4),
+steps AS (SELECT array_to_string(['ABCDE'[i] FOR i IN [a, b, c, d, e]], '') AS filter_order, s AS step, [a, b, c, d, e] AS o FROM orders, range(1, 6) x(s)),
+seen AS (SELECT part, filter_order, step, o[step] AS own, good, toxic, n, f[o[step]] AS failing, list_bool_or([false] || [f[i] FOR i IN o[1:step - 1]]) AS gone, len([1 FOR x IN f IF x]) AS n_fails FROM known, steps),
+counts AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failing AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (failing AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (failing AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost FROM seen GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counts"""
+
+ORACLES = {
+    "op3_ngram_jaccard_join": JACCARD,
+    "op5_chat_formatting": CHAT,
+    "op8_license_scans": LICENSES,
+    "op9_secret_scans": SECRETS,
+    "op10_warc": WARC,
+    "op11_centroid_clustering": CENTROIDS,
+    "op12_html_extraction": HTML,
+    "op13_filter_interaction_audit": FILTERS,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lixora.llm import chat, decontamination, fingerprints, licenses, ngram_join, packing, quality, secrets, toxicity, warc
+from lixora.llm import centroids, chat, decontamination, filters, fingerprints, html_text, licenses, ngram_join, packing, quality, secrets, toxicity, warc
 from lixora.llm.common import table
 from lixora.llm.oracles import ORACLES as ORACLES
 
@@ -53,6 +53,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dims=64, k=16, rounds=3)
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -64,4 +76,7 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_secret_scans": op9_secret_scans,
     "op10_warc": op10_warc,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
