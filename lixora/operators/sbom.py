@@ -1,31 +1,58 @@
 """SBOM documents: detection, extraction, validation, emission and enrichment.
 
-A table of documents is (doc_id, json). A document is one row, its packages are exploded with their position.
+A table of documents is (doc_id, json). A document is one row, its packages are exploded with their position. Documents
+come from elsewhere, so each entry is read as a variant by itself, and each field by its own type. An object that
+holds a key twice is no readable JSON unless spark.sql.variant.allowDuplicateKeys is on.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lixora.functions.ids import parse_purl, purl
-from lixora.functions.licenses import is_stated, is_unresolved, license_ref, to_spdx_expression
+from lixora.functions.licenses import detect_license, is_expression, is_license_id, is_stated, is_unresolved, license_ref, to_spdx_expression
 from lixora.operators.config import ComplianceConfig
 from lixora.operators.judge import judge
 from lixora.operators.resolve import resolve_from_definitions, resolve_from_registry
+from lixora.operators.shared import cut
 
-SPDX = """packages: array<struct<name: string, SPDXID: string, versionInfo: string, licenseConcluded: string, licenseDeclared: string,
-  externalRefs: array<struct<referenceType: string, referenceLocator: string>>>>, hasExtractedLicensingInfos: array<struct<licenseId: string, name: string, extractedText: string>>"""
-CYCLONE = "components: array<struct<type: string, group: string, name: string, version: string, purl: string, licenses: array<struct<license: struct<id: string, name: string>, expression: string>>>>"
-MARKS = "spdxVersion: string, SPDXID: string, bomFormat: string, specVersion: string"
+MARKS = {"spdx": ("spdxVersion", "SPDXID"), "cyclonedx": ("bomFormat", "specVersion")}
+#: Key of the list that a document's packages stand in.
+LISTS = {"spdx": "packages", "cyclonedx": "components"}
 COMPONENT = ["doc_id", "pos", "ecosystem", "name", "version", "license"]
+SPACE = " \t\n\r\x0b\x0c"
+
+
+def _v(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{path}", kind)
+
+
+def _string(v: Column, path: str) -> Column:
+    """A field that is a JSON string; null for anything else."""
+    return F.when(F.schema_of_variant(_v(v, path)) == "STRING", _v(v, path, "string"))
+
+
+def _said(v: Column, path: str) -> Column:
+    """A string field without white space around it; null if that leaves nothing."""
+    return F.nullif(F.btrim(_string(v, path), F.lit(SPACE)), F.lit(""))
+
+
+def _list(v: Column, path: str) -> Column:
+    """The entries of a list, whatever each of them is; null if the field is no list."""
+    return _v(v, path, "array<variant>")
+
+
+def _format(v: Column) -> Column:
+    has = lambda keys: F.coalesce(*[_v(v, k, "string") for k in keys]).isNotNull()
+    return F.when(has(MARKS["spdx"]), "spdx").when(has(MARKS["cyclonedx"]), "cyclonedx")
 
 
 def read_sboms(docs: DataFrame) -> DataFrame:
     """docs with format: spdx, cyclonedx, or null for anything else (also for text that isn't JSON)."""
-    v = F.try_parse_json("json")
-    has = lambda k: F.try_variant_get(v, f"$.{k}", "string").isNotNull()
-    return docs.withColumn("format", F.when(has("spdxVersion") | has("SPDXID"), "spdx").when(has("bomFormat") | has("specVersion"), "cyclonedx"))
+    return docs.withColumn("format", _format(F.try_parse_json("json")))
 
 
 def _identified(rows: DataFrame, *more: str) -> DataFrame:
@@ -36,54 +63,77 @@ def _identified(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def expand_license_refs(license: Column, refs: Column) -> Column:
-    """Document-local ids replaced by their names (or texts); refs: array of struct(licenseId, name, extractedText), longest id first."""
-    said = F.transform(refs, lambda r: F.struct((-F.length(r["licenseId"])).alias("n"), r["licenseId"].alias("id"), F.coalesce(F.when(is_stated(r["name"]), r["name"]), r["extractedText"], r["licenseId"]).alias("to")))
-    return F.when(F.contains(license, F.lit("LicenseRef-")), F.aggregate(F.array_sort(F.coalesce(said, F.array().cast("array<struct<n:int,id:string,to:string>>"))), license, lambda acc, r: F.replace(acc, r["id"], r["to"]))).otherwise(license)
+    """Document-local ids replaced by the licence that their text is, else by their name; longest id first.
+
+    refs: array of struct(licenseId, name, extractedText). An id whose text and name say nothing stays; of entries with
+    one id the last counts.
+    """
+    return _with_refs(license, _known_refs(refs))
 
 
-def _spdx_part(p: Column, refs: Column) -> Column:
-    """(name, version, purl, license) of a package: the concluded licence if it is stated, else the declared one."""
-    said = F.coalesce(*[F.when(is_stated(p[k]), F.trim(p[k])) for k in ("licenseConcluded", "licenseDeclared")])
-    url = F.get(F.filter(p["externalRefs"], lambda r: r["referenceType"] == "purl"), F.lit(0))["referenceLocator"]
-    return F.struct(p["name"].alias("name"), p["versionInfo"].alias("version"), url.alias("purl"), expand_license_refs(said, refs).alias("license"))
+def _known_refs(refs: Column) -> Column:
+    known = lambda r: F.coalesce(detect_license(r["extractedText"]), F.when(is_stated(r["name"]), r["name"]))
+    named = lambda r, i: F.named_struct(F.lit("n"), -F.length(r["licenseId"]), F.lit("i"), -i, F.lit("id"), r["licenseId"], F.lit("to"), known(r))
+    return F.array_sort(F.filter(F.transform(refs, named), lambda r: r["to"].isNotNull() & r["id"].isNotNull()))
 
 
-def _cyclonedx_part(c: Column) -> Column:
-    """The same of a component; several licences are joined by AND."""
-    each = F.transform(c["licenses"], lambda x: F.coalesce(x["expression"], x["license"]["id"], x["license"]["name"]))
-    each = F.array_distinct(F.filter(each, lambda x: is_stated(x)))
-    joined = F.array_join(F.transform(each, lambda x: F.when(F.contains(x, F.lit(" OR ")) & (F.size(each) > 1), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x)), " AND ")
-    name = F.when(is_stated(c["group"]), F.concat(c["group"], F.lit("/"), c["name"])).otherwise(c["name"])
-    return F.struct(name.alias("name"), c["version"].alias("version"), c["purl"].alias("purl"), F.nullif(joined, F.lit("")).alias("license"))
+def _with_refs(license: Column, known: Column) -> Column:
+    none = F.array().cast("array<struct<n:int,i:int,id:string,to:string>>")
+    return F.when(F.contains(license, F.lit("LicenseRef-")), F.aggregate(F.coalesce(known, none), license, lambda acc, r: F.replace(acc, r["id"], r["to"]))).otherwise(license)
 
 
-def _exploded(rows: DataFrame, parts: Column, *more: str) -> DataFrame:
-    rows = rows.select("doc_id", *more, F.posexplode(parts).alias("pos", "x")).select("doc_id", *more, "pos", "x.*")
-    return rows
+def _entries(docs: DataFrame, formats: list[str]) -> DataFrame:
+    """(doc_id, format, refs, pos, x): every entry of the package lists of documents, as it is."""
+    d = docs.select("doc_id", F.try_parse_json("json").alias("v"))
+    d = d.withColumn("format", _format(F.col("v")) if len(formats) > 1 else F.lit(formats[0]))
+    infos = F.transform(_list(F.col("v"), "hasExtractedLicensingInfos"), lambda r: F.named_struct(*[x for k in ("licenseId", "name", "extractedText") for x in (F.lit(k), _said(r, k))]))
+    parts = F.coalesce(*[F.when(F.col("format") == f, _list(F.col("v"), LISTS[f])) for f in formats])
+    return d.select("doc_id", "format", _known_refs(infos).alias("refs"), F.posexplode(parts).alias("pos", "x"))
+
+
+def _spdx_license(x: Column, refs: Column) -> Column:
+    """The concluded licence if it is stated, else the declared one."""
+    said = F.coalesce(*[F.when(is_stated(_said(x, k)), _said(x, k)) for k in ("licenseConcluded", "licenseDeclared")])
+    return _with_refs(said, refs)
+
+
+def _spdx_purl(x: Column) -> Column:
+    refs = F.filter(_list(x, "externalRefs"), lambda r: F.lower(_said(r, "referenceType")) == "purl")
+    return _said(F.get(refs, F.lit(0)), "referenceLocator")
+
+
+def _cyclonedx_license(x: Column) -> Column:
+    """Several licences are joined by AND."""
+    each = F.transform(_list(x, "licenses"), lambda e: F.coalesce(_said(e, "expression"), _said(e, "license.id"), _said(e, "license.name")))
+    each = F.array_distinct(F.filter(each, lambda e: is_stated(e)))
+    joined = F.array_join(F.transform(each, lambda e: F.when(F.contains(e, F.lit(" OR ")) & (F.size(each) > 1), F.concat(F.lit("("), e, F.lit(")"))).otherwise(e)), " AND ")
+    return F.nullif(joined, F.lit(""))
+
+
+def _components(docs: DataFrame, *formats: str) -> DataFrame:
+    """COMPONENT rows with format. Every entry is read by itself: numbers, nulls, lists and nameless entries among the
+    packages cost only themselves, and positions are those of the document."""
+    x, spdx = F.col("x"), F.col("format") == "spdx"
+    version = F.when(spdx, _said(x, "versionInfo")).otherwise(_said(x, "version"))
+    url = F.when(spdx, _spdx_purl(x)).otherwise(_said(x, "purl"))
+    lic = F.when(spdx, _spdx_license(x, F.col("refs"))).otherwise(_cyclonedx_license(x))
+    rows = _entries(docs, list(formats)).select("doc_id", "format", "pos", _said(x, "name").alias("name"), version.alias("version"), url.alias("purl"), lic.alias("license"))
+    return _identified(rows.where("name is not null"), "format")
 
 
 def spdx_components(docs: DataFrame) -> DataFrame:
-    """COMPONENT rows of SPDX documents; packages without a name go."""
-    d = docs.select("doc_id", F.from_json("json", f"struct<{SPDX}>").alias("d"))
-    rows = _exploded(d, F.transform("d.packages", lambda p: _spdx_part(p, F.col("d.hasExtractedLicensingInfos"))))
-    return _identified(rows.where(F.trim("name") != ""))
+    """COMPONENT rows of SPDX documents; entries without a name go."""
+    return _components(docs, "spdx").drop("format")
 
 
 def cyclonedx_components(docs: DataFrame) -> DataFrame:
-    """COMPONENT rows of CycloneDX documents (top level)."""
-    d = docs.select("doc_id", F.from_json("json", f"struct<{CYCLONE}>").alias("d"))
-    return _identified(_exploded(d, F.transform("d.components", _cyclonedx_part)))
+    """COMPONENT rows of CycloneDX documents (top level); entries without a name go."""
+    return _components(docs, "cyclonedx").drop("format")
 
 
 def ingest_sboms(docs: DataFrame) -> DataFrame:
     """COMPONENT rows with format of all readable documents; each is parsed once."""
-    d = docs.select("doc_id", F.from_json("json", f"struct<{MARKS}, {SPDX}, {CYCLONE}>").alias("d"))
-    has = lambda a, b: F.coalesce(f"d.{a}", f"d.{b}").isNotNull()
-    d = d.withColumn("format", F.when(has("spdxVersion", "SPDXID"), "spdx").when(has("bomFormat", "specVersion"), "cyclonedx"))
-    spdx = F.transform("d.packages", lambda p: _spdx_part(p, F.col("d.hasExtractedLicensingInfos")))
-    parts = F.when(F.col("format") == "spdx", spdx).when(F.col("format") == "cyclonedx", F.transform("d.components", _cyclonedx_part))
-    rows = _exploded(d, parts, "format").where((F.col("format") == "cyclonedx") | (F.trim("name") != ""))
-    return _identified(rows, "format")
+    return _components(docs, "spdx", "cyclonedx")
 
 
 def judge_sboms(docs: DataFrame, cfg: ComplianceConfig, snapshot: DataFrame | None = None, definitions: DataFrame | None = None, project_license: str | None = None) -> DataFrame:
@@ -133,33 +183,56 @@ def to_cyclonedx(df: DataFrame, created: str) -> DataFrame:
     return docs.select(F.col("project_id").alias("doc_id"), F.concat(head, F.array_join("parts", ","), F.lit("]}")).alias("json"))
 
 
+def _text(value: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _object(fields: Column, put: dict[str, Column]) -> Column:
+    """JSON of an object given as map<string,variant>, with the fields of ``put`` (JSON text) in place of its own or after them."""
+    kept = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(list(put)))
+    pairs = F.transform(kept, lambda e: F.concat(_text(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    more = F.array_compact(F.array(*[F.concat(_text(F.lit(k)), F.lit(":"), v) for k, v in put.items()]))
+    return F.concat(F.lit("{"), F.array_join(F.concat(pairs, more), ","), F.lit("}"))
+
+
 def enrich_sbom(docs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """SPDX docs with resolved(doc_id, pos, license) written to packages that state no licence. Documents without
-    such a package stay byte for byte; free text becomes a LicenseRef with an extracted-text entry."""
-    rows = spdx_components(docs).where("license is null").select("doc_id", "pos").join(resolved.where(~is_unresolved(F.col("license"))), ["doc_id", "pos"])
-    rows = rows.select("doc_id", F.struct("pos", "license", license_ref(F.col("license")).alias("ref")).alias("fix"))
-    fixes = rows.groupBy("doc_id").agg(F.collect_list("fix").alias("fixes"))
-    whole = F.get(F.from_json(F.concat(F.lit("["), "json", F.lit("]")), "array<string>"), F.lit(0))
-    old = F.from_json("json", "struct<packages: string, hasExtractedLicensingInfos: string>")
-    texts = docs.join(fixes, "doc_id", "left").withColumns({"whole": whole, "old": old})
-    texts = texts.withColumn("parts", F.from_json("old.packages", "array<string>"))
-    key = r'"licenseConcluded":"(?:[^"\\]|\\.)*"'
-
-    def fixed(part: Column, i: Column) -> Column:
-        fix = F.get(F.filter("fixes", lambda f: f["pos"] == i), F.lit(0))
-        put = F.concat(F.lit('"licenseConcluded":'), F.to_json(F.array(F.coalesce(fix["ref"], fix["license"]))).substr(F.lit(2), F.length(F.to_json(F.array(F.coalesce(fix["ref"], fix["license"])))) - 2))
-        return F.when(fix.isNull(), part).when(part.rlike(key), F.regexp_replace(part, F.lit(key), put)).otherwise(F.concat(F.lit("{"), put, F.lit(","), F.substring(part, 2, 2**30)))
-
-    packages = F.concat(F.lit("["), F.array_join(F.transform("parts", fixed), ","), F.lit("]"))
-    new = F.replace(F.col("whole"), F.concat(F.lit('"packages":'), "old.packages"), F.concat(F.lit('"packages":'), packages))
-    entries = F.array_distinct(F.transform(F.filter("fixes", lambda f: f["ref"].isNotNull()), lambda f: F.to_json(F.struct(f["ref"].alias("licenseId"), f["license"].alias("extractedText")))))
-    listed = F.array_join(entries, ",")
-    infos = F.when(F.size(entries) == 0, new).when(F.col("old.hasExtractedLicensingInfos").isNull(), F.concat(F.lit('{"hasExtractedLicensingInfos":['), listed, F.lit("],"), F.substring(new, 2, 2**30))).otherwise(F.replace(new, F.lit('"hasExtractedLicensingInfos":['), F.concat(F.lit('"hasExtractedLicensingInfos":['), listed, F.lit(","))))
-    return texts.select("doc_id", F.when(F.col("fixes").isNull(), F.col("json")).otherwise(infos).alias("json"))
+    """Documents of both formats with resolved(doc_id, pos, license) written to the entries, by position, that state no
+    licence.
+
+    Free text becomes a LicenseRef with an extracted-text entry in SPDX, a licence name in CycloneDX. Documents without such
+    an entry stay byte for byte; the others are written anew from their values, keys in order. doc_id tells documents apart.
+    """
+    answers = resolved.where(~is_unresolved(F.col("license"))).select("doc_id", "pos", F.col("license").alias("answer"))
+    fixes = cut(_components(docs, "spdx", "cyclonedx").where("license is null").select("doc_id", "pos").join(answers, ["doc_id", "pos"]))
+    changed = docs.join(fixes.select("doc_id").distinct(), "doc_id", "left_semi")
+    answer, x = F.col("answer"), F.col("x")
+    ref = license_ref(answer)
+    named = F.struct(F.when(~is_license_id(answer), answer).alias("name"), F.when(is_license_id(answer), answer).alias("id"))
+    choice = F.when(is_expression(answer), F.to_json(F.struct(answer.alias("expression")))).otherwise(F.to_json(F.struct(named.alias("license"))))
+    fields = x.cast("map<string,variant>")
+    spdx, cyclonedx = {"licenseConcluded": _text(F.coalesce(ref, answer))}, {"licenses": F.concat(F.lit("["), choice, F.lit("]"))}
+    written = F.when(answer.isNull(), F.to_json(x)).when(F.col("format") == "spdx", _object(fields, spdx)).otherwise(_object(fields, cyclonedx))
+    info = F.when(ref.isNotNull() & (F.col("format") == "spdx"), F.to_json(F.struct(ref.alias("licenseId"), answer.alias("name"), answer.alias("extractedText"))))
+    rows = _entries(changed, ["spdx", "cyclonedx"]).join(fixes, ["doc_id", "pos"], "left").select("doc_id", "format", F.struct("pos", written.alias("part"), info.alias("info")).alias("e"))
+    whole = rows.groupBy("doc_id", "format").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    whole = whole.select("doc_id", "format", F.array_join("e.part", ",").alias("parts"), F.array_distinct(F.array_compact("e.info")).alias("infos"))
+    both = docs.join(whole, "doc_id", "left").withColumn("v", F.try_parse_json("json"))
+    top = F.col("v").cast("map<string,variant>")
+    listed = F.concat(F.lit("["), F.col("parts"), F.lit("]"))
+    old = F.transform(_list(F.col("v"), "hasExtractedLicensingInfos"), lambda e: F.to_json(e))
+    infos = F.concat(F.lit("["), F.array_join(F.concat(F.coalesce(old, F.array().cast("array<string>")), F.col("infos")), ","), F.lit("]"))
+    new = F.when(F.col("format") == "cyclonedx", _object(top, {"components": listed})).when(F.size("infos") == 0, _object(top, {"packages": listed})).otherwise(_object(top, {"packages": listed, "hasExtractedLicensingInfos": infos}))
+    return both.select("doc_id", F.when(F.col("format").isNull(), F.col("json")).otherwise(new).alias("json"))
+
+
+ISSUES = "array<struct<severity:string,field:string,message:string>>"
 
 
 def _issues(docs: DataFrame, found: list[Column]) -> DataFrame:
-    return docs.select("doc_id", F.explode(F.filter(F.flatten(F.array(*found)), lambda i: i.isNotNull())).alias("i")).select("doc_id", "i.severity", "i.field", "i.message")
+    every = F.flatten(F.array(*[F.coalesce(f, F.array().cast(ISSUES)) for f in found]))
+    return docs.select("doc_id", F.explode(F.filter(every, lambda i: i.isNotNull())).alias("i")).select("doc_id", "i.severity", "i.field", "i.message")
 
 
 def _issue(when: Column, severity: str, field: str | Column, message: str) -> Column:
@@ -167,61 +240,59 @@ def _issue(when: Column, severity: str, field: str | Column, message: str) -> Co
     return F.when(when, F.struct(F.lit(severity).alias("severity"), at.alias("field"), F.lit(message).alias("message")))
 
 
-def _v(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("v", f"$.{path}", kind)
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def _parsed(docs: DataFrame) -> tuple[DataFrame, Column]:
-    d = docs.withColumn("v", F.try_parse_json("json"))
-    return d, F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+def _missing(v: Column, key: str) -> Column:
+    """An object without a key; a key with null is there."""
+    return _is_object(v) & _v(v, key).isNull()
 
 
-PACKAGE_FIELDS = "array<struct<SPDXID: string, downloadLocation: string, filesAnalyzed: string>>"
-PART_FIELDS = "array<struct<type: string, version: string, licenses: array<struct<license: string, expression: string>>>>"
-#: Component types of CycloneDX.
-PART_TYPES = ["application", "framework", "library", "container", "platform", "operating-system", "device", "device-driver", "firmware", "file", "machine-learning-model", "data", "cryptographic-asset"]
+#: Component types that are known.
+PART_TYPES = ["application", "framework", "library", "container", "operating-system", "device", "firmware", "file", "install", "archive", "filing-system", "media", "other"]
+#: Versions that are known.
+SPDX_VERSIONS, CYCLONEDX_VERSIONS = ["SPDX-2.2", "SPDX-2.3"], ["1.0", "1.1", "1.2", "1.3", "1.4", "1.5"]
+RFC_3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)$"
 
 
 def validate_spdx(docs: DataFrame) -> DataFrame:
-    """(doc_id, severity, field, message) of SPDX documents."""
-    d, is_object = _parsed(docs)
-    blank = lambda k: is_object & (_v(k) == "")
-    top = [_issue(~is_object, "error", "document", "not a JSON object")]
-    top += [_issue(is_object & _v(k, "variant").isNull(), "error", k, "missing") for k in ("spdxVersion", "dataLicense", "SPDXID", "name", "documentNamespace", "creationInfo")]
-    version = _v("spdxVersion")
-    top += [_issue(~version.startswith("SPDX-"), "warning", "spdxVersion", "no SPDX- prefix"), _issue(version.startswith("SPDX-") & ~version.isin("SPDX-2.2", "SPDX-2.3"), "info", "spdxVersion", "neither 2.2 nor 2.3")]
-    space = _v("documentNamespace")
-    top += [_issue(blank("name"), "error", "name", "empty"), _issue(blank("documentNamespace"), "error", "documentNamespace", "empty"), _issue((space != "") & ~space.rlike("^https?://"), "warning", "documentNamespace", "not a URL")]
-    packs = F.from_json(F.get_json_object("json", "$.packages"), PACKAGE_FIELDS)
+    """(doc_id, severity, field, message) of SPDX documents. Entries among the packages that are no objects are passed over."""
+    d = docs.select("doc_id", F.try_parse_json("json").alias("v"))
+    v = F.col("v")
+    top = [_issue(~_is_object(v), "error", "document", "not a JSON object")]
+    top += [_issue(_missing(v, k), "error", k, "missing") for k in ("spdxVersion", "dataLicense", "SPDXID", "name", "documentNamespace", "creationInfo")]
+    version, name, space, packs = _string(v, "spdxVersion"), _string(v, "name"), _string(v, "documentNamespace"), _list(v, "packages")
+    known = reduce(Column.__or__, [version.startswith(k) for k in SPDX_VERSIONS])
+    top += [_issue(~version.startswith("SPDX-"), "warning", "spdxVersion", "no SPDX- prefix"), _issue(~known, "info", "spdxVersion", "neither 2.2 nor 2.3")]
+    top += [_issue(name == "", "error", "name", "empty"), _issue(space == "", "error", "documentNamespace", "empty"), _issue((space != "") & ~space.rlike("^https?://"), "warning", "documentNamespace", "not a URL")]
     top.append(_issue(F.size(packs) == 0, "warning", "packages", "empty"))
 
     def of(p: Column, i: Column) -> Column:
         at = lambda k: F.concat(F.lit("packages["), i, F.lit(f"].{k}"))
-        return F.array(_issue(p["SPDXID"].isNull(), "error", at("SPDXID"), "missing"), _issue(~p["SPDXID"].startswith("SPDXRef-"), "warning", at("SPDXID"), "no SPDXRef- prefix"), _issue(p["downloadLocation"].isNull(), "error", at("downloadLocation"), "missing"), _issue(p["filesAnalyzed"].isNull(), "info", at("filesAnalyzed"), "missing"))
+        return F.array(_issue(_missing(p, "SPDXID"), "error", at("SPDXID"), "missing"), _issue(~_string(p, "SPDXID").startswith("SPDXRef-"), "warning", at("SPDXID"), "no SPDXRef- prefix"), _issue(_missing(p, "downloadLocation"), "error", at("downloadLocation"), "missing"), _issue(_missing(p, "filesAnalyzed"), "info", at("filesAnalyzed"), "missing"))
 
-    return _issues(d, [F.array(*top), F.coalesce(F.flatten(F.transform(packs, of)), F.array().cast("array<struct<severity:string,field:string,message:string>>"))])
+    return _issues(d, [F.array(*top), F.flatten(F.transform(packs, of))])
 
 
 def validate_cyclonedx(docs: DataFrame) -> DataFrame:
-    """(doc_id, severity, field, message) of CycloneDX documents."""
-    d, is_object = _parsed(docs)
-    form, spec = _v("bomFormat"), _v("specVersion")
-    top = [_issue(~is_object, "error", "document", "not a JSON object")]
-    top += [_issue(is_object & c.isNull(), "error", k, "missing") for k, c in (("bomFormat", form), ("specVersion", spec))]
-    top += [_issue(form != "CycloneDX", "error", "bomFormat", "not CycloneDX"), _issue(~spec.isin("1.0", "1.1", "1.2", "1.3", "1.4", "1.5"), "warning", "specVersion", "unknown version")]
-    parts = F.from_json(F.get_json_object("json", "$.components"), PART_FIELDS)
-    stamp = _v("metadata.timestamp")
-    top += [_issue(F.size(parts) == 0, "info", "components", "empty"), _issue(stamp.isNotNull() & F.try_to_timestamp(stamp).isNull(), "warning", "metadata.timestamp", "not a timestamp")]
-    tools = F.from_json(F.get_json_object("json", "$.metadata.tools"), "array<struct<name: string>>")
-    nameless = F.when(F.get_json_object("json", "$.metadata.tools").startswith("["), F.exists(tools, lambda t: t["name"].isNull()))
-    top.append(_issue(nameless, "warning", "metadata.tools", "tool without a name"))
+    """(doc_id, severity, field, message) of CycloneDX documents. Entries among the components that are no objects are passed over."""
+    d = docs.select("doc_id", F.try_parse_json("json").alias("v"))
+    v = F.col("v")
+    form, spec, parts, stamp = _string(v, "bomFormat"), _string(v, "specVersion"), _list(v, "components"), _string(v, "metadata.timestamp")
+    top = [_issue(~_is_object(v), "error", "document", "not a JSON object")]
+    top += [_issue(_missing(v, k), "error", k, "missing") for k in ("bomFormat", "specVersion")]
+    top += [_issue(form != "CycloneDX", "error", "bomFormat", "not CycloneDX"), _issue(~spec.isin(CYCLONEDX_VERSIONS), "warning", "specVersion", "unknown version"), _issue(F.size(parts) == 0, "info", "components", "empty")]
+    top.append(_issue(stamp.isNotNull() & ~F.coalesce(stamp.rlike(RFC_3339) & F.try_to_timestamp(stamp).isNotNull(), F.lit(False)), "warning", "metadata.timestamp", "not a timestamp"))
+    tools = F.transform(_list(v, "metadata.tools"), lambda t: _issue(_missing(t, "name"), "warning", "metadata.tools", "tool without a name"))
 
     def of(p: Column, i: Column) -> Column:
         at = lambda k: F.concat(F.lit("components["), i, F.lit(f"].{k}"))
-        shapeless = F.exists(p["licenses"], lambda x: x["license"].isNull() & x["expression"].isNull())
-        return F.array(_issue(p["type"].isNull(), "error", at("type"), "missing"), _issue(~p["type"].isin(PART_TYPES), "warning", at("type"), "unknown type"), _issue(p["version"] == "", "warning", at("version"), "empty"), _issue(shapeless, "warning", at("licenses"), "neither license nor expression"))
+        shapes = F.transform(_list(p, "licenses"), lambda x: _issue(_missing(x, "license") & _missing(x, "expression"), "warning", at("licenses"), "neither license nor expression"))
+        own = F.array(_issue(_missing(p, "type"), "error", at("type"), "missing"), _issue(~_string(p, "type").isin(PART_TYPES), "warning", at("type"), "unknown type"), _issue(_string(p, "version") == "", "warning", at("version"), "empty"))
+        return F.concat(own, F.coalesce(shapes, F.array().cast(ISSUES)))
 
-    return _issues(d, [F.array(*top), F.coalesce(F.flatten(F.transform(parts, of)), F.array().cast("array<struct<severity:string,field:string,message:string>>"))])
+    return _issues(d, [F.array(*top), tools, F.flatten(F.transform(parts, of))])
 
 
 def validation_summary(docs: DataFrame, issues: DataFrame) -> DataFrame:
@@ -234,4 +305,4 @@ def validation_report(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """(doc_id, report): the summary and the issues of each document as JSON."""
     listed = issues.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("severity", "field", "message"))).alias("issues"))
     both = validation_summary(docs, issues).join(listed, "doc_id", "left")
-    return both.select("doc_id", F.to_json(F.struct("is_valid", "errors", "warnings", "infos", F.coalesce("issues", F.array().cast("array<struct<severity:string,field:string,message:string>>")).alias("issues"))).alias("report"))
+    return both.select("doc_id", F.to_json(F.struct("is_valid", "errors", "warnings", "infos", F.coalesce("issues", F.array().cast(ISSUES)).alias("issues"))).alias("report"))

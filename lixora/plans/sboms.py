@@ -90,9 +90,9 @@ def snk_07(spark, sf_dir):
 REFS = "CASE pkg_id % 3 WHEN 0 THEN 'LicenseRef-1 AND MIT' WHEN 1 THEN 'LicenseRef-11' ELSE 'MIT' END"
 
 
-@query("jon_15_license_refs", PACKS + " SELECT pkg_id, CASE pkg_id % 3 WHEN 0 THEN 'One AND MIT' WHEN 1 THEN 'Eleven' ELSE 'MIT' END AS license FROM fx_packages")
+@query("jon_15_license_refs", PACKS + " SELECT pkg_id, CASE pkg_id % 3 WHEN 0 THEN 'One AND MIT' WHEN 1 THEN 'Apache-2.0' ELSE 'MIT' END AS license FROM fx_packages")
 def jon_15(spark, sf_dir):
-    refs = F.array(*[F.struct(F.lit(i).alias("licenseId"), F.lit(n).alias("name"), F.lit(t).alias("extractedText")) for i, n, t in (("LicenseRef-1", "One", "x"), ("LicenseRef-11", "NOASSERTION", "Eleven"))])
+    refs = F.array(*[F.struct(F.lit(i).alias("licenseId"), F.lit(n).alias("name"), F.lit(t).alias("extractedText")) for i, n, t in (("LicenseRef-1", "One", "x"), ("LicenseRef-11", "Eleven", "Apache License, Version 2.0"))])
     return pool(spark, sf_dir).select("pkg_id", sbom.expand_license_refs(F.expr(REFS), refs).alias("license"))
 
 
@@ -119,7 +119,7 @@ BAD_SPDX = """CASE pkg_id % 5 WHEN 0 THEN '{"spdxVersion":"SPDX-2.3","dataLicens
   WHEN 1 THEN '[1]' WHEN 2 THEN '{"spdxVersion":"2.3","SPDXID":"x","name":"n","documentNamespace":"","creationInfo":{},"packages":[{"SPDXID":"a"},{"SPDXID":"SPDXRef-b","downloadLocation":"x","filesAnalyzed":false}]}'
   WHEN 3 THEN '{"spdxVersion":"SPDX-2.1","dataLicense":"CC0-1.0","SPDXID":"SPDXRef-DOCUMENT","name":"n","documentNamespace":"https://x","creationInfo":{},"packages":[{"name":"a"}]}' ELSE 'broken' END"""
 SPDX_FOUND = """VALUES (0, 'error', 'name', 'empty'), (0, 'warning', 'documentNamespace', 'not a URL'), (0, 'warning', 'packages', 'empty'), (1, 'error', 'document', 'not a JSON object'), (4, 'error', 'document', 'not a JSON object'),
-  (2, 'error', 'dataLicense', 'missing'), (2, 'warning', 'spdxVersion', 'no SPDX- prefix'), (2, 'error', 'documentNamespace', 'empty'), (2, 'warning', 'packages[0].SPDXID', 'no SPDXRef- prefix'), (2, 'error', 'packages[0].downloadLocation', 'missing'), (2, 'info', 'packages[0].filesAnalyzed', 'missing'),
+  (2, 'error', 'dataLicense', 'missing'), (2, 'warning', 'spdxVersion', 'no SPDX- prefix'), (2, 'info', 'spdxVersion', 'neither 2.2 nor 2.3'), (2, 'error', 'documentNamespace', 'empty'), (2, 'warning', 'packages[0].SPDXID', 'no SPDXRef- prefix'), (2, 'error', 'packages[0].downloadLocation', 'missing'), (2, 'info', 'packages[0].filesAnalyzed', 'missing'),
   (3, 'info', 'spdxVersion', 'neither 2.2 nor 2.3'), (3, 'error', 'packages[0].SPDXID', 'missing'), (3, 'error', 'packages[0].downloadLocation', 'missing'), (3, 'info', 'packages[0].filesAnalyzed', 'missing')"""
 
 
@@ -157,3 +157,69 @@ def snk_10(spark, sf_dir):
     docs = bad_docs(spark, sf_dir, BAD_SPDX)
     r = sbom.validation_report(docs, sbom.validate_spdx(docs))
     return r.select("doc_id", F.size(F.from_json(F.get_json_object("report", "$.issues"), "array<string>")).cast("long").alias("issues"), F.get_json_object("report", "$.is_valid").cast("boolean").alias("is_valid"))
+
+
+#: Documents as other tools write them: numbers, nulls, texts, lists and nameless entries among the packages, fields of other types.
+FOREIGN_SPDX = """concat('{"SPDXID":"SPDXRef-DOCUMENT","hasExtractedLicensingInfos":[4,{"licenseId":"LicenseRef-', pkg_id, '","extractedText":"Mozilla Public License, Version 2.0"},{"licenseId":"LicenseRef-x","name":"ISC"},{"name":"lost"}],"packages":[7,null,{"name":" ', name,
+  ' ","versionInfo":"', version, '","licenseConcluded":5,"licenseDeclared":"LicenseRef-', pkg_id, ' OR LicenseRef-x"},"text",{"versionInfo":"1"},{"name":"","licenseDeclared":"MIT"},[1],{"name":8},{"name":"u","versionInfo":2,"externalRefs":[3,{"referenceType":"other"},{"referenceType":"PURL","referenceLocator":"pkg:cargo/u', pkg_id, '@3"}]}]}')"""
+FOREIGN_CYCLONE = """concat('{"specVersion":"1.4","components":[null,{"type":"library","version":"1"},{"name":"', name, '","version":"', version, '","licenses":[1,{"license":{"id":7,"name":"MIT"}},{"license":null},{"expression":"ISC OR 0BSD"}]},3,{"name":"u","purl":"pkg:cargo/u', pkg_id, '@3","licenses":{"license":"MIT"}}]}')"""
+
+
+def foreign(spark, sf_dir, *texts):
+    p = pool(spark, sf_dir)
+    return [p.select((F.col("pkg_id") * len(texts) + i).alias("doc_id"), F.expr(t).alias("json")) for i, t in enumerate(texts)]
+
+
+@query(
+    "jsn_01_foreign_entries",
+    PACKS + """ SELECT pkg_id AS doc_id, 2 AS pos, 'generic' AS ecosystem, name, version, 'MPL-2.0 OR ISC' AS license FROM fx_packages
+    UNION ALL SELECT pkg_id, 8, 'cargo', 'u' || pkg_id, '3', NULL FROM fx_packages""",
+)
+def jsn_01_foreign(spark, sf_dir):
+    return sbom.spdx_components(foreign(spark, sf_dir, FOREIGN_SPDX)[0])
+
+
+@query(
+    "jsn_02_foreign_entries",
+    PACKS + """ SELECT pkg_id AS doc_id, 2 AS pos, 'generic' AS ecosystem, name, version, 'MIT AND (ISC OR 0BSD)' AS license FROM fx_packages
+    UNION ALL SELECT pkg_id, 4, 'cargo', 'u' || pkg_id, '3', NULL FROM fx_packages""",
+)
+def jsn_02_foreign(spark, sf_dir):
+    return sbom.cyclonedx_components(foreign(spark, sf_dir, FOREIGN_CYCLONE)[0])
+
+
+FOREIGN_FOUND = """VALUES (0, 'error', 'spdxVersion', 'missing'), (0, 'error', 'dataLicense', 'missing'), (0, 'error', 'name', 'missing'), (0, 'error', 'documentNamespace', 'missing'), (0, 'error', 'creationInfo', 'missing'),
+  (1, 'error', 'bomFormat', 'missing'), (1, 'error', 'components[2].type', 'missing'), (1, 'error', 'components[4].type', 'missing')"""
+IN_PACKAGES = "UNION ALL SELECT k.k, k.severity, 'packages[' || i || '].' || k.field, 'missing' FROM (VALUES (0, 'error', 'SPDXID'), (0, 'error', 'downloadLocation'), (0, 'info', 'filesAnalyzed')) k(k, severity, field), (VALUES (2), (4), (5), (7), (8)) i(i)"
+
+
+@query("val_03_foreign_documents", PACKS + f", f(k, severity, field, message) AS ({FOREIGN_FOUND} {IN_PACKAGES}) SELECT 2 * pkg_id + k AS doc_id, severity, field, message FROM fx_packages, f")
+def val_03(spark, sf_dir):
+    """What is wrong with the sound entries of such documents, in both formats."""
+    spdx, cyclonedx = foreign(spark, sf_dir, FOREIGN_SPDX, FOREIGN_CYCLONE)
+    return sbom.validate_spdx(spdx).unionByName(sbom.validate_cyclonedx(cyclonedx))
+
+
+ANSWERS = ["MIT", "MIT OR ISC", "The \"Odd\" Licence, v2", "unknown"]
+
+
+@query(
+    "snk_07_written_back",
+    PACKS + """ SELECT 2 * pkg_id AS doc_id, 9 AS entries, true AS same_rest, CASE pkg_id % 4 WHEN 0 THEN '"MIT"' WHEN 1 THEN '"MIT OR ISC"' WHEN 2 THEN '"LicenseRef-The-Odd-Licence-v2"' END AS written,
+      CASE pkg_id % 4 WHEN 2 THEN '{"extractedText":"The \\"Odd\\" Licence, v2","licenseId":"LicenseRef-The-Odd-Licence-v2","name":"The \\"Odd\\" Licence, v2"}' END AS info FROM fx_packages
+    UNION ALL SELECT 2 * pkg_id + 1, 5, true, CASE pkg_id % 4 WHEN 0 THEN '[{"license":{"id":"MIT"}}]' WHEN 1 THEN '[{"expression":"MIT OR ISC"}]' WHEN 2 THEN '[{"license":{"name":"The \\"Odd\\" Licence, v2"}}]' ELSE '{"license":"MIT"}' END, NULL FROM fx_packages""",
+)
+def snk_07_back(spark, sf_dir):
+    """Both formats written back by position: what the open entry says now, and whether all other entries are as they were."""
+    spdx, cyclonedx = foreign(spark, sf_dir, FOREIGN_SPDX, FOREIGN_CYCLONE)
+    docs = spdx.unionByName(cyclonedx)
+    answer = F.element_at(F.array(*map(F.lit, ANSWERS)), F.floor(F.col("doc_id") / 2).cast("int") % 4 + 1)
+    answers = sbom.ingest_sboms(docs).where("license is null").select("doc_id", "pos", answer.alias("license"))
+    both = docs.select("doc_id", F.parse_json("json").alias("old")).join(sbom.enrich_sbom(docs, answers).select("doc_id", F.parse_json("json").alias("new")), "doc_id")
+    listed = lambda v, k: F.try_variant_get(v, f"$.{k}", "array<variant>")
+    entries = lambda v: F.coalesce(listed(v, "packages"), listed(v, "components"))
+    last = F.get(entries(F.col("new")), F.size(entries(F.col("new"))) - 1)
+    rest = lambda v: F.transform(F.slice(entries(v), 1, F.size(entries(v)) - 1), lambda x: F.to_json(x))
+    written = F.coalesce(*[F.to_json(F.try_variant_get(last, f"$.{k}", "variant")) for k in ("licenseConcluded", "licenses")])
+    infos = listed(F.col("new"), "hasExtractedLicensingInfos")
+    return both.select("doc_id", F.size(entries(F.col("new"))).alias("entries"), (rest(F.col("old")) == rest(F.col("new"))).alias("same_rest"), written.alias("written"), F.to_json(F.get(infos, F.lit(4))).alias("info"))

@@ -105,7 +105,40 @@ def test_stated_sboms_stay_as_they_are(spark):
     assert got[1] == text
     new = json.loads(got[2])
     assert new["packages"][0] == {"licenseConcluded": "LicenseRef-Odd-one", "name": "a", "x": [1]} and new["packages"][1]["licenseConcluded"] == "MIT"
-    assert new["hasExtractedLicensingInfos"] == [{"licenseId": "LicenseRef-Odd-one", "extractedText": 'Odd "one"'}]
+    assert new["hasExtractedLicensingInfos"] == [{"licenseId": "LicenseRef-Odd-one", "name": 'Odd "one"', "extractedText": 'Odd "one"'}]
+
+
+def test_one_bad_entry_costs_only_itself(spark):
+    texts = [
+        '{"spdxVersion":"SPDX-2.3","packages":[7,{"name":"b"},null],"hasExtractedLicensingInfos":[]}',
+        '{"bomFormat":"CycloneDX","components":[{"version":"1"},{"name":"c","licenses":[]}]}',
+        '{"spdxVersion":"SPDX-2.3","packages":{"name":"no list"}}',
+        '{"spdxVersion":"SPDX-2.3","packages":[]}',
+        "[]",
+        "no json",
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, json string")
+    rows = sorted((r["doc_id"], r["pos"], r["name"]) for r in sbom.ingest_sboms(docs).collect())
+    assert rows == [(0, 1, "b"), (1, 1, "c")]
+    answers = spark.createDataFrame([(0, 1, "Free text"), (1, 1, "MIT"), (0, 0, "MIT"), (5, 0, "MIT")], "doc_id long, pos int, license string")
+    got = {r["doc_id"]: r["json"] for r in sbom.enrich_sbom(docs, answers).collect()}
+    assert json.loads(got[0])["packages"] == [7, {"licenseConcluded": "LicenseRef-Free-text", "name": "b"}, None]
+    assert json.loads(got[0])["hasExtractedLicensingInfos"] == [{"licenseId": "LicenseRef-Free-text", "name": "Free text", "extractedText": "Free text"}]
+    assert json.loads(got[1])["components"] == [{"version": "1"}, {"name": "c", "licenses": [{"license": {"id": "MIT"}}]}]
+    assert [got[i] for i in range(2, 8)] == texts[2:]
+
+
+def test_versions_and_stamps(spark):
+    spdx = ['{"spdxVersion":"SPDX-2.3.1"}', '{"spdxVersion":"2.3"}', '{"spdxVersion":"SPDX-3.0","name":null}', '{"spdxVersion":5}']
+    docs = spark.createDataFrame(list(enumerate(spdx)), "doc_id long, json string")
+    found = {(r["doc_id"], r["severity"], r["message"]) for r in sbom.validate_spdx(docs).where("field = 'spdxVersion'").collect()}
+    assert found == {(1, "warning", "no SPDX- prefix"), (1, "info", "neither 2.2 nor 2.3"), (2, "info", "neither 2.2 nor 2.3")}
+    assert not sbom.validate_spdx(docs).where("doc_id = 2 and field = 'name'").count()
+    stamps = ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.5+02:00", "2024-01-01", "2024-13-01T00:00:00Z", ""]
+    docs = spark.createDataFrame([(i, f'{{"metadata":{{"timestamp":"{t}"}}}}') for i, t in enumerate(stamps)], "doc_id long, json string")
+    assert sorted(r["doc_id"] for r in sbom.validate_cyclonedx(docs).where("field = 'metadata.timestamp'").collect()) == [2, 3, 4]
 
 
 def events(spark):
