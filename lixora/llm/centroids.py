@@ -48,7 +48,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS) -> np.ndarray:
     """The k vectors whose ids hash lowest; k rows reach the driver."""
     name = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
     got = vectors.select(name.alias("name"), "v").orderBy(F.asc_nulls_last("name"), "v").limit(k).collect()
-    return np.asarray([r["v"] for r in got], np.int64).reshape(len(got), -1)
+    return np.asarray([r["v"] for r in got], np.int64)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
