@@ -79,6 +79,71 @@ def src_05(spark, sf_dir):
     return all_of(spark, sf_dir, table, manifests.deps_from_xml)
 
 
+RICH_POM = [
+    "'<project><parent><groupId>org.up</groupId><artifactId>up</artifactId><version>' || version || '</version></parent><artifactId>own</artifactId>'",
+    "'<properties><lib.version>' || version || '</lib.version> <!-- <lib.version>0</lib.version> --><who>g &amp; h</who></properties>'",
+    q("<dependencyManagement><dependencies><dependency><groupId>${project.groupId}</groupId><artifactId>kit</artifactId><version>${lib.version}</version></dependency></dependencies></dependencyManagement>"),
+    "'<dependencies><!-- <dependency><groupId>x</groupId><artifactId>gone</artifactId></dependency> --><dependency><groupId>g</groupId><artifactId>lib' || pkg_id || '</artifactId><version>${lib.version}</version></dependency>'",
+    q("<dependency><groupId>org.up</groupId><artifactId>kit</artifactId></dependency><dependency><groupId>${project.groupId}</groupId><artifactId>own-api</artifactId><version>${project.version}</version></dependency>"),
+    q("<dependency><groupId>${who}</groupId><artifactId>odd</artifactId><version>${lost}-1</version><optional>true</optional></dependency><dependency><groupId>g</groupId><artifactId>given</artifactId><scope>provided</scope></dependency></dependencies></project>"),
+]
+RICH_POM = [x.replace("${", "$' || '{") for x in RICH_POM]  # else SQL would fill them in
+_ALWAYS = [("'g:lib' || pkg_id", "version"), ("'org.up:kit'", "version"), ("'org.up:own-api'", "version")]
+_OWN = [("'g & h:odd'", "'${lost}-1'"), ("'g:given'", "NULL")]
+RICH_SQL = " UNION ALL ".join(f"SELECT pkg_id AS root, {n} AS name, {v} AS version, '{seen}' AS seen FROM fx_packages" for seen, rows in (("own", _ALWAYS + _OWN), ("elsewhere", _ALWAYS)) for n, v in rows)
+
+
+@query("src_05_pom_properties", f"{PACKS} {RICH_SQL}")
+def src_05d(spark, sf_dir):
+    """Properties, managed versions, inherited coordinates, comments and entities; the pom's own view and that from elsewhere."""
+    rich = files(spark, sf_dir, "app/pom.xml", *RICH_POM)
+    views = [manifests.pom_dependencies(rich, transitive=t).select("root", "name", "version", F.lit(seen).alias("seen")) for t, seen in ((False, "own"), (True, "elsewhere"))]
+    return views[0].unionByName(views[1])
+
+
+RICH_GRADLE = {
+    "build.gradle": [
+        """'def libVersion = "' || version || '" // implementation ''g:not:1'''""", q("/* implementation 'g:not:2'"), q("   api 'g:not:3' */"), """'  implementation group: ''g'', name: ''lib' || pkg_id || ''', version: "$libVersion"'""",
+        q('  implementation(group = "g", name = "call", version = "1.$minor")'), q("  annotationProcessor('g:processor:1.0:classifier') // why"), q("  api 'g:free'"), q('  compileOnly("g:url:http://x")'), q("  testImplementation group: 'g', name: 'not', version: '4'"),
+    ],
+    "gradle.properties": ["'minor=' || version"],
+}
+RICH_GRADLE_SQL = " UNION ALL ".join(f"SELECT pkg_id AS root, {n} AS name, {v} AS version FROM fx_packages" for n, v in (("'g:lib' || pkg_id", "version"), ("'g:call'", "'1.' || version"), ("'g:processor'", "'1.0'"), ("'g:free'", "'RELEASE'"), ("'g:url'", "'http'")))
+
+
+@query("src_06_gradle_calls", f"{PACKS} {RICH_GRADLE_SQL}")
+def src_06b(spark, sf_dir):
+    """Named calls, coordinates without a version or with a classifier, comments, variables within versions."""
+    return all_of(spark, sf_dir, RICH_GRADLE, manifests.deps_from_lines).drop("kind")
+
+
+#: Every seventh file isn't TOML.
+BROKEN = "CASE WHEN pkg_id % 7 = 0 THEN '[project' ELSE '' END"
+RICH_TOML = {
+    "pyproject.toml": [
+        q("# dependencies = ['not']"), q("[build-system]"), q("requires = ['not']"), q("[project]"), q('name = "x" # [tool]'), """'license = { text = "' || coalesce(license, 'none') || '" }'""",
+        """'dependencies = ["lib' || pkg_id || '[socks,tls]>=' || version || ' ; python_version > ''3''", # a comment, ]'""", q("""  'other==1.0.0', \"\"\"third~=2.0\"\"\","""), q("  'bare', 7]"), q("[tool.x]"), q("dependencies = ['not']"),
+        q("[project.optional-dependencies]"), q("more = ['not']"), BROKEN,
+    ],
+    "Cargo.toml": [
+        q("[package]"), q("name = 'own'"), "CASE WHEN license IS NULL THEN '' ELSE 'license = ''' || license || '''' END", q("[dependencies]"), """'"lib' || pkg_id || '" = { features = ["a]", "b}"], version = ''^' || version || ''' }'""",
+        q("other.version = '1.0.0' # why"), q("third = { git = 'https://x#y' }"), q("""[target."cfg(a = 'b')".dev-dependencies]"""), q("bare = '2'"), q("[package.metadata.dependencies]"), q("not = '1'"), BROKEN,
+    ],
+}
+RICH_TOML_SQL = " UNION ALL ".join(f"SELECT pkg_id AS root, {n} AS name, {v} AS version, '{k}' AS kind FROM fx_packages" for k, n, v in (("pyproject", "'lib' || pkg_id", "version"), ("pyproject", "'other'", "'1.0.0'"), ("pyproject", "'third'", "'2.0'"), ("pyproject", "'bare'", "''"), ("Cargo.toml", "'lib' || pkg_id", "version"), ("Cargo.toml", "'other'", "'1.0.0'"), ("Cargo.toml", "'third'", "''"), ("Cargo.toml", "'bare'", "'2'")))
+
+
+@query("src_07_toml_shapes", f"{PACKS} SELECT * FROM ({RICH_TOML_SQL}) r WHERE root % 7 <> 0")
+def src_07d(spark, sf_dir):
+    """Extras, quotes of all kinds, comments, brackets in strings, dotted and quoted keys, tables of targets and tools."""
+    return all_of(spark, sf_dir, RICH_TOML, manifests.deps_from_toml)
+
+
+@query("src_07_license_fields", PACKS + " SELECT pkg_id AS root, 'pyproject.toml' AS file, CASE WHEN pkg_id % 7 <> 0 THEN coalesce(license, 'none') END AS license FROM fx_packages UNION ALL SELECT pkg_id, 'Cargo.toml', CASE WHEN pkg_id % 7 <> 0 THEN license END FROM fx_packages")
+def src_07e(spark, sf_dir):
+    return all_of(spark, sf_dir, RICH_TOML, lambda f: manifests.toml_license(f).withColumn("file", F.substring_index("path", "/", -1)))
+
+
 REFERENCES = ["'<ProjectReference Include=\"..' || chr(92) || 'lib' || (pkg_id % 50) || chr(92) || 'x.csproj\" />'", "'<ProjectReference Include=\"./sub/../y' || pkg_id || '.csproj\" /><ProjectReference Include=\"../../../out.csproj\" />'"]
 
 

@@ -1,7 +1,7 @@
 """Dependencies in manifests and lock files: (root, path, name, version, kind). Files are (root, path, content).
 
-Every format is a column expression over one file's text that gives an array of (name, version). A file is sent
-to its format by its name, so a corpus is read once, whatever it holds, and nothing is shuffled but the rows that
+Every format is a column expression over one file's text that gives an array of (name, version); TOML files are turned
+to JSON first, in Arrow batches. A file is sent to its format by its name, so a corpus is read once, whatever it holds, and nothing is shuffled but the rows that
 repeat within a file's result (they are dropped inside the row).
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions.ids import clean_version
 from lixora.sources.files import dir_of, name_of
+from lixora.sources.toml import toml_json
 
 NODE_SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
 NONE = "array<struct<name:string,version:string>>"
@@ -36,6 +37,11 @@ def found(text: Column, pattern: str, name: int = 1, version: int = 2, clean: st
     return each(text, pattern, make)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     return F.split(text, r"\r?\n")
 
@@ -104,35 +110,106 @@ def tag(block: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(block, f"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
 
 
+def without_comments(text: Column) -> Column:
+    return F.regexp_replace(text, "(?s)<!--.*?(?:-->|\\z)", "")
+
+
+def plain_xml(text: Column) -> Column:
+    """The five named entities decoded."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def filled(text: Column, values: Column, shape: str) -> Column:
+    """Placeholders (group 1 of shape is the name) replaced by the last value of that name, longest placeholder first.
+
+    values: array of struct(k, v). A placeholder without a value stays.
+    """
+    asked = F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(shape), F.lit(0))), lambda m: F.named_struct(F.lit("n"), -F.length(m), F.lit("m"), m)))
+
+    def put(done: Column, x: Column) -> Column:
+        known = F.filter(values, lambda p: p["k"] == F.regexp_extract(x["m"], shape, 1))
+        return let(known, lambda k: F.when(F.size(k) > 0, F.replace(done, x["m"], F.get(k, F.size(k) - 1)["v"])).otherwise(done))
+
+    return F.when(F.contains(text, F.lit("$")), F.aggregate(asked, text, put)).otherwise(text)
+
+
+MAVEN = r"\$\{([^}]+)\}"
+#: Parts of a pom whose groupId or version isn't the pom's own.
+INNER = "parent|dependencies|dependencyManagement|build|profiles|properties|licenses|modules|reporting|repositories|pluginRepositories|distributionManagement"
+
+
+def pom_properties(bare: Column) -> Column:
+    """array of struct(k, v): a pom's properties, and project.groupId and so on, the parent's where it has none."""
+    shape = r"<([A-Za-z0-9_.-]+)>([^<]*)</\1>"
+    block = F.array_join(F.regexp_extract_all(bare, F.lit("(?s)<properties>(.*?)</properties>"), F.lit(1)), "")
+    stated = each(block, shape, lambda m: F.named_struct(F.lit("k"), F.regexp_extract(m, shape, 1), F.lit("v"), F.trim(plain_xml(F.regexp_extract(m, shape, 2)))))
+    heads = F.array(F.regexp_extract(bare, "(?s)<parent>(.*?)</parent>", 1), F.regexp_replace(bare, rf"(?s)<({INNER})>.*?</\1>", ""))
+
+    def of(known: Column, heads: Column) -> Column:
+        up, own = F.get(heads, F.lit(0)), F.get(heads, F.lit(1))
+        group, version = (F.coalesce(tag(own, k), tag(up, k)) for k in ("groupId", "version"))
+        built_in = {"groupId": group, "artifactId": tag(own, "artifactId"), "version": version, "parent.groupId": tag(up, "groupId"), "parent.artifactId": tag(up, "artifactId"), "parent.version": tag(up, "version")}
+        pairs = F.array(*[F.named_struct(F.lit("k"), F.lit(f"project.{k}"), F.lit("v"), filled(v, known, MAVEN)) for k, v in built_in.items()])
+        return F.concat(known, F.filter(pairs, lambda x: x["v"].isNotNull() & ~F.contains(x["v"], F.lit("${"))))
+
+    return let(stated, lambda known: let(heads, lambda h: of(known, h)))
+
+
+def pom_parts(text: Column, transitive: bool = False) -> Column:
+    """array of struct(name, version) of a pom: comments left out, properties filled in; no version: that of
+    dependencyManagement, else null.
+
+    Test scope goes. ``transitive`` is for a pom seen from elsewhere: provided, system and optional dependencies and
+    versions with unknown properties go, too.
+    """
+    block = "(?s)<dependency>(.*?)</dependency>"
+    blocks = lambda x: F.regexp_extract_all(x, F.lit(block), F.lit(1))
+    named = lambda b, values: F.concat(filled(plain_xml(tag(b, "groupId")), values, MAVEN), F.lit(":"), filled(plain_xml(tag(b, "artifactId")), values, MAVEN))
+    version = lambda b, values: filled(plain_xml(tag(b, "version")), values, MAVEN)
+
+    def managed(bare: Column, values: Column) -> Column:
+        inside = F.array_join(F.regexp_extract_all(bare, F.lit("(?s)<dependencyManagement>(.*?)</dependencyManagement>"), F.lit(1)), "")
+        pairs = F.transform(blocks(inside), lambda b: F.named_struct(F.lit("k"), named(b, values), F.lit("v"), version(b, values)))
+        return F.filter(pairs, lambda m: m["v"].isNotNull())
+
+    def counts(b: Column) -> Column:
+        scope, optional = F.lower(F.coalesce(tag(b, "scope"), F.lit("compile"))), F.lower(F.coalesce(tag(b, "optional"), F.lit("false")))
+        return ~scope.isin("test", "provided", "system") & (optional != "true") if transitive else scope != "test"
+
+    def parts(bare: Column, values: Column, known: Column) -> Column:
+        own = F.regexp_replace(bare, "(?s)<dependencyManagement>.*?</dependencyManagement>", "")
+        stated = F.transform(F.filter(blocks(own), counts), lambda b: F.named_struct(F.lit("name"), named(b, values), F.lit("version"), version(b, values)))
+        same = lambda d: F.filter(known, lambda m: m["k"] == d["name"])
+        latest = lambda d: let(same(d), lambda x: F.get(x, F.size(x) - 1)["v"])
+        return F.transform(F.filter(stated, lambda d: d["name"].isNotNull()), lambda d: F.named_struct(F.lit("name"), d["name"], F.lit("version"), F.coalesce(d["version"], latest(d))))
+
+    out = let(without_comments(text), lambda bare: let(pom_properties(bare), lambda values: let(managed(bare, values), lambda known: parts(bare, values, known))))
+    return F.filter(out, lambda d: ~F.contains(F.coalesce(d["version"], F.lit("")), F.lit("${"))) if transitive else out
+
+
 def pom_dependencies(files: DataFrame, transitive: bool = False) -> DataFrame:
-    """(root, path, name, version, kind): test scope goes; seen from elsewhere also provided, system and optional. No version: null."""
-    bare = F.regexp_replace("content", "(?s)<dependencyManagement>.*?</dependencyManagement>", "")
-    rows = files.where(name_of(F.col("path")).endswith("pom.xml")).select("root", "path", F.explode(F.regexp_extract_all(bare, F.lit("(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("b"))
-    scope = F.lower(F.coalesce(tag(F.col("b"), "scope"), F.lit("compile")))
-    rows = rows.where(scope != "test")
-    if transitive:
-        rows = rows.where(~scope.isin("provided", "system") & (F.lower(F.coalesce(tag(F.col("b"), "optional"), F.lit("false"))) != "true"))
-    group, artifact = tag(F.col("b"), "groupId"), tag(F.col("b"), "artifactId")
-    rows = rows.select("root", "path", F.concat(group, F.lit(":"), artifact).alias("name"), tag(F.col("b"), "version").alias("version"), F.lit("pom.xml").alias("kind"))
-    return rows.where("name is not null")
+    """(root, path, name, version, kind) of poms, see ``pom_parts``. No version: null."""
+    rows = files.where(name_of(F.col("path")).endswith("pom.xml")).select("root", "path", F.explode(pom_parts(F.col("content"), transitive)).alias("d"))
+    return rows.select("root", "path", "d.name", "d.version", F.lit("pom.xml").alias("kind"))
 
 
 def pom_facts(files: DataFrame) -> DataFrame:
     """(root, path, license, parent) of poms; parent as group:artifact:version."""
-    license_ = tag(F.regexp_extract("content", "(?s)<licenses>(.*?)</licenses>", 1), "name")
-    up = F.regexp_extract("content", "(?s)<parent>(.*?)</parent>", 1)
+    bare = without_comments(F.col("content"))
+    license_ = plain_xml(tag(F.regexp_extract(bare, "(?s)<licenses>(.*?)</licenses>", 1), "name"))
+    up = F.regexp_extract(bare, "(?s)<parent>(.*?)</parent>", 1)
     parent = F.when(up != "", F.concat_ws(":", tag(up, "groupId"), tag(up, "artifactId"), tag(up, "version")))
     return files.where(name_of(F.col("path")).endswith("pom.xml")).select("root", "path", license_.alias("license"), parent.alias("parent"))
 
 
 def pom(text: Column) -> Column:
-    bare = F.regexp_replace(text, "(?s)<dependencyManagement>.*?</dependencyManagement>", "")
-    blocks = F.filter(F.regexp_extract_all(bare, F.lit("(?s)<dependency>(.*?)</dependency>"), F.lit(1)), lambda b: F.lower(F.coalesce(tag(b, "scope"), F.lit("compile"))) != "test")
-    return F.transform(blocks, lambda b: dep(F.concat(tag(b, "groupId"), F.lit(":"), tag(b, "artifactId")), F.coalesce(tag(b, "version"), F.lit("RELEASE"))))
+    return F.transform(pom_parts(text), lambda d: dep(d["name"], F.coalesce(d["version"], F.lit("RELEASE"))))
 
 
 def csproj(text: Column) -> Column:
-    return each(text, r"<PackageReference\s+([^>]*)", lambda m: dep(F.regexp_extract(m, 'Include="([^"]+)"', 1), F.regexp_extract(m, 'Version="([^"]+)"', 1)))
+    return each(without_comments(text), r"<PackageReference\s+([^>]*)", lambda m: dep(F.regexp_extract(m, 'Include="([^"]+)"', 1), F.regexp_extract(m, 'Version="([^"]+)"', 1)))
 
 
 def slnx(text: Column) -> Column:
@@ -202,32 +279,49 @@ def gemfile(text: Column) -> Column:
 
 
 #: The configurations whose entries are dependencies of a Gradle build.
-GRADLE = "implementation|api|compile|compileOnly|runtimeOnly"
+GRADLE = "implementation|api|compileOnly|runtimeOnly|annotationProcessor|compile"
+#: Strings, which are kept, and comments, which aren't.
+GRADLE_COMMENTS = r"""(?s)("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|//[^\n]*|/\*.*?(?:\*/|\z)"""
+GRADLE_VARIABLE = r"\$\{?([A-Za-z_][A-Za-z0-9_.]*)\}?"
 
 
 def gradle(text: Column) -> Column:
-    """Versions may be $x or ${x}: x is looked for in assignments of the file (``gradle_properties`` joins those of
-    gradle.properties)."""
-    shape = rf"""(?m)^\s*(?:{GRADLE})\s*\(?\s*['"]([^'":]+:[^'":]+):([^'"]+)['"]"""
+    """Coordinates 'group:name:version' and calls with group, name and version, with or without parentheses; comments
+    count for nothing. No version: RELEASE.
+
+    Versions may hold $x or ${x}: x is looked for in assignments of the file (``gradle_properties`` joins those of
+    gradle.properties).
+    """
     assigned = r"""(?m)^\s*(?:def\s+|val\s+|ext\.)?(\w+)\s*=\s*['"]([^'"]+)['"]"""
-    values = F.transform(F.regexp_extract_all(text, F.lit(assigned), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, assigned, 1).alias("k"), F.regexp_extract(m, assigned, 2).alias("v")))
+    shape = rf"""(?m)^\s*(?:{GRADLE})\s*\(?\s*['"]([^'"\n]+)['"]"""
+    call = rf"""(?m)(?<![\w.])(?:{GRADLE})\s*\(?\s*(?:(?:group|name|version)\s*[:=]\s*['"][^'"\n]*['"]\s*,?\s*)+"""
+    said = lambda m, k: F.trim(F.regexp_extract(m, rf"""(?<![\w.]){k}\s*[:=]\s*['"]([^'"\n]*)['"]""", 1))
+    listed = lambda m: F.transform(F.split(F.regexp_extract(m, shape, 1), ":"), lambda x: F.trim(x))
+
+    def all_of(bare: Column, values: Column) -> Column:
+        def of(c: Column) -> Column:
+            version = F.coalesce(F.nullif(F.get(c, F.lit(2)), F.lit("")), F.lit("RELEASE"))
+            good = (F.get(c, F.lit(0)) != "") & (F.get(c, F.lit(1)) != "")
+            return F.named_struct(F.lit("name"), F.when(good, F.concat(F.get(c, F.lit(0)), F.lit(":"), F.get(c, F.lit(1)))), F.lit("version"), filled(version, values, GRADLE_VARIABLE))
 
-    def resolved(d: Column) -> Column:
-        name = F.regexp_extract(d["version"], r"^\$\{?(\w+)\}?$", 1)
-        known = F.filter(values, lambda x: x["k"] == name)
-        return dep(d["name"], F.when((name != "") & (F.size(known) > 0), F.get(known, F.size(known) - 1)["v"]).otherwise(d["version"]))
+        calls = each(bare, call, lambda m: F.array(*[said(m, k) for k in ("group", "name", "version")]))
+        return F.filter(F.transform(F.concat(each(bare, shape, listed), calls), of), lambda d: d["name"].isNotNull())
 
-    return F.transform(found(text, shape), resolved)
+    values = lambda bare: each(bare, assigned, lambda m: F.named_struct(F.lit("k"), F.regexp_extract(m, assigned, 1), F.lit("v"), F.regexp_extract(m, assigned, 2)))
+    return let(F.regexp_replace(text, GRADLE_COMMENTS, "$1"), lambda bare: let(values(bare), lambda known: all_of(bare, known)))
 
 
 def gradle_properties(files: DataFrame, deps: DataFrame) -> DataFrame:
-    """deps with versions $x or ${x} of Gradle builds replaced from the gradle.properties of the same directory."""
-    pairs = each(F.col("content"), r"(?m)^\s*([\w.]+)\s*[=:]\s*(\S.*)$", lambda m: F.struct(F.regexp_extract(m, r"^\s*([\w.]+)", 1).alias("k"), F.trim(F.regexp_extract(m, r"^\s*[\w.]+\s*[=:]\s*(\S.*)$", 1)).alias("v")))
-    known = files.where(name_of(F.col("path")) == "gradle.properties").select("root", dir_of(F.col("path")).alias("dir"), F.explode(pairs).alias("p")).select("root", "dir", F.col("p.k").alias("asked"), F.col("p.v").alias("value"))
-    known = known.groupBy("root", "dir", "asked").agg(F.max("value").alias("value"))
-    asked = F.when(F.col("kind") == "gradle", F.nullif(F.regexp_extract("version", r"^\$\{?([\w.]+)\}?$", 1), F.lit("")))
-    joined = deps.withColumns({"asked": asked, "dir": dir_of(F.col("path"))}).join(known, ["root", "dir", "asked"], "left")
-    return joined.select("root", "path", "name", F.coalesce("value", "version").alias("version"), "kind")
+    """deps with $x and ${x} in versions of Gradle builds replaced from the gradle.properties of the same directory."""
+    shape = r"(?m)^[ \t]*([^#!\s=:][^\s=:]*)[ \t]*[=:][ \t]*(\S[^\r\n]*)"
+    pairs = each(F.col("content"), shape, lambda m: F.named_struct(F.lit("k"), F.regexp_extract(m, shape, 1), F.lit("v"), F.trim(F.regexp_extract(m, shape, 2))))
+    known = files.where(name_of(F.col("path")) == "gradle.properties").select("root", dir_of(F.col("path")).alias("dir"), pairs.alias("pairs"))
+    known = known.groupBy("root", "dir").agg(F.flatten(F.sort_array(F.collect_list("pairs"))).alias("pairs"))
+    asks = (F.col("kind") == "gradle") & F.contains("version", F.lit("$"))
+    joined = deps.withColumn("dir", F.when(asks, dir_of(F.col("path")))).withColumn("asks", F.when(asks, F.col("root")))
+    joined = joined.join(known.withColumnRenamed("root", "asks"), ["asks", "dir"], "left")
+    version = F.when(F.col("pairs").isNotNull(), filled(F.col("version"), F.col("pairs"), GRADLE_VARIABLE)).otherwise(F.col("version"))
+    return joined.select("root", "path", "name", version.alias("version"), "kind")
 
 
 def cmake(text: Column) -> Column:
@@ -297,73 +391,75 @@ def debian_depends(text: Column) -> Column:
     return F.transform(parts, lambda p: dep(F.regexp_replace(F.regexp_extract(p, r"^(\S+)", 1), ":.*$", ""), F.regexp_extract(p, r"\([><=]+\s*([^)]+)\)", 1)))
 
 
-def toml_blocks(text: Column) -> Column:
-    """The bodies of [[package]] tables."""
-    return F.regexp_extract_all(text, F.lit(r"(?ms)^\[\[package\]\]\s*\n(.*?)(?=^\[|\z)"), F.lit(1))
+LOCKED = "array<struct<name: string, version: string, source: string, dependencies: array<string>>>"
 
 
-def toml_value(block: Column, key: str) -> Column:
-    return F.regexp_extract(block, rf'(?m)^{key}\s*=\s*"([^"]*)"', 1)
+def locked(doc: Column) -> Column:
+    """The [[package]] tables of a lock file."""
+    return F.from_json(F.get_json_object(doc, "$.package"), LOCKED)
 
 
-def uv_lock(text: Column) -> Column:
-    return F.transform(toml_blocks(text), lambda b: dep(toml_value(b, "name"), toml_value(b, "version")))
+def uv_lock(doc: Column) -> Column:
+    return F.transform(locked(doc), lambda p: dep(p["name"], p["version"]))
 
 
-def cargo_lock(text: Column) -> Column:
+def cargo_lock(doc: Column) -> Column:
     """Packages with a source; those without are members of the workspace."""
-    return F.transform(F.filter(toml_blocks(text), lambda b: toml_value(b, "source") != ""), lambda b: dep(toml_value(b, "name"), toml_value(b, "version")))
+    return F.transform(F.filter(locked(doc), lambda p: p["source"].isNotNull()), lambda p: dep(p["name"], p["version"]))
 
 
-#: A dependency table of Cargo.toml, of one target or of the workspace too.
-CARGO_TABLE = r"(?ms)^\[(?:workspace\.|target\.[^\]\n]+\.)?(?:dev-|build-)?dependencies\]\s*\n(.*?)(?=^\[|\z)"
-CARGO_ENTRY = r"""(?m)^([A-Za-z0-9_-]+|"[^"]+")(?:\.\w+)?\s*=\s*(?:"([^"]*)"|\{([^}]*)\}|true)"""
+CARGO_TABLES = ["dependencies", "dev-dependencies", "build-dependencies"]
 
 
-def cargo_toml(text: Column) -> Column:
-    """Dependencies of all kinds; a renamed one has the name of its package. No version (a path, a git address, the
-    workspace's): empty."""
+def cargo_toml(doc: Column) -> Column:
+    """Dependencies of all kinds, of targets and of the workspace, too; a renamed one has the name of its package. No
+    version (a path, a git address, the workspace's): empty."""
 
-    def make(m: Column) -> Column:
-        inner = F.regexp_extract(m, CARGO_ENTRY, 3)
-        said = lambda k: F.nullif(F.regexp_extract(inner, rf'\b{k}\s*=\s*"([^"]*)"', 1), F.lit(""))
-        name = F.coalesce(said("package"), F.translate(F.regexp_extract(m, CARGO_ENTRY, 1), '"', ""))
-        return dep(name, clean_version(F.coalesce(F.nullif(F.regexp_extract(m, CARGO_ENTRY, 2), F.lit("")), said("version"), F.lit("")), F.lit("npm")))
+    def make(e: Column) -> Column:
+        is_table = F.startswith(e["value"], F.lit("{"))
+        said = lambda k: F.when(is_table, F.get_json_object(e["value"], f"$.{k}"))
+        version = F.when(is_table, said("version")).when(~e["value"].isin("true", "false"), e["value"])
+        return dep(F.coalesce(said("package"), e["key"]), clean_version(F.coalesce(version, F.lit("")), F.lit("npm")))
 
-    inside = F.array_join(F.regexp_extract_all(text, F.lit(CARGO_TABLE), F.lit(1)), "\n")
-    own = r"(?ms)^\[(?:workspace\.|target\.[^\]\n]+\.)?(?:dev-|build-)?dependencies\.([A-Za-z0-9_-]+)\]\s*\n(.*?)(?=^\[|\z)"
-    tables = each(text, own, lambda m: dep(F.coalesce(F.nullif(toml_value(F.regexp_extract(m, own, 2), "package"), F.lit("")), F.regexp_extract(m, own, 1)), clean_version(toml_value(F.regexp_extract(m, own, 2), "version"), F.lit("npm"))))
-    return F.concat(each(inside, CARGO_ENTRY, make), tables)
+    tables = [entries(doc, f"$['{t}']", "string") for t in CARGO_TABLES] + [entries(doc, "$.workspace.dependencies", "string")]
+    of_targets = F.flatten(F.transform(entries(doc, "$.target", "string"), lambda t: F.concat(*[entries(t["value"], f"$['{k}']", "string") for k in CARGO_TABLES])))
+    return F.transform(F.concat(*tables, of_targets), make)
 
 
-def pyproject(text: Column) -> Column:
-    listed = F.regexp_extract(text, r"(?ms)^\[project\].*?^dependencies\s*=\s*\[(.*?)^?\]", 1)
-    return each(listed, r'"([^"]+)"', lambda m: requirement(F.translate(m, '"', "")))
+def pyproject(doc: Column) -> Column:
+    """The dependencies of [project]; entries that are no texts are passed over."""
+    listed = F.try_variant_get(F.try_parse_json(doc), "$.project.dependencies", "array<variant>")
+    texts = F.transform(F.filter(listed, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.trim(F.try_variant_get(x, "$", "string")))
+    return F.transform(F.filter(texts, lambda x: x.rlike("^[A-Za-z0-9]")), requirement)
 
 
 def toml_license(files: DataFrame) -> DataFrame:
     """(root, path, license) that Cargo.toml and pyproject.toml state."""
-    said = F.regexp_extract("content", r'(?m)^license\s*=\s*(?:\{[^}]*text\s*=\s*)?"([^"]+)"', 1)
-    return files.where(name_of(F.col("path")).isin("Cargo.toml", "pyproject.toml")).select("root", "path", F.nullif(said, F.lit("")).alias("license"))
+    rows = files.where(name_of(F.col("path")).isin("Cargo.toml", "pyproject.toml")).select("root", "path", toml_json("content").alias("doc"))
+    text = lambda c: F.when(~F.startswith(c, F.lit("{")), c)
+    said = F.coalesce(*[text(F.get_json_object("doc", f"$.{k}")) for k in ("package.license", "project.license", "project.license.text")])
+    return rows.select("root", "path", F.nullif(F.trim(said), F.lit("")).alias("license"))
+
+
+def cargo_locks(files: DataFrame) -> DataFrame:
+    return files.where(name_of(F.col("path")) == "Cargo.lock").select("root", "path", toml_json("content").alias("doc")).select("root", "path", locked(F.col("doc")).alias("nodes"))
 
 
 def cargo_graph(files: DataFrame) -> DataFrame:
     """(root, path, src, dst): edges of Cargo.lock as name@version; an entry without a version means the only one of
     its name. Members of the workspace are those without a source."""
-    locks = files.where(name_of(F.col("path")) == "Cargo.lock").select("root", "path", toml_blocks(F.col("content")).alias("blocks"))
-    node = lambda b: F.struct(toml_value(b, "name").alias("name"), toml_value(b, "version").alias("version"), F.regexp_extract(b, r"(?ms)^dependencies\s*=\s*\[(.*?)\]", 1).alias("asks"))
-    rows = locks.withColumn("nodes", F.transform("blocks", node)).select("root", "path", "nodes", F.explode("nodes").alias("n"))
-    asks = r'"([^"\s]+)(?:\s+([^"\s]+))?[^"]*"'
-    rows = rows.select("root", "path", "nodes", F.concat_ws("@", "n.name", "n.version").alias("src"), F.explode(F.regexp_extract_all("n.asks", F.lit(asks), F.lit(0))).alias("ask"))
-    name, version = F.regexp_extract("ask", asks, 1), F.nullif(F.regexp_extract("ask", asks, 2), F.lit(""))
-    only = F.get(F.filter("nodes", lambda x: x["name"] == name), F.lit(0))["version"]
-    return rows.select("root", "path", "src", F.concat_ws("@", name, F.coalesce(version, only)).alias("dst")).distinct()
+    rows = cargo_locks(files).select("root", "path", F.explode("nodes").alias("n"))
+    versions = rows.groupBy("root", "path", F.col("n.name").alias("name")).agg(F.min("n.version").alias("only"))
+    asks = rows.select("root", "path", F.concat_ws("@", "n.name", "n.version").alias("src"), F.explode("n.dependencies").alias("ask"))
+    asks = asks.select("root", "path", "src", F.get(F.split("ask", " "), F.lit(0)).alias("name"), F.get(F.split("ask", " "), F.lit(1)).alias("version"))
+    known = asks.join(versions, ["root", "path", "name"], "left")
+    return known.select("root", "path", "src", F.concat_ws("@", "name", F.coalesce("version", "only")).alias("dst")).distinct()
 
 
 def cargo_members(files: DataFrame) -> DataFrame:
     """(root, path, member): the packages of Cargo.lock without a source, as name@version."""
-    rows = files.where(name_of(F.col("path")) == "Cargo.lock").select("root", "path", F.explode(toml_blocks(F.col("content"))).alias("b"))
-    return rows.where(toml_value(F.col("b"), "source") == "").select("root", "path", F.concat_ws("@", toml_value(F.col("b"), "name"), toml_value(F.col("b"), "version")).alias("member"))
+    rows = cargo_locks(files).select("root", "path", F.explode("nodes").alias("n"))
+    return rows.where("n.source is null").select("root", "path", F.concat_ws("@", "n.name", "n.version").alias("member"))
 
 
 def go_graph(files: DataFrame) -> DataFrame:
@@ -404,6 +500,9 @@ def kind_of(path: Column, sources: dict = SOURCES) -> Column:
 def deps_of(files: DataFrame, sources: dict = SOURCES) -> DataFrame:
     """(root, path, name, version, kind): the dependencies of every file of a known kind, each once a file."""
     rows = files.select("root", "path", "content", kind_of(F.col("path"), sources).alias("kind")).where("kind is not null")
+    if tomls := [k for k in sources if k in TOML_SOURCES]:
+        is_toml = F.col("kind").isin(tomls)
+        rows = rows.withColumn("content", F.when(is_toml, toml_json(F.when(is_toml, F.col("content")))).otherwise(F.col("content")))
     parsed = F.lit(None).cast(NONE)
     for kind, (_, of_text) in reversed(sources.items()):
         parsed = F.when(F.col("kind") == kind, F.array_distinct(of_text(F.col("content"))).cast(NONE)).otherwise(parsed)

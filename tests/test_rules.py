@@ -261,6 +261,14 @@ def deps(spark, path, content):
         ("build.gradle", "ext.v = '3.1'\nimplementation \"g:a:${v}\"\napi 'g:b:$w'\n", {("g:a", "3.1"), ("g:b", "$w")}),
         ("package.json", '{"dependencies": {"a": "~1.0.0"}, "peerDependencies": {"a": "1.0.0", "b": ">=2"}}', {("a", "1.0.0"), ("b", "2")}),
         ("package.json", "not json", set()),
+        ("pyproject.toml", '[project]\ndependencies = ["requests[socks]>=2.0", "flask==1.0"]\n', {("requests", "2.0"), ("flask", "1.0")}),
+        ("pyproject.toml", "[project]\nname = 'x'\n[tool.x]\ndependencies = ['no']\n", set()),
+        ("pyproject.toml", "[project]\ndependencies = 'no list'\n", set()),
+        ("Cargo.toml", "dependencies = 3\n", set()),
+        ("Cargo.lock", "package = 3\n", set()),
+        ("pom.xml", "<project><!-- <dependency><groupId>a</groupId><artifactId>b</artifactId></dependency> --><dependency><groupId>c</groupId><artifactId>d</artifactId><version>${v}</version></dependency><properties><v>1</v><v>2</v></properties></project>", {("c:d", "2")}),
+        ("pom.xml", "<dependency><artifactId>no group</artifactId></dependency><dependency><groupId>g</groupId><artifactId>a</artifactId></dependency>", {("g:a", "RELEASE")}),
+        ("build.gradle.kts", 'implementation(group = "g", name = "a", version = "1")\nimplementation(\n  "g:b:2"\n)\nimplementation("only")\nval u = "// no comment"\nruntimeOnly("g:c")\n', {("g:a", "1"), ("g:b", "2"), ("g:c", "RELEASE")}),
         ("Makefile", None, set()),
     ],
 )
