@@ -73,40 +73,44 @@ def license_verdicts(licenses: DataFrame, cfg: ComplianceConfig, strict: bool =
     return cut(fold_expr(parsed, verdicts, ["free", "approved", "allowed"]))
 
 
+#: Names of helper columns; an input that has them is refused by Spark as ambiguous, all other names may occur.
+VERDICT, PROJECT, KNOWN = "_lixora_verdict", "_lixora_project", "_lixora_known"
+
+
+def _with_verdicts(df: DataFrame, cfg: ComplianceConfig, strict: bool, licenses: DataFrame | None) -> DataFrame:
+    verdicts = license_verdicts(df if licenses is None else licenses, cfg, strict)
+    table = small(verdicts.select("license", F.struct("free", "approved", "allowed").alias(VERDICT)))
+    return df.join(table, "license", "left")
+
+
 def _classified(df: DataFrame, strict: bool) -> DataFrame:
-    free = F.when(F.col("license") == "No License", False).otherwise(F.coalesce("free", F.lit(not strict)))
-    return df.withColumns({"is_restrictive": ~free, "osi_status": as_osi(F.col("approved"))})
+    free = F.when(F.col("license") == "No License", False).otherwise(F.coalesce(f"{VERDICT}.free", F.lit(not strict)))
+    return df.withColumns({"is_restrictive": ~free, "osi_status": as_osi(F.col(f"{VERDICT}.approved"))})
 
 
 def _annotated(df: DataFrame, cfg: ComplianceConfig, strict: bool) -> DataFrame:
-    known = small(cut(cfg.matrix.select(F.col("project_license").alias("project")).distinct()).withColumn("known", F.lit(True)))
-    found = df.withColumn("project", normalize_license_id(F.col("project_license"))).join(known, "project", "left")
+    known = small(cut(cfg.matrix.select(F.col("project_license").alias(PROJECT)).distinct()).withColumn(KNOWN, F.lit(True)))
+    found = df.withColumn(PROJECT, normalize_license_id(F.col("project_license"))).join(known, PROJECT, "left")
     stated = F.col("project_license").isNotNull() & F.col("license").isNotNull()
     # an unknown project under strict leaves its leaves incompatible; a null licence too
     unknown = F.when(F.col("project_license").isNotNull() & F.lit(strict), F.lit(False))
-    compatible = F.when(stated & F.col("known"), F.array_contains("allowed", F.col("project"))).otherwise(unknown)
-    return found.withColumn("compatibility", as_compatibility(compatible)).drop("project", "known")
-
-
-VERDICTS = ["free", "approved", "allowed"]
+    compatible = F.when(stated & F.col(KNOWN), F.array_contains(f"{VERDICT}.allowed", F.col(PROJECT))).otherwise(unknown)
+    return found.withColumn("compatibility", as_compatibility(compatible)).drop(PROJECT, KNOWN)
 
 
 def classify(df: DataFrame, cfg: ComplianceConfig, strict: bool = False, licenses: DataFrame | None = None) -> DataFrame:
     """df with is_restrictive and osi_status."""
-    table = small(license_verdicts(df if licenses is None else licenses, cfg, strict))
-    return _classified(df.join(table, "license", "left"), strict).drop(*VERDICTS)
+    return _classified(_with_verdicts(df, cfg, strict, licenses), strict).drop(VERDICT)
 
 
 def annotate(df: DataFrame, cfg: ComplianceConfig, strict: bool = False, licenses: DataFrame | None = None) -> DataFrame:
     """df (license, project_license) with compatibility. No project licence: Unknown, always."""
-    table = small(license_verdicts(df if licenses is None else licenses, cfg, strict))
-    return _annotated(df.join(table, "license", "left"), cfg, strict).drop(*VERDICTS)
+    return _annotated(_with_verdicts(df, cfg, strict, licenses), cfg, strict).drop(VERDICT)
 
 
 def judge(df: DataFrame, cfg: ComplianceConfig, strict: bool = False, licenses: DataFrame | None = None) -> DataFrame:
     """df with is_restrictive, osi_status and compatibility, by one join."""
-    table = small(license_verdicts(df if licenses is None else licenses, cfg, strict))
-    return _annotated(_classified(df.join(table, "license", "left"), strict), cfg, strict).drop(*VERDICTS)
+    return _annotated(_classified(_with_verdicts(df, cfg, strict, licenses), strict), cfg, strict).drop(VERDICT)
 
 
 def judge_compat(leaves: DataFrame, matrix: DataFrame, strict: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions.ids import cd_coordinate
 from lixora.functions.licenses import is_unresolved
+from lixora.operators.shared import cut, look_up
 
 #: What a definition says when it has no answer; days that snapshots count as fresh.
 NO_ANSWER = ["NOASSERTION", "NONE", "OTHER", "UNKNOWN"]
@@ -19,23 +20,30 @@ def _answer(col: Column) -> Column:
     return F.when(~is_unresolved(col) & ~F.lower(F.trim(col)).startswith("unknown license"), col)
 
 
+def _taken(df: DataFrame) -> DataFrame:
+    """df with _answer, where there is one, as its licence."""
+    return df.withColumn("license", F.coalesce("_answer", "license")).drop("_answer")
+
+
 def resolve_from_registry(df: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Unresolved rows take the snapshot's licence of their version, else of "latest". Only they are looked up."""
+    """Unresolved rows take the snapshot's licence of their version, else of "latest". Only they are looked up: each key that
+    they ask for once, and rows that have a licence aren't shuffled (see ``look_up``)."""
     open_ = is_unresolved(F.col("license"))
-    keys = df.where(open_).select("ecosystem", "name", "version").distinct()
+    keys = df.where(open_).groupBy("ecosystem", "name", "version").agg(F.count("*").alias("times"))
     s = snapshot.groupBy("ecosystem", "name", "version").agg(F.max("license").alias("found"))
     latest = s.where("version = 'latest'").select("ecosystem", "name", F.col("found").alias("latest"))
-    answers = keys.join(s, ["ecosystem", "name", "version"], "left").join(latest, ["ecosystem", "name"], "left")
-    answers = answers.select("ecosystem", "name", "version", F.coalesce(_answer(F.col("found")), _answer(F.col("latest"))).alias("answer"))
-    return df.join(answers, ["ecosystem", "name", "version"], "left").withColumn("license", F.when(open_ & F.col("answer").isNotNull(), F.col("answer")).otherwise(F.col("license"))).drop("answer")
+    found = keys.join(s, ["ecosystem", "name", "version"], "left").join(latest, ["ecosystem", "name"], "left")
+    answers = found.select(F.col("ecosystem").alias("k0"), F.col("name").alias("k1"), F.col("version").alias("k2"), "times", F.coalesce(_answer(F.col("found")), _answer(F.col("latest"))).alias("answer"))
+    return _taken(look_up(df, [F.col("ecosystem"), F.col("name"), F.col("version")], cut(answers.where("answer is not null")), open_))
 
 
 def resolve_from_definitions(df: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Rows still unresolved take the declared licence of their coordinate."""
+    """Rows still unresolved take the declared licence of their coordinate; looked up as by ``resolve_from_registry``."""
     open_ = is_unresolved(F.col("license"))
-    keyed = df.withColumn("coordinate", F.when(open_, cd_coordinate(F.col("ecosystem"), F.col("name"), F.col("version"))))
-    told = definitions.where(~F.upper(F.trim("declared")).isin(NO_ANSWER) & (F.trim("declared") != "")).groupBy("coordinate").agg(F.max("declared").alias("answer"))
-    return keyed.join(told, "coordinate", "left").withColumn("license", F.coalesce("answer", "license")).drop("answer", "coordinate")
+    coordinate = cd_coordinate(F.col("ecosystem"), F.col("name"), F.col("version"))
+    told = definitions.where(~F.upper(F.trim("declared")).isin(NO_ANSWER) & (F.trim("declared") != "")).groupBy(F.col("coordinate").alias("k0")).agg(F.max("declared").alias("answer"))
+    keys = cut(df.where(open_).groupBy(coordinate.alias("k0")).agg(F.count("*").alias("times")))
+    return _taken(look_up(df, [coordinate], cut(keys.join(told, "k0")), open_))
 
 
 def coalesce_sources(keys: list[str], *sources: DataFrame) -> DataFrame:

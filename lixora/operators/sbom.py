@@ -138,8 +138,9 @@ def ingest_sboms(docs: DataFrame) -> DataFrame:
 
 def judge_sboms(docs: DataFrame, cfg: ComplianceConfig, snapshot: DataFrame | None = None, definitions: DataFrame | None = None, project_license: str | None = None) -> DataFrame:
     """Components of all readable documents with verdicts. Licences that a document doesn't state are resolved from
-    the registry snapshot, then from definitions; rows keep their document, position and format."""
-    rows = ingest_sboms(docs).withColumn("project_license", F.lit(project_license).cast("string"))
+    the registry snapshot, then from definitions; rows keep their document, position and format. Documents are parsed once:
+    their rows are written out before they are looked up and judged."""
+    rows = cut(ingest_sboms(docs)).withColumn("project_license", F.lit(project_license).cast("string"))
     if snapshot is not None:
         rows = resolve_from_registry(rows, snapshot)
     if definitions is not None:

@@ -298,3 +298,38 @@ def test_debounce_in_one_fold_or_many(spark, monkeypatch):
     for runs in (1_000, 1):
         monkeypatch.setattr(changes, "RUNS", runs)
         assert {(r["root_id"], r["event_id"]) for r in changes.debounce(df, 500).collect()} == want
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_resolution_spreads_rows(spark, monkeypatch, most):
+    """One popular package and many rows that need nothing: no task holds more than twice the mean."""
+    from lixora.operators import resolve, shared
+
+    if most is not None:
+        monkeypatch.setattr(shared, "MOST_BROADCAST", most)
+    name = F.when(F.col("id") % 50 != 0, "popular").otherwise(F.concat(F.lit("p"), F.col("id")))
+    license_ = F.when((F.col("id") % 5 != 0), "MIT")
+    df = spark.range(0, 20_000, 1, 8).select("id", F.lit("cargo").alias("ecosystem"), name.alias("name"), F.lit("1.0.0").alias("version"), license_.alias("license"), F.lit("x").alias("times"), F.lit("y").alias("a.b"))
+    snapshot = df.select("ecosystem", "name", F.lit("latest").alias("version"), F.lit("ISC").alias("license")).where("name = 'popular' or id % 100 = 0").drop("id").distinct()
+    definitions = spark.createDataFrame([("crate/cratesio/-/p50/1.0.0", "Zlib"), ("crate/cratesio/-/popular/1.0.0", "0BSD"), ("crate/cratesio/-/p100/1.0.0", "NONE")], "coordinate string, declared string")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for got, want in ((resolve.resolve_from_registry(df, snapshot), {i: "MIT" if i % 5 else ("ISC" if i % 50 or i % 100 == 0 else None) for i in range(20_000)}), (resolve.resolve_from_definitions(df, definitions), {i: "MIT" if i % 5 else "0BSD" if i % 50 else "Zlib" if i == 50 else None for i in range(20_000)})):
+            assert got.columns == df.columns
+            rows = got.withColumn("task", F.spark_partition_id()).collect()
+            assert {r["id"]: r["license"] for r in rows} == want and len(rows) == 20_000
+            sizes = [sum(1 for _ in g) for _, g in itertools.groupby(sorted(r["task"] for r in rows))]
+            assert max(sizes) <= 2 * 20_000 / 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_judging_leaves_other_columns_alone(spark):
+    extra = ["allowed", "free", "approved", "project", "known", "leaf", "dep", "times", "answer", "k0", "x.y"]
+    rows = spark.createDataFrame([("MIT", "GPL-3.0", *extra), ("GPL-3.0-only", "MIT", *extra), (None, None, *extra)], ["license", "project_license", *extra])
+    cfg = ComplianceConfig.default(spark)
+    for fn, new in ((judge.judge, ["is_restrictive", "osi_status", "compatibility"]), (judge.classify, ["is_restrictive", "osi_status"]), (judge.annotate, ["compatibility"])):
+        got = fn(rows, cfg)
+        assert set(got.columns) == {*rows.columns, *new}
+        assert all(r[c] == c for r in got.collect() for c in extra)
