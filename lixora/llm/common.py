@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word hashes that one Python worker remembers before it starts afresh.
@@ -44,6 +46,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_struct(df: DataFrame) -> Column:
+    """A whole row as one struct, whatever its columns are called; two of one name are refused with a message."""
+    low = [c.lower() for c in df.columns]
+    if twice := sorted({c for c in low if low.count(c) > 1}):
+        raise ValueError(f"columns of one name: {', '.join(twice)}; rename them first")
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def filtered(df: DataFrame, column: str, keep: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """Rows of df whose text in ``column`` is kept (null: empty); columns, their names and types stay.
+
+    keep() runs once a task and gives texts -> booleans. Columns travel under numbers, so any names do.
+    """
+    as_struct(df)  # refuses columns of one name
+    at = [c.lower() for c in df.columns].index(column.lower())
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def fn(batches):
+        kept = keep()
+        for b in batches:
+            yield b.filter(pa.array(kept([t.as_py() or "" for t in b.column(at)]), pa.bool_()))
+
+    return numbered.mapInArrow(fn, numbered.schema).toDF(*df.columns)
+
+
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, times: str) -> DataFrame:
     """rows joined with per_key, which has one row of each key and says how often it occurs in rows (``times``).
 

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lixora.llm.common import filtered
+
 NGRAM, LEAST, ENOUGH, MOST_BYTES = 3, 0.5, 50, 8_000_000
 WORDS = re.compile(r"\w+")
 LEAK = "doc_id long, item_id long, score double, start_word int, end_word int"
@@ -166,12 +168,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST, most: int = MOST_BYTES) -> DataFrame:
     """docs without those that leak an item; columns and types stay."""
-    kept_docs = docs
     for items in _slices(benchmark, n, most):
-
-        def fn(batches, items=items):
-            for b in batches:
-                yield b.filter(pa.array([next(items.leaks(words_of(t.as_py() or ""), least), None) is None for t in b.column("text")], pa.bool_()))
-
-        kept_docs = kept_docs.mapInArrow(fn, docs.schema)
-    return kept_docs
+        docs = filtered(docs, "text", lambda items=items: lambda texts: [next(items.leaks(words_of(t), least), None) is None for t in texts])
+    return docs

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lixora.llm.common import GOLD, WordHashes, connected_components, find, join_hot, mixed, partitions_for, saved
+from lixora.llm.common import GOLD, WordHashes, as_struct, connected_components, find, join_hot, mixed, partitions_for, saved
 
 #: Signatures that a map task combines before it sends them on.
 CHUNK = 400_000
@@ -459,7 +459,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
     kept = saved(found.where(stays).groupBy("doc_id", "text_key").agg(F.count("*").alias("times")), "kept")
     gone = saved(found.where(~stays).select("doc_id", "text_key").distinct(), "gone")
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    whole = docs.select(as_struct(docs).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     few = lambda rows: F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
     def apart(rows: DataFrame, how: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lixora.llm.common import saved
+from lixora.llm.common import as_struct, saved
 
 SCOPE, LEAST_SECRET, LEAST_WEAK, LEAST_ACCESS = 200, 12, 6, 18
 VALUE = r"""["']?\x20*[:=]\x20*["']?"""
@@ -165,7 +165,7 @@ def _most_matches(text: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", few: int = FEW) -> DataFrame:
     """docs with each reported span (overlapping ones as one) replaced in ``text``; other columns stay, n_chars of a
     changed text follows."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole = docs.select(as_struct(docs).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     most = _most_matches(F.col("text"))
     short = whole.where(most <= few).withColumn("found", _found()).withColumn("spans", _spans_within(F.col("found")))
     short = short.withColumn("cuts", _cuts(_linked(F.col("spans")))).select("doc", F.when(F.size("cuts") > 0, _without(F.col("text"), F.col("cuts"), mark)).alias("text"))

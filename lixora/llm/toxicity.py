@@ -20,12 +20,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lixora.llm.common import WORDS_KEPT, fold_of
+from lixora.llm.common import WORDS_KEPT, filtered, fold_of
 from lixora.llm.labelled import MOST_TRAINING, features, sampled, split_text_scores
 
 FACTORS, EPOCHS, BATCH, PREFIXES = 4, 8, 128, (4, 5)
@@ -181,12 +180,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, thre
 def reject_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score at least ``threshold``; columns and types stay."""
     model = train(docs, labels, most)
-    schema = docs.schema
 
-    def fn(batches):
+    def keep():
         scores = scorer(model)
-        for b in batches:
-            yield b.filter(pa.array(scores([t.as_py() or "" for t in b.column("text")]) < threshold))
-
-    return docs.mapInArrow(fn, schema)
+        return lambda texts: scores(texts) < threshold
 
+    return filtered(docs, "text", keep)

@@ -31,7 +31,7 @@ from urllib.parse import quote, urlsplit
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +46,8 @@ MOST_BROADCAST = 100_000
 #: Bytes that one step of a scan reads; captures of one stretch of a file are read by one task; captures not
 #: further apart than GAP share a read of at most MOST_READ bytes (unless one capture alone is larger).
 STEP, STRETCH, GAP, MOST_READ = 64 << 10, 16 << 20, 64 << 10, 8 << 20
+#: Partitions that an index or a reading is cut into at most; a task streams what it has, so larger ones need no more memory.
+MOST_PARTS = 20_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -173,7 +175,11 @@ class Archives(DataSource):
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Write one record per page to .warc.gz files under path, a folder that isn't there yet."""
+    """Write one record per page to .warc.gz files under path. A folder that holds anything already is refused, as a commit
+    takes what it didn't write for the rest of a failed attempt."""
+    store, root = FileSystem.from_uri(path)
+    if store.get_file_info(root).type != FileType.NotFound and store.get_file_info(FileSelector(root)):
+        raise ValueError(f"{path} isn't empty")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", base32_sha1(F.col("html")))
     keys = saved(pages.select("page_id", "digest", F.octet_length("html").alias("size")), "digests")
@@ -242,8 +248,8 @@ def blocks(rows: DataFrame, level: int, block: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(made(held)))), schema=schema)
 
-    parts = max(1, rows.count() // (4 * block))
-    ordered = rows.repartitionByRange(parts, *names[:2]).sortWithinPartitions(*names)
+    parts = min(max(1, rows.count() // (4 * block)), MOST_PARTS)
+    ordered = rows.repartitionByRange(parts, *names).sortWithinPartitions(*names)
     return saved(ordered.mapInArrow(fn, "level int, block long, first_key string, lines int, data binary"), "index")
 
 
@@ -346,7 +352,7 @@ def read_captures(spark: SparkSession, found: DataFrame, path: str) -> DataFrame
 
     count = found.agg(F.sum("length")).first()[0] or 0
     stretch = F.floor(F.col("offset") / STRETCH)
-    dealt = found.select("file", "offset", "length").repartition(max(partitions_for(spark), count // STRETCH), "file", stretch)
+    dealt = found.select("file", "offset", "length").repartition(max(partitions_for(spark), min(count // STRETCH, MOST_PARTS)), "file", stretch)
     return dealt.sortWithinPartitions("file", "offset").mapInArrow(fn, RECORD)
 
 
