@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions.ids import cd_coordinate
 from lixora.functions.licenses import is_unresolved
-from lixora.operators.shared import cut, look_up
+from lixora.operators.shared import cut, look_up, quoted, small
 
 #: What a definition says when it has no answer; days that snapshots count as fresh.
 NO_ANSWER = ["NOASSERTION", "NONE", "OTHER", "UNKNOWN"]
@@ -64,6 +64,45 @@ def fresh_snapshot(df: DataFrame, keys: list[str], as_of: Column, days: int, ver
     return young.groupBy(*keys).agg(F.max_by("license", F.struct("fetched_at", "license")).alias("license"), F.max("fetched_at").alias("fetched_at"))
 
 
+#: Rows of one package and time bucket beyond which its findings are dealt to several tasks.
+BUSY = 200_000
+
+
+def resolve_as_of(df: DataFrame, snapshots: DataFrame, keys: list[str], at: str, days: int = REGISTRY_DAYS, busy: int = BUSY) -> DataFrame:
+    """Unresolved rows take the licence of the newest snapshot that was there, and fresh, at their own time.
+
+    snapshots(keys, fetched_at, license). A snapshot counts from fetched_at on and is fresh for less than ``days``; the newest
+    one decides, the largest licence of those of one time; snapshots that state no licence are none. Time is cut into
+    buckets of ``days``: what is fresh at a time was fetched in its bucket or in the one before, so each bucket gets the
+    last snapshot of that, and rows and snapshots of a package and bucket are merged in order of time. A package asked
+    for by more than ``busy`` rows in a bucket is dealt to several tasks, each with all its snapshots there. Rows that have a
+    licence, a null key or a null time stay where they are and as they are.
+    """
+    span = days * 86_400_000_000
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / span)
+    asks = is_unresolved(F.col("license")) & F.col(quoted(at)).isNotNull()
+    for k in keys:
+        asks = asks & F.col(quoted(k)).isNotNull()
+    own = [F.col(quoted(c)) for c in df.columns]
+    names = [f"_k{i}" for i in range(len(keys))]
+    asked = df.where(asks).select(F.struct(*own).alias("_row"), *[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], F.col(quoted(at)).cast("timestamp").alias("_at")).withColumn("_bucket", bucket("_at"))
+    said = snapshots.where(~is_unresolved(F.col("license"))).groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], F.col("fetched_at").cast("timestamp").alias("_at")).agg(F.max("license").alias("_answer"))
+    said = said.withColumn("_bucket", bucket("_at"))
+    last = said.groupBy(*names, "_bucket").agg(F.max_by(F.struct("_at", "_answer"), "_at").alias("x")).select(*names, F.col("x._at").alias("_at"), F.col("x._answer").alias("_answer"), (F.col("_bucket") + 1).alias("_bucket"))
+    said = said.select(*names, "_at", "_answer", "_bucket").unionByName(last)
+    group = [*names, "_bucket"]
+    slices = small(cut(asked.groupBy(*group).agg(F.ceil(F.count("*") / busy).cast("int").alias("_slices")).where("_slices > 1")))
+    dealt = asked.join(slices, group, "left").withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.coalesce("_slices", F.lit(1)))).drop("_slices")
+    copies = said.join(slices, group, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slices", F.lit(1)).cast("long") - 1))).drop("_slices")
+    both = dealt.select(*group, "_slice", "_at", "_row", F.lit(None).cast("struct<at:timestamp,license:string>").alias("_said")).unionByName(copies.select(*group, "_slice", "_at", F.lit(None).cast(dealt.schema["_row"].dataType).alias("_row"), F.struct(F.col("_at").alias("at"), F.col("_answer").alias("license")).alias("_said")))
+    order = Window.partitionBy(*group, "_slice").orderBy("_at", F.col("_said").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = both.withColumn("_newest", F.last("_said", ignorenulls=True).over(order)).where("_row is not null")
+    fresh = F.unix_micros("_newest.at") > F.unix_micros("_at") - span
+    field = lambda c: F.when(fresh, F.col("_newest.license")).otherwise(F.col("_row")[c]) if c == "license" else F.col("_row")[c]
+    found = merged.select(*[field(c).alias(c) for c in df.columns])
+    return df.where(~asks).unionByName(found)
+
+
 def snapshot_status(df: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Rows, characters, age in whole days of the newest row, and whether that is fresh."""
     age = F.date_diff(as_of, F.max("fetched_at")).alias("age_days")

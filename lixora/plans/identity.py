@@ -174,6 +174,23 @@ def agg_09(spark, sf_dir):
     return fresh.select("k", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "license")
 
 
+#: Findings and snapshots of packages over time, made from events: package 0 is asked for by every third one, snapshots come at whole hours.
+SEEN = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 60 END AS pkg, ts AS seen_at, CASE WHEN event_id % 10 = 4 THEN 'MIT' WHEN event_id % 10 = 5 THEN 'Unknown' END AS license FROM {events}"""
+FETCHED = """SELECT user_id % 60 AS pkg, date_trunc('hour', ts) AS fetched_at, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'L' || (event_id % 7) END AS license FROM {events} WHERE event_type = 'click' AND (user_id % 60 <> 1 OR event_id < 200)"""
+
+
+@query(
+    "agg_09_as_of",
+    f"""WITH seen AS ({SEEN.format(events='events')}), fetched AS (SELECT pkg, fetched_at, max(license) AS said FROM ({FETCHED.format(events='events')}) f WHERE license IS NOT NULL GROUP BY 1, 2)
+    SELECT event_id, seen.pkg, seen_at, CASE WHEN license = 'MIT' THEN license WHEN fetched_at > seen_at - INTERVAL 3 DAY THEN said ELSE license END AS license
+    FROM seen ASOF LEFT JOIN fetched ON seen.pkg = fetched.pkg AND seen_at >= fetched_at""",
+)
+def agg_09_as_of(spark, sf_dir):
+    """Each finding with the licence that was fresh (for three days) at its own time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return resolve.resolve_as_of(spark.sql(SEEN, events=events), spark.sql(FETCHED, events=events), ["pkg"], "seen_at", days=3)
+
+
 @query("agg_10_snapshot_status", PACKS + f", s AS ({SNAPS}) SELECT count(*) AS entries, sum(length(license))::BIGINT AS chars, date_diff('day', max(fetched_at), TIMESTAMP '2024-03-01') AS age_days, date_diff('day', max(fetched_at), TIMESTAMP '2024-03-01') < 7 AS fresh FROM s")
 def agg_10(spark, sf_dir):
     return resolve.snapshot_status(snapshots(spark, sf_dir), now(), resolve.DEFINITION_DAYS)

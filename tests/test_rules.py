@@ -333,3 +333,31 @@ def test_judging_leaves_other_columns_alone(spark):
         got = fn(rows, cfg)
         assert set(got.columns) == {*rows.columns, *new}
         assert all(r[c] == c for r in got.collect() for c in extra)
+
+
+@pytest.mark.parametrize("busy", [200_000, 7])
+def test_licences_as_of_their_time(spark, busy):
+    import datetime as dt
+    import random
+
+    from lixora.operators import resolve
+
+    rnd = random.Random(9)
+    day = lambda x: dt.datetime(2024, 1, 1) + dt.timedelta(days=x)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", "c", None]), rnd.choice([day(rnd.randint(0, 160) / 4), None]), rnd.choice([None, "", "MIT"]), "x") for i in range(400)]
+    snaps = [(rnd.choice("ab"), day(rnd.randint(-40, 160) / 4), rnd.choice(["L1", "L2", "L3", None, "unknown"])) for _ in range(60)]
+    snaps += [("a", snaps[0][1], "L0"), ("c", day(0), "L9")]
+    df = spark.createDataFrame(rows, "id int, k string, seen timestamp_ntz, license string, `d.e` string")
+    s = spark.createDataFrame(snaps, "k string, fetched_at timestamp_ntz, license string")
+    got = resolve.resolve_as_of(df, s, ["k"], "seen", days=5, busy=busy)
+    assert got.columns == df.columns
+
+    def answer(k, seen, license_):
+        if license_ == "MIT" or k is None or seen is None:
+            return license_
+        known = [(at, x) for p, at, x in snaps if p == k and at <= seen and x not in (None, "unknown")]
+        at, x = max(known, default=(None, None))
+        return x if at and seen - at < dt.timedelta(days=5) else license_
+
+    assert {r["id"]: r["license"] for r in got.collect()} == {i: answer(k, t, x) for i, k, t, x, _ in rows}
+    assert resolve.resolve_as_of(df.limit(0), s, ["k"], "seen").count() == 0 and resolve.resolve_as_of(df, s.limit(0), ["k"], "seen").count() == 400
