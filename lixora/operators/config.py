@@ -69,7 +69,7 @@ class ComplianceConfig:
 
 
 #: Options with their defaults, and the range of the depth.
-DEFAULTS: dict[str, Any] = {"licenses.restrictive": RESTRICTIVE, "licenses.ignore": [], "dependencies.max_depth": 10, "strict": False}
+DEFAULTS: dict[str, Any] = {"licenses.restrictive": RESTRICTIVE, "licenses.ignore": [], "dependencies.ignore": [], "dependencies.max_depth": 10, "strict": False}
 DEPTHS = range(1, 101)
 
 

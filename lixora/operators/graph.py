@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lixora.operators.shared import cut
 
+MOST_DEPTH = 100
+
 
 def transitive_closure(direct: DataFrame, edges: DataFrame, last_depth: int = 10) -> DataFrame:
     """(project_id, pkg_id, depth): packages within last_depth edges of the direct ones (depth 0), at least depth.
 
-    edges(src, dst). The closure of each direct package is found once, whichever projects ask for it; a project's is
-    the least depth over its direct packages. Every round joins the newest packages with edges and drops those seen
-    before, so cycles end; each round is written out, so none is computed twice.
+    edges(src, dst); see ``budgeted_closure``.
+    """
+    if not 0 <= last_depth <= MOST_DEPTH:
+        raise ValueError(f"last_depth is from 0 to {MOST_DEPTH}")
+    return budgeted_closure(direct.select("project_id", "pkg_id", F.lit(last_depth).alias("budget")), edges)
+
+
+def budgeted_closure(direct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, pkg_id, depth): packages within ``budget`` edges of each direct one (project_id, pkg_id, budget).
+
+    The closure of each direct package is found once, with the largest budget that any project gives it; a project's
+    is the least depth over its direct packages, within its own budgets. A frontier's rows carry what is left of their
+    budget and go no further without; every round joins the newest packages with edges and drops those seen before, so
+    cycles end; each round is written out, so none is computed twice.
     """
-    if not 0 <= last_depth <= 100:
-        raise ValueError("last_depth is from 0 to 100")
-    direct = direct.select("project_id", "pkg_id").distinct()
+    direct = direct.groupBy("project_id", "pkg_id").agg(F.max("budget").alias("budget"))
     step = edges.select(F.col("src").alias("pkg_id"), "dst").distinct()
-    newest = direct.select(F.col("pkg_id").alias("source"), "pkg_id").distinct().withColumn("depth", F.lit(0))
+    newest = direct.groupBy(F.col("pkg_id").alias("source")).agg(F.max("budget").alias("left")).where("left >= 0").select("source", F.col("source").alias("pkg_id"), F.lit(0).alias("depth"), "left")
     seen = newest
-    for depth in range(1, last_depth + 1):
-        reached = newest.join(step, "pkg_id").select("source", F.col("dst").alias("pkg_id")).distinct()
-        newest = cut(reached.join(seen, ["source", "pkg_id"], "left_anti").withColumn("depth", F.lit(depth)))
+    for depth in range(1, MOST_DEPTH + 1):
+        reached = newest.where("left > 0").join(step, "pkg_id").groupBy("source", F.col("dst").alias("pkg_id")).agg(F.max(F.col("left") - 1).alias("left"))
+        newest = cut(reached.join(seen.select("source", "pkg_id"), ["source", "pkg_id"], "left_anti").select("source", "pkg_id", F.lit(depth).alias("depth"), "left"))
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest)
     asked = direct.withColumnRenamed("pkg_id", "source")
-    return asked.join(seen, "source").groupBy("project_id", "pkg_id").agg(F.min("depth").alias("depth"))
+    return asked.join(seen, "source").where("depth <= budget").groupBy("project_id", "pkg_id").agg(F.min("depth").alias("depth"))
+
+
+#: How deep each ecosystem's dependencies of dependencies are followed, the direct ones being at depth 0:
+#: npm to 14 always; below or up to the option for others; a lock file's to its end.
+NPM_DEPTH = 14
+
+
+def depth_budget(ecosystem: Column, max_depth: int) -> Column:
+    """Edges that may be followed from a direct dependency."""
+    if not 1 <= max_depth <= MOST_DEPTH:
+        raise ValueError(f"max_depth is from 1 to {MOST_DEPTH}")
+    return F.when(ecosystem == "npm", NPM_DEPTH).when(ecosystem == "pypi", max_depth - 1).when(ecosystem == "golang", max(0, max_depth - 2)).when(ecosystem.isin("maven", "conan", "generic"), max_depth).otherwise(MOST_DEPTH)
 
 
 def depth_histogram(closure: DataFrame) -> DataFrame:
@@ -41,11 +66,12 @@ def graph_roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def attribute_workspaces(direct: DataFrame, edges: DataFrame, last_depth: int = 10) -> DataFrame:
-    """(pkg_id, members): the sorted members whose closure has a package, members themselves left out. direct(member, pkg_id)."""
+def attribute_workspaces(direct: DataFrame, edges: DataFrame, last_depth: int = 10, label: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(pkg_id, members): the sorted members whose closure has a package, members themselves left out. direct(member,
+    pkg_id); label: what a member is called."""
     closure = transitive_closure(direct.withColumnRenamed("member", "project_id"), edges, last_depth)
     members = direct.select(F.col("member").alias("pkg_id")).distinct()
-    owned = closure.select("pkg_id", F.col("project_id").cast("string").alias("member")).join(members, "pkg_id", "left_anti")
+    owned = closure.select("pkg_id", label(F.col("project_id").cast("string")).alias("member")).join(members, "pkg_id", "left_anti")
     return owned.groupBy("pkg_id").agg(F.array_join(F.array_sort(F.collect_set("member")), ",").alias("members"))
 
 

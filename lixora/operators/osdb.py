@@ -106,14 +106,17 @@ def python_license(rows: DataFrame) -> DataFrame:
 
 
 def installed_artifacts(files: DataFrame) -> DataFrame:
-    """(root, path, ecosystem, name, version, license) of node and Python packages, told by where their metadata lies."""
+    """(root, path, ecosystem, name, version, license) of node and Python packages, told by where their metadata lies.
+    files may be ``corpus_evidence``."""
+    if "text" not in files.columns:
+        files = files.select("root", "path", F.col("content").alias("text"), F.when(F.col("path").rlike(r"\.dist-info/"), detect_license(F.col("content"))).alias("said"))
     node = files.where(F.col("path").rlike(r"(?:^|/)node_modules/(?:@[^/]+/)?[^/]+/package\.json$"))
-    node = node.select("root", "path", F.lit("npm").alias("ecosystem"), F.get_json_object("content", "$.name").alias("name"), F.coalesce(F.get_json_object("content", "$.version"), F.lit("")).alias("version"), node_license(F.col("content")).alias("license"))
+    node = node.select("root", "path", F.lit("npm").alias("ecosystem"), F.get_json_object("text", "$.name").alias("name"), F.coalesce(F.get_json_object("text", "$.version"), F.lit("")).alias("version"), node_license(F.col("text")).alias("license"))
     meta = files.where(F.col("path").rlike(r"[^/]+\.(?:dist-info/METADATA|egg-info/PKG-INFO)$"))
-    fields = deb822(meta.withColumn("content", F.regexp_extract("content", r"(?s)^(.*?)(?:\n[ \t]*\n|\z)", 1)), ["root", "path"]).where("stanza = 0")
+    fields = deb822(meta.select("root", "path", F.regexp_extract("text", r"(?s)^(.*?)(?:\n[ \t]*\n|\z)", 1).alias("content")), ["root", "path"]).where("stanza = 0")
     first = field(fields, ["root", "path"], "Name", "Version", "License", "License-Expression")
     classified = fields.where("lower(name) = 'classifier'").groupBy("root", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("classifiers"))
-    shipped = files.where(F.col("path").rlike(r"\.dist-info/(?:licenses/)?LICEN[SC]E[^/]*$")).select("root", F.regexp_replace("path", r"/(?:licenses/)?[^/]+$", "/METADATA").alias("path"), detect_license(F.col("content")).alias("shipped")).groupBy("root", "path").agg(F.max("shipped").alias("shipped"))
+    shipped = files.where(F.col("path").rlike(r"\.dist-info/(?:licenses/)?LICEN[SC]E[^/]*$")).select("root", F.regexp_replace("path", r"/(?:licenses/)?[^/]+$", "/METADATA").alias("path"), F.col("said").alias("shipped")).groupBy("root", "path").agg(F.max("shipped").alias("shipped"))
     rows = first.join(classified, ["root", "path"], "left").join(shipped, ["root", "path"], "left").withColumnsRenamed({"License-Expression": "expression", "License": "stated"})
     python = python_license(rows).select("root", "path", F.lit("pypi").alias("ecosystem"), F.col("Name").alias("name"), F.coalesce("Version", F.lit("")).alias("version"), "license")
     return node.unionByName(python).where("name is not null and trim(name) <> ''")

@@ -137,15 +137,12 @@ def scan_vendored(files: DataFrame, deps: DataFrame, projects: DataFrame, manife
 
 
 def project_license(files: DataFrame) -> DataFrame:
-    """(root, license): of the root directory's licence file, else package.json, Cargo.toml, pyproject.toml."""
-    from lixora.operators.resolve import coalesce_sources
+    """(root, license): of the root directory's licence file, else package.json, Cargo.toml, pyproject.toml. files may be
+    ``corpus_evidence``; else they are read once for it."""
+    from lixora.operators.evidence import corpus_evidence
 
     top = files.where(~F.contains("path", F.lit("/")))
-    text = dir_license(top).select("root", "license")
-    node = top.where("path = 'package.json'").select("root", F.get_json_object("content", "$.license").alias("license"))
-    toml = lambda p, rx: top.where(F.col("path") == p).select("root", F.nullif(F.regexp_extract("content", rx, 1), F.lit("")).alias("license"))
-    cargo = toml("Cargo.toml", r'(?m)^license\s*=\s*"([^"]+)"')
-    python = toml("pyproject.toml", r'(?m)^license\s*=\s*(?:\{[^}]*text\s*=\s*)?"([^"]+)"')
-    return coalesce_sources(["root"], text, node, cargo, python)
-
-
+    top = corpus_evidence(top) if "content" in files.columns else top
+    order = F.when(file_rank(F.col("path")).isNotNull(), file_rank(F.col("path"))).otherwise(F.expr("100 + array_position(array('package.json', 'Cargo.toml', 'pyproject.toml'), path)"))
+    rows = top.select("root", "path", order.cast("int").alias("rank"), F.when(file_rank(F.col("path")).isNotNull(), F.col("said")).otherwise(F.col("stated")).alias("license"))
+    return rows.groupBy("root").agg(F.min_by("license", F.when(F.col("license").isNotNull(), F.struct("rank", "path", "license"))).alias("license"))

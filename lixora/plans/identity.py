@@ -215,6 +215,21 @@ def gra_01(spark, sf_dir):
     return closure(spark, sf_dir, 4)
 
 
+BUDGETS = "CASE {e} WHEN 'npm' THEN 14 WHEN 'pypi' THEN 4 WHEN 'golang' THEN 3 WHEN 'maven' THEN 5 WHEN 'conan' THEN 5 WHEN 'generic' THEN 5 ELSE 100 END"
+
+
+@query(
+    "gra_01_budgets",
+    f"""{duck('fx_packages', 'fx_edges').replace('WITH ', 'WITH RECURSIVE ', 1)}, walk(src, ecosystem, pkg_id, depth) AS (SELECT pkg_id, ecosystem, pkg_id, 0 FROM fx_packages 
+      UNION SELECT walk.src, ecosystem, e.dst, depth + 1 FROM walk JOIN fx_edges e ON e.src = walk.pkg_id WHERE depth < least(14, {BUDGETS.format(e='ecosystem')}))
+    SELECT src AS project_id, pkg_id, min(depth) AS depth FROM walk GROUP BY 1, 2""",
+)
+def gra_01_budgets(spark, sf_dir):
+    """A walk from each package as deep as its ecosystem's rule under a limit of 5; lock files end at 14 here."""
+    deps = pool(spark, sf_dir).select(F.col("pkg_id").alias("project_id"), "pkg_id", F.least(F.lit(14), graph.depth_budget(F.col("ecosystem"), 5)).alias("budget"))
+    return graph.budgeted_closure(deps, fixture(spark, sf_dir, "fx_edges"))
+
+
 @query("gra_02_depths", f"{GRAPH}, {WALK.format(w='true', d=4)} SELECT depth, count(*) AS n FROM (SELECT project_id, pkg_id, min(depth) AS depth FROM walk GROUP BY 1, 2) x GROUP BY 1")
 def gra_02(spark, sf_dir):
     return graph.depth_histogram(closure(spark, sf_dir, 4))

@@ -90,3 +90,45 @@ def known_names(spark, sf_dir):
     """A registry snapshot of every other package, under the names that documents give."""
     lower = F.when(F.col("ecosystem").isin("npm", "golang", "deb", "rpm", "apk"), F.lower("name")).when(F.col("ecosystem") == "pypi", F.regexp_replace(F.lower("name"), "[-_.]+", "-")).otherwise(F.col("name"))
     return pool(spark, sf_dir).where("pkg_id % 2 = 0").select("ecosystem", lower.alias("name"), "version", F.lit("GPL-3.0-only").alias("license"))
+
+
+HOUSE = {
+    "package.json": ["'{\"name\": \"own\", \"dependencies\": {\"lib' || pkg_id || '\": \"^' || version || '\", \"gone\": \"2.0.0\"}}'"],
+    "Cargo.lock": [q("[[package]]"), q('name = "own"'), q('version = "0.1.0"'), q('dependencies = ["crate"]'), q("[[package]]"), q('name = "crate"'), q('version = "0.1.0"'), q('source = "registry"')],
+    "go.mod": [q("module x"), q("require example.com/m v1.0.0")],
+    "LICENSE": [q(MIT_TEXT)],
+    ".gitignore": [q("gen/"), q("*.c"), "CASE WHEN pkg_id % 2 = 0 THEN '!kept.c' ELSE '' END"],
+    "src/gen/b.rs": [q("// SPDX-License-Identifier: GPL-3.0-only")],
+    "src/x/gone.c": [q("// SPDX-License-Identifier: GPL-3.0-only")],
+    "src/y/kept.c": [q("// SPDX-License-Identifier: ISC")],
+    "vendor/house/COPYING": ["'House Licence of ' || pkg_id"],
+    "vendor/c/x.c": [q("int x;")],
+}
+SETTINGS = """
+strict = false
+[licenses]
+restrictive = ["House"]
+ignore = ["Zlib"]
+[dependencies]
+max_depth = 4
+[[dependencies.ignore]]
+name = "gone"
+"""
+_HOUSE = [
+    ("manifest", "'lib' || pkg_id", "version", "NULL", "0", "NULL", "true"), ("manifest", "'deep1'", "'1'", "NULL", "1", "NULL", "true"), ("manifest", "'deep2'", "'1'", "'MIT'", "2", "NULL", "true"),
+    ("manifest", "'crate'", "'0.1.0'", "NULL", "0", "'own@0.1.0'", "true"), ("manifest", "'example.com/m'", "'v1.0.0'", "NULL", "0", "NULL", "true"), ("manifest", "'n'", "'1'", "NULL", "1", "NULL", "true"), ("manifest", "'o'", "'1'", "NULL", "2", "NULL", "true"),
+    ("vendored", "'vendor/house'", "''", "'LicenseRef-House'", "NULL", "NULL", "true"), ("own-source", "'src/y/kept.c'", "''", "'ISC'", "NULL", "NULL", "pkg_id % 2 = 0"), ("unmanaged", "'src/y'", "''", "'ISC'", "NULL", "NULL", "pkg_id % 2 = 0"),
+]
+HOUSE_SQL = " UNION ALL ".join(f"SELECT pkg_id AS root, '{s}' AS source, {n} AS name, {v} AS version, {lic} AS license, {d}::INTEGER AS depth, {m} AS members, {lic} IS NOT NULL AND contains({lic}, 'House') AS is_restrictive FROM fx_packages WHERE {w}" for s, n, v, lic, d, m, w in _HOUSE)
+
+
+@query("scan_05_settings", f"{JUDGED} {HOUSE_SQL}")
+def scan_05(spark, sf_dir):
+    """Under a file of settings: ignore files, user licence rules, ignored dependencies, dependencies of dependencies, workspace members."""
+    libs = pool(spark, sf_dir).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("lib"), "pkg_id").alias("name"), "version", F.lit("deep1").alias("needs_name"), F.lit("1").alias("needs_version"))
+    more = [("npm", "deep1", "1", "deep2", "1"), ("npm", "deep2", "1", "deep1", "1"), ("golang", "example.com/m", "v1.0.0", "n", "1"), ("golang", "n", "1", "o", "1"), ("golang", "o", "1", "p", "1")]
+    edges = libs.unionByName(spark.createDataFrame(more, libs.schema))
+    snapshot = spark.createDataFrame([("npm", "deep2", "1", "MIT")], "ecosystem string, name string, version string, license string")
+    cfg = ComplianceConfig.default(spark, custom=[("LicenseRef-House", ["House Licence"], None)])
+    found = project_scan.scan_with_settings(files_of(spark, sf_dir, HOUSE), SETTINGS, cfg=cfg, snapshot=snapshot, edges=edges)
+    return found.select("root", "source", "name", "version", "license", "depth", "members", "is_restrictive")

@@ -11,6 +11,7 @@ from lixora.plans.judging import CODE, JUDGED, TEXT_SQL, pool
 from lixora.plans.registry import query
 from lixora.sources import files as S
 from lixora.sources.fixtures import duck, fixture, pick
+from lixora.sources.ignore import not_ignored
 
 SRC, PATHS, FILES = duck("fx_src"), duck("fx_paths"), duck("fx_files")
 DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END"
@@ -69,6 +70,19 @@ def fil_08(spark, sf_dir):
     return paths(spark, sf_dir).select("path", S.is_source_path(p).alias("source"), S.in_any(p, ["node_modules"]).alias("skipped"), S.in_vendor_dir(p).alias("vendored"), S.is_hidden(p).alias("hidden"))
 
 
+#: Ignore files of every root: at the top and in lib.
+IGNORES = {".gitignore": "# made\ndeep/er/\n!deep/er/down/main.rs\n/app/*\n!/app/go.mod\nrequirements.txt\n", "lib/.gitignore": "!requirements.txt\ncore/*.toml\n"}
+IGNORED = f"path LIKE 'deep/er/%' OR (path LIKE 'app/%' AND path <> 'app/go.mod') OR ({NAME} = 'requirements.txt' AND NOT path LIKE 'lib/%') OR regexp_matches(path, '^lib/core/[^/]*\\.toml$')"
+
+
+@query("fil_08_ignore_files", PATHS + f"SELECT DISTINCT root, path FROM fx_paths WHERE NOT ({IGNORED}) UNION ALL SELECT DISTINCT root, f FROM fx_paths, (VALUES ('.gitignore'), ('lib/.gitignore')) i(f)")
+def fil_08_ignores(spark, sf_dir):
+    """What ignore files leave of each root: nested files, rules that take back, directories that stay closed."""
+    p = paths(spark, sf_dir).distinct().withColumn("content", F.lit(""))
+    more = p.select("root").distinct().select("root", F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.lit(v).alias("content")) for k, v in IGNORES.items()])).alias("f")).select("root", "f.*")
+    return not_ignored(p.unionByName(more)).select("root", "path")
+
+
 @query("srt_03_header_lines", FILES + "SELECT doc_id, len(list_slice(string_split(content, chr(10)), 1, 30)) AS lines, list_slice(string_split(content, chr(10)), 1, 30)[-1] AS last_line FROM fx_files")
 def srt_03(spark, sf_dir):
     head = S.header_lines(F.col("content"))
@@ -189,5 +203,5 @@ def jon_11(spark, sf_dir):
 def txt_07(spark, sf_dir):
     f = fixture(spark, sf_dir, "fx_files")
     top = f.where("doc_id % 7 = 0").select("root", F.lit("LICENSE").alias("path"), "content")
-    more = [("src1", "package.json", '{"license": "ISC"}'), ("src1", "Cargo.toml", 'license = "MIT"'), ("src2", "Cargo.toml", '[package]\nlicense = "Zlib"\n'), ("src3", "pyproject.toml", 'license = {text = "BSD-3-Clause"}')]
+    more = [("src1", "package.json", '{"license": "ISC"}'), ("src1", "Cargo.toml", '[package]\nlicense = "MIT"'), ("src2", "Cargo.toml", '[package]\nlicense = "Zlib"\n'), ("src3", "pyproject.toml", '[tool.x]\nlicense = "not"\n[project]\nlicense = {text = "BSD-3-Clause"}')]
     return scan.project_license(top.unionByName(spark.createDataFrame(more, "root string, path string, content string"))).where("license is not null")

@@ -442,6 +442,9 @@ def toml_license(files: DataFrame) -> DataFrame:
 
 
 def cargo_locks(files: DataFrame) -> DataFrame:
+    """(root, path, nodes): the packages of every Cargo.lock. files may be ``corpus_evidence``."""
+    if "text" in files.columns:
+        return files.where("kind = 'Cargo.lock'").select("root", "path", locked(F.col("text")).alias("nodes"))
     return files.where(name_of(F.col("path")) == "Cargo.lock").select("root", "path", toml_json("content").alias("doc")).select("root", "path", locked(F.col("doc")).alias("nodes"))
 
 
@@ -497,16 +500,26 @@ def kind_of(path: Column, sources: dict = SOURCES) -> Column:
     return out
 
 
+def parsed_deps(kind: Column, text: Column, sources: dict = SOURCES) -> Column:
+    """array of struct(name, version): what a file of a kind names, each once. TOML files come as JSON."""
+    parsed = F.lit(None).cast(NONE)
+    for name, (_, of_text) in reversed(sources.items()):
+        parsed = F.when(kind == name, F.array_distinct(of_text(text)).cast(NONE)).otherwise(parsed)
+    return parsed
+
+
 def deps_of(files: DataFrame, sources: dict = SOURCES) -> DataFrame:
     """(root, path, name, version, kind): the dependencies of every file of a known kind, each once a file."""
     rows = files.select("root", "path", "content", kind_of(F.col("path"), sources).alias("kind")).where("kind is not null")
     if tomls := [k for k in sources if k in TOML_SOURCES]:
         is_toml = F.col("kind").isin(tomls)
         rows = rows.withColumn("content", F.when(is_toml, toml_json(F.when(is_toml, F.col("content")))).otherwise(F.col("content")))
-    parsed = F.lit(None).cast(NONE)
-    for kind, (_, of_text) in reversed(sources.items()):
-        parsed = F.when(F.col("kind") == kind, F.array_distinct(of_text(F.col("content"))).cast(NONE)).otherwise(parsed)
-    rows = rows.select("root", "path", "kind", F.explode(parsed).alias("d"))
+    return exploded_deps(rows.select("root", "path", "kind", parsed_deps(F.col("kind"), F.col("content"), sources).alias("deps")))
+
+
+def exploded_deps(rows: DataFrame) -> DataFrame:
+    """(root, path, name, version, kind) of rows (root, path, kind, deps)."""
+    rows = rows.select("root", "path", "kind", F.explode("deps").alias("d"))
     return rows.select("root", "path", F.col("d.name").alias("name"), F.col("d.version").alias("version"), "kind").where("name <> ''")
 
 

@@ -361,3 +361,27 @@ def test_licences_as_of_their_time(spark, busy):
 
     assert {r["id"]: r["license"] for r in got.collect()} == {i: answer(k, t, x) for i, k, t, x, _ in rows}
     assert resolve.resolve_as_of(df.limit(0), s, ["k"], "seen").count() == 0 and resolve.resolve_as_of(df, s.limit(0), ["k"], "seen").count() == 400
+
+
+def test_budgets_differ_by_package(spark):
+    direct = spark.createDataFrame([(1, 0, 2), (1, 5, 0), (2, 0, 1), (2, 7, 100), (3, 0, -1)], "project_id long, pkg_id long, budget int")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0)], "src long, dst long")
+    got = {(r["project_id"], r["pkg_id"]): r["depth"] for r in graph.budgeted_closure(direct, edges).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 5): 0, (2, 0): 0, (2, 1): 1} | {(2, (7 + d) % 10): d for d in range(3)} | {(2, p): (p + 3) % 10 for p in range(2, 7)}
+    rules = spark.createDataFrame([(e,) for e in ("npm", "pypi", "golang", "maven", "cargo")], "e string").select("e", graph.depth_budget(F.col("e"), 1).alias("d"))
+    assert {r["e"]: r["d"] for r in rules.collect()} == {"npm": 14, "pypi": 0, "golang": 0, "maven": 1, "cargo": 100}
+    with pytest.raises(ValueError):
+        graph.depth_budget(F.col("e"), 0)
+
+
+def test_texts_are_read_once_by_a_scan(spark, tmp_path):
+    """Whatever a scan looks for, the files are scanned once for what their texts say."""
+    from lixora.operators import project_scan
+
+    rows = [("r", "package.json", '{"dependencies": {"a": "1"}}'), ("r", "LICENSE", "MIT License"), ("r", "src/x.rs", "// SPDX-License-Identifier: ISC"), ("r", "vendor/k/COPYING", "ISC License"), ("r", ".gitignore", "*.tmp")]
+    spark.createDataFrame(rows, "root string, path string, content string").write.parquet(str(tmp_path / "corpus"))
+    files_ = spark.read.parquet(str(tmp_path / "corpus"))
+    found = project_scan.scan_projects(files_, ComplianceConfig.default(spark))
+    assert sorted((r["source"], r["name"], r["license"], r["depth"]) for r in found.collect()) == [("manifest", "a", None, 0), ("own-source", "src/x.rs", "ISC", None), ("unmanaged", "src", "ISC", None), ("vendored", "vendor/k", "ISC", None)]
+    plan = found._jdf.queryExecution().toString()
+    assert "content" not in plan and "corpus" not in plan
