@@ -211,7 +211,7 @@ def test_headers_count_up_to_three_levels_down(spark):
 def test_settings_by_precedence():
     file = '[licenses]\nrestrictive = ["A"]\nignore = ["B"]\n[dependencies]\nmax_depth = 3\n'
     got = config.settings(file, {"LIXORA_LICENSES_RESTRICTIVE": '["X", "Y"]', "LIXORA_STRICT": "TRUE", "OTHER_STRICT": "0"})
-    assert got == {"licenses.restrictive": ["X", "Y"], "licenses.ignore": ["B"], "dependencies.max_depth": 3, "strict": True}
+    assert got == {"licenses.restrictive": ["X", "Y"], "licenses.ignore": ["B"], "dependencies.ignore": [], "dependencies.max_depth": 3, "strict": True}
     assert config.settings()["licenses.restrictive"] == config.RESTRICTIVE and config.settings()["dependencies.max_depth"] == 10
     assert config.settings("", {"LIXORA_LICENSES_IGNORE": " a , b,"})["licenses.ignore"] == ["a", "b"]
     for bad in ("0", "101"):
