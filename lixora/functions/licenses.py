@@ -107,14 +107,34 @@ def is_expression(col: Column) -> Column:
     return is_compound(col) & F.translate(col, "()", "  ").rlike(r"^\s*(?:[A-Za-z0-9.+_-]+\s*)*$")
 
 
-#: An expression without parentheses, every word in its place.
-FLAT_EXPRESSION = r"^(?!(?:OR|AND|WITH)\b)[^\s()]+(?: +(?:OR|AND|WITH) +(?!(?:OR|AND|WITH)\b)[^\s()]+)*$"
+#: Words of an expression that are no ids.
+WORDS = ["(", ")", "AND", "OR", "WITH"]
 
 
 def is_well_formed(col: Column) -> Column:
-    """Ids with operators between them; one pair of parentheses around a part is read as that part."""
-    part = r"\((?!(?:OR|AND|WITH)\b)[^\s()]+(?: +(?:OR|AND|WITH) +(?!(?:OR|AND|WITH)\b)[^\s()]+)*\)"
-    return F.regexp_replace(F.trim(col), part, "X").rlike(FLAT_EXPRESSION)
+    """Whether every word of an expression has its place: ids with operators between them, an exception after WITH,
+    parentheses to any depth (one that is opened may stay open). One fold over the words."""
+    words = F.regexp_extract_all(F.trim(col), F.lit(r"[()]|[^ \t()]+"), F.lit(0))
+    state = lambda ok, operand, depth, with_, skip: F.named_struct(F.lit("ok"), ok, F.lit("operand"), operand, F.lit("depth"), depth, F.lit("with_"), with_, F.lit("skip"), skip)
+    yes, no = F.lit(True), F.lit(False)
+
+    def step(s: Column, w: Column) -> Column:
+        exception = s["skip"] & ~w.isin(WORDS)
+        opens = s["operand"] & (w == "(")
+        names = s["operand"] & ~w.isin(WORDS)
+        closes = ~s["operand"] & (w == ")") & (s["depth"] > 0)
+        joins = ~s["operand"] & w.isin("AND", "OR")
+        excepts = ~s["operand"] & (w == "WITH") & ~s["with_"]
+        next_ = state(
+            opens | names | closes | joins | excepts,
+            opens | joins,
+            s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0),
+            F.when(names | closes, no).when(excepts, yes).otherwise(s["with_"]),
+            excepts,
+        )
+        return F.when(~s["ok"], s).when(exception, state(yes, no, s["depth"], s["with_"], no)).otherwise(next_)
+
+    return F.aggregate(words, state(yes, yes, F.lit(0), no, no), step, lambda s: s["ok"] & ~s["operand"])
 
 
 def spdx_header(col: Column, lines: int = 30) -> Column:
@@ -188,26 +208,63 @@ def fedora_atom(col: Column) -> Column:
     return _atom(col, FEDORA, F.coalesce(bare, _gnu(col, r"^(?i:(agpl|lgpl|gfdl|gpl)v*([0-9][0-9.]*)(\+)?)$")))
 
 
-def _flat(col: Column, outer: str, inner: str, atom) -> Column:
-    """Atoms translated in a flat expression: split on outer, then on inner, joined by the SPDX operators."""
-    branch = lambda b: F.array_join(F.transform(F.split(b, f"(?i) {inner} "), atom), f" {inner.upper()} ")
-    return F.transform(F.split(col, f"(?i) {outer} "), branch)
+#: Around the number of a group that stands for its text.
+OPEN, SHUT = "\x01", "\x02"
+GROUP = r"(?s)^(.*?)\(([^()]*)\)(.*)$"
 
 
-def normalize_debian(col: Column) -> Column:
-    """Debian short names to SPDX; blank and unknown are null. or binds loosest, as in SPDX."""
+def _nested(col: Column, flat) -> Column:
+    """An expression with parentheses to any depth, translated from the inside out.
+
+    flat translates an expression without parentheses, in which ``OPEN number SHUT`` is an operand. A fold takes one innermost
+    group at a time: what it holds is translated and kept, a number takes its place; a group beside a name, as
+    in "BSD (3 clause)", is part of the name. Text with a parenthesis too many stays as it is.
+    """
     text = F.trim(col)
-    return F.when((text != "") & (F.lower(text) != "unknown"), F.array_join(_flat(text, "or", "and", debian_atom), " OR "))
+    state = lambda text, pieces: F.named_struct(F.lit("text"), text, F.lit("pieces"), pieces)
+    groups = F.regexp_extract_all(text, F.lit(r"\("), F.lit(0))
+
+    def step(s: Column, _: Column) -> Column:
+        before, inner, after = (F.regexp_extract(s["text"], GROUP, k) for k in (1, 2, 3))
+        operand = before.rlike(r"(?i)(?:^|\(|(?:^|\s)(?:and|or)\s)\s*$") & after.rlike(r"(?i)^\s*(?:$|\)|(?:and|or)\s)")
+        piece = F.concat(F.lit("("), F.when(operand, F.coalesce(flat(inner), inner)).otherwise(inner), F.lit(")"))
+        number = F.concat(F.lit(OPEN), F.size(s["pieces"]).cast("string"), F.lit(SHUT))
+        return F.when(s["text"].rlike(GROUP), state(F.concat(before, number, after), F.concat(s["pieces"], F.array(piece)))).otherwise(s)
+
+    def whole(s: Column) -> Column:
+        numbers = F.transform(s["pieces"], lambda p, i: F.named_struct(F.lit("n"), F.concat(F.lit(OPEN), i.cast("string"), F.lit(SHUT)), F.lit("p"), p))
+        # an outer group was taken after those inside it
+        return F.when(s["text"].rlike(r"[()]"), text).otherwise(F.aggregate(F.reverse(numbers), flat(s["text"]), lambda done, x: F.replace(done, x["n"], x["p"])))
+
+    return F.when(F.contains(text, F.lit("(")), F.aggregate(groups, state(text, F.array().cast("array<string>")), step, whole)).when(F.contains(text, F.lit(")")), text).otherwise(flat(text))
+
+
+def _said(parts: Column) -> Column:
+    """Names that say something."""
+    return F.filter(parts, lambda p: (F.trim(p) != "") & (F.lower(F.trim(p)) != "unknown"))
+
+
+def normalize_debian(col: Column) -> Column:
+    """Debian short names to SPDX; blank and unknown are null. or binds loosest, as in SPDX; parentheses stay."""
+
+    def flat(text: Column) -> Column:
+        branch = lambda b: F.array_join(F.transform(_said(F.split(b, "(?i) and ")), debian_atom), " AND ")
+        return F.nullif(F.array_join(F.filter(F.transform(F.split(text, "(?i) or "), branch), lambda b: b != ""), " OR "), F.lit(""))
+
+    return _nested(col, flat)
 
 
 def normalize_rpm(col: Column) -> Column:
-    """Fedora short names to SPDX. and binds loosest there, so branches of or are put in parentheses."""
-    text = F.trim(F.regexp_replace(col, r"^\((.*)\)$", "$1"))
-    strip = lambda b: F.regexp_replace(F.trim(b), r"^\(|\)$", "")
-    branches = F.transform(F.split(text, "(?i) and "), strip)
-    done = F.transform(branches, lambda b: F.array_join(F.transform(F.split(b, "(?i) or "), fedora_atom), " OR "))
-    grouped = F.transform(done, lambda b: F.when((F.size(done) > 1) & F.contains(b, F.lit(" OR ")), F.concat(F.lit("("), b, F.lit(")"))).otherwise(b))
-    return F.when((F.trim(col) != "") & (F.lower(F.trim(col)) != "unknown"), F.array_join(grouped, " AND "))
+    """Fedora short names to SPDX; blank and unknown are null. and binds loosest there, so branches of or are put in
+    parentheses, and those of the text stay, but for a pair around all of it."""
+
+    def flat(text: Column) -> Column:
+        branch = lambda b: F.array_join(F.transform(_said(F.split(b, "(?i) or ")), fedora_atom), " OR ")
+        done = F.filter(F.transform(F.split(text, "(?i) and "), branch), lambda b: b != "")
+        grouped = F.transform(done, lambda b: F.when((F.size(done) > 1) & F.contains(b, F.lit(" OR ")), F.concat(F.lit("("), b, F.lit(")"))).otherwise(b))
+        return F.nullif(F.array_join(grouped, " AND "), F.lit(""))
+
+    return _nested(F.regexp_replace(F.trim(col), r"^\(([^()]*)\)$", "$1"), flat)
 
 
 #: Last part of a Python licence classifier and its SPDX id.

@@ -361,6 +361,32 @@ def nrm_02(spark, sf_dir):
     return pool(spark, sf_dir).select(F.expr(DEB).alias("given"), L.normalize_debian(F.expr(DEB)).alias("license")).distinct()
 
 
+#: Names with parentheses in each other, around parts of a name, and one too many.
+NESTED = "CASE pkg_id % 5 WHEN 0 THEN '{a} or ({b} and (lib' || pkg_id || ' or {c}))' WHEN 1 THEN '(({a} or lib' || pkg_id || ') and {b}) and {c}' WHEN 2 THEN 'lib' || pkg_id || ' (3 clause) or {a}' WHEN 3 THEN '({a} or lib' || pkg_id || ' and {b}' ELSE '({c})' END"
+NESTED_SPDX = "CASE pkg_id % 5 WHEN 0 THEN '{a} OR ({b} AND (lib' || pkg_id || ' OR {c}))' WHEN 1 THEN '(({a} OR lib' || pkg_id || ') AND {b}) AND {c}' WHEN 2 THEN 'lib' || pkg_id || ' (3 clause) OR {a}' WHEN 3 THEN '({x} or lib' || pkg_id || ' and {y}' ELSE '{z}' END"
+RPM_IN, DEB_IN = {"a": "GPLv2+", "b": "ASL 2.0", "c": "zlib"}, {"a": "GPL-2+", "b": "Expat", "c": "Zlib"}
+
+
+@query("nrm_03_nested", f"{PACKS} SELECT pkg_id, {NESTED_SPDX.format(a='GPL-2.0-or-later', b='Apache-2.0', c='Zlib', x='GPLv2+', y='ASL 2.0', z='Zlib')} AS license FROM fx_packages")
+def nrm_03_nested(spark, sf_dir):
+    return pool(spark, sf_dir).select("pkg_id", L.normalize_rpm(F.expr(NESTED.format(**RPM_IN))).alias("license"))
+
+
+@query("nrm_02_nested", f"{PACKS} SELECT pkg_id, {NESTED_SPDX.format(a='GPL-2.0-or-later', b='MIT', c='Zlib', x='GPL-2+', y='Expat', z='(Zlib)')} AS license FROM fx_packages")
+def nrm_02_nested(spark, sf_dir):
+    return pool(spark, sf_dir).select("pkg_id", L.normalize_debian(F.expr(NESTED.format(**DEB_IN))).alias("license"))
+
+
+HEADERS = "CASE pkg_id % 4 WHEN 0 THEN 'MIT OR (Apache-2.0 AND (BSD-2-Clause OR X' || pkg_id || '))' WHEN 1 THEN '((X' || pkg_id || '))' WHEN 2 THEN '((MIT AND OR ISC))' ELSE 'MIT) OR (ISC' END"
+
+
+@query("txt_03_nested_headers", f"{PACKS} SELECT pkg_id, CASE WHEN pkg_id % 4 < 2 THEN {HEADERS} ELSE 'ISC WITH Y' END AS license FROM fx_packages")
+def txt_03_nested(spark, sf_dir):
+    """Headers with nested parentheses; where those aren't well formed, the next header counts."""
+    lines = F.concat(F.lit("/*\n * SPDX-License-Identifier: "), F.expr(HEADERS), F.lit("\n * SPDX-License-Identifier: ISC WITH Y */\ncode"))
+    return pool(spark, sf_dir).select("pkg_id", L.spdx_header(lines).alias("license"))
+
+
 CLASSES = "CASE pkg_id % 4 WHEN 0 THEN 'License :: OSI Approved :: MIT License' WHEN 1 THEN 'License :: OSI Approved :: BSD License' WHEN 2 THEN 'License :: OSI Approved :: GNU Affero General Public License v3' ELSE 'License :: Public Domain' END"
 
 

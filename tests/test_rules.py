@@ -385,3 +385,43 @@ def test_texts_are_read_once_by_a_scan(spark, tmp_path):
     assert sorted((r["source"], r["name"], r["license"], r["depth"]) for r in found.collect()) == [("manifest", "a", None, 0), ("own-source", "src/x.rs", "ISC", None), ("unmanaged", "src", "ISC", None), ("vendored", "vendor/k", "ISC", None)]
     plan = found._jdf.queryExecution().toString()
     assert "content" not in plan and "corpus" not in plan
+
+
+def test_nested_names_of_distributions(spark):
+    rpm = {
+        "GPLv2+ or (Artistic and MIT)": "GPL-2.0-or-later OR (Artistic AND MIT)",
+        "(GPLv2+ or LGPLv3+) and GPLv3+": "(GPL-2.0-or-later OR LGPL-3.0-or-later) AND GPL-3.0-or-later",
+        "GPLv2+ and LGPLv2+ or MIT": "GPL-2.0-or-later AND (LGPL-2.0-or-later OR MIT)",
+        "MIT and ((ASL 2.0 or (GPLv2 and zlib)) and MPLv2.0)": "MIT AND ((Apache-2.0 OR (GPL-2.0-only AND Zlib)) AND MPL-2.0)",
+        "((MIT))": "((MIT))",
+        "(MIT": "(MIT",
+        "MIT) and (BSD": "MIT) and (BSD",
+        "BSD (3 clause) and MIT": "BSD (3 clause) AND MIT",
+        "GPL-2.0-or-later AND (MIT WITH X)": "GPL-2.0-or-later AND (MIT WITH X)",
+        "MIT and unknown": "MIT",
+        "unknown and Unknown": None,
+        "": None,
+        "()": None,
+        "(((a or b) and c) or d)": "(((a OR b) AND c) OR d)",
+        "MIT and (ASL 2.0 or MIT) or zlib": "MIT AND ((Apache-2.0 OR MIT) OR Zlib)",
+    }
+    assert one(spark, list(rpm), licenses.normalize_rpm) == list(rpm.values())
+    debian = {
+        "Expat or (GPL-2+ and (BSD-3-clause or LGPL-2.1))": "MIT OR (GPL-2.0-or-later AND (BSD-3-Clause OR LGPL-2.1-only))",
+        "(GPL-2+ or Artistic) and Expat": "(GPL-2.0-or-later OR Artistic-1.0) AND MIT",
+        "GPL-2+ (with exception)": "GPL-2+ (with exception)",
+        "unknown": None,
+        "a or (b": "a or (b",
+    }
+    assert one(spark, list(debian), licenses.normalize_debian) == list(debian.values())
+
+
+def test_well_formed_is_what_the_strict_parser_takes(spark):
+    import random
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices(["MIT", "ISC", "AND", "OR", "WITH", "(", ")"], k=rnd.randint(1, 9))) for _ in range(600)]
+    texts += ["MIT OR (Apache-2.0 AND (BSD-2-Clause OR ISC))", "((MIT))", "(MIT", "MIT)", "", " ", "MIT WITH", "(A) WITH B AND C", "A B", "(((((A) OR B) AND C)))"]
+    assert one(spark, texts, licenses.is_well_formed) == [postfix(t, strict=True) is not None for t in texts]
+    head = "// SPDX-License-Identifier: (a OR (b AND (c OR d)))\n"
+    assert one(spark, [head, "# SPDX-License-Identifier: ((MIT)) */"], licenses.spdx_header) == ["(a OR (b AND (c OR d)))", "((MIT))"]
