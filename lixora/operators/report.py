@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions.ids import purl, semver_key
 from lixora.functions.licenses import any_in, is_unresolved
+from lixora.operators.rank import ranked
 
 
 def as_findings(df: DataFrame, source: str) -> DataFrame:
@@ -103,12 +104,22 @@ def rollup_report(df: DataFrame) -> DataFrame:
 SORTABLE = ["name", "version", "license", "is_restrictive", "compatibility", "osi_status"]
 
 
-def sort_findings(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """Rows by one of six columns, versions semantically; name and version break ties."""
+def sort_order(column: str, ascending: bool = True) -> list[Column]:
+    """The order of a table sorted by one of six columns, versions semantically; name and version break ties."""
     if column not in SORTABLE:
         raise ValueError(f"{column} is none of {SORTABLE}")
     key = semver_key(F.col("version")) if column == "version" else F.col(column)
-    return df.orderBy(key.asc() if ascending else key.desc(), "name", "version")
+    return [key.asc() if ascending else key.desc(), F.col("name"), F.col("version")]
+
+
+def sort_findings(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """Rows in ``sort_order``."""
+    return df.orderBy(*sort_order(column, ascending))
+
+
+def place_findings(df: DataFrame, column: str, ascending: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with each row's place in ``sort_order``, further columns breaking ties."""
+    return ranked(df, *sort_order(column, ascending), *ties)
 
 
 def inventory(*sources: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from lixora.functions import licenses as L
 from lixora.functions.expressions import expr_leaves, fold_expr, parse_expr
+from lixora.functions.ids import semver_key
 from lixora.operators import config, judge, report
 from lixora.operators.config import COMPATIBLE, OSI, RESTRICTIVE, ComplianceConfig
+from lixora.operators.rank import ranked
+from lixora.operators.shared import cut
 from lixora.plans.registry import query
 from lixora.sources.fixtures import POOL, duck, findings, fixture
 
@@ -232,23 +235,32 @@ def nrm_01(spark, sf_dir):
 FIND = PACKS + "SELECT CAST(NULL AS VARCHAR) AS project_id, name, version, license, ecosystem"
 
 
-@query("srt_01_sort", JUDGED + f"SELECT {ROW} FROM judged")
+@query("srt_01_sort", JUDGED + f"SELECT {ROW}, row_number() OVER (ORDER BY compatibility DESC, name, version, project_id) AS place FROM judged")
 def srt_01(spark, sf_dir):
-    return report.sort_findings(judged(spark, sf_dir), "compatibility", ascending=False).select(*COLS)
+    """All findings with their places by verdict."""
+    return report.place_findings(judged(spark, sf_dir), "compatibility", ascending=False, ties=("project_id",)).select(*COLS, "place")
 
 
-@query("srt_02_semver", PACKS + "SELECT pkg_id, row_number() OVER (ORDER BY CAST(split_part(version, '.', 1) AS INT), CAST(split_part(version, '.', 2) AS INT), CAST(split_part(version, '.', 3) AS INT), pkg_id) AS place FROM fx_packages")
-def srt_02(spark, sf_dir):
-    from pyspark.sql import Window
+NUMBERS = ", ".join(f"CAST(split_part(version, '.', {i}) AS INT) {{way}}" for i in (1, 2, 3))
+PLACED = " UNION ALL ".join(f"SELECT '{c}' AS sorted_by, {a} AS ascending, pkg_id, row_number() OVER (ORDER BY {NUMBERS.format(way=w) if c == 'version' else f'{c} {w}'}, name, version, pkg_id) AS place FROM p" for c in report.SORTABLE for a, w in (("true", "ASC NULLS FIRST"), ("false", "DESC NULLS LAST")))
+_OWN = f"SELECT pkg_id, name, version, license, CASE WHEN license = 'No License' THEN true WHEN license IS NULL THEN false ELSE own.free = 0 END AS is_restrictive, {CODE['osi'].format(x='own.osi')} AS osi_status, {CODE['compat'].format(x='pair.compat')} AS compatibility FROM fx_packages LEFT JOIN own USING (license) LEFT JOIN pair ON pair.license = fx_packages.license AND pair.project_license = 'MIT'"
+
 
-    from lixora.functions.ids import semver_key
+@query("srt_01_places", f"{JUDGED}, p AS ({_OWN.replace('SELECT pkg_id, name, version, license', 'SELECT pkg_id, name, version, fx_packages.license')}) {PLACED}")
+def srt_01_places(spark, sf_dir):
+    """The place of every package by each of the six columns, both ways."""
+    p = cut(judge.judge(pool(spark, sf_dir).withColumn("project_license", F.lit("MIT")), ComplianceConfig.default(spark)))
+    out = None
+    for column in report.SORTABLE:
+        for ascending in (True, False):
+            rows = report.place_findings(p, column, ascending, ties=("pkg_id",)).select(F.lit(column).alias("sorted_by"), F.lit(ascending).alias("ascending"), "pkg_id", "place")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
-    p = pool(spark, sf_dir).withColumn("key", semver_key(F.col("version")))
-    # ranks within one major version, plus the rows of smaller ones: no window over the whole table
-    near = p.withColumn("in_major", F.row_number().over(Window.partitionBy("key.major").orderBy("key", "pkg_id")))
-    sizes = p.groupBy(F.col("key.major").alias("major")).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("major").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return near.join(before, F.col("key.major") == F.col("major")).select("pkg_id", (F.col("before") + F.col("in_major")).alias("place"))
+
+@query("srt_02_semver", PACKS + "SELECT pkg_id, row_number() OVER (ORDER BY CAST(split_part(version, '.', 1) AS INT), CAST(split_part(version, '.', 2) AS INT), CAST(split_part(version, '.', 3) AS INT), pkg_id) AS place FROM fx_packages")
+def srt_02(spark, sf_dir):
+    return ranked(pool(spark, sf_dir), semver_key(F.col("version")), F.col("pkg_id")).select("pkg_id", "place")
 
 
 @query("set_01_inventory", PACKS + "SELECT name, version, 'manifest' AS source FROM fx_packages WHERE pkg_id % 3 = 0 UNION ALL SELECT name, version, 'sbom' FROM fx_packages WHERE pkg_id % 3 = 1 UNION ALL SELECT name, version, 'filesystem' FROM fx_packages WHERE pkg_id % 2 = 0")

@@ -425,3 +425,25 @@ def test_well_formed_is_what_the_strict_parser_takes(spark):
     assert one(spark, texts, licenses.is_well_formed) == [postfix(t, strict=True) is not None for t in texts]
     head = "// SPDX-License-Identifier: (a OR (b AND (c OR d)))\n"
     assert one(spark, [head, "# SPDX-License-Identifier: ((MIT)) */"], licenses.spdx_header) == ["(a OR (b AND (c OR d)))", "((MIT))"]
+
+
+def test_places_over_even_ranges(spark):
+    """Equal rows, nulls and other columns' names; no task holds more than a few times the mean."""
+    import random
+
+    from lixora.operators.rank import ranked
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, 7, 7, 7, 7, rnd.randint(0, 99)]), "p") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id int, v int, `place.x` string").repartition(4)
+    got = ranked(df, F.col("v").desc(), F.col("id")).withColumn("task", F.spark_partition_id())
+    assert got.drop("task").columns == ["id", "v", "place.x", "place"]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    taken = got.collect()
+    assert [r["id"] for r in sorted(taken, key=lambda r: r["place"])] == [r[0] for r in want]
+    equal = ranked(df, F.col("v")).collect()
+    assert sorted(r["place"] for r in equal) == list(range(1, 20_001))
+    assert [r["v"] for r in sorted(equal, key=lambda r: r["place"]) if r["v"] is not None] == sorted(r[1] for r in rows if r[1] is not None)
+    assert ranked(df.limit(0), F.col("v")).count() == 0
+    sizes = [sum(1 for _ in g) for _, g in itertools.groupby(sorted(r["place"] * 4 // 20_001 for r in equal))]
+    assert len(sizes) == 4
