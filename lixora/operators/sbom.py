@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lixora.functions.ids import parse_purl, purl
@@ -158,30 +158,89 @@ def sanitize_spdx(df: DataFrame) -> DataFrame:
     return df.withColumns({"spdx_name": name, "spdx_version": version, "spdx_license": lic, "element_id": F.concat(F.lit("SPDXRef-Package-"), F.hex(F.xxhash64(key))), "fixes": fixes})
 
 
-def to_spdx(df: DataFrame, created: str, no_assertion: bool = False) -> DataFrame:
-    """(doc_id, json): one SPDX 2.3 document per project_id, packages ordered by ecosystem, name and version."""
-    rows = sanitize_spdx(df)
+def _spdx_package(no_assertion: bool = False) -> Column:
+    """The entry of a package, of sanitised rows."""
     stated = F.lit("NOASSERTION") if no_assertion else F.col("spdx_license")
     url = purl(F.col("ecosystem"), F.col("name"), F.col("version"))
     ref = F.when(url.isNotNull(), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), url.alias("referenceLocator"))))
-    pack = F.struct(F.col("spdx_name").alias("name"), F.col("element_id").alias("SPDXID"), F.col("spdx_version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"), F.lit("NOASSERTION").alias("licenseConcluded"), stated.alias("licenseDeclared"), F.lit("NOASSERTION").alias("copyrightText"), ref.alias("externalRefs"))
-    docs = rows.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ecosystem", "name", "version", pack.alias("pack")))), lambda x: x["pack"]).alias("packages"))
-    relations = F.transform("packages", lambda p: F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.lit("DESCRIBES").alias("relationshipType"), p["SPDXID"].alias("relatedSpdxElement")))
+    return F.struct(F.col("spdx_name").alias("name"), F.col("element_id").alias("SPDXID"), F.col("spdx_version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"), F.lit("NOASSERTION").alias("licenseConcluded"), stated.alias("licenseDeclared"), F.lit("NOASSERTION").alias("copyrightText"), ref.alias("externalRefs"))
+
+
+def _describes(element_id: Column) -> Column:
+    return F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.lit("DESCRIBES").alias("relationshipType"), element_id.alias("relatedSpdxElement"))
+
+
+def _spdx_head(created: str) -> list[Column]:
     label = F.concat(F.lit("project-"), "project_id")
-    doc = F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), label.alias("name"), F.concat(F.lit("https://spdx.example/"), label).alias("documentNamespace"), F.struct(F.lit(created).alias("created"), F.array(F.lit("Tool: lixora")).alias("creators")).alias("creationInfo"), F.col("packages"), relations.alias("relationships"))
+    return [F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), label.alias("name"), F.concat(F.lit("https://spdx.example/"), label).alias("documentNamespace"), F.struct(F.lit(created).alias("created"), F.array(F.lit("Tool: lixora")).alias("creators")).alias("creationInfo")]
+
+
+def to_spdx(df: DataFrame, created: str, no_assertion: bool = False) -> DataFrame:
+    """(doc_id, json): one SPDX 2.3 document per project_id, packages ordered by ecosystem, name and version."""
+    rows = sanitize_spdx(df)
+    docs = rows.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ecosystem", "name", "version", _spdx_package(no_assertion).alias("pack")))), lambda x: x["pack"]).alias("packages"))
+    doc = F.struct(*_spdx_head(created), F.col("packages"), F.transform("packages", lambda p: _describes(p["SPDXID"])).alias("relationships"))
     return docs.select(F.col("project_id").alias("doc_id"), F.to_json(doc).alias("json"))
 
 
-def to_cyclonedx(df: DataFrame, created: str) -> DataFrame:
-    """(doc_id, json): one CycloneDX 1.5 document per project_id."""
+def _cyclonedx_component() -> Column:
     lic = F.trim(F.col("license"))
     choice = F.when(to_spdx_expression(F.coalesce(lic, F.lit(""))) == "NOASSERTION", F.when(is_stated(lic), F.struct(F.struct(F.lit(None).cast("string").alias("id"), lic.alias("name")).alias("license"), F.lit(None).cast("string").alias("expression"))))
     choice = choice.when(F.contains(lic, F.lit(" ")), F.struct(F.lit(None).cast("struct<id:string,name:string>").alias("license"), lic.alias("expression"))).when(is_stated(lic), F.struct(F.struct(lic.alias("id"), F.lit(None).cast("string").alias("name")).alias("license"), F.lit(None).cast("string").alias("expression")))
     url = purl(F.col("ecosystem"), F.col("name"), F.col("version"))
-    part = F.struct(F.lit("library").alias("type"), url.alias("bom-ref"), F.col("name").alias("name"), F.col("version").alias("version"), url.alias("purl"), F.when(choice.isNotNull(), F.array(choice)).alias("licenses"))
-    docs = df.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ecosystem", "name", "version", F.to_json(part).alias("part")))), lambda x: x["part"]).alias("parts"))
-    head = F.lit(f'{{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"metadata":{{"timestamp":"{created}","tools":[{{"name":"lixora"}}]}},"components":[')
-    return docs.select(F.col("project_id").alias("doc_id"), F.concat(head, F.array_join("parts", ","), F.lit("]}")).alias("json"))
+    return F.to_json(F.struct(F.lit("library").alias("type"), url.alias("bom-ref"), F.col("name").alias("name"), F.col("version").alias("version"), url.alias("purl"), F.when(choice.isNotNull(), F.array(choice)).alias("licenses")))
+
+
+def _cyclonedx_head(created: str) -> str:
+    return f'{{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"metadata":{{"timestamp":"{created}","tools":[{{"name":"lixora"}}]}},"components":['
+
+
+def to_cyclonedx(df: DataFrame, created: str) -> DataFrame:
+    """(doc_id, json): one CycloneDX 1.5 document per project_id."""
+    docs = df.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ecosystem", "name", "version", _cyclonedx_component().alias("part")))), lambda x: x["part"]).alias("parts"))
+    return docs.select(F.col("project_id").alias("doc_id"), F.concat(F.lit(_cyclonedx_head(created)), F.array_join("parts", ","), F.lit("]}")).alias("json"))
+
+
+PARTS = ["doc_id", "section", "key", "text"]
+
+
+def _parts(rows: DataFrame, fixed: dict[int, Column], listed: dict[int, Column]) -> DataFrame:
+    """(PARTS): the fixed sections of each project's document once, and an entry for each row in the listed ones."""
+    key = F.struct("ecosystem", "name", "version")
+    entries = rows.select("project_id", F.explode(F.array(*[F.struct(F.lit(i).alias("section"), key.alias("key"), c.alias("text")) for i, c in listed.items()])).alias("p"))
+    once = rows.select("project_id").distinct().select("project_id", F.explode(F.array(*[F.struct(F.lit(i).alias("section"), c.alias("text")) for i, c in fixed.items()])).alias("p"))
+    once = once.select("project_id", "p.section", F.lit(None).cast(entries.schema["p"].dataType["key"].dataType).alias("key"), "p.text")
+    return entries.select("project_id", "p.section", "p.key", "p.text").unionByName(once).withColumnRenamed("project_id", "doc_id")
+
+
+def spdx_parts(df: DataFrame, created: str, no_assertion: bool = False) -> DataFrame:
+    """The documents of ``to_spdx`` in parts: a row for the head, for each package, and so on; no row grows with a document."""
+    rows = sanitize_spdx(df)
+    head = F.to_json(F.struct(*_spdx_head(created)))
+    fixed = {0: F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"packages":[')), 2: F.lit('],"relationships":['), 4: F.lit("]}")}
+    return _parts(rows, fixed, {1: F.to_json(_spdx_package(no_assertion)), 3: F.to_json(_describes(F.col("element_id")))})
+
+
+def cyclonedx_parts(df: DataFrame, created: str) -> DataFrame:
+    """The documents of ``to_cyclonedx`` in parts."""
+    return _parts(df, {0: F.lit(_cyclonedx_head(created)), 2: F.lit("]}")}, {1: _cyclonedx_component()})
+
+
+def write_documents(parts: DataFrame, path: str) -> None:
+    """Write one file for each document, path/doc_id=.../, from its parts in order; path must be new.
+
+    A document is a sorted stream of rows in one task, as it is one file; it is never held as a whole. Entries of a list are
+    set apart by commas, and each part is a line.
+    """
+    order = Window.partitionBy("doc_id").orderBy("section", "key", "text")
+    again = (F.col("section") % 2 == 1) & (F.lag("section").over(order) == F.col("section"))
+    lines = parts.select("doc_id", F.when(again, F.concat(F.lit(","), "text")).otherwise(F.col("text")).alias("value"), "section", "key", "text")
+    lines.sortWithinPartitions("doc_id", "section", "key", "text").select("doc_id", "value").write.partitionBy("doc_id").text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, json) of documents that fit in a row."""
+    return spark.read.option("basePath", path).text(path, wholetext=True).select("doc_id", F.col("value").alias("json"))
 
 
 def _text(value: Column) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lixora.functions import register as R
 from lixora.operators import sinks
+from lixora.operators.shared import shared_path
 from lixora.plans.judging import DNF_ROWS, JUDGED, PACKS, judged, norm_sql, pool
 from lixora.plans.registry import query
 from lixora.sources.fixtures import duck, fixture
 from lixora.streaming import changes
+from lixora.streaming.inventory import inventory, merge_changes
 
 LIC = "coalesce(license, 'No License')"
 
@@ -112,8 +115,6 @@ def str_06(spark, sf_dir):
 
 def in_files(spark, name: str, *parts):
     """The parts as files of one folder that a stream reads in this order, one a batch."""
-    from lixora.operators.shared import shared_path
-
     at = shared_path(spark, name)
     for i, part in enumerate(parts):
         part.coalesce(1).write.mode("append").parquet(f"{at}/{i}")
@@ -169,3 +170,51 @@ def udtf_01(spark, sf_dir):
 def udaf_01(spark, sf_dir):
     v = F.col("compatibility")
     return judged(spark, sf_dir).groupBy("project_id").agg(R.all_of(v).alias("worst"), R.any_of(v).alias("best"))
+
+
+#: What is known of each root before a change, and after it: every seventh root changes, a third of its packages goes.
+BEFORE = "SELECT pkg_id % 50 AS root, pkg_id, name, version, license FROM fx_packages"
+AFTER = "SELECT root, pkg_id, name, CASE WHEN root % 7 = 0 THEN version || '.1' ELSE version END AS version, license FROM b WHERE root % 7 <> 0 OR pkg_id % 3 <> 0"
+
+
+@query("set_04_incremental", f"{PACKS}, b AS ({BEFORE}) {AFTER}")
+def set_04_incremental(spark, sf_dir):
+    """A kept inventory after the scan of all roots and a scan of the changed ones alone."""
+    before = pool(spark, sf_dir).select((F.col("pkg_id") % 50).alias("root"), "pkg_id", "name", "version", "license")
+    path = shared_path(spark, "inventory")
+    merge_changes(path, 0, before.select("root"), before)
+    changed = before.where("root % 7 = 0")
+    merge_changes(path, 1, changed.select("root"), changed.where("pkg_id % 3 <> 0").withColumn("version", F.concat("version", F.lit(".1"))))
+    return inventory(spark, path)
+
+
+WINDOWS = f"""{duck('fx_changes', 'fx_packages').replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT root_id, ts, event_id, row_number() OVER (PARTITION BY root_id ORDER BY ts, event_id) AS n FROM fx_changes WHERE {RELEVANT}),
+  w(root_id, n, till, event_id, opens) AS (SELECT root_id, n, ts + INTERVAL 3600 SECOND, event_id, true FROM e WHERE n = 1 UNION ALL SELECT e.root_id, e.n, CASE WHEN e.ts >= w.till THEN e.ts + INTERVAL 3600 SECOND ELSE w.till END, e.event_id, e.ts >= w.till FROM w JOIN e ON e.root_id = w.root_id AND e.n = w.n + 1)"""
+
+
+@query("str_03_rescans", f"{WINDOWS} SELECT w.root_id, event_id, pkg_id, license FROM w JOIN fx_packages p ON p.pkg_id % 50 = w.root_id WHERE opens")
+def str_03(spark, sf_dir):
+    """A stream of changes, debounced with timers; each trigger scans its root. The second batch breaks off while its rows
+    are written, and the stream is started again: each trigger is there once."""
+    c = changes.relevant_changes(fixture(spark, sf_dir, "fx_changes").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "root_id", "path"))
+    first, last = c.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    parts = [c.where(F.col("ts") < F.lit(first + third)), c.where((F.col("ts") >= F.lit(first + third)) & (F.col("ts") < F.lit(first + 2 * third))), c.where(F.col("ts") >= F.lit(first + 2 * third))]
+    triggers = changes.debounce(in_files(spark, "triggers", *parts), ms=3_600_000)
+    known = pool(spark, sf_dir).select((F.col("pkg_id") % 50).cast("long").alias("root_id"), "pkg_id", "license")
+    path, scans = shared_path(spark, "rescans"), []
+
+    def scan(batch):
+        scans.append(1)
+        rows = batch.join(known, "root_id").select("root_id", "event_id", "pkg_id", "license")
+        return rows.where(F.when(F.col("pkg_id") % 50 == 7, F.raise_error(F.lit("broken off")).cast("boolean")).otherwise(True)) if len(scans) == 2 else rows
+
+    def run():
+        sink = changes.scan_into(f"{path}/kept", scan)
+        triggers.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    return changes.scanned(spark, f"{path}/kept").select("root_id", "event_id", "pkg_id", "license")

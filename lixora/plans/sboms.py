@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions import licenses as L
 from lixora.operators import sbom
+from lixora.operators.shared import shared_path
 from lixora.plans.identity import COORD
 from lixora.plans.judging import PACKS, pool
 from lixora.plans.registry import query
@@ -223,3 +224,20 @@ def snk_07_back(spark, sf_dir):
     written = F.coalesce(*[F.to_json(F.try_variant_get(last, f"$.{k}", "variant")) for k in ("licenseConcluded", "licenses")])
     infos = listed(F.col("new"), "hasExtractedLicensingInfos")
     return both.select("doc_id", F.size(entries(F.col("new"))).alias("entries"), (rest(F.col("old")) == rest(F.col("new"))).alias("same_rest"), written.alias("written"), F.to_json(F.get(infos, F.lit(4))).alias("info"))
+
+
+#: All projects as twenty large fleets, a package for each project that needs it.
+FLEETS = "r AS (SELECT d.project_id % 20 AS doc_id, p.*, row_number() OVER (PARTITION BY d.project_id % 20 ORDER BY ecosystem, name, version) - 1 AS pos FROM fx_deps d JOIN fx_packages p USING (pkg_id))"
+
+
+@query("snk_05_written_files", f"{REL}, {FLEETS} SELECT doc_id, pos, 'spdx' AS format, ecosystem, {LOWER} AS name, version, {SPDXED} AS license FROM r UNION ALL SELECT doc_id, pos, 'cyclonedx', ecosystem, {LOWER}, version, {STATED} FROM r")
+def snk_05_files(spark, sf_dir):
+    """Documents of both formats written part by part, one file each, and read back."""
+    rows = findings(spark, sf_dir).withColumn("project_id", F.col("project_id") % 20)
+    out = None
+    for name, parts, read in (("spdx", sbom.spdx_parts(rows, CREATED), sbom.spdx_components), ("cyclonedx", sbom.cyclonedx_parts(rows, CREATED), sbom.cyclonedx_components)):
+        path = shared_path(spark, name)
+        sbom.write_documents(parts, path)
+        back = read(sbom.read_documents(spark, path)).withColumn("format", F.lit(name))
+        out = back if out is None else out.unionByName(back)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

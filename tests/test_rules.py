@@ -447,3 +447,18 @@ def test_places_over_even_ranges(spark):
     assert ranked(df.limit(0), F.col("v")).count() == 0
     sizes = [sum(1 for _ in g) for _, g in itertools.groupby(sorted(r["place"] * 4 // 20_001 for r in equal))]
     assert len(sizes) == 4
+
+
+def test_documents_in_parts_are_those_in_rows(spark, tmp_path):
+    rows = spark.range(3_000).select((F.col("id") % 2).alias("project_id"), F.lit("cargo").alias("ecosystem"), F.concat(F.lit("p\""), F.floor(F.col("id") / 3)).alias("name"), F.lit("1").alias("version"), F.when(F.col("id") % 3 == 0, "MIT").alias("license"))
+    for name, parts, whole in (("s", sbom.spdx_parts(rows, "2024"), sbom.to_spdx(rows, "2024")), ("c", sbom.cyclonedx_parts(rows, "2024"), sbom.to_cyclonedx(rows, "2024"))):
+        path = str(tmp_path / name)
+        sbom.write_documents(parts, path)
+        assert max(len(r["text"]) for r in parts.collect()) < 600
+        got = {r["doc_id"]: json.loads(r["json"]) for r in sbom.read_documents(spark, path).collect()}
+        want = {r["doc_id"]: json.loads(r["json"]) for r in whole.collect()}
+        key = "packages" if name == "s" else "components"
+        assert got.keys() == want.keys() == {0, 1} and all(len(got[i][key]) == 1_500 for i in got)
+        tidy = lambda d: {k: sorted(map(str, v)) if k == key else v for k, v in d.items()}
+        assert {i: tidy(d) for i, d in got.items()} == {i: tidy(d) for i, d in want.items()}
+        assert [x["name"] for x in got[0][key]] == [x["name"] for x in want[0][key]]
