@@ -88,13 +88,10 @@ def _entries(docs: DataFrame, formats: list[str]) -> DataFrame:
     d = d.withColumn("format", _format(F.col("v")) if len(formats) > 1 else F.lit(formats[0]))
     infos = F.transform(_list(F.col("v"), "hasExtractedLicensingInfos"), lambda r: F.named_struct(*[x for k in ("licenseId", "name", "extractedText") for x in (F.lit(k), _said(r, k))]))
     parts = F.coalesce(*[F.when(F.col("format") == f, _list(F.col("v"), LISTS[f])) for f in formats])
-    return d.select("doc_id", "format", _known_refs(infos).alias("refs"), F.posexplode(parts).alias("pos", "x"))
-
-
-def _spdx_license(x: Column, refs: Column) -> Column:
-    """The concluded licence if it is stated, else the declared one."""
-    said = F.coalesce(*[F.when(is_stated(_said(x, k)), _said(x, k)) for k in ("licenseConcluded", "licenseDeclared")])
-    return _with_refs(said, refs)
+    # what rows carry must be worked out below the explosion: else the whole document goes with each of its entries
+    d = d.select("doc_id", "format", _known_refs(infos).alias("refs"), parts.alias("parts"))
+    # outer: else Spark looks for empty lists first, and parses each document again for that
+    return d.select("doc_id", "format", "refs", F.posexplode_outer("parts").alias("pos", "x")).where("pos is not null")
 
 
 def _spdx_purl(x: Column) -> Column:
@@ -114,11 +111,19 @@ def _components(docs: DataFrame, *formats: str) -> DataFrame:
     """COMPONENT rows with format. Every entry is read by itself: numbers, nulls, lists and nameless entries among the
     packages cost only themselves, and positions are those of the document."""
     x, spdx = F.col("x"), F.col("format") == "spdx"
-    version = F.when(spdx, _said(x, "versionInfo")).otherwise(_said(x, "version"))
-    url = F.when(spdx, _spdx_purl(x)).otherwise(_said(x, "purl"))
-    lic = F.when(spdx, _spdx_license(x, F.col("refs"))).otherwise(_cyclonedx_license(x))
-    rows = _entries(docs, list(formats)).select("doc_id", "format", "pos", _said(x, "name").alias("name"), version.alias("version"), url.alias("purl"), lic.alias("license"))
-    return _identified(rows.where("name is not null"), "format")
+    fields = {
+        "name": _said(x, "name"),
+        "version": F.when(spdx, _said(x, "versionInfo")).otherwise(_said(x, "version")),
+        "purl": F.when(spdx, _spdx_purl(x)).otherwise(_said(x, "purl")),
+        "concluded": F.when(spdx, _said(x, "licenseConcluded")),
+        "declared": F.when(spdx, _said(x, "licenseDeclared")),
+        "listed": F.when(~spdx, _cyclonedx_license(x)),
+    }
+    rows = _entries(docs, list(formats)).select("doc_id", "format", "refs", "pos", *[c.alias(n) for n, c in fields.items()]).where("name is not null")
+    # the concluded licence if it is stated, else the declared one
+    said = F.coalesce(*[F.when(is_stated(F.col(c)), F.col(c)) for c in ("concluded", "declared")])
+    lic = F.when(spdx, _with_refs(said, F.col("refs"))).otherwise(F.col("listed"))
+    return _identified(rows.withColumn("license", lic), "format")
 
 
 def spdx_components(docs: DataFrame) -> DataFrame:
