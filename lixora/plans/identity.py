@@ -243,10 +243,13 @@ def gra_03(spark, sf_dir):
     return made.join(edges.select(F.col("src").alias("project_id")).distinct(), "project_id", "left_semi")
 
 
-@query("set_02_roots", GRAPH + " SELECT src AS node FROM fx_edges WHERE src < dst EXCEPT SELECT dst FROM fx_edges WHERE src < dst")
+#: All edges, and five workspaces above the packages that have any.
+WORKSPACES = "SELECT src, dst FROM {edges} UNION ALL SELECT DISTINCT -(src % 5) - 1, src FROM {edges}"
+
+
+@query("set_02_roots", f"{GRAPH}, e AS ({WORKSPACES.format(edges='fx_edges')}) SELECT src AS node FROM e EXCEPT SELECT dst FROM e")
 def set_02(spark, sf_dir):
-    """Of the edges that lead to a larger number: without them every package has another above it."""
-    return graph.graph_roots(fixture(spark, sf_dir, "fx_edges").where("src < dst"))
+    return graph.graph_roots(spark.sql(WORKSPACES, edges=fixture(spark, sf_dir, "fx_edges")))
 
 
 @query("jon_14_workspaces", GRAPH + ", walk(m, pkg_id, d) AS (SELECT pkg_id % 5 + 1000000, pkg_id, 0 FROM fx_packages UNION SELECT m, e.dst, d + 1 FROM walk JOIN fx_edges e ON e.src = walk.pkg_id WHERE d < 2) SELECT pkg_id, string_agg(DISTINCT CAST(m AS VARCHAR), ',' ORDER BY CAST(m AS VARCHAR)) AS members FROM walk GROUP BY 1".replace("fx_packages", "(SELECT p_partkey AS pkg_id FROM part) pp"))

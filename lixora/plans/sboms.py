@@ -105,10 +105,10 @@ def nrm_05(spark, sf_dir):
     return pool(spark, sf_dir).select("pkg_id", L.to_spdx_expression(F.expr(RAW)).alias("license"))
 
 
-@query("nrm_06_sanitised", PACKS + " SELECT pkg_id, name AS spdx_name, version AS spdx_version, CASE WHEN pkg_id % 2 = 0 THEN 2 ELSE 1 END AS fixes FROM fx_packages")
+@query("nrm_06_sanitised", PACKS + " SELECT pkg_id, name AS spdx_name, version AS spdx_version, CASE pkg_id % 7 WHEN 0 THEN 'MIT OR Apache-2.0' WHEN 1 THEN 'GPL (see file)' WHEN 6 THEN 'MIT OR ISC' ELSE 'NOASSERTION' END AS spdx_license, CASE WHEN pkg_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN pkg_id % 7 = 1 THEN 0 ELSE 1 END AS fixes FROM fx_packages")
 def nrm_06(spark, sf_dir):
-    p = pool(spark, sf_dir).withColumns({"license": F.lit("a & b"), "name": F.when(F.col("pkg_id") % 2 == 0, F.concat("name", F.lit('"\t'))).otherwise(F.col("name"))})
-    return sbom.sanitize_spdx(p).select("pkg_id", "spdx_name", "spdx_version", "fixes")
+    p = pool(spark, sf_dir).withColumns({"license": F.expr(RAW), "name": F.when(F.col("pkg_id") % 2 == 0, F.concat("name", F.lit('"\t'))).otherwise(F.col("name"))})
+    return sbom.sanitize_spdx(p).select("pkg_id", "spdx_name", "spdx_version", "spdx_license", "fixes")
 
 
 @query("nrm_07_license_refs", PACKS + " SELECT DISTINCT license, CASE license WHEN 'No License' THEN 'LicenseRef-No-License' WHEN 'The Apache Software License, Version 2.0' THEN 'LicenseRef-The-Apache-Software-License-Version-2.0' END AS ref FROM fx_packages WHERE license IS NOT NULL")

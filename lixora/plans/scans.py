@@ -119,15 +119,16 @@ def win_03(spark, sf_dir):
     return scan.dir_license_text(evidence(spark, sf_dir))
 
 
-@query("win_04_carry_forward", FILES + "SELECT root, count(*) AS lines, count(DISTINCT path) AS files FROM (SELECT root, path, unnest(string_split(content, chr(10))) AS line FROM fx_files) x GROUP BY 1")
+@query("win_04_carry_forward", FILES + "SELECT root, path AS section, count(*) AS lines, sum(length(line))::BIGINT AS chars, max(line) AS last_line FROM (SELECT root, path, unnest(string_split(content, chr(10))) AS line FROM fx_files) x GROUP BY 1, 2")
 def win_04(spark, sf_dir):
+    """Each line of every file under the heading of its file, carried down from the first line."""
     from lixora.sources.lines import carry_forward, numbered_lines
 
     rows = fixture(spark, sf_dir, "fx_files").select("root", "path", "doc_id", F.concat(F.lit("== "), "path", F.lit("\n"), "content").alias("content"))
     lines = numbered_lines(rows, ["root", "doc_id"])
-    section = F.when(F.col("line").startswith("== "), F.substring("line", 4, 10_000))
+    section = F.when((F.col("pos") == 0) & F.col("line").startswith("== "), F.substring("line", 4, 10_000))
     carried = carry_forward(lines, ["root", "doc_id"], "pos", section, "section").where("pos > 0")
-    return carried.groupBy("root").agg(F.count("*").alias("lines"), F.count_distinct("section").alias("files"))
+    return carried.groupBy("root", "section").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"), F.max("line").alias("last_line"))
 
 
 @query("txt_03_spdx_header", SRC + f"SELECT doc_id, {TAG} AS license FROM fx_src")
