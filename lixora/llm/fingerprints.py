@@ -20,14 +20,19 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lixora.llm.common import GOLD, WordHashes, mixed, partitions_for
+from lixora.llm.common import GOLD, WordHashes, mixed, partitions_for, saved
 
 SLOTS = 128
-#: Documents in one range of ids, on average, and the most ranges; only the first row of a range travels twice.
-RANGE, MOST_RANGES = 1_500, 20_000
+#: Documents in one range of ids, on average; only the first row of a range travels twice. Quantiles that reach the driver;
+#: beyond, the ids between two of them are cut into ranges of equal width, as many as their count asks for.
+RANGE, MOST_CUTS = 1_500, 20_000
+#: First ids of ranges that are broadcast (16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Tasks that ranges are dealt to at most; a task streams its ranges.
+MOST_TASKS = 100_000
 SYMBOLS = re.compile(r"\S+\s*|\s+")
 SCALE = np.random.default_rng(20).integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFT = np.random.default_rng(21).integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -76,28 +81,51 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(docs: DataFrame, size: int = RANGE) -> DataFrame:
+def _parts(docs: DataFrame, size: int, most_cuts: int) -> DataFrame:
+    """docs with cut and part: ranges of ids in order, of about ``size`` rows each, however many that makes."""
+    ranges = max(1, docs.count() // size)
+    cut = min(ranges, most_cuts)
+    cuts = docs.select("place").approxQuantile("place", [i / cut for i in range(1, cut)], 0.2 / cut) if cut > 1 else []
+    cutter = Bucketizer(splits=[-math.inf, *sorted({*cuts, -math.ulp(0.0)}), math.inf], inputCol="place", outputCol="cut")
+    placed = cutter.transform(docs).withColumn("cut", F.col("cut").cast("long"))
+    if ranges <= most_cuts:
+        return placed.withColumn("part", F.col("cut"))
+    about = saved(placed.groupBy("cut").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.greatest(F.lit(1), F.floor(F.count("*") / size)).alias("ranges")), "cuts")
+    within = F.floor((F.col("place") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("ranges"))
+    placed = placed.join(F.broadcast(about), "cut")  # a row for each cut
+    return placed.withColumn("part", F.shiftleft("cut", 32) + F.least(within, F.col("ranges") - 1)).drop("low", "high", "ranges")
+
+
+def _before(starts: DataFrame) -> DataFrame:
+    """(start, before): the first id of each range but the first, and the range before. starts(cut, part, start)."""
+    in_cut = F.lag("part").over(Window.partitionBy("cut").orderBy("part"))
+    lasts = [(r["cut"], r["last"]) for r in starts.groupBy("cut").agg(F.max("part").alias("last")).orderBy("cut").collect()]  # a row for each cut
+    ahead = starts.sparkSession.createDataFrame([(c, last) for (c, _), (_, last) in zip(lasts[1:], lasts)], "cut long, last long")
+    rows = starts.withColumn("near", in_cut).join(F.broadcast(ahead), "cut", "left")
+    return rows.select("start", F.coalesce("near", "last").alias("before")).where("before is not null")
+
+
+def fingerprints(docs: DataFrame, size: int = RANGE, most_cuts: int = MOST_CUTS) -> DataFrame:
     """Fingerprint of each text and of its edited form, and how near it is to that and to the next document.
 
-    Ids are cut into ranges by quantiles; a range's first document is also sent to the range before, so each
-    range is one ordered stream and no more than two documents are held at a time.
+    Ids are cut into ranges; a range's first document is also sent to the range before, so each range is one ordered
+    stream and no more than two documents are held at a time. The last document's next is the first.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     rank = F.coalesce("doc_id", F.lit(-(2**63)))
     docs = docs.withColumn("place", rank.cast("double"))
-    count = docs.count()
-    if not count:
+    if docs.isEmpty():
         return spark.createDataFrame([], SCHEMA)
-    ranges = max(1, min(count // size, MOST_RANGES))
-    cuts = docs.select("place").approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    cutter = Bucketizer(splits=[-math.inf, *sorted({*cuts, -math.ulp(0.0)}), math.inf], inputCol="place", outputCol="part")
-    placed = cutter.transform(docs).withColumn("part", F.col("part").cast("int"))
-    starts = placed.groupBy("part").agg(F.min(rank).alias("start")).orderBy("part").collect()  # one row a range
-    heads = spark.createDataFrame([(int(r["start"]), int(starts[i - 1]["part"])) for i, r in enumerate(starts)], "start long, before int")
-    again = placed.join(F.broadcast(heads), rank == F.col("start")).select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("after"))
+    placed = _parts(docs, size, most_cuts)
+    starts = saved(placed.groupBy("cut", "part").agg(F.min(rank).alias("start")), "starts")
+    first, last = starts.agg(F.min("start"), F.max("part")).first()
+    heads = saved(_before(starts).unionByName(spark.createDataFrame([(first, last)], "start long, before long")), "heads")
+    count = heads.count()
+    heads = F.broadcast(heads) if count <= MOST_BROADCAST else heads
+    again = placed.join(heads, rank == F.col("start")).select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("after"))
     rows = placed.select("doc_id", "text", "part", F.lit(False).alias("after")).unionByName(again)
-    rows = rows.repartition(max(partitions_for(spark), len(starts) // 3), "part").sortWithinPartitions("part", "after", "doc_id", "text")
+    rows = rows.repartition(max(partitions_for(spark), min(count // 3, MOST_TASKS)), "part").sortWithinPartitions("part", "after", "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def fn(batches):

@@ -87,3 +87,22 @@ def test_small_packings_are_near_the_optimum():
         assert best <= used <= best + 1
         over += used - best
     assert over <= 6
+
+
+@pytest.mark.parametrize("size,cuts,most", [(7, 20_000, 10**6), (7, 3, 10**6), (1, 1, 10**6), (2, 4, 0), (500, 20_000, 0)])
+def test_fingerprints_over_any_ranges(spark, monkeypatch, size, cuts, most):
+    """Quantiles alone, ranges of equal width between few of them, first ids broadcast or shuffled: the same neighbours."""
+    from lixora.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "MOST_BROADCAST", most)
+    rnd = random.Random(23)
+    ids = sorted({*rnd.sample(range(-50, 50), 30), *rnd.sample(range(10**6, 10**12), 30), -(2**62), 2**62})
+    texts = [f"t{k} " + " ".join(rnd.choices("abcd", k=rnd.randint(0, 9))) for k in range(len(ids) + 3)]
+    rows = [(None, texts[-1]), *zip(ids, texts), (ids[20], texts[-2]), (ids[40], texts[-3])]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size, cuts).collect()
+    want = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        want.append((i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((repr(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted((repr(i), x) for i, x in want)
