@@ -45,9 +45,9 @@ HOLDERS = frozenset("ul ol menu dir dl table select div article section main asi
 CUT = frozenset("nav aside footer form button select datalist dialog menu template svg canvas object audio video map search".split()) | RAW
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 CUT_WORDS = frozenset(
-    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer form gdpr"
-    " hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popover popup promo promoted promotion recommended related replies reply respond share sharing"
-    " sidebar signup social sponsor sponsored subscribe subscription teaser toast toolbar widget widgets".split()
+    "ad adbanner adbox ads adsbygoogle adsense adslot adunit advert advertisement advertisements advertising adverts alert announcement aside banner breadcrumb breadcrumbs comment commentlist comments consent cookie"
+    " cookies copyright disclaimer discussion disqus footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popover popup promo promoted"
+    " promotion recommended related replies reply respond search searchbox share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription teaser toast toolbar topbar topnav widget widgets".split()
 )
 CUT_ARTICLES = frozenset("ad ads advert comment comments promo promoted related reply sponsored teaser".split())
 #: Words beside which a word above names a layout, as in has-sidebar.
@@ -67,7 +67,7 @@ class Tree:
         self.tags, self.parents, self.named = ["body"], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.by_class = by_class
-        self.cut, self.heading_only = [False], [False]
+        self.cut, self.heading_only, self.headers = [False], [False], [False]
         self.stack = [0]
         self.pieces: list[str] = []
         self.links: list[str] = []
@@ -143,6 +143,7 @@ class Tree:
         self.heading_only.append(only and name not in HEADINGS)
         self.cut.append(cut or (self.cut[up] and not (name in HEADINGS and self.heading_only[up])) or (only and name not in HEADINGS))
         self.named.append(bool(named))
+        self.headers.append(named is None)
 
     def judged(self, name: str, attributes: str) -> tuple[bool, bool | None]:
         """Whether an element is cut off, and whether it names itself the article; None: of a header only headings are read."""
@@ -207,14 +208,18 @@ def article(page: str, by_class: bool = True) -> list[str]:
     while up > 0 and not tree.named[up]:
         up = parents[up]
     container = up if up > 0 else best
+    inside = [False] * n
+    for e in range(n):
+        inside[e] = e == container or (e > 0 and inside[parents[e]])
+    titles = {tags[e] for e in range(n) if inside[e] and tags[e] in HEADINGS and chars[e]}
     keep = {container}
     if container:
         for e in range(1, n):
-            if parents[e] == parents[container] and e != container:
+            if parents[e] == parents[container] and e != container and not tree.headers[e]:
                 if up > 0:
                     stays = tree.named[e] and own[e] >= SIBLING * own[container]
-                elif tags[e] in HEADINGS:
-                    stays = e < container
+                elif tags[e] in HEADINGS:  # a title above a container that has none of its own
+                    stays = e < container and all(tags[e] < t for t in titles) and "h1" not in titles
                 else:
                     stays = own[e] >= SIBLING * own[container] and linked[e] * 4 < chars[e]
                 if stays:

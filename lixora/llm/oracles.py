@@ -99,10 +99,10 @@ c0 AS (SELECT row_number() OVER (ORDER BY name NULLS LAST, v) - 1 AS c, v AS m F
 placed AS (SELECT vec_id, best.c AS c, best.d AS d FROM near3)
 SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM placed JOIN c3 USING (c)"""
 
-#: What the article elements of the given pages hold; these pages use few character references.
+#: What the article elements of the given pages hold; these pages use few character references, some without a semicolon.
 HTML = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS t FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
-c AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM b),
 d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
 

@@ -88,6 +88,10 @@ CASES = {
     "unclosed": ("<p>One, a first paragraph<p>Two &amp; <b>bold<br>line<p>Three</b> &lt;x&gt; &#8364;&nbsp;5 <a>y", "One, a first paragraph Two & bold line Three <x> € 5 y"),
     "raw and comments": (f"<script>if (a < b) '<p>no, no</p>'</script><!-- <p>no</p> --><style>p{{}}</style>{STORY}<!-- open <p>no</p>", TOLD),
     "header": (f"<header><h1>Site</h1></header><article><header><h1>Head</h1><p>by a writer</p></header>{STORY}</article>", f"Head {TOLD}"),
+    "site header by class": (f"<div class='site-header'><h1>A site, about this, that, and more, with a long title</h1></div><div id=content><p>Short, but good, text, with enough commas, stands here alone.</p></div>", "Short, but good, text, with enough commas, stands here alone."),
+    "site title beside": (f"<h1>Site</h1><div><h1>Head</h1>{STORY}</div>", f"Head {TOLD}"),
+    "title above": (f"<h1>Head</h1><div><h2>Part</h2>{STORY}</div>", f"Head Part {TOLD}"),
+    "search and disclaimer": (f"<div><div id=searchBox>Search, find, look</div>{STORY}<p class=disclaimer>No, nothing, at all</p><div class='post-comments'><p>Me, too, I say</p></div></div>", TOLD),
     "lists and quotes": (f"<article>{STORY}<ul><li>one<li>two</ul><blockquote>quote</blockquote><pre>a\n  b</pre><table><tr><td>c<td>d</table></article>", f"{TOLD} one two quote a b c d"),
     "quotes in tags": (f"<div title='a > b' class=\"x\">{STORY}</div>", TOLD),
     "text without tags": ("just text, no tags", "just text, no tags"),
