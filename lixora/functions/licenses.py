@@ -51,7 +51,14 @@ def all_in(col: Column, parts: list[str]) -> Column:
     return reduce(Column.__and__, [F.contains(col, F.lit(p)) for p in parts])
 
 
+#: Parts beyond which a list is one array in the plan, not a term each.
+LONG_LIST = 20
+
+
 def any_in(col: Column, parts: list[str]) -> Column:
+    """Whether any part occurs; null for null."""
+    if len(parts) > LONG_LIST:
+        return F.exists(F.lit(parts), lambda p: F.contains(col, p))
     return reduce(Column.__or__, [F.contains(col, F.lit(p)) for p in parts], F.lit(False))
 
 

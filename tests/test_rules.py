@@ -462,3 +462,13 @@ def test_documents_in_parts_are_those_in_rows(spark, tmp_path):
         tidy = lambda d: {k: sorted(map(str, v)) if k == key else v for k, v in d.items()}
         assert {i: tidy(d) for i, d in got.items()} == {i: tidy(d) for i, d in want.items()}
         assert [x["name"] for x in got[0][key]] == [x["name"] for x in want[0][key]]
+
+
+def test_long_lists_of_patterns(spark):
+    few, many = ["GPL", "x y"], ["GPL", "x y", *(f"pattern {i}" for i in range(5_000))]
+    texts = ["AGPL-3.0", "MIT", "pattern 4999 here", "", None, "a x y b"]
+    assert one(spark, texts, lambda c: licenses.any_in(c, few)) == [True, False, False, False, None, True]
+    assert one(spark, texts, lambda c: licenses.any_in(c, many)) == [True, False, True, False, None, True]
+    rows = spark.createDataFrame([("MIT", "MIT"), ("pattern 7", "MIT")], "license string, project_license string")
+    got = judge.classify(rows, ComplianceConfig.default(spark, restrictive=many)).collect()
+    assert sorted((r["license"], r["is_restrictive"]) for r in got) == [("MIT", False), ("pattern 7", True)]
