@@ -1,8 +1,20 @@
 """Graphs where ids meet, where no package has another above it, and where tables are larger than they look."""
 
+from lixora.operators import graph
 from lixora.plans.identity import set_02
 
 
+def rows(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_a_package_may_have_the_id_of_a_member(spark):
+    direct = spark.createDataFrame([(7, 1), (7, 7), (8, 7)], "member long, pkg_id long")
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    assert rows(graph.attribute_workspaces(direct, edges, 2, among=False), "pkg_id", "members") == [(1, "7"), (2, "7"), (7, "7,8")]
+    assert rows(graph.attribute_workspaces(direct, edges, 2), "pkg_id", "members") == [(1, "7"), (2, "7")]
+
+
 def test_roots_grow_with_the_projects(spark):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     assert set_02(spark, "/root/testdata/sf0.001").count() >= lines.select("l_orderkey").distinct().count()
