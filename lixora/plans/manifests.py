@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions import licenses as L
 from lixora.operators import graph, osdb
+from lixora.operators.shared import spread, written
 from lixora.plans.judging import PACKS, pool
 from lixora.plans.registry import query
 from lixora.sources import lines, manifests
@@ -15,7 +16,7 @@ NL = "chr(10)"
 
 def files(spark, sf_dir, path: str, *content: str):
     """One file per package: a path, and lines given as SQL over its row."""
-    return pool(spark, sf_dir).select(F.col("pkg_id").alias("root"), F.lit(path).alias("path"), F.expr(f" || {NL} || ".join(content)).alias("content"))
+    return spread(pool(spark, sf_dir)).select(F.col("pkg_id").alias("root"), F.lit(path).alias("path"), F.expr(f" || {NL} || ".join(content)).alias("content"))
 
 
 def q(s: str) -> str:
@@ -46,7 +47,7 @@ JSON_SQL = " UNION ALL ".join(two(k) for k in JSON_FILES) + " UNION ALL SELECT p
 def files_of(spark, sf_dir, table):
     """Every package writes one file of each kind: the packages are read once."""
     each = [F.struct(F.lit(path).alias("path"), F.expr(f" || {NL} || ".join(content)).alias("content")) for path, content in table.items()]
-    return pool(spark, sf_dir).select(F.col("pkg_id").alias("root"), F.explode(F.array(*each)).alias("f")).select("root", "f.*")
+    return spread(pool(spark, sf_dir)).select(F.col("pkg_id").alias("root"), F.explode(F.array(*each)).alias("f")).select("root", "f.*")
 
 
 def all_of(spark, sf_dir, table, make):
@@ -226,7 +227,7 @@ def src_07c(spark, sf_dir):
 @query("jon_14_cargo_members", PACKS + " SELECT pkg_id AS root, 'other@1.0.0' AS pkg_id, 'own@0.1.0' AS members FROM fx_packages UNION ALL SELECT pkg_id, 'lib' || pkg_id || '@' || version, 'own@0.1.0' FROM fx_packages")
 def jon_14b(spark, sf_dir):
     """Cargo workspaces end to end: members and edges of every lock file, closures, attribution."""
-    locks = files(spark, sf_dir, "Cargo.lock", *TOML_FILES["Cargo.lock"])
+    locks = written(manifests.cargo_locks(files(spark, sf_dir, "Cargo.lock", *TOML_FILES["Cargo.lock"])), "locks")
     node = lambda c: F.concat_ws("|", "root", c)
     members = manifests.cargo_members(locks).select(node("member").alias("member"), node("member").alias("pkg_id"))
     edges = manifests.cargo_graph(locks).select(node("src").alias("src"), node("dst").alias("dst"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions import licenses as L
 from lixora.operators import sbom
-from lixora.operators.shared import shared_path
+from lixora.operators.shared import shared_path, spread
 from lixora.plans.identity import COORD
 from lixora.plans.judging import PACKS, pool
 from lixora.plans.registry import query
@@ -167,7 +167,7 @@ FOREIGN_CYCLONE = """concat('{"specVersion":"1.4","components":[null,{"type":"li
 
 
 def foreign(spark, sf_dir, *texts):
-    p = pool(spark, sf_dir)
+    p = spread(pool(spark, sf_dir))
     return [p.select((F.col("pkg_id") * len(texts) + i).alias("doc_id"), F.expr(t).alias("json")) for i, t in enumerate(texts)]
 
 

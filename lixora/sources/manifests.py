@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lixora.functions.ids import clean_version
+from lixora.operators.shared import written
 from lixora.sources.files import dir_of, name_of
 from lixora.sources.toml import toml_json
 
@@ -442,7 +443,9 @@ def toml_license(files: DataFrame) -> DataFrame:
 
 
 def cargo_locks(files: DataFrame) -> DataFrame:
-    """(root, path, nodes): the packages of every Cargo.lock. files may be ``corpus_evidence``."""
+    """(root, path, nodes): the packages of every Cargo.lock. files may be ``corpus_evidence``, or such a table."""
+    if "nodes" in files.columns:
+        return files
     if "text" in files.columns:
         return files.where("kind = 'Cargo.lock'").select("root", "path", locked(F.col("text")).alias("nodes"))
     return files.where(name_of(F.col("path")) == "Cargo.lock").select("root", "path", toml_json("content").alias("doc")).select("root", "path", locked(F.col("doc")).alias("nodes"))
@@ -450,8 +453,8 @@ def cargo_locks(files: DataFrame) -> DataFrame:
 
 def cargo_graph(files: DataFrame) -> DataFrame:
     """(root, path, src, dst): edges of Cargo.lock as name@version; an entry without a version means the only one of
-    its name. Members of the workspace are those without a source."""
-    rows = cargo_locks(files).select("root", "path", F.explode("nodes").alias("n"))
+    its name. Members of the workspace are those without a source. Files are parsed once: their packages are written."""
+    rows = cargo_locks(files if {"text", "nodes"} & set(files.columns) else written(cargo_locks(files), "locks")).select("root", "path", F.explode("nodes").alias("n"))
     versions = rows.groupBy("root", "path", F.col("n.name").alias("name")).agg(F.min("n.version").alias("only"))
     asks = rows.select("root", "path", F.concat_ws("@", "n.name", "n.version").alias("src"), F.explode("n.dependencies").alias("ask"))
     asks = asks.select("root", "path", "src", F.get(F.split("ask", " "), F.lit(0)).alias("name"), F.get(F.split("ask", " "), F.lit(1)).alias("version"))
