@@ -51,19 +51,28 @@ def purl(ecosystem: Column, name: Column, version: Column) -> Column:
 
 def parse_purl(col: Column) -> Column:
     """struct(ecosystem, name, version) of a package URL, or null. Qualifiers and subpath are dropped."""
-    rest = F.regexp_replace(F.trim(col), "^(?:pkg|PKG):/*|[?#].*$", "")
-    kind = F.lower(F.substring_index(rest, "/", 1))
     also = F.create_map(*[F.lit(x) for kv in ALSO_READ.items() for x in kv])
-    eco = F.coalesce(F.element_at(also, kind), F.when(kind.isin(ECOSYSTEMS), kind), F.lit("generic"))
-    parts = F.filter(F.split(F.regexp_replace(rest, "^[^/]*/?", ""), "/"), lambda s: s != "")
-    last = F.get(parts, F.size(parts) - 1)
-    at = F.contains(last, F.lit("@"))
-    name = decode(F.when(at, F.regexp_replace(last, "@[^@]*$", "")).otherwise(last))
-    version = F.when(at, decode(F.substring_index(last, "@", -1))).otherwise("")
-    space = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), decode)
-    joined = F.when(F.size(space) == 0, name).when(eco == "maven", F.concat(F.array_join(space, "."), F.lit(":"), name)).when(eco.isin("npm", "golang", *DISTRO), F.concat(F.array_join(space, "/"), F.lit("/"), name)).otherwise(name)
-    good = F.trim(col).rlike("^(?:pkg|PKG):") & (kind != "") & (F.size(parts) > 0) & (name != "") & F.contains(rest, F.lit("/"))
-    return F.when(good, F.struct(eco.alias("ecosystem"), joined.alias("name"), version.alias("version")))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def of(rest: Column, kind: Column, parts: Column) -> Column:
+        eco = F.coalesce(F.element_at(also, kind), F.when(kind.isin(ECOSYSTEMS), kind), F.lit("generic"))
+        last = F.get(parts, F.size(parts) - 1)
+        at = F.contains(last, F.lit("@"))
+        version = F.when(at, decode(F.substring_index(last, "@", -1))).otherwise("")
+        space = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), decode)
+
+        def named(name: Column) -> Column:
+            joined = F.when(F.size(parts) == 1, name).when(eco == "maven", F.concat(F.array_join(space, "."), F.lit(":"), name)).when(eco.isin("npm", "golang", *DISTRO), F.concat(F.array_join(space, "/"), F.lit("/"), name)).otherwise(name)
+            return F.when(name != "", F.struct(eco.alias("ecosystem"), joined.alias("name"), version.alias("version")))
+
+        good = (kind != "") & (F.size(parts) > 0) & F.contains(rest, F.lit("/"))
+        return F.when(good, once(decode(F.when(at, F.regexp_replace(last, "@[^@]*$", "")).otherwise(last)), named))
+
+    def split(rest: Column) -> Column:
+        parts = F.filter(F.split(F.regexp_replace(rest, "^[^/]*/?", ""), "/"), lambda s: s != "")
+        return once(F.struct(F.lower(F.substring_index(rest, "/", 1)).alias("kind"), parts.alias("parts")), lambda x: of(rest, x["kind"], x["parts"]))
+
+    return F.when(F.trim(col).rlike("^(?:pkg|PKG):"), once(F.regexp_replace(F.trim(col), "^(?:pkg|PKG):/*|[?#].*$", ""), split))
 
 
 def is_release(version: Column) -> Column:

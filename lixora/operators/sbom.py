@@ -167,7 +167,9 @@ def _spdx_package(no_assertion: bool = False) -> Column:
     """The entry of a package, of sanitised rows."""
     stated = F.lit("NOASSERTION") if no_assertion else F.col("spdx_license")
     url = purl(F.col("ecosystem"), F.col("name"), F.col("version"))
-    ref = F.when(url.isNotNull(), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), url.alias("referenceLocator"))))
+    # filter and transform: the address is worked out once
+    refs = F.transform(F.filter(F.array(url), lambda u: u.isNotNull()), lambda u: F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), u.alias("referenceLocator")))
+    ref = F.get(F.filter(F.array(refs), lambda r: F.size(r) > 0), F.lit(0))
     return F.struct(F.col("spdx_name").alias("name"), F.col("element_id").alias("SPDXID"), F.col("spdx_version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"), F.lit("NOASSERTION").alias("licenseConcluded"), stated.alias("licenseDeclared"), F.lit("NOASSERTION").alias("copyrightText"), ref.alias("externalRefs"))
 
 
@@ -180,9 +182,15 @@ def _spdx_head(created: str) -> list[Column]:
     return [F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), label.alias("name"), F.concat(F.lit("https://spdx.example/"), label).alias("documentNamespace"), F.struct(F.lit(created).alias("created"), F.array(F.lit("Tool: lixora")).alias("creators")).alias("creationInfo")]
 
 
+def _by_document(df: DataFrame) -> DataFrame:
+    """Rows of a document in one task, before entries are made of them. In a fixed number of tasks: entries of few bytes once
+    compressed would be put together to tasks of gigabytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project_id")
+
+
 def to_spdx(df: DataFrame, created: str, no_assertion: bool = False) -> DataFrame:
     """(doc_id, json): one SPDX 2.3 document per project_id, packages ordered by ecosystem, name and version."""
-    rows = sanitize_spdx(df)
+    rows = sanitize_spdx(_by_document(df))
     docs = rows.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ecosystem", "name", "version", _spdx_package(no_assertion).alias("pack")))), lambda x: x["pack"]).alias("packages"))
     doc = F.struct(*_spdx_head(created), F.col("packages"), F.transform("packages", lambda p: _describes(p["SPDXID"])).alias("relationships"))
     return docs.select(F.col("project_id").alias("doc_id"), F.to_json(doc).alias("json"))
@@ -202,7 +210,7 @@ def _cyclonedx_head(created: str) -> str:
 
 def to_cyclonedx(df: DataFrame, created: str) -> DataFrame:
     """(doc_id, json): one CycloneDX 1.5 document per project_id."""
-    docs = df.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ecosystem", "name", "version", _cyclonedx_component().alias("part")))), lambda x: x["part"]).alias("parts"))
+    docs = _by_document(df).groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ecosystem", "name", "version", _cyclonedx_component().alias("part")))), lambda x: x["part"]).alias("parts"))
     return docs.select(F.col("project_id").alias("doc_id"), F.concat(F.lit(_cyclonedx_head(created)), F.array_join("parts", ","), F.lit("]}")).alias("json"))
 
 
