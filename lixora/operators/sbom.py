@@ -17,7 +17,7 @@ from lixora.functions.licenses import detect_license, is_expression, is_license_
 from lixora.operators.config import ComplianceConfig
 from lixora.operators.judge import judge
 from lixora.operators.resolve import resolve_from_definitions, resolve_from_registry
-from lixora.operators.shared import cut
+from lixora.operators.shared import cut, small, written
 
 MARKS = {"spdx": ("spdxVersion", "SPDXID"), "cyclonedx": ("bomFormat", "specVersion")}
 #: Key of the list that a document's packages stand in.
@@ -108,7 +108,11 @@ def _cyclonedx_license(x: Column) -> Column:
 
 
 def _components(docs: DataFrame, *formats: str) -> DataFrame:
-    """COMPONENT rows with format. Every entry is read by itself: numbers, nulls, lists and nameless entries among the
+    return _read_entries(_entries(docs, list(formats)))
+
+
+def _read_entries(entries: DataFrame, *more: str, keep: Column | None = None) -> DataFrame:
+    """COMPONENT rows with format, and columns of entries besides; rows to keep need no name. Every entry is read by itself: numbers, nulls, lists and nameless entries among the
     packages cost only themselves, and positions are those of the document."""
     x, spdx = F.col("x"), F.col("format") == "spdx"
     fields = {
@@ -119,11 +123,12 @@ def _components(docs: DataFrame, *formats: str) -> DataFrame:
         "declared": F.when(spdx, _said(x, "licenseDeclared")),
         "listed": F.when(~spdx, _cyclonedx_license(x)),
     }
-    rows = _entries(docs, list(formats)).select("doc_id", "format", "refs", "pos", *[c.alias(n) for n, c in fields.items()]).where("name is not null")
+    rows = entries.select("doc_id", "format", "refs", "pos", *more, *[c.alias(n) for n, c in fields.items()])
+    rows = rows.where("name is not null" if keep is None else F.col("name").isNotNull() | keep)
     # the concluded licence if it is stated, else the declared one
     said = F.coalesce(*[F.when(is_stated(F.col(c)), F.col(c)) for c in ("concluded", "declared")])
     lic = F.when(spdx, _with_refs(said, F.col("refs"))).otherwise(F.col("listed"))
-    return _identified(rows.withColumn("license", lic), "format")
+    return _identified(rows.withColumn("license", lic), "format", *more)
 
 
 def spdx_components(docs: DataFrame) -> DataFrame:
@@ -243,12 +248,12 @@ def write_documents(parts: DataFrame, path: str) -> None:
     """Write one file for each document, path/doc_id=.../, from its parts in order; path must be new.
 
     A document is a sorted stream of rows in one task, as it is one file; it is never held as a whole. Entries of a list are
-    set apart by commas, and each part is a line.
+    set apart by commas, and each part is a line. Files are compressed, as entries are much alike.
     """
     order = Window.partitionBy("doc_id").orderBy("section", "key", "text")
     again = (F.col("section") % 2 == 1) & (F.lag("section").over(order) == F.col("section"))
     lines = parts.select("doc_id", F.when(again, F.concat(F.lit(","), "text")).otherwise(F.col("text")).alias("value"), "section", "key", "text")
-    lines.sortWithinPartitions("doc_id", "section", "key", "text").select("doc_id", "value").write.partitionBy("doc_id").text(path)
+    lines.sortWithinPartitions("doc_id", "section", "key", "text").select("doc_id", "value").write.partitionBy("doc_id").text(path, compression="gzip")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -256,6 +261,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).text(path, wholetext=True).select("doc_id", F.col("value").alias("json"))
 
 
+def read_parts(spark: SparkSession, path: str, format: str) -> DataFrame:
+    """COMPONENT rows of documents of any length that ``write_documents`` has written, line by line: no row holds a document.
+
+    A compressed file is one stream of a task, so its lines are numbered in order; the numbers are written out with the
+    components, as another reading may number otherwise. A position counts from the line that opens the list.
+    """
+    value = F.col("value")
+    lines = spark.read.option("basePath", path).text(path).select("doc_id", "value", F.monotonically_increasing_id().alias("pos"))
+    opens = value.startswith("{") & value.endswith("[")
+    entries = lines.select("doc_id", F.lit(format).alias("format"), _known_refs(F.lit(None).cast("array<struct<licenseId:string,name:string,extractedText:string>>")).alias("refs"), "pos", opens.alias("opens"), F.try_parse_json(F.when(~opens, F.regexp_replace(value, "^,", ""))).alias("x"))
+    kept = written(_read_entries(entries, "opens", keep=F.col("opens")), "components")
+    starts = small(kept.where("opens").select("doc_id", F.col("pos").alias("start")))
+    return kept.where("not opens").join(starts, "doc_id").select("doc_id", (F.col("pos") - F.col("start") - 1).cast("int").alias("pos"), *COMPONENT[2:])
+
+
 def _text(value: Column) -> Column:
     """A string as JSON."""
     listed = F.to_json(F.array(value))

@@ -235,9 +235,9 @@ def snk_05_files(spark, sf_dir):
     """Documents of both formats written part by part, one file each, and read back."""
     rows = findings(spark, sf_dir).withColumn("project_id", F.col("project_id") % 20)
     out = None
-    for name, parts, read in (("spdx", sbom.spdx_parts(rows, CREATED), sbom.spdx_components), ("cyclonedx", sbom.cyclonedx_parts(rows, CREATED), sbom.cyclonedx_components)):
+    for name, parts in (("spdx", sbom.spdx_parts(rows, CREATED)), ("cyclonedx", sbom.cyclonedx_parts(rows, CREATED))):
         path = shared_path(spark, name)
         sbom.write_documents(parts, path)
-        back = read(sbom.read_documents(spark, path)).withColumn("format", F.lit(name))
+        back = sbom.read_parts(spark, path, name).withColumn("format", F.lit(name))
         out = back if out is None else out.unionByName(back)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

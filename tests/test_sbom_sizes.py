@@ -19,3 +19,18 @@ def test_addresses_stand_where_there_are_any(spark):
     json = {r.doc_id: r.json for r in sbom.to_spdx(packages(spark), "2024-01-01T00:00:00Z").collect()}
     assert '"referenceLocator":"pkg:npm/%40s/a@1"' in json[1] and json[1].count("externalRefs") == 2
     assert "externalRefs" not in json[2]
+
+
+def test_written_documents_are_compressed_and_read_line_by_line(spark, tmp_path):
+    import glob
+    import json as plain
+
+    at = str(tmp_path / "docs")
+    sbom.write_documents(sbom.spdx_parts(packages(spark), "2024-01-01T00:00:00Z"), at)
+    files = glob.glob(f"{at}/*/*")
+    assert len(files) == 2 and all(f.endswith(".gz") for f in files)
+    whole = sbom.read_documents(spark, at)
+    assert sorted(len(plain.loads(r.json)["packages"]) for r in whole.collect()) == [1, 2]
+    back = sbom.read_parts(spark, at, "spdx")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, sbom.spdx_components(whole).collect()))
+    assert sorted((r.doc_id, r.pos, r.name) for r in back.collect()) == [(1, 0, "b c"), (1, 1, "@s/a"), (2, 0, "x")]
