@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lixora.functions.licenses import classifier_license, detect_license, is_compound, normalize_debian, normalize_rpm
-
+from lixora.operators.shared import large
 from lixora.sources.lines import carry_forward, deb822, field, numbered_lines
 
 APK_DB, DPKG_DB = r"(?:^|/)lib/apk/db/installed$", r"(?:^|/)var/lib/dpkg/status$"
@@ -76,14 +76,14 @@ def copyright_license(files: DataFrame, keys: list[str]) -> DataFrame:
         F.min_by(first_line, F.when(first_line != "", F.col("stanza"))).alias("any"),
     )
     said = F.when(F.col("format").contains("copyright-format") | F.col("format").contains("dep5"), normalize_debian(F.coalesce("all", "any")))
-    return files.join(picked, keys, "left").select(*keys, F.coalesce(said, detect_license(F.col("content"))).alias("license"))
+    return files.join(large(picked), keys, "left").select(*keys, F.coalesce(said, detect_license(F.col("content"))).alias("license"))
 
 
 def dpkg_licenses(packages: DataFrame, copyrights: DataFrame) -> DataFrame:
     """packages with license: of their own copyright file, else of the source package's. copyrights(root, name, license)."""
     own = copyrights.select("root", "name", F.col("license").alias("own"))
     of_source = copyrights.select("root", F.col("name").alias("source"), F.col("license").alias("theirs"))
-    return packages.join(own, ["root", "name"], "left").join(of_source, ["root", "source"], "left").withColumn("license", F.coalesce("own", "theirs")).drop("own", "theirs")
+    return packages.join(large(own), ["root", "name"], "left").join(large(of_source), ["root", "source"], "left").withColumn("license", F.coalesce("own", "theirs")).drop("own", "theirs")
 
 
 def node_license(manifest: Column) -> Column:
@@ -117,14 +117,14 @@ def installed_artifacts(files: DataFrame) -> DataFrame:
     first = field(fields, ["root", "path"], "Name", "Version", "License", "License-Expression")
     classified = fields.where("lower(name) = 'classifier'").groupBy("root", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("classifiers"))
     shipped = files.where(F.col("path").rlike(r"\.dist-info/(?:licenses/)?LICEN[SC]E[^/]*$")).select("root", F.regexp_replace("path", r"/(?:licenses/)?[^/]+$", "/METADATA").alias("path"), F.col("said").alias("shipped")).groupBy("root", "path").agg(F.max("shipped").alias("shipped"))
-    rows = first.join(classified, ["root", "path"], "left").join(shipped, ["root", "path"], "left").withColumnsRenamed({"License-Expression": "expression", "License": "stated"})
+    rows = first.join(large(classified), ["root", "path"], "left").join(large(shipped), ["root", "path"], "left").withColumnsRenamed({"License-Expression": "expression", "License": "stated"})
     python = python_license(rows).select("root", "path", F.lit("pypi").alias("ecosystem"), F.col("Name").alias("name"), F.coalesce("Version", F.lit("")).alias("version"), "license")
     return node.unionByName(python).where("name is not null and trim(name) <> ''")
 
 
 def drop_owned(artifacts: DataFrame, owned: DataFrame) -> DataFrame:
     """Artifacts whose metadata no OS package owns."""
-    return artifacts.join(owned.select("root", "path").distinct(), ["root", "path"], "left_anti")
+    return artifacts.join(large(owned.select("root", "path").distinct()), ["root", "path"], "left_anti")
 
 
 def dedupe_artifacts(artifacts: DataFrame) -> DataFrame:

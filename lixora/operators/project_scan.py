@@ -17,7 +17,7 @@ from lixora.operators.judge import judge
 from lixora.operators.osdb import installed_artifacts
 from lixora.operators.report import drop_ignored_deps, drop_ignored_licenses, gate
 from lixora.operators.resolve import coalesce_sources, resolve_from_definitions, resolve_from_registry
-from lixora.operators.shared import cut
+from lixora.operators.shared import cut, large
 from lixora.sources.files import LANGUAGE_ALIASES, dir_of, language_of, name_of
 from lixora.sources.ignore import IGNORE_FILE, ignored_paths
 from lixora.sources.manifests import cargo_graph, cargo_members, exploded_deps
@@ -114,7 +114,7 @@ def scan_projects(
         local = cut(installed_artifacts(evidence).where("license is not null"))
         exact = local.groupBy("root", "ecosystem", "name", "version").agg(F.min("license").alias("of_version"))
         other = local.groupBy("root", "ecosystem", "name").agg(F.min("license").alias("of_name"))
-        rows = deps.join(exact, ["root", "ecosystem", "name", "version"], "left").join(other, ["root", "ecosystem", "name"], "left")
+        rows = deps.join(large(exact), ["root", "ecosystem", "name", "version"], "left").join(large(other), ["root", "ecosystem", "name"], "left")
         rows = rows.withColumn("license", F.coalesce("of_version", "of_name")).drop("of_version", "of_name")
     if snapshot is not None:
         rows = resolve_from_registry(rows, snapshot)
@@ -124,7 +124,7 @@ def scan_projects(
     if follow_ignore:
         listed = cut(evidence.where(name_of(F.col("path")) == IGNORE_FILE).select("root", dir_of(F.col("path")).alias("dir"), "rules"))
         if not listed.isEmpty():
-            facts = cut(facts.join(ignored_paths(facts, listed), ["root", "path"], "left_anti"))
+            facts = cut(facts.join(large(ignored_paths(facts, listed)), ["root", "path"], "left_anti"))
     none, flat = F.lit(""), F.lit(None).cast("int")
     found = rows.select("root", F.lit("manifest").alias("source"), "ecosystem", "name", "version", "license", "depth")
     own = scan.scan_own_source(facts, projects, []).select("root", F.lit("own-source").alias("source"), F.lit("generic").alias("ecosystem"), F.col("path").alias("name"), none.alias("version"), "license", flat.alias("depth"))
@@ -138,8 +138,8 @@ def scan_projects(
     if evidence.where("kind = 'Cargo.lock'").isEmpty():
         found = found.withColumn("members", F.lit(None).cast("string"))
     else:
-        found = found.join(workspace_members(evidence), ["root", "ecosystem", "name", "version"], "left").select(*FOUND, "members")
-    judged = judge(found.join(projects, "root", "left"), cfg, strict, licenses=found)
+        found = found.join(large(workspace_members(evidence)), ["root", "ecosystem", "name", "version"], "left").select(*FOUND, "members")
+    judged = judge(found.join(large(projects), "root", "left"), cfg, strict, licenses=found)
     unlicensed = F.col("source").isin("vendored", "unmanaged") & F.col("license").isNull()
     return judged.withColumn("is_restrictive", F.col("is_restrictive") | unlicensed)
 

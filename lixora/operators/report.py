@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lixora.functions.ids import purl, semver_key
 from lixora.functions.licenses import any_in, is_unresolved
 from lixora.operators.rank import ranked
+from lixora.operators.shared import small
 
 
 def as_findings(df: DataFrame, source: str) -> DataFrame:
@@ -26,7 +27,7 @@ def drop_ignored_licenses(df: DataFrame, ignore: list[str]) -> DataFrame:
 def drop_ignored_deps(df: DataFrame, ignored: DataFrame) -> DataFrame:
     """Rows named in ignored(name, version) go; an empty version there means any."""
     i = ignored.select(F.col("name").alias("_name"), F.coalesce("version", F.lit("")).alias("_version")).distinct()
-    return df.join(i, (F.col("name") == F.col("_name")) & ((F.col("_version") == "") | (F.col("_version") == F.col("version"))), "left_anti")
+    return df.join(small(i), (F.col("name") == F.col("_name")) & ((F.col("_version") == "") | (F.col("_version") == F.col("version"))), "left_anti")
 
 
 def risk_filter(df: DataFrame, restrictive: bool = False, incompatible: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lixora.functions.ids import cd_coordinate
 from lixora.functions.licenses import is_unresolved
-from lixora.operators.shared import cut, look_up, quoted, small
+from lixora.operators.shared import cut, large, look_up, quoted, small
 
 #: What a definition says when it has no answer; days that snapshots count as fresh.
 NO_ANSWER = ["NOASSERTION", "NONE", "OTHER", "UNKNOWN"]
@@ -32,7 +32,7 @@ def resolve_from_registry(df: DataFrame, snapshot: DataFrame) -> DataFrame:
     keys = df.where(open_).groupBy("ecosystem", "name", "version").agg(F.count("*").alias("times"))
     s = snapshot.groupBy("ecosystem", "name", "version").agg(F.max("license").alias("found"))
     latest = s.where("version = 'latest'").select("ecosystem", "name", F.col("found").alias("latest"))
-    found = keys.join(s, ["ecosystem", "name", "version"], "left").join(latest, ["ecosystem", "name"], "left")
+    found = keys.join(large(s), ["ecosystem", "name", "version"], "left").join(large(latest), ["ecosystem", "name"], "left")
     answers = found.select(F.col("ecosystem").alias("k0"), F.col("name").alias("k1"), F.col("version").alias("k2"), "times", F.coalesce(_answer(F.col("found")), _answer(F.col("latest"))).alias("answer"))
     return _taken(look_up(df, [F.col("ecosystem"), F.col("name"), F.col("version")], cut(answers.where("answer is not null")), open_))
 
@@ -43,7 +43,7 @@ def resolve_from_definitions(df: DataFrame, definitions: DataFrame) -> DataFrame
     coordinate = cd_coordinate(F.col("ecosystem"), F.col("name"), F.col("version"))
     told = definitions.where(~F.upper(F.trim("declared")).isin(NO_ANSWER) & (F.trim("declared") != "")).groupBy(F.col("coordinate").alias("k0")).agg(F.max("declared").alias("answer"))
     keys = cut(df.where(open_).groupBy(coordinate.alias("k0")).agg(F.count("*").alias("times")))
-    return _taken(look_up(df, [coordinate], cut(keys.join(told, "k0")), open_))
+    return _taken(look_up(df, [coordinate], cut(large(keys).join(large(told), "k0")), open_))
 
 
 def coalesce_sources(keys: list[str], *sources: DataFrame) -> DataFrame:
@@ -111,13 +111,13 @@ def snapshot_status(df: DataFrame, as_of: Column, days: int) -> DataFrame:
 
 def join_texts(df: DataFrame, texts: DataFrame) -> DataFrame:
     """Licence text of each package, null where there is none."""
-    return df.join(texts.select("ecosystem", "name", "version", "text"), ["ecosystem", "name", "version"], "left")
+    return df.join(large(texts.select("ecosystem", "name", "version", "text")), ["ecosystem", "name", "version"], "left")
 
 
 def apply_managed(deps: DataFrame, managed: DataFrame) -> DataFrame:
     """A dependency without a version takes the managed one of its project, else RELEASE."""
     m = managed.select("project_id", "name", F.col("version").alias("managed"))
-    return deps.join(m, ["project_id", "name"], "left").withColumn("version", F.coalesce(F.when(F.trim("version") != "", F.col("version")), "managed", F.lit("RELEASE"))).drop("managed")
+    return deps.join(large(m), ["project_id", "name"], "left").withColumn("version", F.coalesce(F.when(F.trim("version") != "", F.col("version")), "managed", F.lit("RELEASE"))).drop("managed")
 
 
 def join_licenses(df: DataFrame, keys: list[str], op: str) -> DataFrame:
@@ -135,7 +135,7 @@ def pom_license(poms: DataFrame, hops: int = 5) -> DataFrame:
     above = poms.select(F.col("pom").alias("up"), F.col("parent").alias("next"), F.col("license").alias("theirs"))
     for _ in range(hops):
         stop = F.col("license").isNotNull()
-        out = out.join(above, "up", "left").select("pom", F.when(~stop, F.col("next")).alias("up"), F.coalesce("license", "theirs").alias("license"))
+        out = out.join(large(above), "up", "left").select("pom", F.when(~stop, F.col("next")).alias("up"), F.coalesce("license", "theirs").alias("license"))
     return out.select("pom", "license")
 
 

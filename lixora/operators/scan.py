@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lixora.functions.ids import coordinates
 from lixora.functions.licenses import detect_license, gnu_banner, spdx_header
 from lixora.operators.report import drop_ignored_licenses
-from lixora.operators.shared import cut
+from lixora.operators.shared import cut, large
 from lixora.sources.files import OWN_SKIPPED, VENDOR_DIRS, VENDOR_SKIPPED, dir_of, in_any, in_vendor_dir, is_hidden, is_source_path, name_of
 
 #: Licence file names by priority; the last two say OFL-1.1 by themselves.
@@ -72,8 +72,8 @@ def ancestors(path: Column) -> Column:
 def topmost(dirs: DataFrame) -> DataFrame:
     """(root, dir) rows without those below another row."""
     above = dirs.select("root", F.col("dir").alias("below"), F.explode(F.when(F.contains("dir", F.lit("/")), ancestors(F.col("dir")))).alias("dir"))
-    covered = above.join(dirs.select("root", "dir"), ["root", "dir"], "left_semi").select("root", F.col("below").alias("dir")).distinct()
-    return dirs.join(covered, ["root", "dir"], "left_anti")
+    covered = above.join(large(dirs.select("root", "dir")), ["root", "dir"], "left_semi").select("root", F.col("below").alias("dir")).distinct()
+    return dirs.join(large(covered), ["root", "dir"], "left_anti")
 
 
 def vendor_root(dirs: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def vendor_root(dirs: DataFrame) -> DataFrame:
     vendors = vendors.where(in_vendor_dir(F.concat(name_of(F.col("vendor")), F.lit("/x"))))
     up = dirs.select("root", "dir", F.explode(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("vendor")).distinct()
     deep = F.size(F.split("dir", "/")) - F.size(F.split("vendor", "/"))
-    near = up.join(vendors, ["root", "vendor"]).where(deep <= VENDOR_DEPTH)
+    near = up.join(large(vendors), ["root", "vendor"]).where(deep <= VENDOR_DEPTH)
     return near.groupBy("root", "dir").agg(F.max_by("vendor", F.length("vendor")).alias("vendor"))
 
 
@@ -90,9 +90,9 @@ def drop_known_vendored(candidates: DataFrame, deps: DataFrame) -> DataFrame:
     """Vendored names (root, dir, name) that no dependency has, in any ecosystem of the project, whatever the case."""
     play = deps.select(F.col("root"), "ecosystem").distinct()
     known = deps.select("root", F.lower(coordinates(F.col("ecosystem"), F.col("name"))).alias("purl")).distinct()
-    asked = candidates.join(play, "root").withColumn("purl", F.lower(coordinates(F.col("ecosystem"), F.col("name"))))
-    dropped = asked.join(known, ["root", "purl"], "left_semi").select("root", "dir", "name").distinct()
-    return candidates.join(dropped, ["root", "dir", "name"], "left_anti")
+    asked = candidates.join(large(play), "root").withColumn("purl", F.lower(coordinates(F.col("ecosystem"), F.col("name"))))
+    dropped = asked.join(large(known), ["root", "purl"], "left_semi").select("root", "dir", "name").distinct()
+    return candidates.join(large(dropped), ["root", "dir", "name"], "left_anti")
 
 
 def dir_evidence(licensed: DataFrame, files: DataFrame, projects: DataFrame, manifest_dirs: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def dir_evidence(licensed: DataFrame, files: DataFrame, projects: DataFrame, man
     rows = rows.where((F.col("own") | way) & ~F.lower(name_of(F.col("dir"))).isin(VENDOR_DIRS)).drop("own")
     managed = manifest_dirs.select("root", "dir").distinct().withColumn("managed", F.lit(True))
     asked = projects.select(F.col("root").alias("project"), "project_license")
-    rows = rows.join(managed, ["root", "dir"], "left").join(asked, (F.col("root") == F.col("project")) & ~F.col("vendored"), "left")
+    rows = rows.join(large(managed), ["root", "dir"], "left").join(large(asked), (F.col("root") == F.col("project")) & ~F.col("vendored"), "left")
     outside = "license is not null and dir <> '' and managed is null and (project_license is null or lower(license) <> lower(project_license))"
     return rows.where(f"vendored or ({outside})").select("root", "dir", "license", "vendored")
 
@@ -119,7 +119,7 @@ def scan_own_source(files: DataFrame, projects: DataFrame, ignore: list[str]) ->
     head = F.array_join(F.slice(F.split("content", r"\r?\n"), 1, 30), "\n") if "content" in files.columns else None
     stated = F.coalesce("tag", "banner") if head is None else F.coalesce(spdx_header(F.col("content")), gnu_banner(head))
     rows = rows.select("root", "path", stated.alias("license")).where("license is not null")
-    rows = rows.join(projects, "root", "left").where("project_license is null or lower(license) <> lower(project_license)").drop("project_license")
+    rows = rows.join(large(projects), "root", "left").where("project_license is null or lower(license) <> lower(project_license)").drop("project_license")
     return drop_ignored_licenses(rows, ignore)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lixora.operators.shared import cut, small
+from lixora.operators.shared import cut, large, small
 from lixora.sources.files import dir_of, name_of
 
 IGNORE_FILE = ".gitignore"
@@ -100,4 +100,4 @@ def rules_of(files: DataFrame) -> DataFrame:
 def not_ignored(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """files without those that the corpus's own ignore files leave out."""
     gone = ignored_paths(files, rules_of(files) if rules is None else rules)
-    return files.join(gone, ["root", "path"], "left_anti")
+    return files.join(large(gone), ["root", "path"], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lixora.functions.ids import clean_version
-from lixora.operators.shared import written
+from lixora.operators.shared import large, written
 from lixora.sources.files import dir_of, name_of
 from lixora.sources.toml import toml_json
 
@@ -458,7 +458,7 @@ def cargo_graph(files: DataFrame) -> DataFrame:
     versions = rows.groupBy("root", "path", F.col("n.name").alias("name")).agg(F.min("n.version").alias("only"))
     asks = rows.select("root", "path", F.concat_ws("@", "n.name", "n.version").alias("src"), F.explode("n.dependencies").alias("ask"))
     asks = asks.select("root", "path", "src", F.get(F.split("ask", " "), F.lit(0)).alias("name"), F.get(F.split("ask", " "), F.lit(1)).alias("version"))
-    known = asks.join(versions, ["root", "path", "name"], "left")
+    known = asks.join(large(versions), ["root", "path", "name"], "left")
     return known.select("root", "path", "src", F.concat_ws("@", "name", F.coalesce("version", "only")).alias("dst")).distinct()
 
 
