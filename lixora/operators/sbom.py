@@ -27,7 +27,7 @@ SPACE = " \t\n\r\x0b\x0c"
 
 
 def _v(v: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, f"$.{path}", kind)
+    return F.try_variant_get(v, f"$.{path}" if path else "$", kind)
 
 
 def _string(v: Column, path: str) -> Column:
@@ -95,16 +95,19 @@ def _entries(docs: DataFrame, formats: list[str]) -> DataFrame:
 
 
 def _spdx_purl(x: Column) -> Column:
-    refs = F.filter(_list(x, "externalRefs"), lambda r: F.lower(_said(r, "referenceType")) == "purl")
-    return _said(F.get(refs, F.lit(0)), "referenceLocator")
+    """What an entry's first reference of that type locates, as it is."""
+    refs = F.filter(_list(x, "externalRefs"), lambda r: F.lower(F.btrim(_string(r, "referenceType"), F.lit(SPACE))) == "purl")
+    return _v(F.get(refs, F.lit(0)), "referenceLocator")
 
 
-def _cyclonedx_license(x: Column) -> Column:
-    """Several licences are joined by AND."""
+def _cyclonedx_licenses(x: Column) -> Column:
     each = F.transform(_list(x, "licenses"), lambda e: F.coalesce(_said(e, "expression"), _said(e, "license.id"), _said(e, "license.name")))
-    each = F.array_distinct(F.filter(each, lambda e: is_stated(e)))
-    joined = F.array_join(F.transform(each, lambda e: F.when(F.contains(e, F.lit(" OR ")) & (F.size(each) > 1), F.concat(F.lit("("), e, F.lit(")"))).otherwise(e)), " AND ")
-    return F.nullif(joined, F.lit(""))
+    return F.array_distinct(F.filter(each, lambda e: is_stated(e)))
+
+
+def _joined(each: Column) -> Column:
+    """Several licences are joined by AND."""
+    return F.array_join(F.transform(each, lambda e: F.when(F.contains(e, F.lit(" OR ")) & (F.size(each) > 1), F.concat(F.lit("("), e, F.lit(")"))).otherwise(e)), " AND ")
 
 
 def _components(docs: DataFrame, *formats: str) -> DataFrame:
@@ -116,14 +119,21 @@ def _read_entries(entries: DataFrame, *more: str, keep: Column | None = None) ->
     packages cost only themselves, and positions are those of the document."""
     x, spdx = F.col("x"), F.col("format") == "spdx"
     fields = {
-        "name": _said(x, "name"),
-        "version": F.when(spdx, _said(x, "versionInfo")).otherwise(_said(x, "version")),
-        "purl": F.when(spdx, _spdx_purl(x)).otherwise(_said(x, "purl")),
-        "concluded": F.when(spdx, _said(x, "licenseConcluded")),
-        "declared": F.when(spdx, _said(x, "licenseDeclared")),
-        "listed": F.when(~spdx, _cyclonedx_license(x)),
+        "name": _v(x, "name"),
+        "version": F.when(spdx, _v(x, "versionInfo")).otherwise(_v(x, "version")),
+        "purl": F.when(spdx, _spdx_purl(x)).otherwise(_v(x, "purl")),
+        "concluded": F.when(spdx, _v(x, "licenseConcluded")),
+        "declared": F.when(spdx, _v(x, "licenseDeclared")),
     }
-    rows = entries.select("doc_id", "format", "refs", "pos", *more, *[c.alias(n) for n, c in fields.items()])
+    # one step after another: what a step names twice has been worked out once
+    own = ["doc_id", "format", "refs", "pos", *more]
+    rows = entries.select(*own, *[c.alias(n) for n, c in fields.items()], F.when(~spdx, _cyclonedx_licenses(x)).alias("listed"))
+    text = lambda n: F.when(F.schema_of_variant(n) == "STRING", _v(F.col(n), "", "string")).alias(n)
+    rows = rows.select(*own, *[text(n) for n in fields], _joined(F.col("listed")).alias("listed"))
+    rows = rows.select(*own, *[F.btrim(n, F.lit(SPACE)).alias(n) for n in fields], "listed")
+    filled = lambda n: F.nullif(F.col(n), F.lit(""))
+    # the name is exploded: else the filter on it goes down to the entries, which are read (and parsed) several times for it
+    rows = rows.select(*own, *[filled(n).alias(n) for n in [*fields, "listed"] if n != "name"], F.explode_outer(F.array(filled("name"))).alias("name"))
     rows = rows.where("name is not null" if keep is None else F.col("name").isNotNull() | keep)
     # the concluded licence if it is stated, else the declared one
     said = F.coalesce(*[F.when(is_stated(F.col(c)), F.col(c)) for c in ("concluded", "declared")])
@@ -220,6 +230,8 @@ def to_cyclonedx(df: DataFrame, created: str) -> DataFrame:
 
 
 PARTS = ["doc_id", "section", "key", "text"]
+#: How the line of a relationship begins (see ``_describes``).
+RELATED = '{"spdxElementId":'
 
 
 def _parts(rows: DataFrame, fixed: dict[int, Column], listed: dict[int, Column]) -> DataFrame:
@@ -270,7 +282,9 @@ def read_parts(spark: SparkSession, path: str, format: str) -> DataFrame:
     value = F.col("value")
     lines = spark.read.option("basePath", path).text(path).select("doc_id", "value", F.monotonically_increasing_id().alias("pos"))
     opens = value.startswith("{") & value.endswith("[")
-    entries = lines.select("doc_id", F.lit(format).alias("format"), _known_refs(F.lit(None).cast("array<struct<licenseId:string,name:string,extractedText:string>>")).alias("refs"), "pos", opens.alias("opens"), F.try_parse_json(F.when(~opens, F.regexp_replace(value, "^,", ""))).alias("x"))
+    # relationships are half of a document's lines and no components
+    listed = ~opens & ~value.startswith(RELATED) & ~value.startswith(f",{RELATED}")
+    entries = lines.select("doc_id", F.lit(format).alias("format"), _known_refs(F.lit(None).cast("array<struct<licenseId:string,name:string,extractedText:string>>")).alias("refs"), "pos", opens.alias("opens"), F.try_parse_json(F.when(listed, F.regexp_replace(value, "^,", ""))).alias("x"))
     kept = written(_read_entries(entries, "opens", keep=F.col("opens")), "components")
     starts = small(kept.where("opens").select("doc_id", F.col("pos").alias("start")))
     return kept.where("not opens").join(starts, "doc_id").select("doc_id", (F.col("pos") - F.col("start") - 1).cast("int").alias("pos"), *COMPONENT[2:])

@@ -34,3 +34,16 @@ def test_written_documents_are_compressed_and_read_line_by_line(spark, tmp_path)
     back = sbom.read_parts(spark, at, "spdx")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, sbom.spdx_components(whole).collect()))
     assert sorted((r.doc_id, r.pos, r.name) for r in back.collect()) == [(1, 0, "b c"), (1, 1, "@s/a"), (2, 0, "x")]
+
+
+def test_entries_are_parsed_once(spark, tmp_path, monkeypatch):
+    """A filter on a field must not read the entry again, and lines of relationships aren't parsed."""
+    at, seen, written = str(tmp_path / "docs"), [], sbom.written
+    sbom.write_documents(sbom.spdx_parts(packages(spark), "2024-01-01T00:00:00Z"), at)
+    monkeypatch.setattr(sbom, "written", lambda df, name: seen.append(df) or written(df, name))
+    assert sbom.read_parts(spark, at, "spdx").count() == 3
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (*seen, sbom.spdx_components(sbom.read_documents(spark, at)), sbom.cyclonedx_components(sbom.read_documents(spark, at)))]
+    assert len(plans) == 3 and "spdxElementId" in plans[0]
+    for plan in plans:
+        assert sum("variant_get" in line or "parseJson" in line for line in plan.splitlines() if "Filter" in line) == 0
+        assert plan.count("parseJson") == 1
