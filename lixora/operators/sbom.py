@@ -17,7 +17,7 @@ from lixora.functions.licenses import detect_license, is_expression, is_license_
 from lixora.operators.config import ComplianceConfig
 from lixora.operators.judge import judge
 from lixora.operators.resolve import resolve_from_definitions, resolve_from_registry
-from lixora.operators.shared import cut, small, written
+from lixora.operators.shared import cut, large, small, written
 
 MARKS = {"spdx": ("spdxVersion", "SPDXID"), "cyclonedx": ("bomFormat", "specVersion")}
 #: Key of the list that a document's packages stand in.
@@ -312,20 +312,29 @@ def enrich_sbom(docs: DataFrame, resolved: DataFrame) -> DataFrame:
     an entry stay byte for byte; the others are written anew from their values, keys in order. doc_id tells documents apart.
     """
     answers = resolved.where(~is_unresolved(F.col("license"))).select("doc_id", "pos", F.col("license").alias("answer"))
-    fixes = cut(_components(docs, "spdx", "cyclonedx").where("license is null").select("doc_id", "pos").join(answers, ["doc_id", "pos"]))
-    changed = docs.join(fixes.select("doc_id").distinct(), "doc_id", "left_semi")
-    answer, x = F.col("answer"), F.col("x")
-    ref = license_ref(answer)
-    named = F.struct(F.when(~is_license_id(answer), answer).alias("name"), F.when(is_license_id(answer), answer).alias("id"))
-    choice = F.when(is_expression(answer), F.to_json(F.struct(answer.alias("expression")))).otherwise(F.to_json(F.struct(named.alias("license"))))
-    fields = x.cast("map<string,variant>")
-    spdx, cyclonedx = {"licenseConcluded": _text(F.coalesce(ref, answer))}, {"licenses": F.concat(F.lit("["), choice, F.lit("]"))}
-    written = F.when(answer.isNull(), F.to_json(x)).when(F.col("format") == "spdx", _object(fields, spdx)).otherwise(_object(fields, cyclonedx))
-    info = F.when(ref.isNotNull() & (F.col("format") == "spdx"), F.to_json(F.struct(ref.alias("licenseId"), answer.alias("name"), answer.alias("extractedText"))))
-    rows = _entries(changed, ["spdx", "cyclonedx"]).join(fixes, ["doc_id", "pos"], "left").select("doc_id", "format", F.struct("pos", written.alias("part"), info.alias("info")).alias("e"))
-    whole = rows.groupBy("doc_id", "format").agg(F.sort_array(F.collect_list("e")).alias("e"))
-    whole = whole.select("doc_id", "format", F.array_join("e.part", ",").alias("parts"), F.array_distinct(F.array_compact("e.info")).alias("infos"))
-    both = docs.join(whole, "doc_id", "left").withColumn("v", F.try_parse_json("json"))
+    fixes = _components(docs, "spdx", "cyclonedx").where("license is null").select("doc_id", "pos").join(large(answers), ["doc_id", "pos"])
+    fixes = fixes.groupBy("doc_id", "pos").agg(F.max("answer").alias("answer")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "answer"))).alias("by_pos"))
+    # a document is shuffled once, as it is, and meets the answers of its entries as a list with gaps of nulls
+    gap = lambda e, k: e["pos"] - F.coalesce(F.get("by_pos", k - 1)["pos"], F.lit(-1)) - 1
+    every = F.flatten(F.transform("by_pos", lambda e, k: F.concat(F.array_repeat(F.lit(None).cast("string"), gap(e, k)), F.array(e["answer"]))))
+    fixes = fixes.select("doc_id", every.alias("answers"), F.col("by_pos.answer").alias("in_order"))
+    met = docs.join(large(fixes), "doc_id", "left").withColumn("v", F.try_parse_json(F.when(F.col("answers").isNotNull(), F.col("json"))))
+    met = met.withColumn("format", _format(F.col("v")))
+    met = met.withColumn("entries", F.coalesce(*[F.when(F.col("format") == f, _list(F.col("v"), key)) for f, key in LISTS.items()]))
+
+    def written(x: Column, answer: Column) -> Column:
+        named = F.struct(F.when(~is_license_id(answer), answer).alias("name"), F.when(is_license_id(answer), answer).alias("id"))
+        choice = F.when(is_expression(answer), F.to_json(F.struct(answer.alias("expression")))).otherwise(F.to_json(F.struct(named.alias("license"))))
+        spdx, cyclonedx = {"licenseConcluded": _text(F.coalesce(license_ref(answer), answer))}, {"licenses": F.concat(F.lit("["), choice, F.lit("]"))}
+        fields = x.cast("map<string,variant>")
+        return F.when(answer.isNull(), F.to_json(x)).when(F.col("format") == "spdx", _object(fields, spdx)).otherwise(_object(fields, cyclonedx))
+
+    def info(answer: Column) -> Column:
+        ref = license_ref(answer)
+        return F.when(ref.isNotNull(), F.to_json(F.struct(ref.alias("licenseId"), answer.alias("name"), answer.alias("extractedText"))))
+
+    both = met.withColumn("parts", F.array_join(F.transform("entries", lambda x, i: written(x, F.get("answers", i))), ","))
+    both = both.withColumn("infos", F.when(F.col("format") == "spdx", F.array_compact(F.transform(F.array_distinct("in_order"), info))))
     top = F.col("v").cast("map<string,variant>")
     listed = F.concat(F.lit("["), F.col("parts"), F.lit("]"))
     old = F.transform(_list(F.col("v"), "hasExtractedLicensingInfos"), lambda e: F.to_json(e))

@@ -47,3 +47,23 @@ def test_entries_are_parsed_once(spark, tmp_path, monkeypatch):
     for plan in plans:
         assert sum("variant_get" in line or "parseJson" in line for line in plan.splitlines() if "Filter" in line) == 0
         assert plan.count("parseJson") == 1
+
+
+def test_enriched_documents_are_shuffled_once(spark):
+    """Answers meet their document as a list; the entries aren't taken apart and put together again."""
+    import json as plain
+
+    names = ["a", None, "b", "c", "d"]
+    packs = [{"name": n, "licenseDeclared": "MIT" if n == "c" else "NOASSERTION"} for n in names]
+    docs = spark.createDataFrame([(i, plain.dumps({"spdxVersion": "SPDX-2.3", "packages": packs})) for i in range(2)] + [(2, "no json")], "doc_id long, json string")
+    answers = spark.createDataFrame([(0, 0, "ISC"), (0, 3, "Zlib"), (0, 4, "Odd One"), (0, 4, "Odd One"), (1, 9, "ISC"), (0, 1, "0BSD")], "doc_id long, pos int, license string")
+    made = sbom.enrich_sbom(docs, answers)
+    got = {r.doc_id: r.json for r in made.collect()}
+    first = plain.loads(got[0])
+    assert [p.get("licenseConcluded") for p in first["packages"]] == ["ISC", None, None, None, "LicenseRef-Odd-One"] and [p["name"] for p in first["packages"]] == names
+    assert [i["name"] for i in first["hasExtractedLicensingInfos"]] == ["Odd One"]
+    assert {i: got[i] for i in (1, 2)} == {r.doc_id: r.json for r in docs.where("doc_id > 0").collect()}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "BroadcastExchange" not in plan
+    assert plan.count("SortMergeJoin") == 2
+    assert plan.count("Generate posexplode") == 1
