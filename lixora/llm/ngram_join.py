@@ -27,6 +27,7 @@ result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -49,6 +50,8 @@ SAMPLE, SAMPLE_SHINGLES = 3_000, 10_000
 MOST_SETS, MOST_SHINGLES = 1_500, 1_000_000
 #: Sets that every block of a large class gets.
 PIVOTS = 4
+#: Bytes of the sets that a map task sends on at a time: a set goes to as many groups as its class has blocks.
+BATCH_BYTES = 8_000_000
 #: Row keys (about 40 bytes each) are broadcast up to so many; beyond that texts are shuffled by their key.
 MOST_BROADCAST = 500_000
 
@@ -338,29 +341,45 @@ def exact_links(sets: list[np.ndarray], num: int, den: int, labels: list[int] |
     return out
 
 
+def in_batches(rows: Iterable[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
+    """rows, whose last column is binary, as batches of about ``most`` bytes; no more rows than that are held."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 100
+        if size >= most:
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*held))), schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*held))), schema=schema)
+
+
 def links_within(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b) of the links inside each group of ``wanted(doc_id, text_key, node, label, part, groups)``: a row joins
     the sets of each of its groups; the groups of one part share a task's data frame."""
-    copies = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
-    wanted = F.broadcast(wanted) if copies <= MOST_BROADCAST else wanted
+    times = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
+    wanted = F.broadcast(wanted) if times <= MOST_BROADCAST else wanted
     texts = keyed(docs)
     rows = texts.join(wanted, same_row(texts, wanted)).select("text", "node", "label", "part", "groups")
     schema = pa.schema([("part", pa.int64()), ("group", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("hashes", pa.binary())])
 
-    def fn(batches):
+    most = BATCH_BYTES
+
+    def copies(batches):
         words_of, seen = WordHashes(), set()
         for b in batches:
-            out = []
-            for t, node, label, part, groups in zip(b.column("text"), *(b.column(k).to_pylist() for k in ("node", "label", "part", "groups"))):
+            for t, groups, node, label, part in zip(b.column("text"), b.column("groups"), *(b.column(k).to_pylist() for k in ("node", "label", "part"))):
                 if node in seen:
                     continue  # the row again
                 seen.add(node)
                 h = shingle_hashes(t.as_py(), n, words_of)
                 if len(h) and digest(h) == node:
                     data = h.tobytes()
-                    out += [(g if part is None else part, g, node, label, data) for g in groups]
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*out))), schema=schema)
+                    for g in groups.as_py():
+                        yield g if part is None else part, g, node, label, data
+
+    def fn(batches):
+        return in_batches(copies(batches), schema, most)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
